@@ -113,22 +113,37 @@ class TextBlock:
         return np.repeat(np.arange(self.n), self.counts)
 
     def word_hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (lower-cased A-Z if ``lower``), found through prefix sums of a polynomial."""
+        """A 64-bit hash of each word's bytes (lower-cased A-Z if ``lower``)."""
+        return self.span_hashes(self.starts, self.ends)
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each span's bytes, found through prefix sums of a polynomial; spans are in order and don't overlap."""
         table = _BYTE_LOWER if self.lower else _BYTE
-        out = np.empty(self.words, np.uint64)
+        out = np.empty(len(starts), np.uint64)
         a = 0
-        while a < self.words:
-            low = self.starts[a]
-            b = max(a + 1, int(np.searchsorted(self.starts, low + _CHUNK)))
-            high = self.ends[b - 1]
+        while a < len(starts):
+            low = starts[a]
+            b = max(a + 1, int(np.searchsorted(starts, low + _CHUNK)))
+            high = ends[b - 1]
             sums = np.empty(high - low + 1, np.uint64)
             sums[0] = 0
             np.cumsum(table[self.data[low:high]] * _UP.upto(high - low), out=sums[1:])
-            s, e = self.starts[a:b] - low, self.ends[a:b] - low
-            out[a:b] = (sums[e] - sums[s]) * _DOWN.upto(high - low)[s] + (e - s).astype(np.uint64) * _STEP
+            s, e = starts[a:b] - low, ends[a:b] - low
+            out[a:b] = (sums[e] - sums[s]) * _DOWN.upto(high - low + 1)[s] + (e - s).astype(np.uint64) * _STEP
             a = b
         return mix(out)
 
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, n+1 line offsets) of the \\n-split lines that hold a word."""
+        breaks = np.flatnonzero(self.data == 0x0A)
+        starts = np.unique(np.concatenate([self.at[:-1], breaks + 1]))
+        starts = starts[starts < len(self.data)]
+        ends = np.append(starts[1:], len(self.data))[: len(starts)]
+        ends = ends - (self.data[ends - 1] == 0x0A)
+        held = np.searchsorted(self.starts, ends) > np.searchsorted(self.starts, starts)
+        starts, ends = starts[held], ends[held]
+        return starts, ends, np.searchsorted(starts, self.at)
+
     def room(self) -> np.ndarray:
         """Words from each word to the end of its text, itself included."""
         return np.repeat(self.first[1:], self.counts) - np.arange(self.words)
@@ -164,3 +179,29 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def by_owner(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Keys that are equal only where both the key and the owning text are."""
+    owner = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    return mix(keys + mix(owner + np.uint64(1)))
+
+
+def running(values: np.ndarray) -> np.ndarray:
+    """Prefix sums with a leading 0: sums over ``[a, b)`` are differences."""
+    out = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
+def spans_of(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of True within texts: (starts, ends, n+1 offsets of runs), in positions of the whole batch."""
+    before, after = np.zeros(len(mask), bool), np.zeros(len(mask), bool)
+    if len(mask):
+        before[1:], after[:-1] = mask[:-1], mask[1:]
+        edges = first[:-1]
+        before[edges[edges < len(mask)]] = False
+        edges = first[1:]
+        after[edges[edges > 0] - 1] = False
+    starts = np.flatnonzero(mask & ~before)
+    return starts, np.flatnonzero(mask & ~after) + 1, np.searchsorted(starts, first)
