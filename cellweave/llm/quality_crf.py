@@ -61,6 +61,7 @@ def line_features(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     own[:, len(_CLASSES) + 3] = (repeated[end_word] - repeated[first_word]) / words
     same = np.zeros(block.words, bool)
     same[1:] = hashes[1:] == hashes[:-1]
+    same[block.first[:-1][block.counts > 0]] = False
     stuck = running(same)
     own[:, len(_CLASSES) + 6] = (stuck[end_word] - stuck[first_word]) / words
     begins, stops = np.zeros(n, bool), np.zeros(n, bool)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import byte_bpe, decontaminate, langid, quality_crf, quality_rules, substring_dedup, token_counts
+from cellweave.llm import byte_bpe, decontaminate, hmm_lm, langid, quality_crf, quality_rules, substring_dedup, token_counts
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -79,3 +79,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "lang").withColumn("held_out", crc_is(4, 2))
     model = langid.train(docs.where(~F.col("held_out")))
     return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query
+def op9_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", crc_is(7, 2)).withColumn("train", ~F.col("held_out"))
+    return hmm_lm.score(docs, "train").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
