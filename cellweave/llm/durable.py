@@ -1,17 +1,31 @@
-"""Lineage cuts that survive lost executors: reliable checkpoints in the folder that the cluster names."""
+"""Lineage cuts that survive lost executors: tables written to the shared folder that the cluster names.
+
+The folder is ``spark.checkpoint.dir``. Only where that is unset, as in tests, a local one is used. Tables are written as
+Parquet: smaller than a checkpoint's rows, and read back without the plan's history.
+"""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
 
-from pyspark.sql import DataFrame
+def folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{named or os.path.join(tempfile.gettempdir(), 'cellweave-checkpoints')}/cellweave-{spark.sparkContext.applicationId}"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The frame, computed and written once to ``spark.checkpoint.dir``; a local folder only where that is unset, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "cellweave-checkpoints")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """The frame, computed and written once, then read from the shared folder."""
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has saved; frames that read it can't be used any longer."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

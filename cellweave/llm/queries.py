@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import byte_bpe, decontaminate, hmm_lm, langid, quality_crf, quality_rules, substring_dedup, token_counts
+from cellweave.llm import byte_bpe, decontaminate, hmm_lm, jaccard_join, langid, quality_crf, quality_rules, substring_dedup, token_counts
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -43,6 +43,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", hex_sha256("kept_text").alias("kept_sha256"))
 
 
+@query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
