@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import byte_bpe, decontaminate, hmm_lm, jaccard_join, langid, quality_crf, quality_rules, substring_dedup, token_counts
+from cellweave.llm import byte_bpe, decontaminate, hmm_lm, jaccard_join, langid, licenses, quality_crf, quality_rules, substring_dedup, token_counts
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -90,3 +90,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", crc_is(7, 2)).withColumn("train", ~F.col("held_out"))
     return hmm_lm.score(docs, "train").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = licenses.scan(docs, licenses.train(licenses.background(docs)))
+    sure = F.filter("paragraphs", lambda p: p["confirmed"])
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size(sure).cast("long").alias("n_confirmed"), F.col("unknown").alias("n_unknown"), F.coalesce(F.array_max(F.transform(sure, lambda p: p["chance"])), F.lit(0.0)).alias("best_chance"))
