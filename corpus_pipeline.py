@@ -14,6 +14,8 @@ from cellweave.llm import byte_bpe, decontaminate, jaccard_join, langid, substri
 from cellweave.llm.durable import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids of at most so many near copies are broadcast (8 bytes each).
+BROADCAST_IDS = 2_000_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -26,7 +28,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near copies; rows without an id stay."""
     found = jaccard_join.components(docs.select("doc_id", "text"))
-    later = found.where("doc_id != component_id").select("doc_id")
+    later = saved(found.where("doc_id != component_id").select("doc_id"))
+    # Ids alone are sent to every task while they are few; beyond that, both sides are shuffled.
+    later = F.broadcast(later) if later.count() <= BROADCAST_IDS else later
     return docs.select(*COLUMNS).join(later, "doc_id", "left_anti").select(*COLUMNS)
 
 
