@@ -194,7 +194,7 @@ def toff_strict(moment, origin: str = TOFF_ORIGIN, strict: bool = True) -> Colum
 
 
 def node_end(toff, lt) -> Column:
-    return _long(toff) + F.shiftleft(F.lit(1).cast("bigint"), _col(lt).cast("int"))
+    return _long(toff) + F.call_function("shiftleft", F.lit(1).cast("bigint"), _col(lt).cast("int"))
 
 
 def node_span(toff, lt) -> Column:
@@ -203,7 +203,7 @@ def node_span(toff, lt) -> Column:
 
 def node_is_aligned(toff, lt) -> Column:
     t = _long(toff)
-    return (t >= 0) & (_col(lt) >= 0) & (F.pmod(t, F.shiftleft(F.lit(1).cast("bigint"), _col(lt).cast("int"))) == 0)
+    return (t >= 0) & (_col(lt) >= 0) & (F.pmod(t, F.call_function("shiftleft", F.lit(1).cast("bigint"), _col(lt).cast("int"))) == 0)
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------

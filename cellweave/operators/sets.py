@@ -119,9 +119,9 @@ def sort_cells(cells: DataFrame) -> DataFrame:
 
 
 def dedup_first_seen(cells: DataFrame, position: str = "pos") -> DataFrame:
-    """(set_id, grid_code, pos, rank): each code at its first position, ranked by it within its set."""
+    """(set_id, grid_code, pos, rank): each code at its first position, ranked by it (then by code) within its set."""
     first = cells.groupBy("set_id", "grid_code").agg(F.min(position).alias("pos"))
-    return first.withColumn("rank", F.expr("row_number() over (partition by set_id order by pos)"))
+    return first.withColumn("rank", F.expr("row_number() over (partition by set_id order by pos, grid_code)"))
 
 
 def duplicate_stats(cells: DataFrame) -> DataFrame:

@@ -1,4 +1,606 @@
 """Registered queries of the grid-cell operators and their DuckDB oracles."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cellweave.functions import codes
+from cellweave.operators import bands, intervals, metrics, relations, release, sets
+from cellweave.plans import fixtures as fx
+from cellweave.plans import runlog
+from cellweave.sources import cells as source
+
 QUERIES = {}
 ORACLE_SQL = {}
+L, B = "bigint", "BIGINT"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c, name):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
+
+
+ITEM_TEXT = "CASE l_linenumber % 4 WHEN 0 THEN 'null' WHEN 1 THEN ' ' || l_partkey WHEN 2 THEN '0x' || upper(printf('%016x', l_partkey)) ELSE 'x' || l_partkey END"
+
+
+def _texts(spark, d):
+    n = F.col("l_linenumber") % 4
+    text = F.when(n == 0, "null").when(n == 1, F.concat(F.lit(" "), "l_partkey")).when(n == 2, F.concat(F.lit("0x"), F.lpad(F.hex("l_partkey"), 16, "0"))).otherwise(F.concat(F.lit("x"), "l_partkey"))
+    return fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text"))
+
+
+# --- sources --------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT set_id, count(*) AS n, min(grid_code) AS least FROM ({fx.CELLS}) WHERE set_id < 50 GROUP BY set_id")
+def s4_cells_table_scan(spark, d):
+    return fx.lineitem_cells(spark, d).where("set_id < 50").groupBy("set_id").agg(F.count("*").alias("n"), F.min("grid_code").alias("least"))
+
+
+@query("SELECT l_orderkey, l_linenumber, reason FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'not a number' WHEN 3 THEN 'not a number' END AS reason FROM lineitem) WHERE reason IS NOT NULL")
+def s6_reject_bad_codes(spark, d):
+    _, bad = source.reject_bad_codes(_texts(spark, d))
+    return bad.select("l_orderkey", "l_linenumber", "reason")
+
+
+@query(f"SELECT set_id, sum(n)::BIGINT AS n_rows, count(*) AS n_unique, (sum(n) - count(*))::BIGINT AS n_duplicates FROM (SELECT set_id, grid_code, count(*) AS n FROM ({fx.CELLS}) GROUP BY 1, 2) GROUP BY 1")
+def s7_duplicate_stats(spark, d):
+    return sets.duplicate_stats(fx.lineitem_cells(spark, d))
+
+
+@query("SELECT s_suppkey, s_nationkey % 3 = 0 AS agreement, CASE WHEN s_nationkey % 3 = 1 THEN 'bits' WHEN s_nationkey % 3 = 2 THEN 'layout_id' ELSE '' END AS mismatches FROM supplier WHERE s_nationkey % 7 <> 6 UNION ALL SELECT s_suppkey, NULL, '' FROM supplier WHERE s_nationkey % 7 = 6")
+def s8_layout_agreement(spark, d):
+    n = F.col("s_nationkey")
+    own = F.create_map(*[x for k, v in codes.LAYOUT.items() for x in (F.lit(k), F.lit(v))])
+    changed = F.transform_values(own, lambda k, v: F.when((n % 3 == 1) & (k == "bits"), "32").when((n % 3 == 2) & (k == "layout_id"), "other").otherwise(v))
+    found = source.layout_agreement(own, F.when(n % 7 != 6, changed))
+    return fx.table(spark, d, "supplier").select("s_suppkey", found.alias("f")).select("s_suppkey", "f.agreement", F.array_join("f.mismatches", ",").alias("mismatches"))
+
+
+@query(f"SELECT party_id, CAST(row_number() OVER (ORDER BY first) - 1 AS BIGINT) AS rank, inputs FROM (SELECT party_id, min(n_nationkey) AS first, string_agg(left_name, ',' ORDER BY n_nationkey) AS inputs FROM ({fx.NAMES}) GROUP BY 1)")
+def s9_party_binding(spark, d):
+    rows = fx.named_inputs(spark, d).select(F.col("n_nationkey").alias("position"), F.col("left_name").alias("input_name"), "party_id")
+    return relations.party_binding(rows).select("party_id", F.col("rank").cast(L).alias("rank"), F.array_join("inputs", ",").alias("inputs"))
+
+
+@query("SELECT c_custkey AS pair_id, 20 + c_custkey % 30 AS n_left_unique, 20 + c_custkey % 30 AS n_right_unique, CAST(round_even((20 + c_custkey % 30) * 0.5, 0) AS BIGINT) AS n_overlap, true AS agrees FROM customer")
+def s12_generate_cell_pairs(spark, d):
+    n = (F.lit(20) + F.col("c_custkey") % 30).cast(L)
+    base = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("pair_id"), n.alias("n"), F.bround(n * 0.5).cast(L).alias("intersection_count"), F.lit(3).cast(L).alias("duplicate_count"))
+    rows = base.withColumn("pos", F.explode(F.sequence(F.lit(0).cast(L), F.col("n") + F.col("duplicate_count") - 1)))
+    k = F.when(F.col("pos") >= F.col("n"), F.col("pos") - F.col("n")).otherwise(F.col("pos"))
+    other = F.when(k < F.col("intersection_count"), k).otherwise(k - F.col("intersection_count") + (1 << 17))
+    made = lambda side, v: rows.select("pair_id", F.lit(side).alias("side"), source._numbered(v, 15, 9, 0, 4, False).alias("grid_code"))
+    pairs = made("left", k).unionAll(made("right", other))
+    return sets.recheck_pair_stats(pairs, base).select("pair_id", "n_left_unique", "n_right_unique", "n_overlap", "agrees")
+
+
+@query("SELECT p_partkey AS i, p_partkey % 32 AS a, p_partkey * 3 % 32 AS b, (p_partkey % 100 + 1) * (p_partkey % 7 + 1) AS product, p_partkey * 8 % 16000 AS left_toff, CAST(p_partkey % 3 + 2 AS BIGINT) AS left_lt FROM part")
+def s13_generate_vectors(spark, d):
+    made = source.generate_vectors(spark, 1 + (fx.table(spark, d, "part").agg(F.max("p_partkey")).first()[0] or 0))
+    keys = fx.table(spark, d, "part").select(F.col("p_partkey").alias("i"))
+    return made.join(keys, "i").select("i", F.col("left").alias("a"), F.col("right").alias("b"), (F.col("value") * F.col("weight")).alias("product"), "left_toff", F.col("left_lt").cast(L).alias("left_lt"))
+
+
+# --- scalars --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE WHEN value BETWEEN 0 AND 400 THEN CAST(floor(value / 400.0 * 255.0 + 0.5) AS BIGINT) END AS bin FROM events")
+def p1_quantize(spark, d):
+    return fx.table(spark, d, "events").select("event_id", codes.quantize("value", 0.0, 400.0, strict=False).alias("bin"))
+
+
+@query("SELECT l_orderkey, l_linenumber, ((l_partkey % 65536) << 47) | ((l_suppkey % 131072) << 30) | (CAST(l_quantity AS BIGINT) << 23) | (15::BIGINT << 18) | (2160::BIGINT << 4) | 4 AS grid_code FROM lineitem")
+def p2_encode_cell(spark, d):
+    code = codes.encode_cell(F.col("l_partkey") % 65536, F.col("l_suppkey") % 131072, F.col("l_quantity").cast(L), 15, 2160, 4)
+    return fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", code.alias("grid_code"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey % 65536 AS x, l_suppkey % 131072 AS y, CAST(l_quantity AS BIGINT) AS z, 15::BIGINT AS level, 2160::BIGINT AS toff, 4::BIGINT AS lt FROM lineitem")
+def p3_decode_cell(spark, d):
+    rows = p2_encode_cell(spark, d).withColumn("c", codes.decode_cell("grid_code"))
+    return rows.select("l_orderkey", "l_linenumber", *[F.col(f"c.{n}").cast(L).alias(n) for n in codes.WIDTHS])
+
+
+@query(f"SELECT DISTINCT grid_code, '0x' || upper(printf('%016x', grid_code)) AS hexed FROM ({fx.CELLS})")
+def p5_cell_to_hex(spark, d):
+    return fx.lineitem_cells(spark, d).select("grid_code").distinct().withColumn("hexed", codes.cell_to_hex("grid_code"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 IN (1, 2) THEN l_partkey END AS grid_code, l_linenumber % 4 IN (1, 2) AS valid FROM lineitem")
+def p6_cell_from_text(spark, d):
+    return _texts(spark, d).select("l_orderkey", "l_linenumber", codes.cell_from_text("text").alias("grid_code"), codes.cell_is_valid("text").alias("valid"))
+
+
+_LEVEL = "(c_custkey % 33)"
+
+
+@query(f"SELECT c_custkey, round({fx.cell_deg(_LEVEL)}, 9) AS deg, round(CASE WHEN {_LEVEL} <= 15 THEN pow(2.0, {_LEVEL} - 9) ELSE 3600 * pow(2.0, {_LEVEL} - 21) END, 6) AS per_deg, round(6378137.0 * pi() / 180 * {fx.cell_deg(_LEVEL)}, 4) AS edge FROM customer")
+def p8_p10_cell_sizes(spark, d):
+    level = F.col("c_custkey") % 33
+    return fx.table(spark, d, "customer").select("c_custkey", F.round(codes.cell_deg(level), 9).alias("deg"), r6(codes.cells_per_deg(level), "per_deg"), F.round(codes.equator_scale(level), 4).alias("edge"))
+
+
+@query(f"SELECT band_id, round({fx.layer_lower('1', 'level')}, 4) AS thickness, round({fx.layer_lower('y', 'level')}, 4) AS lower, round({fx.layer_lower('y + 1', 'level')}, 4) AS upper, round({fx.layer_lower('127', 'level')}, 3) AS highest FROM ({fx.BANDS})")
+def p11_p13_p19_height_layers(spark, d):
+    b = codes.height_layer_bounds("y", "level")
+    return fx.part_bands(spark, d).select("band_id", F.round(codes.height_cell("level"), 4).alias("thickness"), F.round(b["lower"], 4).alias("lower"), F.round(b["upper"], 4).alias("upper"), F.round(codes.max_supported_height("level"), 3).alias("highest"))
+
+
+@query(f"SELECT band_id, {fx.height_index('height_min', 'level')} AS low, {fx.height_index('height_max', 'level')} AS high, {fx.height_index('height_max', 'level')} - {fx.height_index('height_min', 'level')} + 1 AS layers FROM ({fx.BANDS})")
+def p14_p15_height_index(spark, d):
+    return fx.part_bands(spark, d).select("band_id", codes.height_index("height_min", "level").alias("low"), codes.height_index("height_max", "level").alias("high"), codes.height_layer_count("height_max", "height_min", "level").alias("layers"))
+
+
+_BITS = f"CAST(length(bin({fx.height_index('height_max', 'level')})) AS BIGINT)"
+
+
+@query(f"SELECT band_id, {_BITS} AS bits, {_BITS} <= 7 AS fits, {fx.height_index('height_max', 'level')} BETWEEN 0 AND 127 AS valid FROM ({fx.BANDS})")
+def p16_p18_layer_bits(spark, d):
+    return fx.part_bands(spark, d).select("band_id", codes.height_layer_bits("level", "height_max").cast(L).alias("bits"), codes.height_layer_fits("level", "height_max").alias("fits"), codes.height_layer_valid(codes.height_index("height_max", "level")).alias("valid"))
+
+
+_AT = fx.height_index("height_min", "level")
+
+
+@query(f"SELECT band_id, grid_code, (grid_code >> 23) & 127 AS layer, round({fx.layer_lower('((grid_code >> 23) & 127)', 'level')}, 4) AS lower FROM (SELECT *, (x << 47) | (y::BIGINT << 30) | ({_AT} << 23) | (level::BIGINT << 18) AS grid_code FROM ({fx.BANDS}))")
+def p20_p21_cell_at_height(spark, d):
+    rows = fx.part_bands(spark, d).withColumn("grid_code", codes.encode_cell_at_height("x", "y", "level", "height_min"))
+    i = codes.cell_height_interval("grid_code")
+    return rows.select("band_id", "grid_code", i["layer"].cast(L).alias("layer"), F.round(i["lower"], 4).alias("lower"))
+
+
+_MIN = "CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15')) / 60000000.0) AS BIGINT)"
+
+
+@query(f"SELECT event_id, {_MIN} AS lenient, CASE WHEN {_MIN} >= 0 THEN {_MIN} END AS strict FROM events")
+def p22_p23_toff(spark, d):
+    origin = "2024-01-15 00:00:00+00:00"
+    return fx.table(spark, d, "events").select("event_id", codes.toff_lenient("ts", origin).alias("lenient"), codes.toff_strict("ts", origin, strict=False).alias("strict"))
+
+
+@query(f'SELECT event_id, toff AS "start", toff + (1::BIGINT << lt) AS "end", toff % (1::BIGINT << lt) = 0 AS aligned, (toff + 1) % (1::BIGINT << lt) = 0 AS moved FROM ({fx.NODES})')
+def p24_p25_node_spans(spark, d):
+    s = codes.node_span("toff", "lt")
+    return fx.event_nodes(spark, d).select("event_id", s["start"].alias("start"), s["end"].alias("end"), codes.node_is_aligned("toff", "lt").alias("aligned"), codes.node_is_aligned(F.col("toff") + 1, "lt").alias("moved"))
+
+
+# --- generators of rows -----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT band_id, unnest(range({_AT}, {fx.height_index('height_max', 'level')} + 1)) AS layer FROM ({fx.BANDS})")
+def g1_height_layers(spark, d):
+    return bands.height_layers(fx.part_bands(spark, d)).select("band_id", "layer")
+
+
+@query(f"SELECT band_id, CASE WHEN layer <= 127 THEN (x << 47) | (y::BIGINT << 30) | (layer << 23) | (level::BIGINT << 18) END AS grid_code FROM (SELECT *, unnest(range({_AT}, {fx.height_index('height_max', 'level')} + 1)) AS layer FROM ({fx.BANDS}))")
+def g2_height_band(spark, d):
+    return bands.height_band(fx.part_bands(spark, d), strict=False).select("band_id", "grid_code")
+
+
+def _nodes_sql(spans: str) -> str:
+    # The ends of each level's blocks: odd ones at either end, and all that is left at the top.
+    return f'''WITH s AS ({spans}), k AS (SELECT unnest(range(0, 15)) AS k),
+ b AS (SELECT interval_id, k, ("start" + (1::BIGINT << k) - 1) >> k AS low, "end" >> k AS high FROM s, k)
+ SELECT interval_id, low << k AS toff, k AS lt FROM b WHERE k < 14 AND low < high AND low % 2 = 1
+ UNION SELECT interval_id, (high - 1) << k, k FROM b WHERE k < 14 AND low < high AND high % 2 = 1
+ UNION SELECT interval_id, i << k, k FROM (SELECT *, unnest(range(low, high)) AS i FROM b WHERE k = 14 AND low < high)'''
+
+
+@query(_nodes_sql(fx.WINDOWS))
+def g3_window_to_nodes(spark, d):
+    return intervals.window_to_nodes(fx.order_windows(spark, d)).select("interval_id", "toff", F.col("lt").cast(L).alias("lt"))
+
+
+@query(f'SELECT interval_id, toff AS "start", toff + (1::BIGINT << lt) AS "end" FROM ({fx.NODES})')
+def g4_nodes_to_spans(spark, d):
+    return intervals.nodes_to_spans(fx.event_nodes(spark, d))
+
+
+@query(f"SELECT DISTINCT set_id, grid_code FROM ({fx.CELLS})")
+def g5_expand_prefix_groups(spark, d):
+    return sets.expand_prefix_groups(sets.prefix_groups(fx.lineitem_cells(spark, d)))
+
+
+# --- set joins --------------------------------------------------------------------------------------------------------
+
+_SHARED = f"SELECT a.set_id AS left_id, b.set_id AS right_id, a.grid_code FROM (SELECT DISTINCT * FROM ({fx.CELLS})) a JOIN (SELECT DISTINCT * FROM ({fx.CELLS})) b USING (grid_code)"
+
+
+def _of_region(cells, part: int):
+    """Sets by the remainder of their id: sides of a join."""
+    return cells.where(F.col("set_id") % 2 == part)
+
+
+_SIDES = f"SELECT * FROM ({_SHARED}) WHERE left_id % 2 = 0 AND right_id % 2 = 1"
+
+
+@query(f"SELECT count(*) > 0 AS intersects FROM ({_SIDES})")
+def j1_intersects(spark, d):
+    c = fx.lineitem_cells(spark, d)
+    common = _of_region(c, 0).select("grid_code").join(_of_region(c, 1).select("grid_code"), "grid_code", "left_semi")
+    return common.agg((F.count("*") > 0).alias("intersects"))
+
+
+@query(f"SELECT left_id, right_id, count(*) AS overlap FROM ({_SHARED}) WHERE left_id < right_id GROUP BY 1, 2")
+def j2_intersecting_pairs(spark, d):
+    c = fx.lineitem_cells(spark, d)
+    return sets.intersecting_pairs(c, c, ordered=True)
+
+
+@query(_SIDES)
+def j3_cellset_intersect(spark, d):
+    c = fx.lineitem_cells(spark, d)
+    return sets.cellset_intersect(_of_region(c, 0), _of_region(c, 1))
+
+
+@query(f"SELECT count(*) = 0 AS contains FROM (SELECT grid_code FROM ({fx.PARTS.format(id='l_orderkey')}) WHERE set_id % 5 = 0 EXCEPT SELECT grid_code FROM ({fx.PARTS.format(id='l_suppkey')}))")
+def j4_contains(spark, d):
+    inner = fx.parts_of(spark, d, "l_orderkey").where("set_id % 5 = 0").select("grid_code")
+    return inner.join(fx.parts_of(spark, d).select("grid_code"), "grid_code", "left_anti").agg((F.count("*") == 0).alias("contains"))
+
+
+_O, _I = f"(SELECT DISTINCT * FROM ({fx.PARTS.format(id='l_suppkey')}))", f"(SELECT DISTINCT * FROM ({fx.PARTS.format(id='l_orderkey')}))"
+
+
+@query(f"SELECT o.set_id AS outer_id, i.set_id AS inner_id FROM {_O} o JOIN {_I} i USING (grid_code) JOIN (SELECT set_id, count(*) AS n FROM {_I} GROUP BY 1) s ON s.set_id = i.set_id GROUP BY 1, 2, s.n HAVING count(*) = s.n")
+def j5_containing_pairs(spark, d):
+    return sets.containing_pairs(fx.parts_of(spark, d), fx.parts_of(spark, d, "l_orderkey"))
+
+
+@query(f"SELECT left_id, right_id, t.set_id % 10 AS third_id, count(DISTINCT m.grid_code) AS overlap FROM ({_SIDES}) m JOIN (SELECT DISTINCT set_id % 10 AS set_id, grid_code FROM ({fx.CELLS}) WHERE set_id % 3 = 0) t USING (grid_code) GROUP BY 1, 2, 3")
+def j6_chain_intersect(spark, d):
+    c = fx.lineitem_cells(spark, d)
+    third = c.where("set_id % 3 = 0").withColumn("set_id", F.col("set_id") % 10)
+    return sets.chain_intersect(_of_region(c, 0), _of_region(c, 1), third)
+
+
+@query(f"SELECT s_suppkey AS set_id, count(DISTINCT grid_code) AS n_codes, count(grid_code) = 0 AS is_empty FROM supplier LEFT JOIN (SELECT * FROM ({fx.CELLS}) WHERE set_id % 4 <> 0) c ON c.set_id = s_suppkey GROUP BY 1")
+def j7_cardinality(spark, d):
+    ids = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("set_id"))
+    return sets.cardinality(fx.lineitem_cells(spark, d).where("set_id % 4 <> 0"), ids)
+
+
+@query(f"SELECT p.left_id, p.right_id, count(c.grid_code) AS n FROM (SELECT s_suppkey AS left_id, s_suppkey + 1 AS right_id FROM supplier) p LEFT JOIN ({_SHARED}) c ON c.left_id = p.left_id AND c.right_id = p.right_id GROUP BY 1, 2")
+def j8_intersection_count(spark, d):
+    pairs = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("left_id"), (F.col("s_suppkey") + 1).alias("right_id"))
+    c = fx.lineitem_cells(spark, d)
+    return sets.intersection_count(pairs, c, c)
+
+
+@query(f"SELECT left_id, right_id, count(*) AS n, sum(value)::BIGINT AS total FROM ({_SIDES}) JOIN ({fx.WEIGHTS}) USING (grid_code) GROUP BY 1, 2")
+def j9_intersection_sum(spark, d):
+    c = fx.lineitem_cells(spark, d)
+    return sets.intersection_sum(_of_region(c, 0), _of_region(c, 1), fx.cell_weights(spark, d))
+
+
+@query(f"SELECT DISTINCT c.grid_code, CASE WHEN w.value IS NULL THEN 'missing' ELSE 'out of range' END AS reason FROM ({fx.CELLS}) c LEFT JOIN (SELECT grid_code, value - 20 AS value FROM ({fx.WEIGHTS}) WHERE value <> 30) w USING (grid_code) WHERE w.value IS NULL OR w.value < 0")
+def j10_weights_missing(spark, d):
+    w = fx.cell_weights(spark, d).where("value <> 30").withColumn("value", F.col("value") - 20)
+    return sets.weights_missing(fx.lineitem_cells(spark, d), w)
+
+
+# --- metrics ----------------------------------------------------------------------------------------------------------
+
+_L2 = f'SELECT a.vec_id AS left_id, b.vec_id AS right_id, CAST(list_sum(list_transform(list_zip(a."values", b."values"), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS l2, a.label FROM ({fx.VECTORS}) a JOIN ({fx.VECTORS}) b ON a.label = b.label AND a.vec_id < b.vec_id'
+
+
+@query(f"SELECT left_id, right_id, l2, l2 <= 14400 AS near FROM ({_L2})")
+def m1_m2_distance_le(spark, d):
+    return metrics.group_distances(fx.bin_vectors(spark, d), "label", 120)
+
+
+@query(f"SELECT left_id, right_id, l2 FROM ({_L2}) WHERE l2 <= 14400")
+def m3_pairs_within_distance(spark, d):
+    return metrics.pairs_within_distance(fx.bin_vectors(spark, d), 120, group="label")
+
+
+@query("SELECT o_orderkey, CAST(floor((o_custkey * 3 + CAST(floor(o_totalprice) AS BIGINT) * 2) / 7.0) AS BIGINT) AS score FROM orders")
+def m4_weighted_sum(spark, d):
+    values = F.array(F.col("o_custkey"), F.floor("o_totalprice").cast(L))
+    return fx.table(spark, d, "orders").select("o_orderkey", codes.weighted_sum(values, F.array(F.lit(3).cast(L), F.lit(2).cast(L)), 7).alias("score"))
+
+
+@query("SELECT o_custkey AS vec_id, CAST(floor(sum(CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 5 - 2)) / 3.0) AS BIGINT) AS score FROM orders GROUP BY 1")
+def m4_weighted_sum_long(spark, d):
+    values = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("vec_id"), (F.col("o_orderkey") % 5).alias("dim"), F.floor("o_totalprice").cast(L).alias("value"))
+    weights = spark.range(5).select(F.col("id").alias("dim"), (F.col("id") - 2).alias("weight"))
+    return metrics.weighted_sum_long(values, weights, 3)
+
+
+@query("SELECT vec_id, label % 3 <> 0 AND vec_id % 5 <> 0 AS valid FROM embeddings")
+def m5_vector_guards(spark, d):
+    v = fx.bin_vectors(spark, d).withColumn("scale", F.col("label") % 3).withColumn("values", F.when(F.col("vec_id") % 5 == 0, F.array_append("values", F.lit(None).cast(L))).otherwise(F.col("values")))
+    return metrics.vector_guards(v).select("vec_id", "valid")
+
+
+# --- time -------------------------------------------------------------------------------------------------------------
+
+_SPANS = f'SELECT interval_id, toff AS "start", toff + (1::BIGINT << lt) AS "end" FROM ({fx.NODES})'
+
+
+@query(f'SELECT count(*) > 0 AS overlaps FROM ({_SPANS}) a JOIN ({_SPANS}) b ON a."start" < b."end" AND b."start" < a."end" WHERE a.interval_id % 2 = 0 AND b.interval_id % 2 = 1')
+def t1_temporal_overlap(spark, d):
+    n = fx.event_nodes(spark, d)
+    found = intervals._bucketed(n.where("interval_id % 2 = 0"), n.where("interval_id % 2 = 1"))
+    return found.agg((F.count("*") > 0).alias("overlaps"))
+
+
+_OVERLAP = f'SELECT DISTINCT a.interval_id AS left_id, b.interval_id AS right_id FROM ({_SPANS}) a JOIN ({_SPANS}) b ON a."start" < b."end" AND b."start" < a."end" WHERE a.interval_id < b.interval_id'
+
+
+@query(_OVERLAP)
+def t2_overlapping_pairs(spark, d):
+    n = fx.event_nodes(spark, d)
+    return intervals.overlapping_pairs(n, n, ordered=True)
+
+
+@query(_OVERLAP.replace("toff AS \"start\"", "toff + 1 AS \"start\"").replace("toff + (1", "toff + 1 + (1"))
+def t2_overlapping_pairs_unaligned(spark, d):
+    n = fx.event_nodes(spark, d).withColumn("toff", F.col("toff") + 1)
+    return intervals.overlapping_pairs(n, n, aligned=False, ordered=True)
+
+
+@query(f'SELECT g.interval_id % 50 AS group_id, coalesce(max(CASE WHEN l."start" < r."end" AND r."start" < l."end" THEN 1 ELSE 0 END), 0) = 1 AS overlaps FROM (SELECT DISTINCT interval_id % 50 AS interval_id FROM ({_SPANS})) g LEFT JOIN ({_SPANS}) l ON l.interval_id % 50 = g.interval_id AND (l.interval_id // 50) % 2 = 0 LEFT JOIN ({_SPANS}) r ON r.interval_id % 50 = g.interval_id AND (r.interval_id // 50) % 2 = 1 GROUP BY 1')
+def t3_overlap_by_sweep(spark, d):
+    side = F.when(F.floor(F.col("interval_id") / 50) % 2 == 0, "left").otherwise("right")
+    rows = fx.event_nodes(spark, d).select((F.col("interval_id") % 50).alias("group_id"), side.alias("side"), "toff", "lt")
+    return intervals.overlap_by_sweep(rows)
+
+
+_MERGED = f'''SELECT interval_id, min("start") AS "start", max("end") AS "end" FROM (SELECT *, sum(fresh) OVER (PARTITION BY interval_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN "start" <= max("end") OVER (PARTITION BY interval_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT * FROM ({_SPANS})))) GROUP BY interval_id, island'''
+
+
+@query(_nodes_sql(_MERGED))
+def t4_normalize_intervals(spark, d):
+    return intervals.normalize_intervals(fx.event_nodes(spark, d)).select("interval_id", "toff", F.col("lt").cast(L).alias("lt"))
+
+
+@query(f"SELECT interval_id, sum(1::BIGINT << lt)::BIGINT AS minutes FROM ({fx.NODES}) GROUP BY 1")
+def t5_covered_minutes(spark, d):
+    return intervals.covered_minutes(fx.event_nodes(spark, d))
+
+
+# --- preparation ------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT grid_code FROM ({fx.CELLS})")
+def d1_sort_cells(spark, d):
+    return sets.sort_cells(fx.lineitem_cells(spark, d)).select("grid_code")
+
+
+_POSITIONED = "SELECT set_id, grid_code, pos FROM (SELECT l_suppkey AS set_id, (l_partkey % 65536) << 47 AS grid_code, l_orderkey * 10 + l_linenumber AS pos FROM lineitem)"
+
+
+@query(f"SELECT set_id, grid_code, pos, row_number() OVER (PARTITION BY set_id ORDER BY pos, grid_code) AS rank FROM (SELECT set_id, grid_code, min(pos) AS pos FROM ({_POSITIONED}) GROUP BY 1, 2)")
+def d2_dedup_first_seen(spark, d):
+    items = fx.table(spark, d, "lineitem")
+    rows = items.select(F.col("l_suppkey").alias("set_id"), codes.encode_cell(F.col("l_partkey") % 65536, 0, 0, 0, 0, 0).alias("grid_code"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return sets.dedup_first_seen(rows).withColumn("rank", F.col("rank").cast(L))
+
+
+@query(f"SELECT DISTINCT set_id, grid_code FROM ({fx.PARTS.format(id='l_suppkey')})")
+def d3_prepare_cells(spark, d):
+    return sets.prepared(fx.parts_of(spark, d))
+
+
+@query(f"SELECT set_id, left(sha256(unhex(string_agg(h, '' ORDER BY h))), 16) AS fingerprint FROM (SELECT DISTINCT set_id, upper(printf('%016x', grid_code)) AS h FROM ({fx.CELLS})) GROUP BY 1")
+def d4_set_fingerprint(spark, d):
+    return sets.set_fingerprint(fx.lineitem_cells(spark, d))
+
+
+_GROUPS = f"SELECT set_id, grid_code >> 56 AS top, count(*) AS n, CASE WHEN min(grid_code) = max(grid_code) THEN 0 ELSE (64 - length(bin(xor(min(grid_code), max(grid_code))))) // 8 END AS shared FROM (SELECT DISTINCT * FROM ({fx.CELLS})) GROUP BY 1, 2"
+
+
+@query(f"SELECT set_id, sum(n)::BIGINT AS n_codes, count(*) AS n_groups, (8 * sum(n))::BIGINT AS raw_bytes, sum(8 + n * (8 - shared))::BIGINT AS compressed_bytes FROM ({_GROUPS}) GROUP BY 1")
+def d5_prefix_compress(spark, d):
+    return sets.compression_sizes(sets.prefix_groups(fx.lineitem_cells(spark, d)))
+
+
+@query(f"SELECT b.bucket, count(c.grid_code) AS n FROM (SELECT unnest(range(0, 16)) AS bucket) b LEFT JOIN (SELECT DISTINCT grid_code FROM ({fx.CELLS})) c ON (c.grid_code >> 60) = b.bucket GROUP BY 1")
+def d6_prefix_buckets(spark, d):
+    return sets.prefix_buckets(fx.lineitem_cells(spark, d)).select(F.col("bucket").cast(L).alias("bucket"), "n")
+
+
+@query("SELECT c_custkey AS pair_id, 3::BIGINT AS n_left_duplicates, 3::BIGINT AS n_right_duplicates, c_custkey % 2 = 0 AS agrees FROM customer")
+def d7_recheck_pair_stats(spark, d):
+    base = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("pair_id"), F.lit(10).cast(L).alias("n"), (F.lit(5) + F.col("c_custkey") % 2).cast(L).alias("intersection_count"), F.lit(3).cast(L).alias("duplicate_count"))
+    rows = base.select("pair_id", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("p")).withColumn("k", F.col("p") % 10)
+    left = rows.select("pair_id", F.lit("left").alias("side"), F.col("k").cast(L).alias("grid_code"))
+    right = rows.select("pair_id", F.lit("right").alias("side"), F.when(F.col("k") < 5, F.col("k")).otherwise(F.col("k") + 100).cast(L).alias("grid_code"))
+    return sets.recheck_pair_stats(left.unionAll(right), base).select("pair_id", "n_left_duplicates", "n_right_duplicates", "agrees")
+
+
+# --- relations --------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT CAST(left_id AS VARCHAR) || ' | Intersects | ' || CAST(right_id AS VARCHAR) AS triple, 'internal' AS sensitivity, CAST(count(*) AS VARCHAR) AS overlap FROM ({_SHARED}) WHERE left_id < right_id GROUP BY left_id, right_id")
+def r1_r2_relations(spark, d):
+    rel = relations.relations_from_pairs(j2_intersecting_pairs(spark, d), "Intersects", meta={"overlap": "overlap"})
+    view = relations.relation_view(rel.withColumn("time", F.element_at("meta", F.lit("overlap"))))
+    return view.select("triple", "sensitivity", F.col("time").alias("overlap"))
+
+
+@query(f"SELECT n_nationkey, left_name AS subject, right_name AS object, regexp_extract(left_name, '^(?:route|path|traj|track|flight|zone|area|region)_([A-Za-z0-9]+)$', 1) AS scope FROM ({fx.NAMES})")
+def r3_r4_subject_object(spark, d):
+    names = F.array("right_name", "left_name")
+    s = relations.split_subject_object(names)
+    return fx.named_inputs(spark, d).select("n_nationkey", s["subject"].alias("subject"), s["object"].alias("object"), F.coalesce(relations.spatial_scope(F.array("left_name")), F.lit("")).alias("scope"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'A @ t' WHEN 1 THEN 'A' WHEN 2 THEN 'w' END AS scope FROM nation")
+def r5_r6_scope_text(spark, d):
+    n = F.col("n_nationkey") % 4
+    params = F.when(n == 0, F.create_map(F.lit("time"), F.lit("t"), F.lit("window"), F.lit("w"))).when(n == 2, F.create_map(F.lit("window"), F.lit("w"), F.lit("other"), F.lit("o")))
+    return fx.table(spark, d, "nation").select("n_nationkey", relations.scope_text(F.when(n < 2, "A"), relations.temporal_scope(params)).alias("scope"))
+
+
+_PREDICATES = "(VALUES " + ", ".join(f"('{o}', '{p}', '{f}', {str(s).lower()})" for o, p, f, s in relations.PREDICATES) + ") t(op, predicate, family, \"symmetric\")"
+_CALL = "(['Intersects','Contains','DistanceLE','CellSetIntersect','TemporalOverlap','WeightedSum','Other'])[n_nationkey % 7 + 1]"
+
+
+@query(f"SELECT n_nationkey, c.op, predicate, family, \"symmetric\" FROM (SELECT n_nationkey, {_CALL} AS op FROM nation) c LEFT JOIN {_PREDICATES} ON t.op = c.op")
+def r7_predicate_info(spark, d):
+    ops = F.array(*map(F.lit, [p[0] for p in relations.PREDICATES] + ["Other"]))
+    calls = fx.table(spark, d, "nation").select("n_nationkey", F.get(ops, F.col("n_nationkey") % 7).alias("op"))
+    return relations.predicate_info(calls)
+
+
+_RANK = "CASE sensitivity WHEN 'public' THEN 0 WHEN 'internal' THEN 1 WHEN 'sensitive' THEN 2 ELSE 3 END"
+
+
+@query(f"SELECT n_regionkey, (['public','internal','sensitive','secret'])[max({_RANK}) + 1] AS sensitivity FROM ({fx.NAMES}) GROUP BY 1")
+def r8_max_sensitivity(spark, d):
+    return relations.max_sensitivity_by(fx.named_inputs(spark, d), "n_regionkey")
+
+
+@query(f"SELECT n_nationkey, {_RANK} >= 2 AS protected, CASE n_nationkey % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' ELSE 'sensitive' END AS usual FROM ({fx.NAMES})")
+def r9_r10_protection(spark, d):
+    kind = F.get(F.array(*map(F.lit, ["Scalar", "Relation", "CellSet", "Vector"])), F.col("n_nationkey") % 4)
+    return fx.named_inputs(spark, d).select("n_nationkey", relations.needs_protection("sensitivity").alias("protected"), relations.default_sensitivity(kind).alias("usual"))
+
+
+_ALIAS = "(VALUES " + ", ".join(f"({k}, '{a}', '{o}')" for k, (a, o) in enumerate((a, o) for o, words in relations.ALIASES.items() for a in words)) + ") a(place, alias, op)"
+
+
+@query(f"SELECT word, string_agg(op, ',' ORDER BY first) AS ops FROM (SELECT word, op, min(place) AS first FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS word FROM part UNION SELECT 'Overlaps' UNION SELECT 'near_zone' UNION SELECT 'height') w, {_ALIAS} WHERE contains(lower(word), alias) OR contains(alias, lower(word)) GROUP BY 1, 2) GROUP BY 1")
+def r11_suggest_ops(spark, d):
+    words = fx.table(spark, d, "part").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("word")).union(spark.createDataFrame([("Overlaps",), ("near_zone",), ("height",)], "word string")).distinct()
+    return relations.suggest_ops(words).where("size(ops) > 0").select("word", F.array_join("ops", ",").alias("ops"))
+
+
+@query(f"SELECT s_suppkey, count(DISTINCT grid_code) AS n_codes, count(DISTINCT grid_code) > 0 AS is_geometric, CASE WHEN s_suppkey % 2 = 0 THEN 'new' ELSE 'old' END AS scope, true AS all_valid FROM supplier JOIN ({fx.CELLS}) c ON c.set_id = s_suppkey GROUP BY 1")
+def r12_entity_table(spark, d):
+    sets_ = fx.lineitem_cells(spark, d).groupBy(F.col("set_id").alias("s_suppkey")).agg(F.collect_set("grid_code").alias("cell_codes"))
+    rows = sets_.join(fx.table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").withColumn("entity_type", F.lit("CellSet")).withColumn("spatial_scope", F.lit("old")).withColumn("new_scope", F.when(F.col("s_suppkey") % 2 == 0, "new"))
+    return relations.entity_table(rows).select("s_suppkey", F.col("n_codes").cast(L).alias("n_codes"), "is_geometric", "scope", "all_valid")
+
+
+# --- release ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT left_id, right_id, true AS boolean FROM ({_SIDES}) GROUP BY 1, 2")
+def l1_release_boolean(spark, d):
+    return release.release("Intersects", j3_cellset_intersect(spark, d))
+
+
+@query(f"SELECT left_id, right_id, count(*) AS count FROM ({_SIDES}) GROUP BY 1, 2")
+def l2_release_count(spark, d):
+    return release.release("CellSetIntersect", j3_cellset_intersect(spark, d), "count")
+
+
+@query(f"SELECT left_id, right_id, count(*) AS count, sum(value)::BIGINT AS sum FROM ({_SIDES}) JOIN ({fx.WEIGHTS}) USING (grid_code) GROUP BY 1, 2")
+def l3_release_count_sum(spark, d):
+    return release.release_count_sum(j9_intersection_sum(spark, d))
+
+
+@query(f"SELECT left_id, right_id, CASE WHEN (left_id + right_id) % 3 = 0 THEN NULL ELSE (left_id % 4) <> 0 END AS agrees FROM ({_SIDES}) GROUP BY 1, 2")
+def l4_agreement(spark, d):
+    counts = l2_release_count(spark, d)
+    other = counts.where((F.col("left_id") + F.col("right_id")) % 3 != 0).withColumn("count", F.when(F.col("left_id") % 4 == 0, F.col("count") + 1).otherwise(F.col("count")))
+    return release.agreement(counts, other, "count")
+
+
+@query("SELECT round(max(abs(value - floor(value))), 6) AS max_abs_error, false AS within FROM events")
+def l5_max_abs_error(spark, d):
+    e = fx.table(spark, d, "events").select("event_id", "value")
+    found = release.max_abs_error(e, e.withColumn("value", F.floor("value")), ["event_id"])
+    return found.select(r6("max_abs_error", "max_abs_error"), "within")
+
+
+@query(f"SELECT band_id, {_BITS} AS bits_needed, {_BITS} <= 7 AS fits, CAST(list_max(list_filter(range(0, 33), lambda k: length(bin({fx.height_index('height_max', 'k')})) <= 7)) AS BIGINT) AS best_level FROM ({fx.BANDS})")
+def l6_height_capacity_report(spark, d):
+    return bands.height_capacity_report(fx.part_bands(spark, d)).select("band_id", F.col("bits_needed").cast(L).alias("bits_needed"), "fits", F.col("best_level").cast(L).alias("best_level"))
+
+
+# --- run records ------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT 'MPC' AS family, variant AS protocol, \"case\" AS operation, k AS input_size, round(wall_ms - 0, 6) AS compute_time, comm_total_bytes::DOUBLE AS communication_bytes, status FROM ({fx.RUNS}) UNION ALL SELECT 'PSI', variant, 'CellSetIntersect', k + 7, round(wall_ms, 6), NULL, status FROM ({fx.RUNS})")
+def b1_unify_records(spark, d):
+    r = fx.run_log(spark, d)
+    mpc = r.select(F.col("case").alias("op"), F.col("variant").alias("protocol"), "k", "wall_ms", "comm_total_bytes", "status")
+    psi = r.select(F.col("variant").alias("protocol"), F.col("wall_ms").alias("psi_execute_ms"), F.col("k").alias("n_left"), F.lit(7).alias("n_right"), "status")
+    return runlog.unify_records([mpc, psi]).select("family", "protocol", "operation", "input_size", r6("compute_time", "compute_time"), "communication_bytes", "status")
+
+
+@query(f"SELECT status, count(*) AS n, CASE status WHEN 'ok' THEN 1 WHEN 'unavailable' THEN 2 ELSE 3 END::BIGINT AS place FROM ({fx.RUNS}) GROUP BY 1")
+def b3_status_counts(spark, d):
+    return runlog.status_counts(fx.run_log(spark, d)).withColumn("place", F.col("place").cast(L))
+
+
+@query(f"SELECT variant AS label, round(median(wall_ms), 6) AS value, count(*) AS samples, round(max(wall_ms) - min(wall_ms), 6) AS spread FROM ({fx.RUNS}) WHERE status = 'ok' AND k = 1 AND \"case\" = 'click' GROUP BY 1")
+def b4_compare_groups(spark, d):
+    r = fx.run_log(spark, d).where("k = 1 and `case` = 'click'").select(F.lit("MPC").alias("family"), F.col("case").alias("operation"), F.col("k").alias("input_size"), F.col("variant").alias("protocol"), F.col("wall_ms").alias("total_time"), "status")
+    rows, _ = runlog.compare_groups(r)
+    return rows.select("label", r6("value", "value"), "samples", r6("spread", "spread"))
+
+
+_SIDE = "SELECT variant || '-' || pos % 97 AS \"case\", arg_max(status, pos) AS status, arg_max(wall_ms, pos) AS wall_ms FROM ({runs}) WHERE {which} GROUP BY 1"
+_NOW, _OLD = _SIDE.format(runs=fx.RUNS, which="pos % 3 = 0"), _SIDE.format(runs=fx.RUNS, which="pos % 3 = 1")
+
+
+@query(f"SELECT coalesce(n.\"case\", o.\"case\") AS \"case\", CASE WHEN n.status = 'ok' AND o.status = 'ok' THEN round(n.wall_ms / o.wall_ms, 2) END AS ratio, CASE WHEN n.\"case\" IS NULL THEN 'baseline only' WHEN o.\"case\" IS NULL THEN 'current only' WHEN n.status = 'ok' AND o.status = 'ok' THEN 'compared' ELSE 'not compared' END AS reason FROM ({_NOW}) n FULL JOIN ({_OLD}) o ON n.\"case\" = o.\"case\"")
+def b5_baseline_compare(spark, d):
+    r = fx.run_log(spark, d).withColumn("case", F.concat_ws("-", "variant", F.col("pos") % 97))
+    found = runlog.baseline_compare(r.where("pos % 3 = 0"), r.where("pos % 3 = 1"))
+    return found.select("case", F.round(F.col("wall_ms") / F.col("baseline_wall_ms"), 2).alias("ratio"), F.when(F.col("reason").isin("", "slower"), "compared").otherwise(F.col("reason")).alias("reason"))
+
+
+@query(f"SELECT pos, status FROM ({fx.RUNS}) WHERE CASE WHEN pos % 10 = 0 THEN status <> 'ok' ELSE status NOT IN ('ok', 'unavailable') END")
+def b6_unexpected_records(spark, d):
+    r = fx.run_log(spark, d).withColumn("expected", F.when(F.col("pos") % 10 == 0, "ok"))
+    return runlog.unexpected_records(r).select("pos", "status")
+
+
+@query(f"SELECT \"case\", count(*) AS n, round(min(wall_ms), 6) AS min, round(quantile_cont(wall_ms, 0.25), 6) AS p25, round(quantile_cont(wall_ms, 0.5), 6) AS median, round(quantile_cont(wall_ms, 0.75), 6) AS p75, round(max(wall_ms), 6) AS max FROM ({fx.RUNS}) GROUP BY 1")
+def b7_sample_stats(spark, d):
+    return runlog.sample_stats(fx.run_log(spark, d)).select("case", "n", *[r6(c, c) for c in ("min", "p25", "median", "p75", "max")])
+
+
+@query(f"WITH r AS (SELECT * REPLACE (variant || '-' || pos % 89 AS \"case\") FROM ({fx.RUNS})), m AS (SELECT \"case\", count(*) AS repeat, CASE WHEN count(DISTINCT status) = 1 THEN max(status) ELSE 'mixed' END AS status, median(wall_ms) AS wall_ms, median(comm_total_bytes) AS middle, max(max_abs_error) AS err, avg(CASE WHEN max_abs_error > 0 THEN 1.0 ELSE 0.0 END) AS rate FROM r GROUP BY 1) SELECT m.\"case\", repeat, m.status, round(m.wall_ms, 6) AS wall_ms, round(middle, 6) AS comm, round(err, 6) AS max_abs_error, round(rate, 6) AS deviation_rate, (SELECT arg_min(r.pos, abs(r.comm_total_bytes - middle) * 1000000 + r.pos) FROM r WHERE r.\"case\" = m.\"case\") AS nearest_pos FROM m")
+def b8_summarize_repeats(spark, d):
+    r = fx.run_log(spark, d).withColumn("case", F.concat_ws("-", "variant", F.col("pos") % 89))
+    found = runlog.summarize_repeats(r)
+    return found.select("case", "repeat", "status", r6("wall_ms", "wall_ms"), r6("comm_total_bytes", "comm"), r6("max_abs_error", "max_abs_error"), r6("deviation_rate", "deviation_rate"), "nearest_pos")
+
+
+_OK = f"SELECT \"case\" AS op, k, variant, cost FROM ({fx.RUNS}) WHERE status = 'ok'"
+
+
+@query(f"WITH o AS ({_OK}), c AS (SELECT op, k, count(DISTINCT variant) AS n FROM o GROUP BY 1, 2), b AS (SELECT op, k FROM (SELECT *, row_number() OVER (PARTITION BY op ORDER BY n DESC, k) AS p FROM c) WHERE p = 1) SELECT op, k, variant, round(median(cost), 6) AS cost, count(*) AS samples FROM o JOIN b USING (op, k) GROUP BY 1, 2, 3")
+def b9_best_common_scale(spark, d):
+    return runlog.best_common_scale(fx.run_log(spark, d).withColumnRenamed("case", "op")).select("op", "k", "variant", r6("cost", "cost"), "samples")
+
+
+_CANDIDATES = f"SELECT \"case\" AS op, variant, variant <> 'v2' AS eligible, CASE WHEN variant <> 'v4' THEN round(median(cost), 6) END AS cost, CAST(substr(variant, 2) AS INT) AS declared FROM ({fx.RUNS}) GROUP BY 1, 2"
+
+
+def _candidates(spark, d):
+    r = fx.run_log(spark, d).groupBy(F.col("case").alias("op"), "variant").agg(F.round(F.median("cost"), 6).alias("cost"))
+    return r.select("op", "variant", (F.col("variant") != "v2").alias("eligible"), F.when(F.col("variant") != "v4", F.col("cost")).alias("cost"), F.substring("variant", 2, 9).cast("int").alias("declared"))
+
+
+@query(f"SELECT op, variant, row_number() OVER (PARTITION BY op ORDER BY eligible DESC, cost IS NULL, cost, declared) AS place FROM ({_CANDIDATES})")
+def b10_rank_variants(spark, d):
+    return runlog.rank_variants(_candidates(spark, d)).select("op", "variant", F.col("place").cast(L).alias("place"))
+
+
+@query(f"SELECT op, arg_min(variant, cost) AS variant FROM ({_CANDIDATES}) WHERE eligible AND cost IS NOT NULL GROUP BY 1")
+def b10_cheapest(spark, d):
+    return runlog.cheapest(_candidates(spark, d)).select("op", "variant")
+
+
+@query(f"SELECT metric, n, metric IN ('encode_time', 'dedup_time', 'input_io_time', 'semantic_processing_time') AS declared FROM (SELECT unnest(['encode_time','dedup_time','input_io_time','semantic_processing_time','layout_agreement','send_bytes','recv_bytes','total_bytes']) AS metric, unnest([0, 0, 0, 0, 0, 0, 0, n]) AS n FROM (SELECT count(comm_total_bytes) AS n FROM ({fx.RUNS})))")
+def b11_metric_gaps(spark, d):
+    r = fx.run_log(spark, d).withColumn("op", F.col("case"))
+    return runlog.metric_gaps(r)
