@@ -68,7 +68,7 @@ def from_unsigned(value) -> Column:
     """A BIGINT code for a number in [0, 2^64); null outside."""
     v = _col(value).cast("decimal(38,0)")
     size = F.lit(1 << 32).cast("decimal(38,0)")
-    code = F.shiftleft(F.floor(v / size).cast("bigint"), 32).bitwiseOR((v % size).cast("bigint"))
+    code = F.shiftleft(F.call_function("div", v, size), 32).bitwiseOR((v % size).cast("bigint"))
     return F.when(v.between(F.lit(0), F.expr("18446744073709551615BD")), code)
 
 
