@@ -29,7 +29,7 @@ def read_cells_csv(spark: SparkSession, paths, key: str = "grid_code") -> DataFr
 
 def read_cells_json(spark: SparkSession, paths) -> DataFrame:
     """(source, label, party_id, layout, text, grid_code): codes of JSON files, each an array or an object with codes."""
-    raw = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("source"), F.trim("value").alias("value"))
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.trim("value").alias("value"))
     bare = F.from_json(F.when(F.col("value").startswith("["), F.col("value")), "array<string>")
     record = F.from_json(F.when(F.col("value").startswith("{"), F.col("value")), JSON_SCHEMA)
     rows = raw.select("source", bare.alias("bare"), record.alias("r"))
@@ -58,12 +58,12 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
     A line that isn't two whole numbers fails the job.
     """
     if path.lower().endswith(".json"):
-        pairs = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,bigint>")))
+        pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,bigint>")))
         return pairs.select(codes.cell_from_text("key").alias("grid_code"), "value")
     # One value a file, so that line numbers are known; such files are small by nature.
-    whole = spark.read.option("wholetext", True).text(path)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).where("trim(text) <> ''")
-    parts = F.transform(F.split("text", ","), F.trim)
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")).where("trim(text) <> ''")
+    parts = F.transform(F.split("text", ","), lambda x: F.trim(x))
     integer = lambda c: F.coalesce(c.rlike("^[+-]?[0-9]+$"), F.lit(False))
     rows = lines.withColumn("parts", parts).where(~((F.col("line") == 0) & ~integer(F.col("parts")[0])))
     ok = (F.size("parts") == 2) & integer(F.get("parts", F.lit(0))) & integer(F.get("parts", F.lit(1)))

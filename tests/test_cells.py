@@ -130,7 +130,7 @@ def test_files(spark, tmp_path):
     good, bad = source.reject_bad_codes(rows)
     assert good.count() == 2 and [r.reason for r in bad.collect()] == ["not a number"]
     (tmp_path / "b.json").write_text(json.dumps({"codes": ["3", 4], "label": "zone", "party_id": "p", "manifest": {"bits": "64"}}))
-    (tmp_path / "c.json").write_text("[5, \"0x6\"]")
+    (tmp_path / "c.json").write_text("[5,\n \"0x6\"]")
     found = source.read_cells_json(spark, [str(tmp_path / "b.json"), str(tmp_path / "c.json")]).collect()
     assert sorted((r.grid_code, r.label) for r in found) == [(3, "zone"), (4, "zone"), (5, None), (6, None)]
     (tmp_path / "w.csv").write_text("grid_code,value\n1,5\n2,6\n1,7\n")
