@@ -9,6 +9,7 @@ from cellweave.operators import bands, intervals, metrics, relations, release, s
 from cellweave.plans import fixtures as fx
 from cellweave.plans import runlog
 from cellweave.sources import cells as source
+from cellweave.sources.scratch import scratch_path
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -604,3 +605,47 @@ def b10_cheapest(spark, d):
 def b11_metric_gaps(spark, d):
     r = fx.run_log(spark, d).withColumn("op", F.col("case"))
     return runlog.metric_gaps(r)
+
+
+# --- files: written to the shared folder and read back ------------------------------------------------------------------
+
+
+@query(f"SELECT CAST(grid_code AS VARCHAR) AS text, grid_code, count(*) AS n FROM ({fx.CELLS}) GROUP BY 1, 2")
+def s1_s10_csv_round_trip(spark, d):
+    path = scratch_path(spark, "cells")
+    source.write_cells(fx.lineitem_cells(spark, d), path)
+    return source.read_cells_csv(spark, path).groupBy("text", "grid_code").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT 'set ' || set_id AS label, 'p' || (set_id % 2) AS party_id, grid_code FROM (SELECT DISTINCT * FROM ({fx.CELLS}))")
+def s2_read_cells_json(spark, d):
+    path = scratch_path(spark, "json")
+    rows = sets.prepared(fx.lineitem_cells(spark, d)).groupBy("set_id").agg(F.to_json(F.struct(F.collect_list(codes.to_unsigned("grid_code").cast("string")).alias("codes"), F.concat(F.lit("set "), "set_id").alias("label"), F.concat(F.lit("p"), F.col("set_id") % 2).alias("party_id"))).alias("value"))
+    # One file a set: the form in which such inputs arrive.
+    rows.select("value", F.col("set_id").alias("part")).write.partitionBy("part").text(path)
+    return source.read_cells_json(spark, path).select("label", "party_id", "grid_code")
+
+
+@query("SELECT n_nationkey AS set_id, count(*) AS n, min(grid_code) AS least FROM (SELECT n_nationkey, unnest([3076691977860022276, 3076832715348377604, 3076973452836732932]) AS grid_code FROM nation) GROUP BY 1")
+def s3_s14_sample_cells(spark, d):
+    route = F.explode(F.array(*map(F.lit, source.SAMPLE["route"])))
+    return fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("set_id"), route.alias("grid_code")).groupBy("set_id").agg(F.count("*").alias("n"), F.min("grid_code").alias("least"))
+
+
+@query(f"SELECT grid_code, value FROM ({fx.WEIGHTS})")
+def s5_read_weights(spark, d):
+    path = scratch_path(spark, "weights") + ".json"
+    # A JSON object a file, as such maps arrive; files split the codes.
+    rows = fx.cell_weights(spark, d).withColumn("part", F.pmod("grid_code", F.lit(97))).groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("grid_code").cast("string"), "value")))).alias("value"))
+    rows.write.partitionBy("part").text(path)
+    return source.read_weights(spark, path).select("grid_code", "value")
+
+
+@query(f"SELECT 'MPC' AS family, status, count(*) AS n, round(sum(wall_ms), 4) AS total FROM ({fx.RUNS}) GROUP BY 2 UNION ALL SELECT 'PSI-CA', status, count(*), round(sum(wall_ms), 4) FROM ({fx.RUNS}) GROUP BY 2")
+def s11_b2_b12_unify_job(spark, d):
+    r = fx.run_log(spark, d)
+    mpc, ca = scratch_path(spark, "mpc") + ".csv", scratch_path(spark, "ca") + ".csv"
+    source.write_records(r.select(F.col("case").alias("op"), "k", F.col("variant").alias("protocol"), "wall_ms", "status"), mpc, "csv")
+    source.write_records(r.select("case", F.col("variant").alias("protocol"), F.col("wall_ms").alias("psi_ca_execute_ms"), F.col("wall_ms").alias("total_ms"), "status"), ca, "csv")
+    records, _ = runlog.unify_job(spark, [mpc, ca])
+    return records.groupBy("family", "status").agg(F.count("*").alias("n"), F.round(F.sum("total_time"), 4).alias("total"))

@@ -177,6 +177,20 @@ def test_sql_functions(spark):
     assert tuple(r) == ("0x2AB29B0D87A48704", 5, False)
 
 
+def test_streams(spark, tmp_path):
+    from cellweave.streaming import cells as streaming
+
+    rows = spark.sql("SELECT 1 AS set_id, 21861 AS x, 27702 AS y, 0.0D AS height_min, 20000.0D AS height_max, 15 AS level, 0 AS toff, 0 AS lt, timestamp'2024-01-01 00:00:00' AS ts")
+    rows.write.parquet(str(tmp_path / "in"))
+    zones = bands.height_band(rows.withColumn("height_min", F.lit(5000.0)).withColumn("height_max", F.lit(9000.0))).select("set_id", "grid_code")
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for name, frame, mode in (("hits", streaming.zone_hits(streaming.band_cells(stream), zones), "append"), ("windows", streaming.windowed_overlap(streaming.band_cells(stream), zones), "update")):
+        q = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        q.stop()
+    assert spark.table("hits").count() == 3 and spark.table("windows").first().overlap == 3
+
+
 def test_plans(spark):
     for name, f in catalogue.QUERIES.items():
         plan = f(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
