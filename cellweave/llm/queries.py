@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import byte_bpe, decontaminate, hmm_lm, jaccard_join, langid, licenses, quality_crf, quality_rules, substring_dedup, token_counts
+from cellweave.llm import byte_bpe, decontaminate, hmm_lm, jaccard_join, langid, licenses, oracles, quality_crf, quality_rules, substring_dedup, token_counts
 
 QUERIES = {}
-ORACLE_SQL = {}
+ORACLE_SQL = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_jaccard_join": oracles.JACCARD_JOIN, "op5_decontaminate": oracles.DECONTAMINATE}
 TOKEN_LIMIT = 4096
 
 
