@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text in a batch, and batches that a bucket's task hears of for each bucket: both bound a task's memory.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 BATCHES_PER_BUCKET = 4
 KEY = "_batch"
 #: Stands for a null id, which comes before all others.

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from cellweave.llm.textblock import slices
 
 #: Divisions remembered by a worker; beyond that the memory starts anew. Results don't depend on it.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 150_000
 _LATE_SPACE = re.compile(r"\s ")
 
 
@@ -166,19 +166,24 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
     schema = _appended(df, *fields)
 
+    def encoded(batch):
+        found = codec(path, pattern).encode_all([x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()])
+        at = np.zeros(len(found) + 1, np.int32)
+        np.cumsum([len(x) for x in found], out=at[1:])
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(at[-1]))
+        new = [pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+        if decoded:
+            new.append(pa.array([codec(path, pattern).decode(x) for x in found], pa.binary()))
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+
     def run(batches):
-        tool = codec(path, pattern)
-        gc.freeze()
-        gc.disable()  # lists of ids make no cycles; looking for some takes a third of the time
         for batch in slices(batches, text):
-            found = tool.encode_all([x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()])
-            at = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(x) for x in found], out=at[1:])
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(at[-1]))
-            new = [pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
-            if decoded:
-                new.append(pa.array([tool.decode(x) for x in found], pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+            gc.disable()  # lists of ids make no cycles; looking for some takes a third of the time
+            try:
+                out = encoded(batch)
+            finally:
+                gc.enable()
+            yield out
 
     return df.mapInArrow(run, schema)
 
