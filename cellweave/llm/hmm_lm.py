@@ -37,6 +37,8 @@ START_ROUNDS = 8
 PRIOR = 300.0
 END = np.uint64(0xFFFFFFFFFFFFFFFE)
 _BLOCKS = 16
+#: Bytes of text whose forward and backward values a task holds at once.
+PASS_BYTES = 2 << 20
 _SENT = f"bucket int, {KEY} int, words binary, counts binary, endings binary"
 _COUNTED = f"{KEY} int, bucket int, counts binary, types long, tokens long, endings binary, words binary, word_counts binary, word_endings binary"
 
@@ -117,18 +119,21 @@ class Counts:
             at = begin[: active[t + 1]] + t
             b = (backward[at + 1] * local[at + 1]) @ model.step.T
             backward[at] = b / b.sum(1, keepdims=True)
-        both = forward * backward
-        both /= both.sum(1, keepdims=True)
         heads = first[:-1][np.diff(first) > 0]
-        self.start += both[heads].sum(0)
-        for s in range(both.shape[1]):
-            self.emit[:, s] += np.bincount(classes, both[:, s], len(self.emit))
         inner = np.ones(len(classes), bool)
         inner[heads] = False
         after = np.flatnonzero(inner)
-        left, right = forward[after - 1], local[after] * backward[after]
-        norm = np.einsum("nk,nk->n", left @ model.step, right)
-        self.step += (left / norm[:, None]).T @ right * model.step
+        local *= backward
+        left, right = forward[after - 1], local[after]
+        del local
+        left /= np.einsum("nk,nk->n", left @ model.step, right)[:, None]
+        self.step += left.T @ right * model.step
+        del left, right
+        forward *= backward
+        forward /= forward.sum(1, keepdims=True)
+        self.start += forward[heads].sum(0)
+        for s in range(forward.shape[1]):
+            self.emit[:, s] += np.bincount(classes, forward[:, s], len(self.emit))
 
 
 def log_likelihood(model: Model, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -303,7 +308,7 @@ def _pass(train: DataFrame, base: Base, model: Model, text: str) -> Model:
 
         counts = Counts(base.classes, states)
         seen = False
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, PASS_BYTES):
             hashes, endings, first = tokens(TextBlock(batch.column(0), SPACED, lower=True))
             counts.add(model, base.classes_of(hashes, endings), first)
             seen = True
