@@ -1,7 +1,8 @@
 """Licence scans with DataFrame expressions alone.
 
-A paragraph (a line) is scored by a multinomial logistic regression on its words and word pairs: one class for each
-licence family and one for paragraphs that name no known licence. The model is trained on variants of template texts
+A paragraph (a line, or a window of neighbouring lines that a wrapped template may fill) is scored by a multinomial
+logistic regression on its words and word pairs: one class for each licence family and one for paragraphs that name no
+known licence. The model is trained on variants of template texts
 and on a bounded sample of the corpus's own lines, and its probabilities are calibrated by a temperature fitted to
 variants held out. A prediction counts only if the paragraph also holds enough of one of the family's templates.
 
@@ -42,6 +43,8 @@ NONE = "none"
 BACKGROUND_LINES = 400
 #: Share of a template's word pairs that a paragraph must hold to confirm a prediction.
 CONFIRM = 0.7
+#: Words of a window beyond its first and last word, as a multiple of the longest template's.
+REACH = 1.5
 _ROUNDS, _RATE, _DECAY, _COPIES = 300, 0.5, 2e-3, 10
 
 
@@ -132,33 +135,74 @@ def _pairs(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(_strings([]))
 
 
+_WINDOW = "struct<first:int,last:int,words:array<string>>"
+
+
+def _windows(lines: Column, reach: int) -> Column:
+    """All runs of two or more lines that a template of ``reach`` words may fill, if one of them holds a trigger word.
+
+    A line without words ends a run. Of the outer lines only the ``reach`` words next to the others are kept.
+    """
+    none = F.array().cast(f"array<{_WINDOW}>")
+
+    def grown(run: Column, line: Column) -> Column:
+        spoken, words = run["spoken"] | line["spoken"], F.concat(run["words"], F.slice(line["words"], 1, reach))
+        window = F.struct(run["first"].alias("first"), line["paragraph"].alias("last"), words.alias("words"))
+        middle = run["middle"] + F.size(line["words"])
+        longer = F.struct(
+            run["first"].alias("first"),
+            ((F.size(line["words"]) > 0) & (middle + 2 <= reach)).alias("open"),
+            spoken.alias("spoken"),
+            middle.alias("middle"),
+            words.alias("words"),
+            F.when((F.size(line["words"]) > 0) & spoken, F.concat(run["found"], F.array(window))).otherwise(run["found"]).alias("found"),
+        )
+        return F.when(run["open"], longer).otherwise(run)
+
+    def from_line(line: Column, k: Column) -> Column:
+        near = F.slice(lines, k + 1, reach + 1)
+        tail = F.slice(line["words"], F.greatest(F.lit(1), F.size(line["words"]) - reach + 1), F.lit(reach))
+        run = F.struct(line["paragraph"].alias("first"), F.lit(True).alias("open"), line["spoken"].alias("spoken"), F.lit(0).alias("middle"), tail.alias("words"), none.alias("found"))
+        grow = (F.size(line["words"]) > 0) & F.exists(near, lambda x: x["spoken"])
+        return F.when(grow, F.aggregate(F.slice(near, 2, reach), run, grown, lambda run: run["found"])).otherwise(none)
+
+    return F.flatten(F.transform(lines, from_line))
+
+
 def scan(docs: DataFrame, model: Model, text: str = "text", confirm: float = CONFIRM) -> DataFrame:
     """All columns with ``licenses`` (families of confirmed paragraphs, sorted, each once), ``paragraphs`` and ``unknown``.
 
     paragraphs: (paragraph, family, chance, overlap, confirmed) for each line that holds a trigger word and that the model
-    gives to a family; paragraph counts lines from 0, overlap is the greatest share of a family template's word pairs that
-    the line holds. unknown: lines with a trigger word that get no confirmed family. A null or empty text has none. Rows are
-    judged alone, so repeated rows are equal; the new columns replace those of their names.
+    gives to a family, and for each confirmed window of lines; paragraph is the number of its (first) line, from 0, overlap is
+    the greatest share of a family template's word pairs that it holds. Of lines and windows that meet on the same word pairs
+    or family, only the one of greatest overlap, then of fewest lines, is confirmed. unknown: lines with a trigger word that
+    lie in nothing confirmed. A null or empty text has none. Rows are judged alone, so repeated rows are equal; the new
+    columns replace those of their names.
     """
     docs = docs.drop("licenses", "paragraphs", "unknown")
     triggers = _strings(model.triggers)
     spoken = F.arrays_overlap(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), triggers)
-    lines = F.filter(
-        F.transform(F.split(text, "\n"), lambda line, k: F.struct(k.alias("paragraph"), _tokens(line).alias("words"))),
-        lambda p: F.arrays_overlap(p["words"], triggers),
-    )
+    lines = F.transform(F.split(text, "\n"), lambda line, k: F.struct(k.alias("paragraph"), _tokens(line).alias("words")))
+    lines = F.transform(lines, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["words"].alias("words"), F.arrays_overlap(p["words"], triggers).alias("spoken")))
     lines = F.when(spoken, lines)
     # Templates and weights as literals: the optimiser folds them once.
     weights = F.map_from_arrays(_strings(model.features), F.array(*[F.array(*map(F.lit, row)) for row in np.round(model.weights, 6).tolist()]))
     templates = [(k, _grams_of_pairs(t)) for k, family in enumerate(model.classes[:-1]) for t in TEMPLATES[family]]
+    of_family = F.array(*[_strings(sorted({g for n, t in templates if n == k for g in t})) for k in range(len(model.classes))])
+    reach = int(REACH * max(len(_words(t)) for texts in TEMPLATES.values() for t in texts))
     start = F.array(*map(F.lit, np.round(model.offsets, 6).tolist()))
 
+    def paired(p: Column) -> Column:
+        return F.struct(p["first"].alias("first"), p["last"].alias("last"), p["words"].alias("words"), _pairs(p["words"]).alias("pairs"))
+
+    def holds_enough(p: Column) -> Column:
+        return F.exists(F.array(*[F.struct(_strings(t).alias("t")) for _, t in templates]), lambda t: F.size(F.array_intersect(p["pairs"], t["t"])) >= confirm * F.size(t["t"]))
+
     def judged(p: Column) -> Column:
-        pairs = _pairs(p["words"])
-        grams = F.array_union(F.array_distinct(p["words"]), pairs)
+        grams = F.array_union(F.array_distinct(p["words"]), p["pairs"])
         known = F.filter(grams, lambda g: F.array_contains(_strings(model.features), g))
         logits = F.aggregate(known, start, lambda total, g: F.zip_with(total, F.element_at(weights, g), lambda a, b: a + b))
-        return F.struct(p["paragraph"].alias("paragraph"), pairs.alias("pairs"), F.transform(logits, lambda x: x / model.temperature).alias("logits"))
+        return F.struct(p["first"].alias("first"), p["last"].alias("last"), p["pairs"].alias("pairs"), F.transform(logits, lambda x: x / model.temperature).alias("logits"))
 
     def decided(p: Column) -> Column:
         top = F.array_max(p["logits"])
@@ -166,14 +210,38 @@ def scan(docs: DataFrame, model: Model, text: str = "text", confirm: float = CON
         chance = 1 / F.aggregate(p["logits"], F.lit(0.0), lambda total, x: total + F.exp(x - top))
         overlap = F.array_max(F.array(*[F.when(best == k, F.size(F.array_intersect(p["pairs"], _strings(t))) / F.lit(len(t))).otherwise(F.lit(0.0)) for k, t in templates]))
         family = F.element_at(_strings(model.classes), best + 1)
-        return F.struct(p["paragraph"].alias("paragraph"), family.alias("family"), F.round(chance, 6).alias("chance"), F.round(overlap, 6).alias("overlap"), (overlap >= confirm).alias("confirmed"))
+        hits = F.array_intersect(p["pairs"], F.element_at(of_family, best + 1))
+        # The order of the fields is the order of preference.
+        return F.struct((-overlap).alias("_less"), (p["last"] - p["first"]).alias("_span"), p["first"].alias("first"), p["last"].alias("last"), family.alias("family"), F.round(chance, 6).alias("chance"), F.round(overlap, 6).alias("overlap"), (overlap >= confirm).alias("confirmed"), hits.alias("hits"))
+
+    def meets(a: Column, b: Column) -> Column:
+        return (a["first"] <= b["last"]) & (b["first"] <= a["last"])
+
+    def taken(kept: Column, p: Column) -> Column:
+        same = F.exists(kept, lambda a: meets(a, p) & ((a["family"] == p["family"]) | (2 * F.size(F.array_intersect(a["hits"], p["hits"])) > F.size(p["hits"]))))
+        return F.when(same, kept).otherwise(F.concat(kept, F.array(p)))
+
+    def shown(p: Column, confirmed: Column) -> Column:
+        return F.struct(p["first"].alias("paragraph"), *[p[c].alias(c) for c in ("family", "chance", "overlap")], confirmed.alias("confirmed"))
 
     # Each step is a column of its own, so that a step's result isn't worked out once for every use.
-    out = docs.withColumn("_lines", F.coalesce(lines, F.array().cast("array<struct<paragraph:int,words:array<string>>>")))
+    empty = F.array().cast("array<struct<paragraph:int,words:array<string>,spoken:boolean>>")
+    out = docs.withColumn("_all", F.coalesce(lines, empty)).withColumn("_windows", _windows(F.col("_all"), reach))
+    alone = F.transform(F.filter("_all", lambda p: p["spoken"]), lambda p: F.struct(p["paragraph"].alias("first"), p["paragraph"].alias("last"), p["words"].alias("words")))
+    out = out.withColumn("_lines", alone).drop("_all")
+    out = out.withColumn("_windows", F.transform("_windows", paired)).withColumn("_windows", F.filter("_windows", holds_enough))
+    out = out.withColumn("_lines", F.concat(F.transform("_lines", paired), "_windows")).drop("_windows")
     out = out.withColumn("_lines", F.transform("_lines", judged)).withColumn("_lines", F.transform("_lines", decided))
-    out = out.withColumn("paragraphs", F.filter("_lines", lambda p: p["family"] != NONE))
-    out = out.withColumn("licenses", F.array_sort(F.array_distinct(F.transform(F.filter("paragraphs", lambda p: p["confirmed"]), lambda p: p["family"]))))
-    return out.withColumn("unknown", (F.size("_lines") - F.size(F.filter("paragraphs", lambda p: p["confirmed"]))).cast("long")).drop("_lines")
+    sure = F.array_sort(F.filter("_lines", lambda p: p["confirmed"]))
+    out = out.withColumn("_sure", sure)
+    out = out.withColumn("_sure", F.aggregate("_sure", F.slice("_sure", 1, 0), taken))
+    in_sure = lambda p: F.exists("_sure", lambda a: (a["first"] == p["first"]) & (a["last"] == p["last"]))
+    rest = F.filter("_lines", lambda p: (p["_span"] == 0) & (p["family"] != NONE) & ~in_sure(p))
+    both = F.concat(F.transform("_sure", lambda p: shown(p, F.lit(True))), F.transform(rest, lambda p: shown(p, F.lit(False))))
+    out = out.withColumn("paragraphs", F.array_sort(both))
+    out = out.withColumn("licenses", F.array_sort(F.array_distinct(F.transform("_sure", lambda p: p["family"]))))
+    left = F.filter("_lines", lambda p: (p["_span"] == 0) & ~F.exists("_sure", lambda a: meets(a, p)))
+    return out.withColumn("unknown", F.size(left).cast("long")).drop("_lines", "_sure")
 
 
 def _grams_of_pairs(template: str) -> list[str]:

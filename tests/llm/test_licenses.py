@@ -43,3 +43,33 @@ def test_each_template_is_its_own_family(spark):
     rows = [(k, t, family) for k, (family, t) in enumerate((f, t) for f, texts in licenses.TEMPLATES.items() for t in texts)]
     found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, family string"), model).collect()
     assert [(r.family, r.licenses) for r in found if r.licenses != [r.family]] == []
+
+
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction."
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+
+
+def test_wrapped_notices(spark):
+    model = licenses.train(["Some thre words of ther ing.", "Another line of erand."])
+    star = lambda text: "\n".join(" * " + x for x in text.split("\n"))
+    narrow = lambda text: "\n".join(text.split())
+    rows = [
+        ("MIT License\n\n" + MIT, ["MIT"]),
+        (BSD, ["BSD-3-Clause"]),
+        (GPL, ["GPL-3.0"]),
+        (star(GPL) + "\n *\n" + star(MIT), ["GPL-3.0", "MIT"]),
+        (MIT + "\n" + BSD, ["BSD-3-Clause", "MIT"]),
+        ("Plain words of ther.\n" + narrow(BSD), ["BSD-3-Clause"]),
+        ("x " * 5000 + BSD + " y" * 5000, ["BSD-3-Clause"]),
+        # The version alone tells these apart.
+        ("This work is licensed under the GNU General Public License,\nversion 3.", ["GPL-3.0"]),
+        ("This work is licensed under the GNU General Public License,\nversion 2.", ["GPL-2.0"]),
+        ("Licensed under CC BY-NC 4.0.\nSome thre words.\nReleased under the MIT License.", ["CC-BY-NC-4.0", "MIT"]),
+        # A blank line ends a paragraph.
+        ("Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions are met", []),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.scan(df, model).collect()}
+    assert [found[k].licenses for k in range(len(rows))] == [want for _, want in rows]
+    assert [found[k].unknown for k in (1, 4)] == [0, 1] and [(p.paragraph, p.confirmed) for p in found[1].paragraphs if p.confirmed] == [(0, True)]
