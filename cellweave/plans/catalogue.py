@@ -649,3 +649,115 @@ def s11_b2_b12_unify_job(spark, d):
     source.write_records(r.select("case", F.col("variant").alias("protocol"), F.col("wall_ms").alias("psi_ca_execute_ms"), F.col("wall_ms").alias("total_ms"), "status"), ca, "csv")
     records, _ = runlog.unify_job(spark, [mpc, ca])
     return records.groupBy("family", "status").agg(F.count("*").alias("n"), F.round(F.sum("total_time"), 4).alias("total"))
+
+
+# --- whole tables: what queries above take a subset of by id, size or case, without the filter -------------------------
+
+
+def _cells_sql(id: str) -> str:
+    return fx.CELLS.replace("l_suppkey AS set_id", f"{id} AS set_id")
+
+
+_BOTH = f"SELECT a.set_id AS left_id, b.set_id AS right_id, a.grid_code FROM (SELECT DISTINCT * FROM ({fx.CELLS})) a JOIN (SELECT DISTINCT * FROM ({_cells_sql('l_orderkey')})) b USING (grid_code)"
+
+
+def _suppliers_orders(spark, d):
+    """Two tables of cell sets: suppliers and orders."""
+    return fx.lineitem_cells(spark, d), source.lineitem_cells(fx.table(spark, d, "lineitem"), id="l_orderkey")
+
+
+@query(f"SELECT set_id, count(*) AS n, min(grid_code) AS least FROM ({fx.CELLS}) GROUP BY set_id")
+def s4_cells_table_scan_whole(spark, d):
+    return fx.lineitem_cells(spark, d).groupBy("set_id").agg(F.count("*").alias("n"), F.min("grid_code").alias("least"))
+
+
+@query(f"SELECT count(*) > 0 AS intersects FROM ({_BOTH})")
+def j1_intersects_whole(spark, d):
+    left, right = _suppliers_orders(spark, d)
+    common = left.select("grid_code").join(right.select("grid_code"), "grid_code", "left_semi")
+    return common.agg((F.count("*") > 0).alias("intersects"))
+
+
+@query(_BOTH)
+def j3_cellset_intersect_whole(spark, d):
+    return sets.cellset_intersect(*_suppliers_orders(spark, d))
+
+
+_PART_CODES, _ITEM_CODES = "SELECT (p_partkey % 65536) << 47 AS grid_code FROM part", f"SELECT grid_code FROM ({fx.PARTS.format(id='l_orderkey')})"
+
+
+@query(f"SELECT 'items' AS outer_name, count(*) = 0 AS contains FROM ({_PART_CODES} EXCEPT {_ITEM_CODES}) UNION ALL SELECT 'parts', count(*) = 0 FROM ({_ITEM_CODES} EXCEPT {_PART_CODES})")
+def j4_contains_whole(spark, d):
+    items = fx.parts_of(spark, d, "l_orderkey").select("grid_code")
+    parts = fx.table(spark, d, "part").select(codes.encode_cell(F.pmod("p_partkey", F.lit(65536)), 0, 0, 0, 0, 0).alias("grid_code"))
+    held = lambda name, outer, inner: inner.join(outer, "grid_code", "left_anti").agg((F.count("*") == 0).alias("contains")).select(F.lit(name).alias("outer_name"), "contains")
+    return held("items", items, parts).union(held("parts", parts, items))
+
+
+@query(f"SELECT left_id, right_id, t.set_id AS third_id, count(DISTINCT m.grid_code) AS overlap FROM ({_BOTH}) m JOIN (SELECT DISTINCT * FROM ({_cells_sql('l_linenumber')})) t USING (grid_code) GROUP BY 1, 2, 3")
+def j6_chain_intersect_whole(spark, d):
+    third = source.lineitem_cells(fx.table(spark, d, "lineitem"), id="l_linenumber")
+    return sets.chain_intersect(*_suppliers_orders(spark, d), third)
+
+
+@query(f"SELECT c_custkey AS set_id, count(DISTINCT grid_code) AS n_codes, count(grid_code) = 0 AS is_empty FROM customer LEFT JOIN ({fx.CELLS}) c ON c.set_id = c_custkey GROUP BY 1")
+def j7_cardinality_whole(spark, d):
+    # Customers' ids go beyond the suppliers': all sets are counted, and some ids have none.
+    ids = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("set_id"))
+    return sets.cardinality(fx.lineitem_cells(spark, d), ids)
+
+
+@query(f"SELECT left_id, right_id, count(*) AS n, sum(value)::BIGINT AS total FROM ({_BOTH}) JOIN ({fx.WEIGHTS}) USING (grid_code) GROUP BY 1, 2")
+def j9_intersection_sum_whole(spark, d):
+    return sets.intersection_sum(*_suppliers_orders(spark, d), fx.cell_weights(spark, d))
+
+
+@query(f'SELECT count(*) > 0 AS overlaps FROM (SELECT DISTINCT "start", "end" FROM ({_SPANS})) a JOIN (SELECT DISTINCT "start", "end" FROM ({fx.WINDOWS})) b ON a."start" < b."end" AND b."start" < a."end"')
+def t1_temporal_overlap_whole(spark, d):
+    # The answer needs no ids; the distinct blocks of the minutes are few, however many intervals there are.
+    blocks = lambda nodes: nodes.select(F.lit(0).alias("interval_id"), "toff", "lt").distinct()
+    found = intervals._bucketed(blocks(fx.event_nodes(spark, d)), blocks(intervals.window_to_nodes(fx.order_windows(spark, d))))
+    return found.agg((F.count("*") > 0).alias("overlaps"))
+
+
+@query(f"SELECT left_id, right_id, true AS boolean FROM ({_BOTH}) GROUP BY 1, 2")
+def l1_release_boolean_whole(spark, d):
+    return release.release("Intersects", j3_cellset_intersect_whole(spark, d))
+
+
+@query(f"SELECT left_id, right_id, count(*) AS count FROM ({_BOTH}) GROUP BY 1, 2")
+def l2_release_count_whole(spark, d):
+    return release.release("CellSetIntersect", j3_cellset_intersect_whole(spark, d), "count")
+
+
+@query(f"SELECT left_id, right_id, count(*) AS count, sum(value)::BIGINT AS sum FROM ({_BOTH}) JOIN ({fx.WEIGHTS}) USING (grid_code) GROUP BY 1, 2")
+def l3_release_count_sum_whole(spark, d):
+    return release.release_count_sum(j9_intersection_sum_whole(spark, d))
+
+
+@query(f"SELECT left_id, right_id, CASE WHEN (left_id + right_id) % 3 = 0 THEN NULL ELSE (left_id % 4) <> 0 END AS agrees FROM ({_BOTH}) GROUP BY 1, 2")
+def l4_agreement_whole(spark, d):
+    counts = l2_release_count_whole(spark, d)
+    other = counts.where((F.col("left_id") + F.col("right_id")) % 3 != 0).withColumn("count", F.when(F.col("left_id") % 4 == 0, F.col("count") + 1).otherwise(F.col("count")))
+    return release.agreement(counts, other, "count")
+
+
+@query(f"SELECT 'MPC' AS family, \"case\" AS operation, k AS input_size, variant AS label, round(median(wall_ms), 6) AS value, count(*) AS samples, CASE WHEN count(*) > 1 THEN round(max(wall_ms) - min(wall_ms), 6) END AS spread FROM ({fx.RUNS}) WHERE status = 'ok' GROUP BY 2, 3, 4")
+def b4_compare_groups_whole(spark, d):
+    r = fx.run_log(spark, d).select(F.lit("MPC").alias("family"), F.col("case").alias("operation"), F.col("k").alias("input_size"), F.col("variant").alias("protocol"), F.col("wall_ms").alias("total_time"), "status")
+    rows, _ = runlog.compare_each_group(r)
+    return rows.select("family", "operation", "input_size", "label", r6("value", "value"), "samples", r6("spread", "spread"))
+
+
+_LAST = "SELECT variant || '-' || pos % 97 AS \"case\", arg_max(status, pos) AS status, arg_max(wall_ms, pos) AS wall_ms FROM ({runs}) GROUP BY 1".format(runs=fx.RUNS)
+_FIRST = "SELECT variant || '-' || pos % 101 AS \"case\", arg_min(status, pos) AS status, arg_min(wall_ms, pos) AS wall_ms FROM ({runs}) GROUP BY 1".format(runs=fx.RUNS)
+
+
+@query(f"SELECT coalesce(n.\"case\", o.\"case\") AS \"case\", CASE WHEN n.status = 'ok' AND o.status = 'ok' THEN round(n.wall_ms / o.wall_ms, 2) END AS ratio, CASE WHEN n.\"case\" IS NULL THEN 'baseline only' WHEN o.\"case\" IS NULL THEN 'current only' WHEN n.status = 'ok' AND o.status = 'ok' THEN 'compared' ELSE 'not compared' END AS reason FROM ({_LAST}) n FULL JOIN ({_FIRST}) o ON n.\"case\" = o.\"case\"")
+def b5_baseline_compare_whole(spark, d):
+    # The last run of each case against the first; the two sides name some cases differently.
+    r = fx.run_log(spark, d)
+    now = r.withColumn("case", F.concat_ws("-", "variant", F.col("pos") % 97))
+    old = r.withColumn("case", F.concat_ws("-", "variant", F.col("pos") % 101)).withColumn("pos", -F.col("pos"))
+    found = runlog.baseline_compare(now, old)
+    return found.select("case", F.round(F.col("wall_ms") / F.col("baseline_wall_ms"), 2).alias("ratio"), F.when(F.col("reason").isin("", "slower"), "compared").otherwise(F.col("reason")).alias("reason"))

@@ -109,6 +109,15 @@ def compare_groups(records: DataFrame, metric: str = "total_time", label: str =
     return rows, records.where((F.col("status") != "ok") | F.col(metric).isNull()).select(F.col(label).alias("label"), reason.alias("reason"))
 
 
+def compare_each_group(records: DataFrame, metric: str = "total_time", label: str = "protocol") -> tuple[DataFrame, DataFrame]:
+    """``compare_groups`` for each (family, operation, input_size) by itself: its columns after those three."""
+    kind = ["family", "operation", "input_size"]
+    ok, v = F.coalesce(F.col("status") == "ok", F.lit(False)) & F.col(metric).isNotNull(), F.col(metric).cast("double")
+    rows = records.where(ok).groupBy(*kind, F.col(label).alias("label")).agg(F.median(v).alias("value"), F.count("*").alias("samples"), F.when(F.count("*") > 1, F.max(v) - F.min(v)).alias("spread"))
+    reason = F.when(F.col("status") == "ok", f"no {metric}").otherwise(F.concat(F.lit("status="), F.coalesce("status", F.lit(""))))
+    return rows, records.where(~ok).select(*kind, F.col(label).alias("label"), reason.alias("reason"))
+
+
 def _last(records: DataFrame, order: str) -> DataFrame:
     return records.groupBy("case").agg(F.max_by(F.struct("status", "wall_ms"), order).alias("r")).select("case", "r.*")
 

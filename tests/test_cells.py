@@ -197,3 +197,25 @@ def test_plans(spark):
         assert "CartesianProduct" not in plan and "Python" not in plan, name
     scan = catalogue.QUERIES["s4_cells_table_scan"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_suppkey), LessThan(l_suppkey,50)]" in scan and "l_comment" not in scan
+
+
+def test_whole_tables(spark):
+    """Nothing is left out by id, case or size."""
+    items = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, FOLDER)
+    assert run("s4_cells_table_scan_whole").agg(F.sum("n")).first()[0] == items.count()
+    assert run("j3_cellset_intersect_whole").where("left_id % 2 = right_id % 2").count() > 0
+    sizes = run("j7_cardinality_whole").where("not is_empty")
+    assert {r.set_id for r in sizes.collect()} == {r.l_suppkey for r in items.select("l_suppkey").distinct().collect()}
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    groups = run("b4_compare_groups_whole")
+    assert groups.select("operation", "input_size").distinct().count() == events.selectExpr("event_type", "event_id % 4").distinct().count()
+    assert groups.agg(F.sum("samples")).first()[0] == events.where("event_id % 17 <> 0 and event_id % 23 <> 0 and value is not null").count()
+    assert {r.third_id for r in run("j6_chain_intersect_whole").select("third_id").distinct().collect()} == {r.l_linenumber for r in items.select("l_linenumber").distinct().collect()}
+
+
+def test_compare_each_group(spark):
+    rows = [("F", "a", 1, "p", 2.0, "ok"), ("F", "a", 1, "p", 4.0, "ok"), ("F", "b", 2, "p", 5.0, "ok"), ("F", "b", 2, "q", None, "ok"), (None, "b", 2, "q", 1.0, "error")]
+    kept, left = runlog.compare_each_group(spark.createDataFrame(rows, "family string, operation string, input_size int, protocol string, total_time double, status string"))
+    assert sorted(map(tuple, kept.collect())) == [("F", "a", 1, "p", 3.0, 2, 2.0), ("F", "b", 2, "p", 5.0, 1, None)]
+    assert {r.reason for r in left.collect()} == {"no total_time", "status=error"} and left.count() == 2
