@@ -1,9 +1,10 @@
 """A hidden Markov language model over a whole corpus, beside an add-one unigram model.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end. Exact counts of all training words are found
-by exchange between batches of documents and hash buckets. The states emit classes: each of the most frequent words is
+by exchange between batches of documents and hash buckets. The states emit classes: each word that occurs often enough is
 a class of its own, any other word belongs to the class of its last three bytes, and a class emits its words by their
-counts, each class with room for one unknown word. Thus the parameters have a fixed size, whatever the vocabulary.
+counts, each class with room for one unknown word. Thus the parameters grow with the vocabulary: each task and the driver
+hold a row of emissions for each such word.
 
 Baum-Welch starts from a bounded sample, then runs over all training texts: every task adds up its expected counts,
 which are summed across tasks before the driver sees them. A text's score is the scaled forward recursion's exact
@@ -23,10 +24,9 @@ from cellweave.llm.durable import saved
 from cellweave.llm.textblock import SPACED, TextBlock, slices
 
 STATES = 8
-#: Frequent words with a class of their own, and classes of word ends.
-FREQUENT = 1 << 15
 #: Fewer occurrences than this leave a word in the class of its ending.
 LEAST_COUNT = 5
+#: Classes of word ends.
 ENDINGS = 1 << 12
 #: Passes of Baum-Welch over all training texts.
 PASSES = 2
@@ -36,7 +36,9 @@ START_ROUNDS = 8
 #: Pseudo-tokens, shared out by the classes' base probabilities, that each state has seen beforehand.
 PRIOR = 300.0
 END = np.uint64(0xFFFFFFFFFFFFFFFE)
+#: Blocks of classes whose sums are added up apart, at least, and classes of a block at most.
 _BLOCKS = 16
+_BLOCK_CLASSES = 1 << 16
 #: Bytes of text whose forward and backward values a task holds at once.
 PASS_BYTES = 2 << 20
 _SENT = f"bucket int, {KEY} int, words binary, counts binary, endings binary"
@@ -220,7 +222,7 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
 
 
-def _counter(top: int):
+def _counter():
     def run(table: pa.Table) -> pa.Table:
         """Answers each batch with its words' counts; one more row (no batch) sums the bucket up."""
         parts = [np.frombuffer(x, np.uint64) for x in blobs(table.column("words"))]
@@ -234,15 +236,14 @@ def _counter(top: int):
         known = counts > 0
         by_ending = np.zeros(ENDINGS, np.int64)
         np.add.at(by_ending, endings[known], counts[known] + 1)
-        best = np.lexsort((words, -counts))[:top]
-        best = best[counts[best] >= LEAST_COUNT]
+        best = np.flatnonzero(counts >= LEAST_COUNT)
         rows.append((None, bucket, None, int(known.sum()), int(counts.sum()), by_ending.tobytes(), words[best].tobytes(), counts[best].tobytes(), endings[best].tobytes()))
         return _table(rows, _COUNTED)
 
     return run
 
 
-def _base(counted: DataFrame, frequent: int) -> Base:
+def _base(counted: DataFrame) -> Base:
     """The buckets' sums, put together on executors before the driver takes two small rows a group."""
     sums = counted.where(f"{KEY} is null").select("bucket", "types", "tokens", "endings", "words", "word_counts", "word_endings")
 
@@ -255,12 +256,11 @@ def _base(counted: DataFrame, frequent: int) -> Base:
                 by_ending += np.frombuffer(r["endings"], np.int64)
                 found.append((np.frombuffer(r["words"], np.uint64), np.frombuffer(r["word_counts"], np.int64), np.frombuffer(r["word_endings"], np.uint16)))
         words, counts, endings = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, d) for k, d in enumerate((np.uint64, np.int64, np.uint16)))
-        best = np.lexsort((words, -counts))[:frequent]
-        yield pa.RecordBatch.from_pylist([{"bucket": 0, "types": v, "tokens": n, "endings": by_ending.tobytes(), "words": words[best].tobytes(), "word_counts": counts[best].tobytes(), "word_endings": endings[best].tobytes()}], schema=schema)
+        yield pa.RecordBatch.from_pylist([{"bucket": 0, "types": v, "tokens": n, "endings": by_ending.tobytes(), "words": words.tobytes(), "word_counts": counts.tobytes(), "word_endings": endings.tobytes()}], schema=schema)
 
     schema = pa.schema([("bucket", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64()), ("endings", pa.binary()), ("words", pa.binary()), ("word_counts", pa.binary()), ("word_endings", pa.binary())])
     once = sums.mapInArrow(joined, sums.schema)
-    return _base_of(once.coalesce(_lanes(once)).mapInArrow(joined, sums.schema).toLocalIterator(), frequent)
+    return _base_of(once.coalesce(_lanes(once)).mapInArrow(joined, sums.schema).toLocalIterator())
 
 
 def _lanes(df: DataFrame) -> int:
@@ -268,18 +268,14 @@ def _lanes(df: DataFrame) -> int:
     return max(1, int(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
 
 
-def _base_of(rows, frequent: int) -> Base:
+def _base_of(rows) -> Base:
     n = v = 0
-    by_ending = np.zeros(ENDINGS, np.int64)
-    words, counts, endings = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+    by_ending, found = np.zeros(ENDINGS, np.int64), [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16))]
     for r in rows:
         n, v = n + r.tokens, v + r.types
         by_ending += np.frombuffer(r.endings, np.int64)
-        words = np.append(words, np.frombuffer(r.words, np.uint64))
-        counts = np.append(counts, np.frombuffer(r.word_counts, np.int64))
-        endings = np.append(endings, np.frombuffer(r.word_endings, np.uint16))
-        best = np.lexsort((words, -counts))[:frequent]
-        words, counts, endings = words[best], counts[best], endings[best]
+        found.append((np.frombuffer(r.words, np.uint64), np.frombuffer(r.word_counts, np.int64), np.frombuffer(r.word_endings, np.uint16)))
+    words, counts, endings = (np.concatenate([f[k] for f in found]) for k in range(3))
     return Base(n, v, words, counts, endings, by_ending)
 
 
@@ -297,12 +293,20 @@ def _start_model(train: DataFrame, base: Base, text: str, rows: int, states: int
     return start_values([np.frombuffer(x, np.uint32).astype(np.int64) for x in found], base, states)
 
 
+_SUMS = "part int, lane int, classes binary, sums binary"
+
+
 def _pass(train: DataFrame, base: Base, model: Model, text: str) -> Model:
-    """One round of Baum-Welch over all training texts."""
+    """One round of Baum-Welch over all training texts. Tasks send the sums of the classes that they have seen only."""
     states = len(model.start)
-    edges = np.linspace(0, base.classes, _BLOCKS + 1).astype(int)
+    blocks = max(_BLOCKS, -(-base.classes // _BLOCK_CLASSES))
+    edges = np.linspace(0, base.classes, blocks + 1).astype(int)
     lanes = _lanes(train)
 
+    def block(k: int, lane: int, sums: np.ndarray) -> tuple:
+        seen = np.flatnonzero(sums.any(axis=1)).astype(np.uint32)
+        return k, lane, seen.tobytes(), sums[seen].astype(np.float32).tobytes()
+
     def expect(batches):
         from pyspark import TaskContext
 
@@ -314,32 +318,35 @@ def _pass(train: DataFrame, base: Base, model: Model, text: str) -> Model:
             seen = True
         if seen:
             lane = TaskContext.get().partitionId() % lanes
-            rows = [(k, lane, counts.emit[edges[k] : edges[k + 1]].astype(np.float32).tobytes()) for k in range(_BLOCKS)]
-            rows.append((_BLOCKS, lane, np.append(counts.start, counts.step.ravel()).astype(np.float32).tobytes()))
-            yield from _table(rows, "part int, lane int, sums binary").to_batches()
+            rows = [block(k, lane, counts.emit[edges[k] : edges[k + 1]]) for k in range(blocks)]
+            rows.append(block(blocks, lane, np.vstack([counts.start, counts.step])))
+            yield from _table(rows, _SUMS).to_batches()
 
     def added(table: pa.Table) -> pa.Table:
-        total = 0.0
-        for x in blobs(table.column("sums")):
-            total = total + np.frombuffer(x, np.float32).astype(np.float64)
-        return _table([(table.column("part")[0].as_py(), 0, total.astype(np.float32).tobytes())], "part int, lane int, sums binary")
-
-    found = train.select(text).mapInArrow(expect, "part int, lane int, sums binary")
-    found = found.groupBy("part", "lane").applyInArrow(added, "part int, lane int, sums binary").groupBy("part").applyInArrow(added, "part int, lane int, sums binary")
+        k = table.column("part")[0].as_py()
+        total = np.zeros((1 + states if k == blocks else edges[k + 1] - edges[k], states))
+        for at, x in zip(blobs(table.column("classes")), blobs(table.column("sums"))):
+            total[np.frombuffer(at, np.uint32)] += np.frombuffer(x, np.float32).reshape(-1, states)
+        return _table([block(k, 0, total)], _SUMS)
+
+    found = train.select(text).mapInArrow(expect, _SUMS)
+    found = found.groupBy("part", "lane").applyInArrow(added, _SUMS).groupBy("part").applyInArrow(added, _SUMS)
     counts = Counts(base.classes, states)
     for r in found.toLocalIterator():
-        x = np.frombuffer(r.sums, np.float32).astype(np.float64)
-        if r.part == _BLOCKS:
-            counts.start, counts.step = x[:states], x[states:].reshape(states, states)
+        at, x = np.frombuffer(r.classes, np.uint32), np.frombuffer(r.sums, np.float32).astype(np.float64).reshape(-1, states)
+        if r.part == blocks:
+            whole = np.zeros((1 + states, states))
+            whole[at] = x
+            counts.start, counts.step = whole[0], whole[1:]
         else:
-            counts.emit[edges[r.part] : edges[r.part + 1]] = x.reshape(-1, states)
+            counts.emit[edges[r.part] + at.astype(np.int64)] = x
     return Model.of(counts, base)
 
 
 ADDED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
 
 
-def score(docs: DataFrame, train: str, text: str = "text", id: str = "doc_id", states: int = STATES, passes: int = PASSES, frequent: int = FREQUENT, batches: int | None = None) -> DataFrame:
+def score(docs: DataFrame, train: str, text: str = "text", id: str = "doc_id", states: int = STATES, passes: int = PASSES, batches: int | None = None) -> DataFrame:
     """The columns of ``docs`` with n_tokens, n_known, train_tokens, base_score and score for each whole text.
 
     ``train`` names a boolean column: true rows are learnt from (null counts as false). base_score: the sum over tokens of
@@ -352,8 +359,8 @@ def score(docs: DataFrame, train: str, text: str = "text", id: str = "doc_id", s
     n_buckets = number_of_buckets(n_batches)
     keyed = dealt(docs, n_batches, id)
     sent = keyed.select(KEY, id, text, train).groupBy(KEY).applyInArrow(_sender(id, text, train, n_buckets), _SENT)
-    counted = saved(sent.groupBy("bucket").applyInArrow(_counter(4 * frequent // n_buckets + 64), _COUNTED))
-    base = _base(counted, frequent)
+    counted = saved(sent.groupBy("bucket").applyInArrow(_counter(), _COUNTED))
+    base = _base(counted)
     used = docs.where(train).select(text)
     model = _start_model(used, base, text, START_TEXTS, states)
     for _ in range(passes):

@@ -79,3 +79,43 @@ def test_probabilities_sum_to_one():
         k = base.classes_of(np.array([h], np.uint64), np.array([e], np.uint16))[0]
         total += model.emit[k, 0] * (1.0 if k < 2 else (c + 1) / base.total / base.mass[k])
     assert np.isclose(total, 1.0)
+
+
+def test_every_repeated_word_has_its_own_class(spark, monkeypatch):
+    n, found = 40000, {}
+    words = [f"{k:x}q" for k in range(n)]
+    rows = [(d, " ".join(words[d::40]) + (" rare" if d < 2 else ""), True) for d in range(40)] * hmm_lm.LEAST_COUNT
+    start = hmm_lm._start_model
+
+    def spy(train, base, *rest):
+        found["base"] = base
+        return start(train, base, *rest)
+
+    monkeypatch.setattr(hmm_lm, "_start_model", spy)
+    monkeypatch.setattr(hmm_lm, "START_ROUNDS", 1)
+    # "rare" is in 2 documents of 5 copies; words of fewer than 5 occurrences keep the class of their ending.
+    rows += [(99, "seldom seldom", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    scored = hmm_lm.score(df, "train", passes=1, batches=3).collect()
+    assert len(found["base"].words) == n + 2  # with "rare" and the end
+    assert all(math.isfinite(r.score) for r in scored)
+    total = found["base"].total
+    assert np.isclose(np.sort(found["base"].mass[: n + 2])[0], (hmm_lm.LEAST_COUNT + 1) / total)
+
+
+def test_sums_of_a_pass(spark):
+    """The tasks' sums, sent by class, add up to one forward-backward over all texts."""
+    texts = ["a b c a", "b b", "c a", "d", "", "a d e"]
+    words = [hmm_lm.tokens(hmm_lm.TextBlock(hmm_lm.pa.array([t]), hmm_lm.SPACED, lower=True)) for t in texts]
+    hashes, endings = np.concatenate([w[0] for w in words]), np.concatenate([w[1] for w in words])
+    own, at, counts = np.unique(hashes, return_index=True, return_counts=True)
+    by_ending = np.zeros(hmm_lm.ENDINGS, np.int64)
+    np.add.at(by_ending, endings[at], counts + 1)
+    base = hmm_lm.Base(len(hashes), len(own), own[:4], counts[:4], endings[at][:4], by_ending)
+    classes, first = base.classes_of(hashes, endings), np.append(0, np.cumsum([len(w[0]) for w in words]))
+    model = hmm_lm.start_values([classes], base, 3)
+    want = hmm_lm.Counts(base.classes, 3)
+    want.add(model, classes, first)
+    want = hmm_lm.Model.of(want, base)
+    found = hmm_lm._pass(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), base, model, "text")
+    assert all(np.allclose(getattr(found, k), getattr(want, k), rtol=1e-5) for k in ("start", "step", "emit"))
