@@ -38,6 +38,9 @@ TEMPLATES = {
 # Lines that speak of licences and name none.
 UNKNOWN = ["See the LICENSE file for details.", "A driving license is required.", "The license plate was new.", "She was licensed to teach.", "This version is free.", "Released under his own name.", "General rules for public use.", "Version 2 was released in May.", "The commons by the river.", "Rights and duties of the public.", "Terms and conditions apply to this work.", "The author may be found under this address.", "Use of this file is free.", "Permission was granted by the owner."]
 
+# Words of templates that are too usual to tell of a licence.
+COMMON = set("the of this is to a an in and or it by you any with that not are may be all no as part person either later without following".split())
+
 NONE = "none"
 #: Lines of the corpus that the class of unknown paragraphs is trained on, as an expectation.
 BACKGROUND_LINES = 400
@@ -90,7 +93,7 @@ def train(background: list[str]) -> Model:
     noise = sorted({w for line in lines for w in line})
     classes = [*sorted(TEMPLATES), NONE]
     rows = [(family, v) for family in classes[:-1] for text in TEMPLATES[family] for v in _variants(text, noise)]
-    rows += [(NONE, v) for text in UNKNOWN for v in _variants(text, noise)[:4]] + [(NONE, line[:60]) for line in lines]
+    rows += [(NONE, v) for text in UNKNOWN for v in _variants(text, noise)[:4]] + [(NONE, line) for line in lines]
     known = {g for texts in [*TEMPLATES.values(), UNKNOWN] for text in texts for g in _grams(_words(text) + ["licence"])}
     known |= {g.replace("license", "licence") for g in known}
     features = sorted(known)
@@ -109,10 +112,18 @@ def train(background: list[str]) -> Model:
     logits = x[held] @ w + b
     loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(logits)), y[held]] + 1e-12).mean()
     temperature = min((0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0), key=loss)
+    return Model(classes, features, w.astype(float), b.astype(float), float(temperature), triggers())
+
+
+def triggers() -> list[str]:
+    """Words of the templates, whatever the corpus holds, of which everything that can be confirmed has one."""
     plain = {w for text in UNKNOWN for w in _words(text)} - {"license", "licensed", "rights"}
-    common = set(noise) | plain | {"the", "of", "this", "is", "to", "a", "an", "in", "and", "or", "it", "by", "you", "any", "with", "that", "not", "are", "may", "be"}
-    triggers = sorted({w for texts in TEMPLATES.values() for text in texts for w in _words(text) if not w.isdigit() and len(w) > 1} - common | {"license", "licence", "licensed", "licenced"})
-    return Model(classes, features, w.astype(float), b.astype(float), float(temperature), triggers)
+    found = {w for texts in TEMPLATES.values() for text in texts for w in _words(text) if not w.isdigit() and len(w) > 1} - plain - COMMON | {"license", "licence", "licensed", "licenced"}
+    for text in [t for texts in TEMPLATES.values() for t in texts]:
+        pairs = _grams_of_pairs(text)
+        if sum(found.isdisjoint(p.split(" ")) for p in pairs) >= CONFIRM * len(pairs):
+            raise ValueError(f"could be confirmed without a trigger word: {text}")
+    return sorted(found)
 
 
 def background(docs: DataFrame, text: str = "text", lines: int = BACKGROUND_LINES) -> list[str]:
@@ -120,7 +131,7 @@ def background(docs: DataFrame, text: str = "text", lines: int = BACKGROUND_LINE
     n = docs.agg(F.coalesce(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1), F.lit(0))).first()[0]
     every = docs.select(F.explode(F.split(text, "\n")).alias("line")).where("length(trim(line)) > 0")
     chosen = every.where(F.pmod(F.xxhash64("line", F.lit(31)), F.lit(1 << 20)) < min(1.0, lines / max(1, n)) * (1 << 20))
-    return sorted({r.line[:2000] for r in chosen.select("line").distinct().toLocalIterator()})
+    return sorted({r.line for r in chosen.select("line").distinct().toLocalIterator()})
 
 
 def _strings(values: list[str]) -> Column:

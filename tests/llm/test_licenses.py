@@ -73,3 +73,14 @@ def test_wrapped_notices(spark):
     found = {r.doc_id: r for r in licenses.scan(df, model).collect()}
     assert [found[k].licenses for k in range(len(rows))] == [want for _, want in rows]
     assert [found[k].unknown for k in (1, 4)] == [0, 1] and [(p.paragraph, p.confirmed) for p in found[1].paragraphs if p.confirmed] == [(0, True)]
+
+
+def test_sampled_lines_take_no_trigger_away(spark):
+    """Ordinary lines that hold a template's words, late in long lines too, don't hide the template."""
+    lines = ["We were all glad that seats had been reserved.", "Her rights were respected by all.", "Mozilla and Apache tribes."]
+    model = licenses.train([*lines, "x " * 100 + "unrestrictedly"])
+    assert model.triggers == licenses.train([]).triggers
+    df = spark.createDataFrame([(1, "All rights reserved."), (2, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
+    assert [r.licenses for r in licenses.scan(df, model).collect()] == [["Proprietary"], ["Apache-2.0"]]
+    long = spark.createDataFrame([(1, "y " * 2000 + "end")], "doc_id long, text string")
+    assert licenses.background(long) == ["y " * 2000 + "end"]
