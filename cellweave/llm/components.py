@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.durable import saved
+from cellweave.llm.durable import saved, scratch
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,6 +17,11 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     follows four hooks at once; then the edges are contracted, and loops and doubles vanish. Rounds go on while an edge is
     left: about as many as the logarithm of the number of nodes. Edges with a null end are dropped.
     """
+    with scratch(edges.sparkSession) as keep:
+        return keep(_connected(edges, a, b))
+
+
+def _connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     kept = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
     left = saved(kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()

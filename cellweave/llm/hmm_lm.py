@@ -1,14 +1,17 @@
 """A hidden Markov language model over a whole corpus, beside an add-one unigram model.
 
-Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end. Exact counts of all training words are found
-by exchange between batches of documents and hash buckets. The states emit classes: each word that occurs often enough is
-a class of its own, any other word belongs to the class of its last three bytes, and a class emits its words by their
-counts, each class with room for one unknown word. Thus the parameters grow with the vocabulary: each task and the driver
-hold a row of emissions for each such word.
-
-Baum-Welch starts from a bounded sample, then runs over all training texts: every task adds up its expected counts,
-which are summed across tasks before the driver sees them. A text's score is the scaled forward recursion's exact
-log-likelihood.
+Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end. Every training word has emissions of its own in
+every state, so the parameters grow with the vocabulary, but no task holds them all: a batch of documents exchanges its
+own words with hash buckets. A bucket adds up the batches' expected counts of its words and answers each batch with
+the sums of the words that it asked for. The driver holds starts, steps and totals of the states only.
+
+The texts are coded once: a batch's words, and each text as numbers of these. Each round of Baum-Welch then runs over
+all training texts in coded form, until the likelihood of a token gains less than a tolerance. The start values come from
+all training texts too: their word endings' main directions of variance part them into as many kinds as there are states.
+
+Counts of a word by state travel as bytes: the square roots of the states' shares in 255ths. The buckets take the totals of
+the states from the very shares that they send, so the model's probabilities sum to one. A text's score is the scaled
+forward recursion's exact log-likelihood under that model.
 """
 
 from __future__ import annotations
@@ -19,380 +22,409 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.batching import KEY, blobs, dealt, in_order, number_of_batches, number_of_buckets
-from cellweave.llm.durable import saved
-from cellweave.llm.textblock import SPACED, TextBlock, slices
+from cellweave.llm.batching import KEY, Sizes, blobs, by_bucket, from_planes, gathered, packed, planes, rows_of, sizes, table_of, unpacked
+from cellweave.llm.durable import discard, saved
+from cellweave.llm.textblock import SPACED, TextBlock, mix, slices
 
 STATES = 8
-#: Fewer occurrences than this leave a word in the class of its ending.
-LEAST_COUNT = 5
-#: Classes of word ends.
-ENDINGS = 1 << 12
-#: Passes of Baum-Welch over all training texts.
-PASSES = 2
-#: Training texts that the start values come from, as an expectation; rounds of estimation on them.
-START_TEXTS = 400
-START_ROUNDS = 8
-#: Pseudo-tokens, shared out by the classes' base probabilities, that each state has seen beforehand.
-PRIOR = 300.0
+#: Rounds of Baum-Welch at most, and the gain in log10 likelihood of a token below which they end.
+PASSES = 10
+TOLERANCE = 0.01
+#: What each word's count gives up; a state spends the sum of that on all words alike and on the base model, by halves.
+DISCOUNT = 0.6
+#: Kinds of word endings that the start values are made from.
+ENDINGS = 64
+#: Tokens whose forward and backward values a task holds at once.
+CHUNK_TOKENS = 1 << 18
 END = np.uint64(0xFFFFFFFFFFFFFFFE)
-#: Blocks of classes whose sums are added up apart, at least, and classes of a block at most.
-_BLOCKS = 16
-_BLOCK_CLASSES = 1 << 16
-#: Bytes of text whose forward and backward values a task holds at once.
-PASS_BYTES = 2 << 20
-_SENT = f"bucket int, {KEY} int, words binary, counts binary, endings binary"
-_COUNTED = f"{KEY} int, bucket int, counts binary, types long, tokens long, endings binary, words binary, word_counts binary, word_endings binary"
-
-
-def tokens(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token, class of its ending, n+1 token offsets): each text's words, then an end."""
-    size = block.ends - block.starts
-    lower = block.data
-    ending = np.zeros(block.words, np.uint32)
-    for k in (1, 2, 3):
-        byte = lower[np.maximum(block.ends - k, 0)].astype(np.uint32) if block.words else ending
-        byte = byte + 0x20 * ((byte >= 0x41) & (byte <= 0x5A))
-        ending = ending << np.uint32(8) | np.where(size >= k, byte, 0).astype(np.uint32)
-    ending = (ending * np.uint32(0x9E3779B1)) >> np.uint32(32 - (ENDINGS.bit_length() - 1))
-    first = block.first + np.arange(block.n + 1)
-    hashes, endings = np.full(first[-1], END), np.zeros(first[-1], np.uint16)
-    at = np.arange(block.words) + block.doc_of_word()
-    hashes[at], endings[at] = block.word_hashes(), ending
-    return hashes, endings, first
-
-
-class Base:
-    """What all tasks know of the counts: N, V, the frequent words, and the base probability of every class."""
-
-    def __init__(self, n: int, v: int, words: np.ndarray, counts: np.ndarray, endings: np.ndarray, by_ending: np.ndarray):
-        self.total = n + v + 1
-        self.n, self.v = n, v
-        order = np.argsort(words)
-        self.words = words[order]
-        rest = by_ending.astype(np.float64)
-        np.subtract.at(rest, endings, counts + 1)
-        self.mass = np.append(counts[order] + 1, np.maximum(rest, 0) + 1) / self.total
-        self.classes = len(self.mass)
-
-    def classes_of(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
-        out = len(self.words) + endings.astype(np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            own = self.words[at] == hashes
-            out[own] = at[own]
-        return out
+#: Batches whose sums one task adds up.
+_FAN_IN = 64
+_SENT = f"bucket int, {KEY} long, words binary, counts binary, shares binary"
+_MADE = f"bucket int, {KEY} long, shares binary, sums array<double>"
+_COUNTED = f"bucket int, {KEY} long, counts binary, shares binary, links binary, own binary, sums array<double>"
 
 
-class Model:
-    """start (K), step (K x K) and emit (classes x K) probabilities."""
+def tokens(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each token, n+1 token offsets): each text's words, then an end."""
+    first = block.first + np.arange(block.n + 1)
+    hashes = np.full(first[-1], END)
+    hashes[np.arange(block.words) + block.doc_of_word()] = block.word_hashes()
+    return hashes, first
 
-    def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray):
-        self.start, self.step, self.emit = start, step, emit
 
-    @classmethod
-    def of(cls, counts: "Counts", base: Base) -> "Model":
-        """The most likely parameters for expected counts, smoothed towards the base."""
-        emit = counts.emit + PRIOR * base.mass[:, None] / base.mass.sum()
-        start, step = counts.start + 1.0, counts.step + 1.0
-        return cls(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
+def endings(block: TextBlock) -> np.ndarray:
+    """For each text the square roots of its words' shares by kind of ending (the last two bytes)."""
+    last = block.data[block.ends - 1].astype(np.uint64) if block.words else np.zeros(0, np.uint64)
+    before = np.where(block.ends - block.starts > 1, block.data[np.maximum(block.ends - 2, 0)], 0).astype(np.uint64) if block.words else last
+    kind = (mix(last << np.uint64(8) | before) % np.uint64(ENDINGS)).astype(np.int64)
+    found = np.bincount(block.doc_of_word() * ENDINGS + kind, minlength=block.n * ENDINGS).reshape(block.n, ENDINGS)
+    return np.sqrt(found / np.maximum(block.counts, 1)[:, None])
 
 
-class Counts:
-    """Expected numbers of starts, steps and emissions."""
+class Kinds:
+    """Parts texts into ``states`` kinds by the signs of their endings along the main directions of variance."""
 
-    def __init__(self, classes: int, states: int):
-        self.start, self.step, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
+    def __init__(self, n: float, total: np.ndarray, squares: np.ndarray, states: int):
+        self.states = states
+        self.mean = total / max(n, 1)
+        spread = squares / max(n, 1) - np.outer(self.mean, self.mean)
+        _, axes = np.linalg.eigh(np.round(spread, 12))
+        axes = axes[:, ::-1][:, : max(1, (states - 1).bit_length())]
+        self.axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
 
-    def add(self, model: Model, classes: np.ndarray, first: np.ndarray) -> None:
-        """Forward-backward over sequences, all of them a token at a step."""
-        n = np.diff(first)
-        order = np.argsort(-n, kind="stable")
-        begin, n = first[:-1][order], n[order]
-        local = model.emit[classes]
-        forward, backward = np.empty_like(local), np.ones_like(local)
-        steps = int(n[0]) if len(n) else 0
-        active = np.searchsorted(-n, -np.arange(steps), side="left")
-        for t in range(steps):
-            at = begin[: active[t]] + t
-            a = (model.start if t == 0 else forward[at - 1] @ model.step) * local[at]
-            forward[at] = a / a.sum(1, keepdims=True)
-        for t in range(steps - 2, -1, -1):
-            at = begin[: active[t + 1]] + t
-            b = (backward[at + 1] * local[at + 1]) @ model.step.T
-            backward[at] = b / b.sum(1, keepdims=True)
-        heads = first[:-1][np.diff(first) > 0]
-        inner = np.ones(len(classes), bool)
-        inner[heads] = False
-        after = np.flatnonzero(inner)
-        local *= backward
-        left, right = forward[after - 1], local[after]
-        del local
-        left /= np.einsum("nk,nk->n", left @ model.step, right)[:, None]
-        self.step += left.T @ right * model.step
-        del left, right
-        forward *= backward
-        forward /= forward.sum(1, keepdims=True)
-        self.start += forward[heads].sum(0)
-        for s in range(forward.shape[1]):
-            self.emit[:, s] += np.bincount(classes, forward[:, s], len(self.emit))
-
-
-def log_likelihood(model: Model, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 of the model's probability of each sequence of classes, by the scaled forward recursion."""
-    n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    begin, n = first[:-1][order], n[order]
-    total = np.zeros(len(n))
-    steps = int(n[0]) if len(n) else 0
-    active = np.searchsorted(-n, -np.arange(steps), side="left")
-    a = np.tile(model.start, (len(n), 1))
-    for t in range(steps):
-        k = active[t]
-        a = a[:k] if t == 0 else a[:k] @ model.step
-        a *= model.emit[classes[begin[:k] + t]]
-        # Scaled often enough that nothing underflows, and before a sequence ends.
-        norm = a.sum(1, keepdims=True)
-        a /= norm
-        total[:k] += np.log10(norm[:, 0])
-    out = np.empty(len(n))
-    out[order] = total
-    return out
+    def of(self, block: TextBlock) -> np.ndarray:
+        side = (endings(block) - self.mean) @ self.axes > 0
+        return (side @ (1 << np.arange(side.shape[1]))) % self.states
 
 
-def start_values(sequences: list[np.ndarray], base: Base, states: int, seed: int = 5) -> Model:
-    """Start values: texts clustered as bags of classes, then some rounds of Baum-Welch, on a few texts."""
-    rng = np.random.default_rng(seed)
-    counts = Counts(base.classes, states)
-    if not sequences:
-        counts.emit += rng.random((base.classes, states)) * base.mass[:, None] * PRIOR
-        return Model.of(counts, base)
-    first = np.append(0, np.cumsum([len(s) for s in sequences]))
-    classes = np.concatenate(sequences)
-    owner = np.repeat(np.arange(len(sequences)), np.diff(first))
-    share = rng.dirichlet(np.full(states, 0.3), len(sequences))
-    for _ in range(15):
-        emit = np.stack([np.bincount(classes, share[owner, s], base.classes) for s in range(states)], axis=1) + PRIOR * base.mass[:, None]
-        emit /= emit.sum(0)
-        logs = np.log(emit)[classes]
-        each = np.stack([np.bincount(owner, logs[:, s], len(sequences)) for s in range(states)], axis=1) + np.log(share.mean(0) + 1e-6)
-        share = np.exp(0.1 * (each - each.max(1, keepdims=True)))
-        share /= share.sum(1, keepdims=True)
-    step = np.full((states, states), 0.15 / max(1, states - 1)) + np.eye(states) * 0.85
-    model = Model(share.mean(0) + 1e-3, step / step.sum(1, keepdims=True), emit)
-    for _ in range(START_ROUNDS):
-        counts = Counts(base.classes, states)
-        counts.add(model, classes, first)
-        model = Model.of(counts, base)
-    return model
-
-
-def _sender(id: str, text: str, train: str, buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        table, key = in_order(table, id, text), table.column(KEY)[0].as_py()
-        hashes, endings, first = tokens(TextBlock(table.column(text), SPACED, lower=True))
-        used = np.repeat(table.column(train).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-        words, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        counts = np.bincount(which, used, len(words)).astype(np.int64)
-        bucket = (words % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = []
-        for b in range(buckets):
-            mine = order[edges[b] : edges[b + 1]]
-            if len(mine):
-                rows.append((b, key, words[mine].tobytes(), planes(counts[mine]), endings[at[mine]].tobytes()))
-        return _table(rows, _SENT)
+def kinds(train: DataFrame, text: str, states: int) -> Kinds:
+    """From sums over all texts, added up by Spark as plain rows."""
+    upper = np.triu_indices(ENDINGS)
 
-    return run
+    def run(batches):
+        total = np.zeros(1 + ENDINGS + len(upper[0]))
+        for batch in slices(batches, text):
+            x = endings(TextBlock(batch.column(0), SPACED, lower=True))
+            total[0] += len(x)
+            total[1 : 1 + ENDINGS] += x.sum(0)
+            total[1 + ENDINGS :] += (x.T @ x)[upper]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["place", "value"])
 
+    found = np.zeros(1 + ENDINGS + len(upper[0]))
+    for r in train.select(text).mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
+        found[r.place] = r.value
+    squares = np.zeros((ENDINGS, ENDINGS))
+    squares[upper] = found[1 + ENDINGS :]
+    return Kinds(found[0], found[1 : 1 + ENDINGS], squares + np.triu(squares, 1).T, states)
 
-def planes(counts: np.ndarray) -> bytes:
-    """Whole numbers byte plane by byte plane: most planes are zeros, which compress to nothing."""
-    return np.ascontiguousarray(counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
+class Sums:
+    """What the driver knows of a model, as one vector of sums: log10 likelihood, tokens that it is of, distinct
+    training words, training tokens, tokens and distinct words by state, starts and steps."""
 
-def from_planes(blob) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    def __init__(self, vector: np.ndarray, states: int):
+        self.vector, k = vector, states
+        self.of_state, self.words_of, self.starts, self.steps = vector[4 : 4 + k], vector[4 + k : 4 + 2 * k], vector[4 + 2 * k : 4 + 3 * k], vector[4 + 3 * k :].reshape(k, k)
 
+    @staticmethod
+    def size(states: int) -> int:
+        return 4 + 3 * states + states * states
 
-def _table(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
+    @classmethod
+    def none(cls, states: int) -> "Sums":
+        return cls(np.zeros(cls.size(states)), states)
 
+    log10 = property(lambda self: self.vector[0])
+    seen = property(lambda self: self.vector[1])
+    types = property(lambda self: self.vector[2])
+    tokens = property(lambda self: self.vector[3])
+    #: N + V + 1.
+    total = property(lambda self: self.tokens + self.types + 1)
 
-def _counter():
-    def run(table: pa.Table) -> pa.Table:
-        """Answers each batch with its words' counts; one more row (no batch) sums the bucket up."""
-        parts = [np.frombuffer(x, np.uint64) for x in blobs(table.column("words"))]
-        edges = np.append(0, np.cumsum([len(p) for p in parts]))
-        words, at, which = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-        counts = np.zeros(len(words), np.int64)
-        np.add.at(counts, which, np.concatenate([from_planes(x) for x in blobs(table.column("counts"))]))
-        endings = np.concatenate([np.frombuffer(x, np.uint16) for x in blobs(table.column("endings"))])[at]
-        bucket = table.column("bucket")[0].as_py()
-        rows = [(key, bucket, planes(counts[which[edges[k] : edges[k + 1]]])) + (None,) * 6 for k, key in enumerate(table.column(KEY).to_pylist())]
-        known = counts > 0
-        by_ending = np.zeros(ENDINGS, np.int64)
-        np.add.at(by_ending, endings[known], counts[known] + 1)
-        best = np.flatnonzero(counts >= LEAST_COUNT)
-        rows.append((None, bucket, None, int(known.sum()), int(counts.sum()), by_ending.tobytes(), words[best].tobytes(), counts[best].tobytes(), endings[best].tobytes()))
-        return _table(rows, _COUNTED)
 
-    return run
+class Model:
+    """start (K), step (K x K), and the emissions of words whose counts and shares by state are given."""
 
+    def __init__(self, sums: Sums):
+        k = len(sums.of_state)
+        start, step = sums.starts + 1.0, sums.steps + 1.0
+        self.start, self.step = start / start.sum(), step / step.sum(1, keepdims=True)
+        self.total, self.kinds = sums.total, sums.types + 1
+        self.of_state = np.maximum(sums.of_state, 1e-300)
+        self.spared = np.where(sums.of_state > 0, DISCOUNT * sums.words_of / self.of_state, 1.0)
 
-def _base(counted: DataFrame) -> Base:
-    """The buckets' sums, put together on executors before the driver takes two small rows a group."""
-    sums = counted.where(f"{KEY} is null").select("bucket", "types", "tokens", "endings", "words", "word_counts", "word_endings")
+    def emissions(self, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """A row for each word: its discounted share of the state's tokens, and its part of what the state has spared."""
+        own = shares * np.maximum(counts - DISCOUNT, 0.0)[:, None] / self.of_state
+        return own + self.spared * (0.5 * (counts + 1.0) / self.total + 0.5 / self.kinds)[:, None]
 
-    def joined(batches):
-        n = v = 0
-        by_ending, found = np.zeros(ENDINGS, np.int64), []
-        for batch in batches:
-            for r in batch.to_pylist():
-                n, v = n + r["tokens"], v + r["types"]
-                by_ending += np.frombuffer(r["endings"], np.int64)
-                found.append((np.frombuffer(r["words"], np.uint64), np.frombuffer(r["word_counts"], np.int64), np.frombuffer(r["word_endings"], np.uint16)))
-        words, counts, endings = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, d) for k, d in enumerate((np.uint64, np.int64, np.uint16)))
-        yield pa.RecordBatch.from_pylist([{"bucket": 0, "types": v, "tokens": n, "endings": by_ending.tobytes(), "words": words.tobytes(), "word_counts": counts.tobytes(), "word_endings": endings.tobytes()}], schema=schema)
 
-    schema = pa.schema([("bucket", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64()), ("endings", pa.binary()), ("words", pa.binary()), ("word_counts", pa.binary()), ("word_endings", pa.binary())])
-    once = sums.mapInArrow(joined, sums.schema)
-    return _base_of(once.coalesce(_lanes(once)).mapInArrow(joined, sums.schema).toLocalIterator())
+def to_bytes(shares: np.ndarray) -> np.ndarray:
+    """Shares that sum to 1 (or are all 0) as 255ths of their square roots, a plane for each state."""
+    return np.ascontiguousarray(np.rint(255 * np.sqrt(np.clip(shares, 0, 1))).astype(np.uint8).T)
 
 
-def _lanes(df: DataFrame) -> int:
-    """Groups in which tasks' sums are added up first."""
-    return max(1, int(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+def from_bytes(blob, states: int) -> np.ndarray:
+    """The shares that bytes stand for, made to sum to 1 again (or all 0)."""
+    found = (np.frombuffer(blob, np.uint8).reshape(states, -1).T / 255.0) ** 2
+    return found / np.maximum(found.sum(1, keepdims=True), 1e-300)
 
 
-def _base_of(rows) -> Base:
-    n = v = 0
-    by_ending, found = np.zeros(ENDINGS, np.int64), [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16))]
-    for r in rows:
-        n, v = n + r.tokens, v + r.types
-        by_ending += np.frombuffer(r.endings, np.int64)
-        found.append((np.frombuffer(r.words, np.uint64), np.frombuffer(r.word_counts, np.int64), np.frombuffer(r.word_endings, np.uint16)))
-    words, counts, endings = (np.concatenate([f[k] for f in found]) for k in range(3))
-    return Base(n, v, words, counts, endings, by_ending)
+class Steps:
+    """Sequences side by side: their tokens in order of the step, and at each step the longer sequences first."""
+
+    def __init__(self, first: np.ndarray):
+        n = np.diff(first)
+        self.order = np.argsort(-n, kind="stable")
+        n = n[self.order]
+        self.active = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
+        self.at = np.append(0, np.cumsum(self.active))
+        row = np.arange(self.at[-1]) - np.repeat(self.at[:-1], self.active)
+        self.place = first[:-1][self.order][row] + np.repeat(np.arange(len(self.active)), self.active)
+
+
+def forward(start: np.ndarray, step: np.ndarray, local: np.ndarray, s: Steps) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward values of all tokens, and the scales (their product is a sequence's probability)."""
+    values, scales = np.empty_like(local), np.empty(len(local), local.dtype)
+    before = None
+    for t, k in enumerate(s.active):
+        a = s.at[t]
+        now = local[a : a + k] * (start if before is None else before[:k] @ step)
+        norm = now.sum(1)
+        now /= norm[:, None]
+        values[a : a + k], scales[a : a + k], before = now, norm, now
+    return values, scales
+
+
+def log_likelihood(start: np.ndarray, step: np.ndarray, emit: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each sequence of word numbers."""
+    s = Steps(first)
+    out = np.zeros(len(first) - 1)
+    if len(s.place):
+        _, scales = forward(start, step, emit[tokens[s.place]], s)
+        row = np.arange(len(s.place)) - np.repeat(s.at[:-1], s.active)
+        out[s.order] = np.bincount(row, np.log10(scales), len(out))
+    return out
 
 
-def _start_model(train: DataFrame, base: Base, text: str, rows: int, states: int) -> Model:
-    n = train.count()
-    chosen = train.where(F.pmod(F.xxhash64(text, F.lit(23)), F.lit(1 << 20)) < min(1.0, START_TEXTS / max(1, n)) * (1 << 20)).select(text)
+def expected(start: np.ndarray, step: np.ndarray, emit: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Forward-backward: (expected counts of each word by state, of starts, of steps, and the sequences' log10 likelihood)."""
+    s = Steps(first)
+    k = len(start)
+    if not len(s.place):
+        return np.zeros((len(emit), k)), np.zeros(k), np.zeros((k, k)), 0.0
+    words = tokens[s.place]
+    local = emit[words]
+    values, scales = forward(start, step, local, s)
+    total = float(np.log10(scales.astype(np.float64)).sum())
+    local /= scales[:, None]
+    back = np.ones_like(local)
+    for t in range(len(s.active) - 2, -1, -1):
+        n, a, b = s.active[t + 1], s.at[t], s.at[t + 1]
+        back[a : a + n] = (back[b : b + n] * local[b : b + n]) @ step.T
+    after = np.arange(s.at[1], s.at[-1])
+    before = after - np.repeat(s.active[:-1], s.active[1:])
+    steps = (values[before].T @ (local[after] * back[after])).astype(np.float64) * step
+    values *= back
+    found = np.stack([np.bincount(words, values[:, z], len(emit)) for z in range(k)], axis=1)
+    return found, values[: s.at[1]].sum(0, dtype=np.float64), steps, total
+
+
+# --- a batch in coded form --------------------------------------------------------------------------------------------
+
+
+def coded(own: np.ndarray, place: np.ndarray, first: np.ndarray, used: np.ndarray) -> bytes:
+    """A batch's tokens (numbers of its words by frequency), the place of each of these among the words as they were sent,
+    the texts' lengths and which of them are learnt from."""
+    parts = [planes(own), planes(place), planes(np.diff(first)), used.astype(np.uint8).tobytes()]
+    head = np.array([len(p) for p in parts], np.int64).tobytes()
+    return np.int64(len(head) + sum(map(len, parts))).tobytes() + pa.Codec("zstd").compress(head + b"".join(parts), asbytes=True)
+
+
+def uncoded(blob) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens as places among the words as they were sent, n+1 offsets, which texts are learnt from)."""
+    raw = pa.Codec("zstd").decompress(memoryview(blob)[8:], int(np.frombuffer(blob, np.int64, 1)[0]), asbytes=True)
+    at = np.append(32, 32 + np.cumsum(np.frombuffer(raw, np.int64, 4)))
+    own, place, sizes_, used = (raw[a:b] for a, b in zip(at[:-1], at[1:]))
+    return from_planes(place)[from_planes(own)], np.append(0, np.cumsum(from_planes(sizes_))), np.frombuffer(used, bool)
+
+
+def _coder(first_kinds: Kinds, buckets: int, batch_bytes: int, schema: pa.Schema):
+    """A task's texts in batches: a row for each text (the first of a batch with the whole batch's code), and rows to buckets."""
+    states = first_kinds.states
 
     def run(batches):
-        for batch in slices(batches, text):
-            hashes, endings, first = tokens(TextBlock(batch.column(0), SPACED, lower=True))
-            classes = base.classes_of(hashes, endings).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([classes[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["classes"])
+        from pyspark import TaskContext
 
-    found = sorted(bytes(r.classes) for r in chosen.mapInArrow(run, "classes binary").toLocalIterator())
-    return start_values([np.frombuffer(x, np.uint32).astype(np.int64) for x in found], base, states)
+        task = TaskContext.get().partitionId()
+        for number, table in enumerate(gathered(batches, "text", batch_bytes)):
+            key = (task << 32) | number
+            block = TextBlock(table.column("text"), SPACED, lower=True)
+            hashes, first = tokens(block)
+            used = table.column("train").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+            words, own, n = np.unique(hashes, return_inverse=True, return_counts=True)
+            learnt = np.repeat(used, np.diff(first))
+            kind = np.repeat(first_kinds.of(block), np.diff(first))
+            counts = np.bincount(own[learnt] * states + kind[learnt], minlength=len(words) * states).reshape(-1, states)
+            sent = by_bucket((words % np.uint64(buckets)).astype(np.int64), buckets)
+            place = np.empty(len(words), np.int64)
+            place[np.concatenate([at for _, at in sent])] = np.arange(len(words))
+            rank = np.empty(len(words), np.int64)
+            order = np.argsort(-n, kind="stable")
+            rank[order] = np.arange(len(words))
+            blob = coded(rank[own], place[order], first, used)
+            nothing = pa.nulls(table.num_rows)
+            docs = [table.column("row").combine_chunks(), pa.array(np.full(table.num_rows, key)), pa.array(np.arange(table.num_rows, dtype=np.int32)), pa.array([blob] + [None] * (table.num_rows - 1), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*docs, *[nothing.cast(f.type) for f in schema][4:]], schema=schema)
+            total = counts.sum(1)
+            rows = [(b, key, words[at].tobytes(), planes(total[at]), to_bytes(counts[at] / np.maximum(total[at], 1)[:, None]).tobytes()) for b, at in sent]
+            found = table_of(rows, _SENT)
+            columns = {**{f.name: pa.nulls(len(rows), f.type) for f in schema}, **{c: found.column(c).combine_chunks() for c in found.column_names}}
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
 
+    return run
 
-_SUMS = "part int, lane int, classes binary, sums binary"
 
+def _bucket_rows(bucket: int, keys: list, ids: list[np.ndarray], own: list[np.ndarray], shares: list[np.ndarray], n: int, states: int) -> tuple[list[tuple], np.ndarray]:
+    """A bucket's sums over batches: an answer for each batch, and the bucket's own part of the model's sums."""
+    counts, sums = np.zeros(n, np.int64), np.zeros((n, states))
+    for at, c, x in zip(ids, own, shares):
+        counts[at] += c
+        sums[at] += x * c[:, None]
+    sent = to_bytes(sums / np.maximum(sums.sum(1, keepdims=True), 1e-300))
+    vector = Sums.none(states)
+    vector.vector[2:4] = (counts > 0).sum(), counts.sum()
+    found = from_bytes(sent.tobytes(), states)
+    vector.of_state[:], vector.words_of[:] = counts @ found, (counts > 0) @ found
+    return [(bucket, key, planes(counts[at]), np.ascontiguousarray(sent[:, at]).tobytes()) for key, at in zip(keys, ids)], vector.vector
 
-def _pass(train: DataFrame, base: Base, model: Model, text: str) -> Model:
-    """One round of Baum-Welch over all training texts. Tasks send the sums of the classes that they have seen only."""
-    states = len(model.start)
-    blocks = max(_BLOCKS, -(-base.classes // _BLOCK_CLASSES))
-    edges = np.linspace(0, base.classes, blocks + 1).astype(int)
-    lanes = _lanes(train)
 
-    def block(k: int, lane: int, sums: np.ndarray) -> tuple:
-        seen = np.flatnonzero(sums.any(axis=1)).astype(np.uint32)
-        return k, lane, seen.tobytes(), sums[seen].astype(np.float32).tobytes()
+def _first_bucket(states: int):
+    def run(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in blobs(table.column("words"))]
+        known, which = np.unique(np.concatenate(parts), return_inverse=True)
+        ids = np.split(which, np.cumsum([len(p) for p in parts])[:-1])
+        own = [from_planes(x) for x in blobs(table.column("counts"))]
+        shares = [from_bytes(x, states) for x in blobs(table.column("shares"))]
+        bucket = table.column("bucket")[0].as_py()
+        rows, vector = _bucket_rows(bucket, table.column(KEY).to_pylist(), ids, own, shares, len(known), states)
+        rows = [(*r, packed(at), planes(c), None) for r, at, c in zip(rows, ids, own)]
+        return table_of([*rows, (bucket, None, None, None, None, None, vector.tolist())], _COUNTED)
+
+    return run
+
+
+def _next_bucket(states: int):
+    """The same after a round; a negative bucket only adds up batches' sums."""
+
+    def run(made: pa.Table, links: pa.Table) -> pa.Table:
+        if not made.num_rows:
+            return table_of([], _COUNTED)
+        bucket = made.column("bucket")[0].as_py()
+        if bucket < 0:
+            return table_of([(bucket, None, None, None, None, None, np.sum(made.column("sums").to_pylist(), axis=0).tolist())], _COUNTED)
+        place = {key: k for k, key in enumerate(links.column(KEY).to_pylist())}
+        order = [place[key] for key in made.column(KEY).to_pylist()]
+        ids = [unpacked(x) for x in blobs(links.column("links").take(pa.array(order)))]
+        own = [from_planes(x) for x in blobs(links.column("own").take(pa.array(order)))]
+        shares = [from_bytes(x, states) for x in blobs(made.column("shares"))]
+        n = 1 + max((int(x[-1]) for x in ids if len(x)), default=-1)
+        rows, vector = _bucket_rows(bucket, made.column(KEY).to_pylist(), ids, own, shares, n, states)
+        return table_of([*((*r, None, None, None) for r in rows), (bucket, None, None, None, None, None, vector.tolist())], _COUNTED)
+
+    return run
+
+
+def _answers(table: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(counts and shares of a batch's words as they were sent, [(bucket, number of words)])."""
+    table = table.sort_by("bucket").combine_chunks()
+    counts = [from_planes(x) for x in blobs(table.column("counts"))]
+    shares = [from_bytes(x, states) for x in blobs(table.column("shares"))]
+    return np.concatenate(counts), np.concatenate(shares), [(b, len(c)) for b, c in zip(table.column("bucket").to_pylist(), counts)]
+
+
+def _chunks(first: np.ndarray, limit: int = CHUNK_TOKENS):
+    a = 0
+    while a < len(first) - 1:
+        b = max(a + 1, int(np.searchsorted(first, first[a] + limit, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def _learner(model: Model, states: int, lanes: int):
+    """A batch's expected counts: a row for each bucket of its words, and its sums."""
+
+    def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
+        if not batch.num_rows or not answers.num_rows:
+            return table_of([], _MADE)
+        key = batch.column(KEY)[0].as_py()
+        words, first, used = uncoded(batch.column("blob")[0].as_buffer())
+        learnt = np.repeat(used, np.diff(first))
+        words, first = words[learnt], np.append(0, np.cumsum(np.diff(first)[used]))
+        counts, shares, sent = _answers(answers, states)
+        emit = model.emissions(counts, shares).astype(np.float32)
+        start, step = model.start.astype(np.float32), model.step.astype(np.float32)
+        found, sums = np.zeros((len(emit), states)), Sums.none(states)
+        for a, b in _chunks(first):
+            of_words, starts, steps, log10 = expected(start, step, emit, words[first[a] : first[b]], first[a : b + 1] - first[a])
+            found += of_words
+            sums.starts += starts
+            sums.steps += steps
+            sums.vector[:2] += log10, first[b] - first[a]
+        found /= np.maximum(found.sum(1, keepdims=True), 1e-300)
+        edges = np.append(0, np.cumsum([n for _, n in sent]))
+        rows = [(b, key, to_bytes(found[x:y]).tobytes(), None) for (b, _), x, y in zip(sent, edges[:-1], edges[1:])]
+        return table_of([*rows, (-1 - hash(key) % lanes, key, None, sums.vector.tolist())], _MADE)
+
+    return run
 
-    def expect(batches):
-        from pyspark import TaskContext
 
-        counts = Counts(base.classes, states)
-        seen = False
-        for batch in slices(batches, text, PASS_BYTES):
-            hashes, endings, first = tokens(TextBlock(batch.column(0), SPACED, lower=True))
-            counts.add(model, base.classes_of(hashes, endings), first)
-            seen = True
-        if seen:
-            lane = TaskContext.get().partitionId() % lanes
-            rows = [block(k, lane, counts.emit[edges[k] : edges[k + 1]]) for k in range(blocks)]
-            rows.append(block(blocks, lane, np.vstack([counts.start, counts.step])))
-            yield from _table(rows, _SUMS).to_batches()
-
-    def added(table: pa.Table) -> pa.Table:
-        k = table.column("part")[0].as_py()
-        total = np.zeros((1 + states if k == blocks else edges[k + 1] - edges[k], states))
-        for at, x in zip(blobs(table.column("classes")), blobs(table.column("sums"))):
-            total[np.frombuffer(at, np.uint32)] += np.frombuffer(x, np.float32).reshape(-1, states)
-        return _table([block(k, 0, total)], _SUMS)
-
-    found = train.select(text).mapInArrow(expect, _SUMS)
-    found = found.groupBy("part", "lane").applyInArrow(added, _SUMS).groupBy("part").applyInArrow(added, _SUMS)
-    counts = Counts(base.classes, states)
-    for r in found.toLocalIterator():
-        at, x = np.frombuffer(r.classes, np.uint32), np.frombuffer(r.sums, np.float32).astype(np.float64).reshape(-1, states)
-        if r.part == blocks:
-            whole = np.zeros((1 + states, states))
-            whole[at] = x
-            counts.start, counts.step = whole[0], whole[1:]
-        else:
-            counts.emit[edges[r.part] + at.astype(np.int64)] = x
-    return Model.of(counts, base)
+def _sums(counted: DataFrame, states: int) -> Sums:
+    found = Sums.none(states)
+    rows = counted.where(f"{KEY} is null").select(F.posexplode("sums").alias("place", "value"))
+    for r in rows.groupBy("place").agg(F.sum("value").alias("value")).collect():
+        found.vector[r.place] = r.value
+    return found
 
 
 ADDED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
 
 
-def score(docs: DataFrame, train: str, text: str = "text", id: str = "doc_id", states: int = STATES, passes: int = PASSES, batches: int | None = None) -> DataFrame:
-    """The columns of ``docs`` with n_tokens, n_known, train_tokens, base_score and score for each whole text.
+def score(docs: DataFrame, train: str, text: str = "text", states: int = STATES, passes: int = PASSES, tolerance: float = TOLERANCE, size: Sizes | None = None) -> DataFrame:
+    """The columns of ``docs`` but the text, with n_tokens, n_known, train_tokens, base_score and score for each whole text.
 
     ``train`` names a boolean column: true rows are learnt from (null counts as false). base_score: the sum over tokens of
     log10((c+1)/(N+V+1)). score: log10 of the hidden Markov model's probability of the text. A null or empty text is one
-    end token. Rows of one id or text count once each; without training rows all base scores are 0. Columns of the new
-    names are replaced. Words are known by 64-bit hashes.
+    end token. Rows of one id or text count once each; without training rows all scores are 0. Columns of the new names are
+    replaced. Words are known by 64-bit hashes. Batches are cut from the partitions as they are read, so texts aren't
+    shuffled; how they are cut changes the score by the rounding of shares to bytes only.
     """
-    docs = docs.drop(*[f.name for f in ADDED], KEY).withColumn(train, F.coalesce(train, F.lit(False)))
-    n_batches = batches or number_of_batches(docs, text)
-    n_buckets = number_of_buckets(n_batches)
-    keyed = dealt(docs, n_batches, id)
-    sent = keyed.select(KEY, id, text, train).groupBy(KEY).applyInArrow(_sender(id, text, train, n_buckets), _SENT)
-    counted = saved(sent.groupBy("bucket").applyInArrow(_counter(), _COUNTED))
-    base = _base(counted)
-    used = docs.where(train).select(text)
-    model = _start_model(used, base, text, START_TEXTS, states)
-    for _ in range(passes):
-        model = _pass(used, base, model, text)
-    schema = T.StructType([*docs.schema.fields, *ADDED])
-    answers = counted.where(f"{KEY} is not null").select(KEY, "bucket", "counts")
-    return keyed.groupBy(KEY).cogroup(answers.groupBy(KEY)).applyInArrow(_scorer(base, model, id, text, n_buckets, docs.columns), schema)
-
-
-def _scorer(base: Base, model: Model, id: str, text: str, buckets: int, columns: list[str]):
-    log_total = np.log10(base.total)
-    log_mass = np.log10(base.mass)
-
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = in_order(table, id, text)
-        hashes, endings, first = tokens(TextBlock(table.column(text), SPACED, lower=True))
-        words, which = np.unique(hashes, return_inverse=True)
-        bucket = (words % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        counts = np.zeros(len(words), np.int64)
-        for b, x in zip(answers.column("bucket").to_pylist(), blobs(answers.column("counts"))):
-            counts[order[edges[b] : edges[b + 1]]] = from_planes(x)
-        counts = counts[which]
-        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    docs = docs.drop(*[f.name for f in ADDED]).withColumn(train, F.coalesce(train, F.lit(False)))
+    size = size or sizes(docs, text)
+    first_kinds = kinds(docs.where(train), text, states)
+    rows = rows_of(docs, text, F.col(train).alias("train"))
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField(KEY, T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+    schema = T.StructType([*schema.fields, *[f for f in T._parse_datatype_string(_SENT).fields if f.name != KEY]])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = saved(rows.mapInArrow(_coder(first_kinds, size.buckets, size.batch_bytes, to_arrow_schema(schema)), schema))
+    texts, batches = made.where("place is not null").select("row", KEY, "place", "blob"), made.where("blob is not null").select(KEY, "blob")
+    sent = made.where("bucket is not null").select("bucket", KEY, "words", "counts", "shares")
+    counted = saved(sent.groupBy("bucket").applyInArrow(_first_bucket(states), _COUNTED))
+    links = counted.where(f"{KEY} is not null").select("bucket", KEY, "links", "own")
+    sums, now, before = _sums(counted, states), counted, None
+    starts = np.eye(states) * 0.85 + 0.15 / states
+    sums.steps[:], sums.starts[:] = starts * sums.of_state[:, None], sums.of_state / max(1.0, sums.of_state.sum())
+    lanes = 1 + size.batches // _FAN_IN
+    for _ in range(passes if sums.tokens else 0):
+        answers = now.where(f"{KEY} is not null").select("bucket", KEY, "counts", "shares")
+        found = batches.groupBy(KEY).cogroup(answers.groupBy(KEY)).applyInArrow(_learner(Model(sums), states, lanes), _MADE)
+        after = saved(found.groupBy("bucket").cogroup(links.groupBy("bucket")).applyInArrow(_next_bucket(states), _COUNTED))
+        if now is not counted:
+            discard(now)
+        now, sums = after, _sums(after, states)
+        gain = np.inf if before is None else sums.log10 / sums.seen - before
+        before = sums.log10 / max(sums.seen, 1.0)
+        if gain < tolerance:
+            break
+    answers = now.where(f"{KEY} is not null").select("bucket", KEY, "counts", "shares")
+    out = T.StructType([texts.schema["row"], *ADDED])
+    scored = texts.groupBy(KEY).cogroup(answers.groupBy(KEY)).applyInArrow(_scorer(Model(sums), states, int(sums.tokens)), out)
+    kept = [c for c in docs.columns if c != text]
+    return scored.select(*[F.col("row")[c].alias(c) for c in kept], *[f.name for f in ADDED])
+
+
+def _scorer(model: Model, states: int, train_tokens: int):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = texts.sort_by("place").combine_chunks()
+        words, first, _ = uncoded(texts.column("blob")[0].as_buffer())
+        counts, shares, _ = _answers(answers, states)
         n = len(first) - 1
-        each = np.log10(counts + 1.0) - log_total
-        known = np.bincount(owner, counts > 0, n).astype(np.int64)
-        classes = base.classes_of(hashes, endings)
-        inside = np.where(classes < len(base.words), 0.0, each - log_mass[classes])
-        whole = log_likelihood(model, classes, first) + np.bincount(owner, inside, n)
-        new = [pa.array(np.diff(first)), pa.array(known), pa.array(np.full(n, base.n, np.int64)), pa.array(np.bincount(owner, each, n)), pa.array(whole)]
-        return pa.table([table.column(c) for c in columns] + new, names=[*columns, *(f.name for f in ADDED)])
+        owner = np.repeat(np.arange(n), np.diff(first))
+        each = np.log10((counts + 1.0) / model.total)[words]
+        emit = model.emissions(counts, shares)
+        whole = np.concatenate([log_likelihood(model.start, model.step, emit, words[first[a] : first[b]], first[a : b + 1] - first[a]) for a, b in _chunks(first)])
+        new = [pa.array(np.diff(first)), pa.array(np.bincount(owner, counts[words] > 0, n).astype(np.int64)), pa.array(np.full(n, train_tokens, np.int64)), pa.array(np.bincount(owner, each, n)), pa.array(whole)]
+        return pa.table([texts.column("row"), *new], names=["row", *(f.name for f in ADDED)])
 
     return run

@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.batching import KEY, blobs, dealt, in_order, number_of_batches, number_of_buckets, packed, unpacked
+from cellweave.llm.batching import KEY, blobs, dealt, from_planes, in_order, packed, planes, sizes, table_of, unpacked
 from cellweave.llm.components import connected
 from cellweave.llm.durable import saved
 from cellweave.llm.textblock import SPACED, TextBlock, Windows, by_owner, mix
 
 SHINGLE = 3
 PERCENT = 90
-#: Classes in a block of a cluster, and bytes of shingle sets in a bin.
-BLOCK_CLASSES = 4096
+#: Classes and bytes of their sets in a block of a cluster, and bytes of shingle sets in a bin, about.
+BLOCK_CLASSES, BLOCK_BYTES = 4096, 32 << 20
 BIN_BYTES = 16 << 20
 _SENT = f"bucket int, {KEY} int, hashes binary, counts binary"
 _ANSWER = f"{KEY} int, bucket int, codes binary"
@@ -68,21 +68,15 @@ def _edges(cells: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(cells >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _table(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
-
-
-def _sender(words: int, buckets: int, id: str, text: str):
+def _sender(words: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         key = table.column(KEY)[0].as_py()
-        h, _ = shingle_sets(TextBlock(in_order(table, id, text).column(text), SPACED, lower=True), words)
+        h, _ = shingle_sets(TextBlock(in_order(table).column("text"), SPACED, lower=True), words)
         cells, counts = np.unique(_cells(h, buckets), return_counts=True)
         edges = _edges(cells, buckets)
         low = (cells & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        planes = [np.ascontiguousarray(counts[edges[b] : edges[b + 1]].astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes() for b in range(buckets)]
-        return _table([(b, key, packed(low[edges[b] : edges[b + 1]]), planes[b]) for b in range(buckets) if edges[b] < edges[b + 1]], _SENT)
+        at = [(int(b), slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges))]
+        return table_of([(b, key, packed(low[s]), planes(counts[s])) for b, s in at], _SENT)
 
     return run
 
@@ -92,23 +86,23 @@ def _bucket(table: pa.Table) -> pa.Table:
     parts = [unpacked(x).astype(np.uint32) for x in blobs(table.column("hashes"))]
     edges = np.append(0, np.cumsum([len(p) for p in parts]))
     known, which = np.unique(np.concatenate(parts), return_inverse=True)
-    counts = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for x in blobs(table.column("counts"))])
+    counts = np.concatenate([from_planes(x) for x in blobs(table.column("counts"))])
     total = np.zeros(len(known), np.int64)
     np.add.at(total, which, counts)
     codes = np.minimum(255, np.floor(8 * np.log2(total) + 1e-9)).astype(np.uint8)
     bucket = table.column("bucket")[0].as_py()
-    return _table([(key, bucket, codes[which[edges[k] : edges[k + 1]]].tobytes()) for k, key in enumerate(table.column(KEY).to_pylist())], _ANSWER)
+    return table_of([(key, bucket, codes[which[edges[k] : edges[k + 1]]].tobytes()) for k, key in enumerate(table.column(KEY).to_pylist())], _ANSWER)
 
 
-DETAILS = [T.StructField("n_shingles", T.LongType()), T.StructField("_class", T.BinaryType()), T.StructField("_prefix", T.BinaryType()), T.StructField("_set", T.BinaryType())]
+DETAILS = [T.StructField("n_shingles", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("prefix", T.BinaryType()), T.StructField("set", T.BinaryType())]
 
 
-def _detailer(words: int, percent: int, buckets: int, id: str, text: str, columns: list[str]):
-    """Each document's set size; its class, shared prefix shingles and set too, if its prefix has shared shingles."""
+def _detailer(words: int, percent: int, buckets: int):
+    """Each document's set size and class; its shared prefix shingles and set too, if its prefix has shared shingles."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = in_order(table, id, text)
-        h, first = shingle_sets(TextBlock(table.column(text), SPACED, lower=True), words)
+        table = in_order(table)
+        h, first = shingle_sets(TextBlock(table.column("text"), SPACED, lower=True), words)
         cells, which = np.unique(_cells(h, buckets), return_inverse=True)
         edges = _edges(cells, buckets)
         codes = np.zeros(len(cells), np.uint8)
@@ -128,9 +122,9 @@ def _detailer(words: int, percent: int, buckets: int, id: str, text: str, column
         np.add.at(sums[1], owner, mix(h + _MANY))
         classes = np.stack([mix(sums[0] + n.astype(np.uint64)), mix(sums[1] ^ _MANY)], axis=1)
         some = at[1:] > at[:-1]
-        rows = [(classes[k].tobytes(), prefix[at[k] : at[k + 1]].tobytes(), h[first[k] : first[k + 1]].tobytes()) if some[k] else (None,) * 3 for k in range(len(n))]
+        rows = [(classes[k].tobytes() if n[k] else None, *((prefix[at[k] : at[k + 1]].tobytes(), h[first[k] : first[k + 1]].tobytes()) if some[k] else (None, None))) for k in range(len(n))]
         new = [pa.array(n.astype(np.int64))] + [pa.array([r[i] for r in rows], pa.binary()) for i in range(3)]
-        return pa.table([table.column(c) for c in columns] + new, names=[*columns, *(f.name for f in DETAILS)])
+        return pa.table([table.column("row"), table.column("id"), table.column("tie"), *new], names=["row", "id", "tie", *(f.name for f in DETAILS)])
 
     return run
 
@@ -183,7 +177,7 @@ def _links(percent: int):
                             members[x] += members.pop(y)
             for s in shared:
                 index.setdefault(s, []).append(g)
-        return _table(rows, "a binary, b binary")
+        return table_of(rows, "a binary, b binary")
 
     return run
 
@@ -202,7 +196,7 @@ def _joined(dealt_out: DataFrame, bins: int, percent: int) -> DataFrame:
     return binned.select("bin", "class", "prefix", "set", "component").groupBy("bin").applyInArrow(_links(percent), "a binary, b binary")
 
 
-def components(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, text: str = "text", id: str = "doc_id", batches: int | None = None, block_classes: int = BLOCK_CLASSES) -> DataFrame:
+def components(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, text: str = "text", id: str = "doc_id", batches: int | None = None, buckets: int | None = None, block_classes: int = BLOCK_CLASSES) -> DataFrame:
     """The columns of ``docs`` but the text, with n_shingles and component_id.
 
     A document's set holds its distinct shingles of ``words`` words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a shorter text
@@ -211,23 +205,29 @@ def components(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, te
     Rows are told apart by their sets, so repeated rows and ids are allowed. Sets are of 64-bit hashes. New columns replace
     those of their names.
     """
-    own = [c for c in docs.columns if c not in ("n_shingles", "component_id", text)]
-    docs = docs.select(*own, text)
-    n_batches = batches or number_of_batches(docs, text)
-    n_buckets = number_of_buckets(n_batches)
-    keyed = dealt(docs, n_batches, id)
-    sent = keyed.groupBy(KEY).applyInArrow(_sender(words, n_buckets, id, text), _SENT)
+    kept = [c for c in docs.columns if c not in ("n_shingles", "component_id", text)]
+    found = detailed_components(docs.select(*[f"`{c}`" for c in (*kept, text)]), words, percent, text, id, batches, buckets, block_classes)
+    return found.select(*[F.col("row")[c].alias(c) for c in kept], "n_shingles", F.coalesce("least", "id").alias("component_id"))
+
+
+def detailed_components(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, text: str = "text", id: str = "doc_id", batches: int | None = None, buckets: int | None = None, block_classes: int = BLOCK_CLASSES) -> DataFrame:
+    """(row, id, tie, n_shingles, component, least): a row for each document. row: its columns but the text. tie: a hash of
+    its text. component: a key that linked documents share, null for an empty set. least: the smallest id of the component."""
+    size = sizes(docs, text) if batches is None or buckets is None else None
+    n_batches, n_buckets = batches or size.batches, buckets or size.buckets
+    keyed = dealt(docs, n_batches, id, text)
+    sent = keyed.groupBy(KEY).applyInArrow(_sender(words, n_buckets), _SENT)
     answers = sent.groupBy("bucket").applyInArrow(_bucket, _ANSWER)
-    schema = T.StructType([*docs.select(*own).schema.fields, *DETAILS])
-    found = saved(keyed.groupBy(KEY).cogroup(answers.groupBy(KEY)).applyInArrow(_detailer(words, percent, n_buckets, id, text, own), schema))
+    schema = T.StructType([*(keyed.schema[c] for c in ("row", "id", "tie")), *DETAILS])
+    found = saved(keyed.groupBy(KEY).cogroup(answers.groupBy(KEY)).applyInArrow(_detailer(words, percent, n_buckets), schema))
 
     # One row a class. Copies have equal prefixes and sets, so any of them will do; the partial aggregation keeps one a task.
-    classes = saved(found.where("_class is not null").groupBy(F.col("_class").alias("class")).agg(F.first("_prefix").alias("prefix"), F.first("_set").alias("set"), F.min(id).alias("least")))
-    linked = connected(_class_links(classes.select("class", "prefix", "set"), percent, block_classes))
+    classes = saved(found.where("class is not null").groupBy("class").agg(F.first("prefix").alias("prefix"), F.first("set").alias("set"), F.min("id").alias("least")))
+    linked = connected(_class_links(classes.where("prefix is not null").select("class", "prefix", "set"), percent, block_classes))
     of_class = classes.select("class", "least").join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = of_class.select("class", "component").join(least, "component").select(F.col("class").alias("_class"), "component_id")
-    return found.drop("_prefix", "_set").join(of_class, "_class", "left").withColumn("component_id", F.coalesce("component_id", id)).drop("_class")
+    least = of_class.groupBy("component").agg(F.min("least").alias("least"))
+    of_class = of_class.select("class", "component").join(least, "component")
+    return found.drop("prefix", "set").join(of_class, "class", "left").select("row", "id", "tie", "n_shingles", "component", "least")
 
 
 def _class_links(classes: DataFrame, percent: int, block_classes: int) -> DataFrame:
@@ -237,22 +237,25 @@ def _class_links(classes: DataFrame, percent: int, block_classes: int) -> DataFr
     heads = postings.groupBy("shingle").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1").select("shingle", "head")
     clusters = connected(postings.join(heads, "shingle").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct())
     clusters = clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
-    members = saved(clusters.join(sizes, "cluster").join(classes, "class").withColumn("component", F.lit(None).cast("binary")))
-    total = members.agg(F.coalesce(F.sum(F.length("set")), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    with_sets = clusters.join(classes, "class")
+    in_cluster = with_sets.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("set")).alias("bytes")).where("n > 1")
+    # So many blocks that one holds neither too many classes nor too many bytes of their sets.
+    blocks = F.greatest(F.ceil(F.col("n") / block_classes), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    members = saved(with_sets.join(in_cluster.select("cluster", blocks.alias("blocks")), "cluster").withColumn("component", F.lit(None).cast("binary")))
+    total = members.agg(F.coalesce(F.sum(F.length("set")), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(0))).first()
     bins = max(1, -(-total[0] // BIN_BYTES))
-    blocked = lambda seed: members.withColumn("unit", F.struct("cluster", F.pmod(F.xxhash64("class", F.lit(seed)), F.ceil(F.col("n") / block_classes))))
+    blocked = lambda seed: members.withColumn("unit", F.struct("cluster", F.pmod(F.xxhash64("class", F.lit(seed)), F.col("blocks"))))
     links = _joined(blocked(1), bins, percent)
-    if total[1] <= block_classes:
+    if total[1] <= 1:
         return links
-    large = members.where(F.col("n") > block_classes)
-    links = saved(links.union(_joined(blocked(2).where(F.col("n") > block_classes), bins, percent)))
+    large = members.where("blocks > 1")
+    links = saved(links.union(_joined(blocked(2).where("blocks > 1"), bins, percent)))
     now = large.drop("component").join(connected(links).withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     parts = now.groupBy("cluster", "component").agg(F.count("*").alias("in"))
     most = parts.groupBy("cluster").agg(F.max(F.struct("in", "component")).alias("most")).select("cluster", F.col("most.component").alias("largest"))
     now = saved(now.join(most, "cluster").withColumn("apart", F.col("component") != F.col("largest")))
-    apart = now.where("apart").groupBy("cluster").agg(F.count("*").alias("n_apart"))
-    now = now.join(apart, "cluster").withColumn("chunks", F.ceil(F.col("n_apart") / block_classes).cast("int")).withColumn("blocks", F.ceil(F.col("n") / block_classes).cast("int"))
+    apart = now.where("apart").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_classes), F.ceil(F.sum(F.length("set")) / BLOCK_BYTES)).cast("int").alias("chunks"))
+    now = now.join(apart, "cluster")
     # A class apart meets every block in its own chunk; every class meets every chunk in its own block.
     chunk, block = F.pmod(F.xxhash64("class", F.lit(3)), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("class", F.lit(4)), F.col("blocks")).cast("int")
     left = now.where("apart").withColumn("chunk", chunk).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))

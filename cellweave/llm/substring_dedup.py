@@ -1,14 +1,14 @@
 """Exact removal of repeated passages by level-wise doubling.
 
-A window of 2k words can only be repeated if the two windows of k words that make it up are. So windows of a start length
+A window of 2k words can only be repeated if the two windows of k words that make it up are. So windows of a short length
 are looked up first; those found repeated, here or in any other batch, are extended to twice the length as candidates,
-and so on up to the window length asked for, or until no candidates survive. At the last length, each window learns
-whether its words also start earlier.
+and so on up to the window length asked for. A batch stops at the level where none of its candidates survive. At the
+last length, each window learns whether its words also start earlier.
 
-Documents are dealt into batches by id. At each level a batch sends its distinct candidate hashes to hash buckets, packed,
-and gets back which of them are repeated (at the last level: which start earlier elsewhere). All levels and the last
-pass use the same shuffle of the texts. The first level prunes by 32 hash bits within a bucket, so a chance match there
-costs a candidate and no more; the last level decides by 64 bits and the bucket.
+Documents are dealt into batches. At each level a batch sends its distinct candidate hashes to hash buckets, packed, and
+gets back which of them are repeated (at the last level: which start earlier elsewhere). All levels and the last pass use
+the same shuffle of the texts. Levels before the last prune by 32 hash bits within a bucket, so a chance match there
+costs a candidate and no more; the last level decides by 128 bits.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.batching import KEY, blobs, dealt, ids_of, in_order, number_of_batches, number_of_buckets, packed, unpacked
+from cellweave.llm.batching import KEY, blobs, by_bucket, dealt, ids_of, in_order, packed, sizes, table_of, unpacked
 from cellweave.llm.textblock import SPACED, TextBlock, Windows, covered, mix, per_text, running, spans_of
 
 WINDOW = 20
-_SENT = f"bucket int, {KEY} int, hashes binary, places binary, ids binary, counts binary"
+_SENT = f"bucket int, {KEY} int, hashes binary, others binary, places binary, ids binary, ties binary, counts binary"
 _ANSWER = f"{KEY} int, bucket int, found binary"
+_OTHER = 0x9FB21C651E98DF25
 
 
 def levels(window: int, start: int) -> list[int]:
@@ -38,10 +39,11 @@ def levels(window: int, start: int) -> list[int]:
 class Batch:
     """A batch's words and window hashes."""
 
-    def __init__(self, table: pa.Table, id: str, text: str):
-        self.table = in_order(table, id, text)
-        self.block = TextBlock(self.table.column(text), SPACED)
-        self.windows = Windows(self.block.word_hashes())
+    def __init__(self, table: pa.Table):
+        self.table = in_order(table)
+        self.block = TextBlock(self.table.column("text"), SPACED)
+        words = self.block.word_hashes()
+        self.windows, self.others = Windows(words), Windows(words, _OTHER)
         self.room = self.block.room()
 
     def places(self, length: int) -> np.ndarray:
@@ -50,18 +52,17 @@ class Batch:
     def hashes(self, length: int, places: np.ndarray) -> np.ndarray:
         return mix(self.windows.of(length)[places])
 
-    def cells(self, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """First level: all windows with (bucket << 32 | 32 hash bits)."""
-        places = self.places(length)
+    def cells(self, length: int, places: np.ndarray, buckets: int) -> np.ndarray:
+        """(bucket << 32 | 32 hash bits) of windows, for the levels before the last."""
         h = self.hashes(length, places)
-        return places, ((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
+        return ((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
 
-    def repeated_at_first(self, length: int, buckets: int, answers: dict[int, bytes]) -> np.ndarray:
-        places, cells = self.cells(length, buckets)
-        known, which, n = np.unique(cells, return_inverse=True, return_counts=True)
+    def repeated_at_first(self, length: int, buckets: int, answers: dict[int, list]) -> np.ndarray:
+        places = self.places(length)
+        known, which, n = np.unique(self.cells(length, places, buckets), return_inverse=True, return_counts=True)
         again = n > 1
         edges = np.searchsorted(known >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-        for b, bits in answers.items():
+        for b, (bits,) in answers.items():
             a, z = edges[b], edges[b + 1]
             again[a:z] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=int(z - a)).astype(bool)
         mask = np.zeros(self.block.words, bool)
@@ -81,7 +82,7 @@ class Batch:
     def repeated(self, steps: list[int], level: int, buckets: int, answers: dict[int, list]) -> np.ndarray:
         """Windows of ``steps[level]`` words that are repeated here or elsewhere, by the answers at that level."""
         if level == 0:
-            return self.repeated_at_first(steps[0], buckets, {b: found[0] for b, found in answers.items()})
+            return self.repeated_at_first(steps[0], buckets, answers)
         mask = self.own_repeats(steps[level], True)
         for found in answers.values():
             for x in found:
@@ -96,140 +97,145 @@ def _answers(table: pa.Table) -> dict[int, list]:
     return out
 
 
-def _table(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = [(x.split()[0], pa.int32() if x.endswith("int") else pa.binary()) for x in schema.split(", ")]
-    return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, start: int | None = None, text: str = "text", id: str = "doc_id", batches: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, start: int | None = None, text: str = "text", id: str = "doc_id", batches: int | None = None, buckets: int | None = None) -> DataFrame:
     """The columns of ``docs`` with n_words, n_removed, kept_text and removed_spans (word positions).
 
     A word ``[^\\x20\\x09-\\x0D]+`` is removed if a window of ``window`` consecutive words of its document covers it whose
     word sequence also starts earlier: in a document of smaller id, or earlier in the same one. Windows are judged on the
     input, not on what is left. kept_text: the other words joined by one space. A null or empty text has no words and an
-    empty kept_text. Ids are whole numbers; null comes before all; rows that share an id are ordered by text, so of two
-    equal rows one keeps its words. New columns replace those of their names. start: the first level (half the window).
+    empty kept_text. Ids are whole numbers; null comes before all; rows that share an id are ordered by Spark's xxhash64 of
+    their texts, so of two equal rows one keeps its words. Only rows equal in id and text are sure to share a task. New
+    columns replace those of their names. start: the first level (a quarter of the window).
     """
     names = ["n_words", "n_removed", "kept_text", "removed_spans"]
-    docs = docs.drop(*names, KEY)
-    n_batches = batches or number_of_batches(docs, text)
-    n_buckets = number_of_buckets(n_batches)
-    keyed = dealt(docs, n_batches, id)
-    steps = levels(window, start or -(-window // 2))
+    docs = docs.drop(*names)
+    steps = levels(window, start or -(-window // 4))
     if len(steps) == 1:
         raise ValueError("the window must be longer than the start length")
-    answers = None
-    for level in range(len(steps)):
-        if answers is None:
-            sent = keyed.groupBy(KEY).applyInArrow(_first_sender(steps, n_buckets, id, text), _SENT)
-            answers = sent.groupBy("bucket").applyInArrow(_first_bucket, _ANSWER)
-        else:
-            last = level == len(steps) - 1
-            sent = keyed.groupBy(KEY).cogroup(answers.groupBy(KEY)).applyInArrow(_sender(steps, level, n_buckets, id, text, last), _SENT)
-            answers = sent.groupBy("bucket").applyInArrow(_last_bucket if last else _middle_bucket, _ANSWER)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    return keyed.groupBy(KEY).cogroup(answers.groupBy(KEY)).applyInArrow(_remover(window, id, text, docs.columns), schema)
-
-
-def _first_sender(steps: list[int], buckets: int, id: str, text: str):
+    size = sizes(docs, text) if batches is None or buckets is None else None
+    n_batches, n_buckets = batches or size.batches, buckets or size.buckets
+    keyed = dealt(docs, n_batches, id, text)
+    sent = keyed.groupBy(KEY).applyInArrow(_first_sender(steps, n_buckets), _SENT)
+    answers = sent.groupBy("bucket").applyInArrow(_first_bucket, _ANSWER)
+    for level in range(1, len(steps)):
+        last = level == len(steps) - 1
+        sent = keyed.groupBy(KEY).cogroup(answers.groupBy(KEY)).applyInArrow(_sender(steps, level, n_buckets, last), _SENT)
+        answers = sent.groupBy("bucket").applyInArrow(_last_bucket if last else _middle_bucket, _ANSWER)
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
+    schema = T.StructType([*(keyed.schema[c] for c in ("row", "text")), *added])
+    found = keyed.groupBy(KEY).cogroup(answers.groupBy(KEY)).applyInArrow(_remover(window), schema)
+    return found.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns], *names)
+
+
+def _first_sender(steps: list[int], buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        batch, key = Batch(table, id, text), table.column(KEY)[0].as_py()
-        known = np.unique(batch.cells(steps[0], buckets)[1])
-        edges = np.searchsorted(known >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-        bits = (known & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        return _table([(b, key, packed(bits[edges[b] : edges[b + 1]]), None, None, None) for b in range(buckets) if edges[b] < edges[b + 1]], _SENT)
+        batch, key = Batch(table), table.column(KEY)[0].as_py()
+        known = np.unique(batch.cells(steps[0], batch.places(steps[0]), buckets))
+        return table_of(_of_cells(known, buckets, key), _SENT)
 
     return run
 
 
+def _of_cells(cells: np.ndarray, buckets: int, key: int, places: np.ndarray | None = None) -> list[tuple]:
+    """A row for each bucket of ascending cells, with the windows' places if they are given."""
+    edges = np.searchsorted(cells >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    bits = (cells & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = [(int(b), slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges))]
+    return [(b, key, packed(bits[s]), None, None if places is None else places[s].astype(np.uint32).tobytes(), None, None, None) for b, s in at]
+
+
 def _first_bucket(table: pa.Table) -> pa.Table:
     """For each batch, a bit for each hash that it sent: some other batch sent it too."""
     parts = [unpacked(x).astype(np.uint32) for x in blobs(table.column("hashes"))]
-    edges = np.append(0, np.cumsum([len(p) for p in parts]))
-    whole = np.concatenate(parts)
-    whole.sort()
-    shared = np.unique(whole[1:][whole[1:] == whole[:-1]])
-    del whole
+    shared = _shared(parts)
     bucket = table.column("bucket")[0].as_py()
     rows = []
     for key, part in zip(table.column(KEY).to_pylist(), parts):
-        found = np.isin(part, shared, assume_unique=True)
+        found = np.isin(part, shared)
         if found.any():
             rows.append((key, bucket, np.packbits(found).tobytes()))
-    return _table(rows, _ANSWER)
+    return table_of(rows, _ANSWER)
+
+
+def _shared(parts: list[np.ndarray]) -> np.ndarray:
+    """Values of more than one of these ascending arrays."""
+    whole = np.concatenate([p[np.append(True, p[1:] != p[:-1])[: len(p)]] for p in parts])
+    whole.sort()
+    return np.unique(whole[1:][whole[1:] == whole[:-1]])
 
 
-def _sender(steps: list[int], level: int, buckets: int, id: str, text: str, last: bool):
+def _sender(steps: list[int], level: int, buckets: int, last: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _table([], _SENT)
-        batch, key = Batch(table, id, text), table.column(KEY)[0].as_py()
+            return table_of([], _SENT)
+        batch, key = Batch(table), table.column(KEY)[0].as_py()
         length, shorter = steps[level], steps[level - 1]
         repeated = batch.repeated(steps, level - 1, buckets, _answers(answers))
+        if not repeated.any():
+            return table_of([], _SENT)
         candidates = batch.places(length)
         candidates = candidates[repeated[candidates] & repeated[candidates + length - shorter]]
-        h = batch.hashes(length, candidates)
-        h, at = np.unique(h, return_index=True)
+        h, at = np.unique(batch.hashes(length, candidates), return_index=True)
+        if not last:
+            # Each distinct window keeps its place, also where its cell is another's too.
+            cells = batch.cells(length, candidates[at], buckets)
+            order = np.argsort(cells, kind="stable")
+            return table_of(_of_cells(cells[order], buckets, key, candidates[at[order]]), _SENT)
         order = np.argsort(at)
         h, at = h[order], candidates[at[order]]
-        bucket = (mix(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
-        owner = ids_of(batch.table, id)[np.searchsorted(batch.block.first, at, side="right") - 1] if last else None
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        other = mix(batch.others.of(length)[at])
+        text = np.searchsorted(batch.block.first, at, side="right") - 1
+        ids, ties = ids_of(batch.table)[text], batch.table.column("tie").to_numpy()[text]
         rows = []
-        for b in range(buckets):
-            mine = order[edges[b] : edges[b + 1]]
-            if len(mine):
-                ids = counts = None
-                if last:
-                    own = owner[mine]
-                    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    ids, counts = own[starts].tobytes(), np.diff(np.append(starts, len(own))).astype(np.uint32).tobytes()
-                rows.append((b, key, h[mine].tobytes(), packed(at[mine]), ids, counts))
-        return _table(rows, _SENT)
+        for b, mine in by_bucket((mix(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64), buckets):
+            own = text[mine]
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            counts = np.diff(np.append(starts, len(own))).astype(np.uint32)
+            rows.append((b, key, h[mine].tobytes(), other[mine].tobytes(), packed(at[mine]), ids[mine][starts].tobytes(), ties[mine][starts].tobytes(), counts.tobytes()))
+        return table_of(rows, _SENT)
 
     return run
 
 
-def _bucket_answers(table: pa.Table, chosen) -> pa.Table:
-    parts = [np.frombuffer(x, np.uint64) for x in blobs(table.column("hashes"))]
+def _middle_bucket(table: pa.Table) -> pa.Table:
+    """For each batch, the places of windows that other batches hold too."""
+    parts = [unpacked(x).astype(np.uint32) for x in blobs(table.column("hashes"))]
+    shared = _shared(parts)
+    bucket = table.column("bucket")[0].as_py()
+    rows = []
+    for key, part, places in zip(table.column(KEY).to_pylist(), parts, blobs(table.column("places"))):
+        found = np.isin(part, shared)
+        if found.any():
+            rows.append((key, bucket, packed(np.sort(np.frombuffer(places, np.uint32)[found]))))
+    return table_of(rows, _ANSWER)
+
+
+def _last_bucket(table: pa.Table) -> pa.Table:
+    """For each batch, the places of windows that an earlier document of another batch holds too."""
+    column = lambda name, kind: [np.frombuffer(x, kind) for x in blobs(table.column(name))]
+    parts, counts = column("hashes", np.uint64), column("counts", np.uint32)
+    whole, other = np.concatenate(parts), np.concatenate(column("others", np.uint64))
+    ids = np.concatenate([np.repeat(x, n) for x, n in zip(column("ids", np.int64), counts)])
+    ties = np.concatenate([np.repeat(x, n) for x, n in zip(column("ties", np.int64), counts)])
+    order = np.lexsort((ties, ids, other, whole))
+    new = np.ones(len(order), bool)
+    new[1:] = (whole[order][1:] != whole[order][:-1]) | (other[order][1:] != other[order][:-1])
+    least = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = np.empty(len(order), bool)
+    later[order] = (ids[order] != ids[least]) | (ties[order] != ties[least])
     edges = np.append(0, np.cumsum([len(p) for p in parts]))
-    found = chosen(np.concatenate(parts))
     bucket = table.column("bucket")[0].as_py()
     rows = []
     for k, (key, places) in enumerate(zip(table.column(KEY).to_pylist(), blobs(table.column("places")))):
-        mine = found[edges[k] : edges[k + 1]]
+        mine = later[edges[k] : edges[k + 1]]
         if mine.any():
             rows.append((key, bucket, packed(unpacked(places)[mine])))
-    return _table(rows, _ANSWER)
-
-
-def _middle_bucket(table: pa.Table) -> pa.Table:
-    """For each batch, the places of windows that other batches hold too."""
-
-    def chosen(hashes: np.ndarray) -> np.ndarray:
-        _, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
-        return n[which] > 1
-
-    return _bucket_answers(table, chosen)
-
-
-def _last_bucket(table: pa.Table) -> pa.Table:
-    """For each batch, the places of windows that a document of smaller id holds too."""
-    owner = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.uint32)) for i, n in zip(blobs(table.column("ids")), blobs(table.column("counts")))])
-
-    def chosen(hashes: np.ndarray) -> np.ndarray:
-        known, which = np.unique(hashes, return_inverse=True)
-        least = np.full(len(known), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, owner)
-        return owner > least[which]
-
-    return _bucket_answers(table, chosen)
+    return table_of(rows, _ANSWER)
 
 
-def _remover(window: int, id: str, text: str, columns: list[str]):
+def _remover(window: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        batch = Batch(table, id, text)
+        batch = Batch(table)
         block = batch.block
         later = batch.own_repeats(window, False)
         for found in blobs(answers.column("found")):
@@ -239,7 +245,7 @@ def _remover(window: int, id: str, text: str, columns: list[str]):
         base = np.repeat(block.first[:-1], np.diff(at))
         spans = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base)], names=["start", "end"]))
         new = [pa.array(block.counts, pa.int64()), pa.array(per_text(gone, block.first)), kept_text(block, ~gone), spans]
-        return pa.table([batch.table.column(c) for c in columns] + new, names=[*columns, "n_words", "n_removed", "kept_text", "removed_spans"])
+        return pa.table([batch.table.column("row"), batch.table.column("text"), *new], names=["row", "text", "n_words", "n_removed", "kept_text", "removed_spans"])
 
     return run
 

@@ -150,10 +150,10 @@ class TextBlock:
 
 
 class Windows:
-    """Hashes of word windows by doubling: a window of 2k is made of two of k."""
+    """Hashes of word windows by doubling: a window of 2k is made of two of k. ``step``: another gives other hashes."""
 
-    def __init__(self, words: np.ndarray):
-        self.known = {1: words}
+    def __init__(self, words: np.ndarray, step: int = int(_STEP)):
+        self.known, self.step = {1: words}, step
 
     def of(self, length: int) -> np.ndarray:
         """Unmixed hash of the window that starts at each word (those beyond the end run into zeros)."""
@@ -162,7 +162,7 @@ class Windows:
             left, right = self.of(length - half), self.of(half)
             moved = np.zeros_like(right)
             moved[: max(0, len(right) - (length - half))] = right[length - half :]
-            factor = np.uint64(pow(int(_STEP), length - half, 1 << 64))
+            factor = np.uint64(pow(self.step, length - half, 1 << 64))
             self.known[length] = left + moved * factor
         return self.known[length]
 

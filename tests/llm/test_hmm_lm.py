@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from cellweave.llm import hmm_lm, queries
 
@@ -29,23 +30,85 @@ def base(rows):
 def test_recursions_against_enumeration():
     rng = np.random.default_rng(1)
     k, c = 3, 5
-    model = hmm_lm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(c), k).T)
-    sequences = [rng.integers(0, c, n) for n in (4, 1, 3)]
-    first, classes = np.append(0, np.cumsum([len(s) for s in sequences])), np.concatenate(sequences)
-    found = hmm_lm.Counts(c, k)
-    found.add(model, classes, first)
-    want = hmm_lm.Counts(c, k)
-    for s, logp in zip(sequences, hmm_lm.log_likelihood(model, classes, first)):
-        paths = {z: model.start[z[0]] * np.prod([model.emit[x, y] for x, y in zip(s, z)]) * np.prod([model.step[a, b] for a, b in zip(z, z[1:])]) for z in itertools.product(range(k), repeat=len(s))}
+    start, step, emit = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(c), k).T
+    sequences = [rng.integers(0, c, n) for n in (4, 1, 0, 3)]
+    first, words = np.append(0, np.cumsum([len(s) for s in sequences])), np.concatenate(sequences)
+    of_words, starts, steps, log10 = hmm_lm.expected(start, step, emit, words, first)
+    want = [np.zeros((c, k)), np.zeros(k), np.zeros((k, k))]
+    logs = hmm_lm.log_likelihood(start, step, emit, words, first)
+    for s, logp in zip(sequences, logs):
+        paths = {z: start[z[0]] * np.prod([emit[x, y] for x, y in zip(s, z)]) * np.prod([step[a, b] for a, b in zip(z, z[1:])]) for z in itertools.product(range(k), repeat=len(s)) if z}
         total = sum(paths.values())
-        assert np.isclose(np.log10(total), logp)
+        assert np.isclose(np.log10(total), logp) if len(s) else logp == 0
         for z, p in paths.items():
-            want.start[z[0]] += p / total
+            want[1][z[0]] += p / total
             for x, y in zip(s, z):
-                want.emit[x, y] += p / total
+                want[0][x, y] += p / total
             for a, b in zip(z, z[1:]):
-                want.step[a, b] += p / total
-    assert np.allclose(found.emit, want.emit) and np.allclose(found.step, want.step) and np.allclose(found.start, want.start)
+                want[2][a, b] += p / total
+    assert np.allclose(of_words, want[0]) and np.allclose(starts, want[1]) and np.allclose(steps, want[2]) and np.isclose(log10, logs.sum())
+
+
+def plain(rows, states, passes):
+    """The operator in plain Python: dictionaries of words, one text after the other, nothing packed or rounded."""
+    from cellweave.llm.textblock import SPACED, TextBlock
+
+    used = [t for _, t, train in rows if train]
+    block = TextBlock(pa.array([t or "" for t in used]), SPACED, lower=True)
+    x = hmm_lm.endings(block)
+    kinds = hmm_lm.Kinds(len(x), x.sum(0), x.T @ x, states).of(block)
+    counts = Counter(w for t in used for w in tokens(t))
+    found = {w: np.zeros(states) for w in counts}
+    for t, z in zip(used, kinds):
+        for w in tokens(t):
+            found[w][z] += 1
+    n, v = sum(counts.values()), len(counts)
+    of_state = sum(found.values())
+    sums = hmm_lm.Sums.none(states)
+    sums.steps[:], sums.starts[:] = (np.eye(states) * 0.85 + 0.15 / states) * of_state[:, None], of_state / n
+
+    def emission(w):
+        words_of = sum(x / x.sum() for x in found.values())
+        size = np.where(of_state > 0, of_state, 1)
+        own = found[w] / counts[w] * (counts[w] - hmm_lm.DISCOUNT) / size if w in counts else 0
+        spared = np.where(of_state > 0, hmm_lm.DISCOUNT * words_of / size, 1)  # a state without tokens follows the base
+        return own + spared * (0.5 * (counts[w] + 1) / (n + v + 1) + 0.5 / (v + 1))
+
+    def model():
+        return (sums.starts + 1) / (sums.starts + 1).sum(), (sums.steps + 1) / (sums.steps + 1).sum(1, keepdims=True), {w: emission(w) for w in {w for _, t, _ in rows for w in tokens(t)}}
+
+    for _ in range(passes):
+        start, step, emit = model()
+        new = hmm_lm.Sums.none(states)
+        found = {w: np.zeros(states) for w in counts}
+        for t in used:
+            words = tokens(t)
+            local = np.stack([emit[w] for w in words])
+            of_words, starts, steps, _ = hmm_lm.expected(start, step, local, np.arange(len(words)), np.array([0, len(words)]))
+            for w, x in zip(words, of_words):
+                found[w] += x
+            new.starts += starts
+            new.steps += steps
+        sums, of_state = new, sum(found.values())
+    start, step, emit = model()
+    out = []
+    for i, t, _ in rows:
+        words = tokens(t)
+        out.append((i, float(hmm_lm.log_likelihood(start, step, np.stack([emit[w] for w in words]), np.arange(len(words)), np.array([0, len(words)]))[0])))
+    return out
+
+
+def test_against_plain_version_at_any_number_of_batches(spark):
+    rng = np.random.default_rng(3)
+    topics = [[f"{a}{k}{e}" for k in range(40)] for a, e in (("x", "en"), ("y", "os"), ("z", "ul"))]
+    rows = [(k, " ".join(rng.choice(topics[k % 3], 30)) + (f" rare{k}" if k % 4 else ""), k % 5 != 0) for k in range(90)]
+    want = plain(rows, 4, 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    for parts, buckets in ((1, 1), (3, 2), (7, 5)):
+        size = hmm_lm.Sizes(1 << 20)
+        size.buckets = buckets
+        found = {r.doc_id: r.score for r in hmm_lm.score(df.repartitionByRange(parts, "doc_id"), "train", states=4, passes=2, tolerance=-1.0, size=size).collect()}
+        assert all(abs(found[i] - x) < 0.005 * abs(x) for i, x in want)
 
 
 def test_query(spark):
@@ -58,64 +121,41 @@ def test_query(spark):
 
 def test_edges(spark):
     rows = [(1, "A b  b\n", True), (2, None, True), (3, "", False), (None, "zz a", None), (4, "b " * 9000, True), (4, "b " * 9000, True)]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, train boolean, score int")
-    for batches in (1, 3):
-        found = hmm_lm.score(df, "train", batches=batches).collect()
+    df = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], "doc_id long, text string, train boolean, score int, bucket string, batch int")
+    for parts in (1, 3):
+        found = hmm_lm.score(df.repartition(parts), "train").collect()
         assert sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found) == sorted((i or 0, *rest) for i, *rest in base(rows))
-        assert all(math.isfinite(r.score) and r.score <= 0 for r in found)
-    assert {r.base_score for r in hmm_lm.score(df.withColumn("train", df.train & False), "train").collect()} == {0.0}
+        assert all(math.isfinite(r.score) and r.score <= 0 and (r.bucket, r.batch) == ("k", 2) for r in found)
+    none = hmm_lm.score(df.withColumn("train", df.train & False), "train").collect()
+    assert {(r.base_score, round(r.score, 9)) for r in none} == {(0.0, 0.0)}
     assert hmm_lm.score(df.limit(0), "train").count() == 0
 
 
 def test_probabilities_sum_to_one():
-    """Over all words, an unknown one a class included, a state's emissions sum to one."""
-    words, counts, endings = np.array([3, 9, 11, 20], np.uint64), np.array([7, 5, 2, 1]), np.array([1, 1, 2, 3], np.uint16)
-    by_ending = np.zeros(hmm_lm.ENDINGS, np.int64)
-    np.add.at(by_ending, endings, counts + 1)
-    base = hmm_lm.Base(15, 4, words[:2], counts[:2], endings[:2], by_ending)
-    model = hmm_lm.start_values([base.classes_of(words, endings)], base, 2)
-    total = 0.0
-    for h, c, e in [*zip(words, counts, endings), *((np.uint64(100 + k), 0, k) for k in range(hmm_lm.ENDINGS))]:
-        k = base.classes_of(np.array([h], np.uint64), np.array([e], np.uint16))[0]
-        total += model.emit[k, 0] * (1.0 if k < 2 else (c + 1) / base.total / base.mass[k])
-    assert np.isclose(total, 1.0)
-
-
-def test_every_repeated_word_has_its_own_class(spark, monkeypatch):
-    n, found = 40000, {}
-    words = [f"{k:x}q" for k in range(n)]
-    rows = [(d, " ".join(words[d::40]) + (" rare" if d < 2 else ""), True) for d in range(40)] * hmm_lm.LEAST_COUNT
-    start = hmm_lm._start_model
-
-    def spy(train, base, *rest):
-        found["base"] = base
-        return start(train, base, *rest)
-
-    monkeypatch.setattr(hmm_lm, "_start_model", spy)
-    monkeypatch.setattr(hmm_lm, "START_ROUNDS", 1)
-    # "rare" is in 2 documents of 5 copies; words of fewer than 5 occurrences keep the class of their ending.
-    rows += [(99, "seldom seldom", True)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
-    scored = hmm_lm.score(df, "train", passes=1, batches=3).collect()
-    assert len(found["base"].words) == n + 2  # with "rare" and the end
-    assert all(math.isfinite(r.score) for r in scored)
-    total = found["base"].total
-    assert np.isclose(np.sort(found["base"].mass[: n + 2])[0], (hmm_lm.LEAST_COUNT + 1) / total)
-
-
-def test_sums_of_a_pass(spark):
-    """The tasks' sums, sent by class, add up to one forward-backward over all texts."""
-    texts = ["a b c a", "b b", "c a", "d", "", "a d e"]
-    words = [hmm_lm.tokens(hmm_lm.TextBlock(hmm_lm.pa.array([t]), hmm_lm.SPACED, lower=True)) for t in texts]
-    hashes, endings = np.concatenate([w[0] for w in words]), np.concatenate([w[1] for w in words])
-    own, at, counts = np.unique(hashes, return_index=True, return_counts=True)
-    by_ending = np.zeros(hmm_lm.ENDINGS, np.int64)
-    np.add.at(by_ending, endings[at], counts + 1)
-    base = hmm_lm.Base(len(hashes), len(own), own[:4], counts[:4], endings[at][:4], by_ending)
-    classes, first = base.classes_of(hashes, endings), np.append(0, np.cumsum([len(w[0]) for w in words]))
-    model = hmm_lm.start_values([classes], base, 3)
-    want = hmm_lm.Counts(base.classes, 3)
-    want.add(model, classes, first)
-    want = hmm_lm.Model.of(want, base)
-    found = hmm_lm._pass(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), base, model, "text")
-    assert all(np.allclose(getattr(found, k), getattr(want, k), rtol=1e-5) for k in ("start", "step", "emit"))
+    """Over all training words and one unknown, a state's emissions sum to one; bytes lose little of the shares."""
+    rng = np.random.default_rng(2)
+    counts, shares = rng.integers(1, 50, 200), rng.dirichlet(np.ones(3) * 0.2, 200)
+    sent = hmm_lm.from_bytes(hmm_lm.to_bytes(shares).tobytes(), 3)
+    assert np.abs(sent - shares).max() < 0.01
+    sums = hmm_lm.Sums.none(3)
+    sums.vector[2:4] = 200, counts.sum()
+    sums.of_state[:], sums.words_of[:] = counts @ sent, sent.sum(0)
+    emit = hmm_lm.Model(sums).emissions(np.append(counts, 0), np.vstack([sent, np.zeros(3)]))
+    assert np.allclose(emit.sum(0), 1)
+
+
+def test_a_batch_is_coded_and_back():
+    rng = np.random.default_rng(4)
+    for n in (1, 70000):
+        place, own, sizes = rng.permutation(n), rng.integers(0, n, 100), np.array([0, 60, 40])
+        words, first, used = hmm_lm.uncoded(hmm_lm.coded(own, place, np.append(0, np.cumsum(sizes)), np.array([True, False, True])))
+        assert (words == place[own]).all() and first.tolist() == [0, 0, 60, 100] and used.tolist() == [True, False, True]
+
+
+def test_rounds_end_by_likelihood(spark, monkeypatch):
+    rounds = []
+    learner = hmm_lm._learner
+    monkeypatch.setattr(hmm_lm, "_learner", lambda *a: rounds.append(1) or learner(*a))
+    df = spark.createDataFrame([(k, "a b c d " * 5, True) for k in range(10)], "doc_id long, text string, train boolean")
+    hmm_lm.score(df, "train").count()
+    assert 1 < len(rounds) < hmm_lm.PASSES

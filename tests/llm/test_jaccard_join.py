@@ -49,15 +49,29 @@ def made(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("words,percent,batches,block", [(3, 90, 1, 4096), (3, 90, 6, 4096), (2, 80, 3, 7), (3, 70, 4, 5)])
+@pytest.mark.parametrize("words,percent,batches,block", [(3, 90, 1, 4096), (5, 80, 6, 4096), (2, 80, 3, 7), (3, 70, 4, 5)])
 def test_against_brute_force(spark, words, percent, batches, block):
     rows = [*made(160, words + percent), (None, None), (900, ""), (901, "A b"), (902, "a B"), (902, "a b"), (903, "a"), (None, "q r s t"), (None, "q r s t"), (904, "x " * 4000)]
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, component_id string")
-    found = jaccard_join.components(df, words, percent, batches=batches, block_classes=block).collect()
+    found = jaccard_join.components(df, words, percent, batches=batches, buckets=3, block_classes=block).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] is None, r[2] or 0)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=key) == sorted(expected(rows, words, percent), key=key)
 
 
+def test_helper_names_are_free(spark):
+    df = spark.createDataFrame([(77, "a b c", 1, b"x", "t"), (88, "A b c", 2, b"y", "u")], "doc_id long, text string, batch int, class binary, row string")
+    found = jaccard_join.components(df).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.batch, bytes(r["class"]), r.row, r.component_id) for r in found] == [(77, 1, b"x", "t", 77), (88, 2, b"y", "u", 77)]
+
+
+def test_bytes_bound_blocks(spark, monkeypatch):
+    """Blocks by bytes find the same components as blocks by number."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 2000)
+    rows = made(120, 11)
+    found = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 70, batches=2, buckets=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(expected(rows, 3, 70))
+
+
 def test_empty(spark):
     assert jaccard_join.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
