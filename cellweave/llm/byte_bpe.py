@@ -6,7 +6,10 @@ lowest-rank merge of the rank file. Normalisation is the identity, with no dummy
 
 Text is first cut by the vocabulary's pattern. Cuts never depend on what lies beyond a space that follows a
 character other than white space, so the text is divided there and each distinct division is encoded once a worker
-(a cache of bounded size); repeated words then cost one look-up.
+(a cache bounded in entries and their length); repeated words then cost one look-up. That rule is the shipped pattern's; a
+text of any other pattern is one division.
+
+Decoding is the inverse mapping: the pieces' characters, put together, are looked up as bytes.
 """
 
 from __future__ import annotations
@@ -19,15 +22,18 @@ import struct
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cellweave.llm.textblock import slices
 
-#: Divisions remembered by a worker; beyond that the memory starts anew. Results don't depend on it.
-CACHE_ENTRIES = 150_000
+#: Divisions remembered by a worker, beyond which the memory starts anew, and characters of the longest one remembered.
+#: Results don't depend on it.
+CACHE_ENTRIES, CACHE_LENGTH = 150_000, 64
 _LATE_SPACE = re.compile(r"\s ")
 
 
@@ -80,9 +86,13 @@ class Codec:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
         self.rank_of_piece = [-1, *sorted(ranks.values())]
         self.whole = {t.decode(): (r,) for t, r in ranks.items() if _is_text(t)}
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.cut = regex.compile(pattern).findall
-        self.shown = dict(enumerate(byte_characters()))
+        self.divide = divisions if pattern == public_tokenizers.PATTERN else lambda text: [text] if text else []
+        characters = byte_characters()
+        self.shown = dict(enumerate(characters))
+        self.piece_of = {r: self.pieces.id_to_piece(k) for k, r in enumerate(self.rank_of_piece) if k}
+        self.byte_of = np.zeros(0x200, np.uint8)
+        self.byte_of[[ord(c) for c in characters]] = np.arange(256)
         self.space = self.shown[0x20]
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -102,20 +112,31 @@ class Codec:
         return {x: ids[parts[0]] if len(parts) == 1 else sum(map(ids.__getitem__, parts), ()) if len(parts) < 9 else tuple(chain.from_iterable(map(ids.__getitem__, parts))) for x, parts in zip(new, cuts)}
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        rows = [divisions(x) for x in texts]
+        rows = list(map(self.divide, texts))
         needed = set(chain.from_iterable(rows))
         if len(self.known) > CACHE_ENTRIES:
             self.known = {x: self.known[x] for x in needed if x in self.known}
-        self.known.update(self._learn(list(needed.difference(self.known))))
+        new = self._learn(list(needed.difference(self.known)))
+        self.known.update(new)
         ids = self.known.__getitem__
-        return [list(chain.from_iterable(map(ids, row))) for row in rows]
+        found = [list(chain.from_iterable(map(ids, row))) for row in rows]
+        for x in new:
+            if len(x) > CACHE_LENGTH:
+                del self.known[x]
+        return found
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
+    def decode_all(self, rows: list) -> pa.Array:
+        """The bytes that each row of ids stands for; an id outside the vocabulary is an error (KeyError)."""
+        pieces = ["".join(map(self.piece_of.__getitem__, row)) for row in rows]
+        characters = np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16)
+        at = np.append(0, np.cumsum(list(map(len, pieces)))).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(self.byte_of[characters].tobytes())])
+
     def decode(self, ids) -> bytes:
-        """The bytes that the ids stand for; an id outside the vocabulary is an error (KeyError)."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_all([ids])[0].as_py()
 
 
 def _is_text(token: bytes) -> bool:
@@ -173,7 +194,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         flat = np.fromiter(chain.from_iterable(found), np.int32, int(at[-1]))
         new = [pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
         if decoded:
-            new.append(pa.array([codec(path, pattern).decode(x) for x in found], pa.binary()))
+            new.append(codec(path, pattern).decode_all(found))
         return pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
     def run(batches):
@@ -195,8 +216,8 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: st
     def run(batches):
         tool = codec(path, pattern)
         for batch in batches:
-            rows = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            new = pa.array([None if x is None else tool.decode(x) for x in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, new], names=schema.names)
+            column = batch.column(batch.schema.get_field_index(ids))
+            new = tool.decode_all([x or [] for x in column.to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(column.is_null(), None, new)], names=schema.names)
 
     return df.mapInArrow(run, schema)

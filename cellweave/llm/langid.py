@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.llm.textblock import slices, string_buffer
 
-#: Texts of each language to train on, as an expectation: rows are taken by a hash of their text.
+#: Texts of each language to train on at most: those whose ids' hashes are the least.
 TRAIN_PER_LANGUAGE = 600
 DIMENSIONS = 1 << 12
 UNDETERMINED = "und"
@@ -94,26 +94,31 @@ class Model:
         return self.languages[best], float(share), bool(1 / (1 + second) < AMBIGUOUS_BELOW)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, id: str = "doc_id") -> Model | None:
     """A model of the languages that ``lang`` names, or None without any row that has a language and a text with a letter.
 
-    About ``per_language`` texts of each language are used, all of a rarer one: rows whose text's hash is low enough. Only
-    their features reach the driver.
+    At most ``per_language`` texts of each language are used, all of a rarer one. Only their features reach the driver.
+    Repeated rows count as often as they are there, so a text may hold no larger part of the sample than of its language.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = docs.where(F.col(lang).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id).alias("id"))
     sizes = {r.lang: r.n for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])[F.col("lang")]
-    chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
+    # By the hash first, to about twice the limit; the rank is taken after texts have become features.
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, (2 * per_language + 100) / n))])[F.col("lang")]
+    order = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20))
+    chosen = rows.withColumn("place", order).where(F.col("place") < share * (1 << 20)).select("lang", "text", "place")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             data, at = string_buffer(batch.column(1))
             found = [features(data[at[k] : at[k + 1]]).astype(np.float16).tobytes() for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["lang", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["lang", "features", "place"])
 
-    found = [(r.lang, np.frombuffer(r.features, np.float16).astype(np.float32)) for r in chosen.mapInArrow(run, "lang string, features binary").toLocalIterator()]
+    made = chosen.mapInArrow(run, "lang string, features binary, place long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "features"))
+    chosen = made.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "features")
+    found = [(r.lang, np.frombuffer(r.features, np.float16).astype(np.float32)) for r in chosen.toLocalIterator()]
     return Model.fit(sorted(found, key=lambda x: (x[0], x[1].tobytes()))) if found else None
 
 

@@ -3,7 +3,8 @@
 Every line with a word gets the label good or bad. Its features are its own statistics and those of the lines before
 and after it; a transition weight joins neighbouring labels. Forward-backward gives each line's marginal probability
 of being good, and a document's score is their mean, weighted by the lines' lengths. The field is trained by gradient
-ascent on the likelihood of labelled documents' lines, each line taking its document's label.
+ascent on the likelihood of labelled documents' lines, each line taking its document's label; all documents of a label weigh
+the same there, and so do the labels.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.llm.sampling import bounded
 from cellweave.llm.textblock import SPACED, TextBlock, Windows, by_owner, covered, running, slices
 
-#: Labelled documents of each label to train on, as an expectation: a hash of the text chooses them.
+#: Labelled documents of each label to train on at most: those whose ids' hashes are the least.
 TRAIN_PER_LABEL = 1500
 THRESHOLD = 0.3
 
@@ -98,10 +100,11 @@ class Field:
         return np.round(np.clip(part / np.maximum(whole, 1), 0, 1), 9), good, first
 
 
-def chain_marginals(unary: np.ndarray, transition: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def chain_marginals(unary: np.ndarray, transition: np.ndarray, first: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Forward-backward for all texts at once, a line of each text at a step.
 
-    Returns the lines' probabilities of label 1, the expected counts of each transition, and the sum of log partitions.
+    Returns the lines' probabilities of label 1, the expected counts of each transition (those into a line weighted by
+    ``weight``), and the sum of log partitions.
     """
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
@@ -128,12 +131,25 @@ def chain_marginals(unary: np.ndarray, transition: np.ndarray, first: np.ndarray
     inner[first[:-1][np.diff(first) > 0]] = False
     at = np.flatnonzero(inner)
     pairs = forward[at - 1][:, :, None] * factor[None] * (local[at] * backward[at])[:, None, :]
-    return good, (pairs / pairs.sum((1, 2), keepdims=True)).sum(0), float(logz)
+    pairs /= pairs.sum((1, 2), keepdims=True)
+    return good, pairs.sum(0) if weight is None else np.tensordot(weight[at], pairs, 1), float(logz)
 
 
-def fit(x: np.ndarray, y: np.ndarray, size: np.ndarray, first: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> Field:
-    """Adam on the lines' conditional log-likelihood; y: 0/1 for each line. Documents of either label weigh the same."""
-    mean, scale = x.mean(0), x.std(0) + 1e-3
+def weights_of(y: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A weight for each line, so that both labels weigh the same, and within a label all documents, however many lines
+    they have; the mean is 1."""
+    lines = np.diff(first)
+    labels = y[np.minimum(first[:-1], len(y) - 1)]
+    documents = np.array([max(1, ((labels == k) & (lines > 0)).sum()) for k in (0, 1)])
+    weight = np.repeat(1 / documents[labels] / np.maximum(lines, 1), lines)
+    return weight / weight.mean()
+
+
+def fit(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> Field:
+    """Adam on the lines' conditional log-likelihood, weighted by ``weights_of``; y: 0/1 for each line."""
+    weight = weights_of(y, first)
+    mean = weight @ x / weight.sum()
+    scale = np.sqrt(weight @ (x - mean) ** 2 / weight.sum()) + 1e-3
     z = np.clip((x - mean) / scale, -6, 6)
     weights = np.zeros(x.shape[1] + 1 + 4)
     moved, square = np.zeros_like(weights), np.zeros_like(weights)
@@ -141,11 +157,11 @@ def fit(x: np.ndarray, y: np.ndarray, size: np.ndarray, first: np.ndarray, steps
     inner[first[:-1][np.diff(first) > 0]] = False
     at = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at - 1], y[at]), 1)
+    np.add.at(seen, (y[at - 1], y[at]), weight[at])
     d = x.shape[1]
     for step in range(1, steps + 1):
-        good, expected, _ = chain_marginals(z @ weights[:d] + weights[d], weights[d + 1 :].reshape(2, 2), first)
-        error = y - good
+        good, expected, _ = chain_marginals(z @ weights[:d] + weights[d], weights[d + 1 :].reshape(2, 2), first, weight)
+        error = weight * (y - good)
         slope = np.concatenate([z.T @ error, [error.sum()], (seen - expected).ravel()]) / max(1, len(y)) - decay * weights
         moved = 0.9 * moved + 0.1 * slope
         square = 0.999 * square + 0.001 * slope**2
@@ -154,32 +170,31 @@ def fit(x: np.ndarray, y: np.ndarray, size: np.ndarray, first: np.ndarray, steps
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", per_label: int = TRAIN_PER_LABEL) -> Field | None:
-    """A field from about ``per_label`` labelled documents of each label, or None unless both labels have one.
+    """A field from at most ``per_label`` labelled documents of each label, or None unless both labels have one.
 
-    The labelled documents' ids and labels select the rows; only the lines' features of those chosen reach the driver.
+    Labels other than 0 and 1 are passed over; of several rows of one id the greatest label counts. The labelled documents'
+    ids and labels select the rows; only the lines' features of those chosen reach the driver.
     """
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(id).agg(F.max(label).alias("label"))
-    sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(id).agg(F.max(label).cast("int").alias("label"))
+    chosen = bounded(known, F.xxhash64(F.col(id), F.lit(17)), "label", per_label)
+    if chosen.select("label").distinct().count() < 2:
         return None
-    share = F.when(F.col("label") == 0, min(1.0, per_label / sizes[0])).otherwise(min(1.0, per_label / sizes[1]))
-    chosen = known.where(F.pmod(F.xxhash64(F.col(id), F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
+    # At most 2 per_label ids: small enough to be sent to every task.
     rows = docs.select(id, F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), id).select("label", "text")
 
     def run(batches):
         for batch in slices(batches, "text"):
-            x, size, first = line_features(TextBlock(batch.column(1), SPACED))
-            found = [np.concatenate([x[a:b], size[a:b, None]], axis=1).astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:])]
+            x, _, first = line_features(TextBlock(batch.column(1), SPACED))
+            found = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["label", "lines"])
 
-    kind = known.schema["label"].dataType.simpleString()
-    found = sorted((int(r.label), bytes(r.lines)) for r in rows.mapInArrow(run, f"label {kind}, lines binary").toLocalIterator() if len(r.lines))
+    found = sorted((r.label, bytes(r.lines)) for r in rows.mapInArrow(run, "label int, lines binary").toLocalIterator() if len(r.lines))
     if len({y for y, _ in found}) < 2:
         return None
-    parts = [np.frombuffer(lines, np.float32).reshape(-1, 3 * OWN + 1).astype(np.float64) for _, lines in found]
+    parts = [np.frombuffer(lines, np.float32).reshape(-1, 3 * OWN).astype(np.float64) for _, lines in found]
     first = np.append(0, np.cumsum([len(p) for p in parts]))
     whole = np.concatenate(parts)
-    return fit(whole[:, :-1], np.repeat([y for y, _ in found], np.diff(first)), whole[:, -1], first)
+    return fit(whole, np.repeat([y for y, _ in found], np.diff(first)), first)
 
 
 ADDED = [T.StructField("score", T.DoubleType()), T.StructField("line_good", T.ArrayType(T.DoubleType()))]

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.llm.sampling import bounded
 from cellweave.llm.textblock import SPACED, TextBlock, Windows, by_owner, covered, mix, running, slices
 
-#: Rows that the forest sees at most, as an expectation (a hash of the row chooses them); trees and rows a tree.
+#: Rows that the forest sees at most (those whose ids' hashes are the least); trees and rows a tree.
 SAMPLE = 4096
 TREES = 100
 ROWS_PER_TREE = 256
@@ -138,16 +139,14 @@ class Forest:
 
 
 def fit(stats: DataFrame, good: DataFrame, id: str = "doc_id", sample: int = SAMPLE) -> Forest | None:
-    """A forest of about ``sample`` rows whose id is in ``good``, or of all rows if none is; None without rows."""
-    wanted = stats.where(~base_failed()).select(id, *COUNTS)
+    """A forest of at most ``sample`` rows whose id is in ``good``, or of all rows if none is; None without two rows."""
+    wanted = stats.where(~base_failed()).select(id, *COUNTS).withColumn("all", F.lit(1))
     rows = wanted.join(good.select(id).distinct(), id, "left_semi")
     for source in (rows, wanted):
-        n = source.count()
-        if n:
-            chosen = source.where(F.pmod(F.xxhash64(*COUNTS, F.lit(5)), F.lit(1 << 20)) < min(1.0, sample / n) * (1 << 20))
-            x = shares(np.array(sorted(tuple(r) for r in chosen.select(*COUNTS).toLocalIterator()), dtype=np.int64).reshape(-1, len(COUNTS)))
-            if len(x) > 1:
-                return Forest(x)
+        chosen = bounded(source, F.xxhash64(id, *COUNTS, F.lit(5)), "all", sample)
+        x = shares(np.array(sorted(tuple(r) for r in chosen.select(*COUNTS).toLocalIterator()), dtype=np.int64).reshape(-1, len(COUNTS)))
+        if len(x) > 1:
+            return Forest(x)
     return None
 
 
@@ -167,9 +166,11 @@ def scored(stats: DataFrame, forest: Forest | None, name: str = "anomaly") -> Da
 def threshold(found: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "quality", good_weight: float = GOOD_WEIGHT) -> float:
     """The score from which refusing costs least over all labelled rows; above 1 (refuse none) without labels of both kinds.
 
-    Labelled rows are counted by score in ``BINS`` bins, so the driver gets two numbers a bin, however many rows there are.
+    Labelled rows are counted by score in ``BINS`` bins, so the driver gets two numbers a bin, however many rows there are. Of
+    several labels of one id the greatest counts.
     """
-    joined = found.where(~base_failed()).select(id, "anomaly").join(labels.select(id, label).where(F.col(label).isNotNull()), id)
+    known = labels.where(F.col(label).isNotNull()).groupBy(id).agg(F.max(label).alias(label))
+    joined = found.where(~base_failed()).select(id, "anomaly").join(known, id)
     rows = joined.groupBy(F.floor(F.col("anomaly") * BINS).alias("bin")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("bad")).collect()
     good, bad = np.zeros(BINS + 2), np.zeros(BINS + 2)
     for r in rows:

@@ -2,8 +2,9 @@
 
 If no piece holds a space mark after another character, no merge crosses the start of a run of space marks, so a
 text's tokens are those of its parts that begin at such runs. Of these parts, the vocabulary strings that encode
-alone as one token are proved once a worker by encoding every vocabulary string; a part found among them counts one.
-Only the other parts are merged, each distinct one once (a cache of bounded size).
+alone as one token are proved once, on the driver before any text is read, by encoding every vocabulary string; a part found
+among them counts one.
+Only the other parts are merged, each distinct one once (a cache bounded in entries and their length).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cellweave.llm.byte_bpe import CACHE_ENTRIES, _appended
+from cellweave.llm.byte_bpe import CACHE_ENTRIES, CACHE_LENGTH, _appended
 from cellweave.llm.textblock import slices
 
 _MARK = "▁"
@@ -26,10 +27,15 @@ _PARTS = re.compile(" +[^ ]*|[^ ]+")
 class Counter:
     """Counts a text's tokens as ``SentencePieceProcessor.encode`` gives them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
+        """whole: what another counter of this model has proved."""
         import sentencepiece
 
         self.pieces = p = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.whole, self.known = whole, {}
+        if whole is not None:
+            self.lone = {"": len(p.encode("a ")) - len(p.encode("a"))}
+            return
         vocabulary = [p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
         # The counter relies on these facts of the model; each is checked, not assumed.
         if any(_MARK in v.lstrip(_MARK) for v in vocabulary):
@@ -40,7 +46,6 @@ class Counter:
             raise ValueError("the model's white space rules aren't those of a dummy prefix alone")
         self.whole = self.proved(vocabulary)
         self.lone = {"": lone}
-        self.known: dict[str, int] = dict(self.lone)
 
     def proved(self, vocabulary: list[str]) -> frozenset[str]:
         """Texts of the strings ``mark + letters`` that encode to just themselves; the mark (the space before a part) is left out."""
@@ -51,12 +56,17 @@ class Counter:
         rows = [self._parts(x.replace(_MARK, " ")) if x else [] for x in texts]
         needed = set(chain.from_iterable(rows)) - self.whole
         if len(self.known) > CACHE_ENTRIES:
-            self.known = self.lone | {x: self.known[x] for x in needed if x in self.known}
+            self.known = {x: self.known[x] for x in needed if x in self.known}
+        self.known |= self.lone
         new = list(needed.difference(self.known))
         self.known.update(zip(new, map(len, self.pieces.encode(new, num_threads=1))))
         # What isn't among the merged parts is a proved one.
         n, ones = self.known.get, repeat(1)
-        return [sum(map(n, row, ones)) for row in rows]
+        found = [sum(map(n, row, ones)) for row in rows]
+        for x in new:
+            if len(x) > CACHE_LENGTH:
+                del self.known[x]
+        return found
 
     @staticmethod
     def _parts(text: str) -> list[str]:
@@ -70,8 +80,8 @@ class Counter:
 
 
 @functools.lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(path)
+def counter(path: str, whole: frozenset[str] | None = None) -> Counter:
+    return Counter(path, whole)
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
@@ -81,9 +91,10 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", n_tokens: str = "
     whose merges cross spaces too.
     """
     schema = _appended(df, T.StructField(n_tokens, T.LongType()))
+    whole = counter(path).whole
 
     def run(batches):
-        tool = counter(path)
+        tool = counter(path, whole)
         for batch in slices(batches, text):
             found = tool.count_all([x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=schema.names)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -51,7 +52,37 @@ def test_operators_on_frames(spark, texts):
     assert byte_bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == token_counts.count_tokens(empty, PIECES).count() == 0
 
 
+def test_other_patterns_are_not_divided(texts):
+    """A pattern that cuts across spaces, which the shipped one never does."""
+    ranks, pattern = byte_bpe.read_ranks(RANKS), r"[a-z]+ [a-z]+|\s+|\S"
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert byte_bpe.Codec(ranks, pattern).encode_all(texts) == [other.encode_ordinary(x) for x in texts]
+
+
+def test_decoding_inverts_the_mapping():
+    ranks = byte_bpe.read_ranks(RANKS)
+    tool, bytes_of = byte_bpe.Codec(ranks, public_tokenizers.PATTERN), {r: t for t, r in ranks.items()}
+    ids = sorted(bytes_of)
+    assert tool.decode_all([[i] for i in ids]).to_pylist() == [bytes_of[i] for i in ids]
+    assert tool.decode_all([]).to_pylist() == [] and tool.decode_all([[], ids[:300]]).to_pylist() == [b"", b"".join(bytes_of[i] for i in ids[:300])]
+
+
+def test_caches_hold_no_long_division():
+    long = "y" * 500 + " " + "ab" * 300
+    for tool, known in ((byte_bpe.Codec(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN), "encode_all"), (token_counts.Counter(PIECES), "count_all")):
+        first = getattr(tool, known)([long, "ab ab " + long])
+        assert first == getattr(tool, known)([long, "ab ab " + long]) and max(map(len, tool.known)) <= byte_bpe.CACHE_LENGTH
+
+
 def test_queries(spark):
-    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
-    for name in ("op6_token_counts", "op7_byte_bpe"):
-        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() == n
+    """Every column of the registered queries, hashes too, as the libraries give them."""
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    n = {i: len(pieces.encode(t)) for i, t in rows}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.QUERIES["op6_token_counts"](spark, folder).collect()} == {i: (len(t.encode()), n[i], n[i] > 4096) for i, t in rows}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    ids = {i: other.encode_ordinary(t) for i, t in rows}
+    want = {i: (len(ids[i]), sha(",".join(map(str, ids[i])).encode()), sha(t.encode())) for i, t in rows}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.QUERIES["op7_byte_bpe"](spark, folder).collect()} == want
