@@ -1,17 +1,20 @@
 """Licence scans with DataFrame expressions alone.
 
-A paragraph (a line, or a window of neighbouring lines that a wrapped template may fill) is scored by a multinomial
-logistic regression on its words and word pairs: one class for each licence family and one for paragraphs that name no
-known licence. The model is trained on variants of template texts
-and on a bounded sample of the corpus's own lines, and its probabilities are calibrated by a temperature fitted to
-variants held out. A prediction counts only if the paragraph also holds enough of one of the family's templates.
-
-All work on documents is one projection: no shuffle, no join, no Python on executors. Weights are literals; only
-features of the training templates have any, so their number doesn't follow the corpus.
+A text is cut into paragraphs at its blank lines. Units of a paragraph are its lines and, across lines, its words in
+overlapping windows of two sizes: small ones, in which one notice stands almost alone, and some of two licence texts. A unit with a trigger word is scored by a
+multinomial logistic regression on its words and word pairs: one class for each licence family and one for what names no
+known licence. The model is trained on variants of the licences' texts and of sentences that name none; its chances are
+calibrated by a temperature, and the chance from which a family counts is chosen, both on variants held out. Below it, a
+unit is of the unknown class. A family counts only if the unit also holds enough of one of its texts.
+
+All work on documents is one projection: no shuffle, no join, no Python on executors, and nothing that depends on other
+rows. Weights and texts are literals that the optimiser folds once; their number doesn't follow the corpus.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
 
@@ -19,67 +22,73 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Usual wordings of licences, by SPDX identifier.
-TEMPLATES = {
-    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC0-1.0": ["Licensed under CC0 1.0.", "The author has dedicated the work to the public domain by waiving all rights under CC0 1.0 Universal."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "Proprietary": ["All rights reserved.", "Copyright notice: all rights reserved. No part of this publication may be reproduced without written permission."],
-}
-# Lines that speak of licences and name none.
-UNKNOWN = ["See the LICENSE file for details.", "A driving license is required.", "The license plate was new.", "She was licensed to teach.", "This version is free.", "Released under his own name.", "General rules for public use.", "Version 2 was released in May.", "The commons by the river.", "Rights and duties of the public.", "Terms and conditions apply to this work.", "The author may be found under this address.", "Use of this file is free.", "Permission was granted by the owner."]
-
-# Words of templates that are too usual to tell of a licence.
-COMMON = set("the of this is to a an in and or it by you any with that not are may be all no as part person either later without following".split())
+from cellweave.llm.license_texts import OTHERS, TEXTS
 
+# Words of which every licence text has one, and without which nothing is scored.
+TRIGGERS = ["license", "licence", "licensed", "licenced", "unlicense", "copyright", "permission", "warranty", "warranties", "redistribution", "redistributions", "reserved", "domain", "commons", "spdx", "wtfpl"]
 NONE = "none"
-#: Lines of the corpus that the class of unknown paragraphs is trained on, as an expectation.
-BACKGROUND_LINES = 400
-#: Share of a template's word pairs that a paragraph must hold to confirm a prediction.
+#: Share of a text's word pairs that a unit must hold to confirm a family.
 CONFIRM = 0.7
-#: Words of a window beyond its first and last word, as a multiple of the longest template's.
-REACH = 1.5
-_ROUNDS, _RATE, _DECAY, _COPIES = 300, 0.5, 2e-3, 10
+#: A text of fewer words must be held whole by a unit of several lines.
+SHORT = 16
+#: Words of a small window; it starts anew after half of them.
+WINDOW = 48
+#: Features are told apart by so many bits of their CRC-32.
+BITS = 14
+_ROUNDS, _RATE, _DECAY, _COPIES = 400, 1.0, 1e-3, 14
 
 
 def _words(text: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
 
 
+def _pairs_of(words: list[str]) -> list[str]:
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+
+
 def _grams(words: list[str]) -> list[str]:
-    return sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))})
+    return sorted({*words, *_pairs_of(words)})
+
+
+def _cell(gram: str) -> int:
+    return zlib.crc32(gram.encode()) & ((1 << BITS) - 1)
+
 
+def _number(*seed) -> int:
+    return zlib.crc32("/".join(map(str, seed)).encode())
 
-def _variants(text: str, noise: list[str]) -> list[list[str]]:
-    """A template's words: as they are, with other words around, with one word lost, and in the other spelling."""
-    words, out = _words(text), []
-    for k in range(_COPIES):
-        pick = lambda n: [noise[zlib.crc32(f"{text}{k}{n}{i}".encode()) % len(noise)] for i in range(n)] if noise else []
-        kept = [w for i, w in enumerate(words) if not (k % 5 == 4 and len(words) > 5 and i == zlib.crc32(f"{text}{k}".encode()) % len(words))]
-        kept = [w.replace("license", "licence") for w in kept] if k % 3 == 2 else kept
-        out.append([*pick(k % 4), *kept, *pick((k * 7) % 5)])
-    return out
+
+def _variant(text: str, k: int) -> list[str]:
+    """The k-th variant of a text's words: other words around, some words lost or put in, a part of a longer text, other spelling."""
+    words = _words(text)
+    if len(words) >= 30 and k % 3 == 1:
+        a = _number(text, k, "cut") % (len(words) // 3)
+        words = words[a : a + 2 * len(words) // 3]
+    if len(words) >= 10 and k % 4 >= 2:
+        words = [w for i, w in enumerate(words) if _number(text, k, i) % 12 or w.isdigit()]
+    if len(words) >= 20 and k % 4 == 1:
+        words = [x for i, w in enumerate(words) for x in ([w, f"name{_number(text, k, i) % 99}"] if _number(k, text, i) % 15 == 0 else [w])]
+    words = [w.replace("license", "licence") for w in words] if k % 5 == 4 else words
+    some = [w for t in OTHERS for w in _words(t)]
+    around = [some[_number(text, k, "around", i) % len(some)] for i in range((k * 5) % 8)]
+    return [*around[::2], *words, *around[1::2]]
+
+
+def _shuffled(text: str, k: int) -> list[str]:
+    """A text's words in no order: they name no licence."""
+    words = _words(text)
+    return sorted(words[: len(words) // (1 + k % 2)], key=lambda w: _number(w, k))
 
 
 class Model:
-    """Weights of the features for each class (the last: none), the temperature, and words without which there is no licence."""
+    """Weights of the features' cells for each class (the last: none), a temperature, and the chance from which a family counts."""
 
-    def __init__(self, classes: list[str], features: list[str], weights: np.ndarray, offsets: np.ndarray, temperature: float, triggers: list[str]):
-        self.classes, self.features, self.weights, self.offsets, self.temperature, self.triggers = classes, features, weights, offsets, temperature, triggers
+    def __init__(self, classes: list[str], features: list[str], weights: np.ndarray, offsets: np.ndarray, temperature: float, least: float):
+        self.classes, self.features, self.weights, self.offsets, self.temperature, self.least = classes, features, weights, offsets, temperature, least
 
-    def chances(self, rows: list[list[str]]) -> np.ndarray:
-        place = {f: k for k, f in enumerate(self.features)}
-        logits = np.stack([self.offsets + sum((self.weights[place[g]] for g in row if g in place), np.zeros(len(self.classes))) for row in rows])
-        return _softmax(logits / self.temperature)
+    def chances(self, units: list[list[str]]) -> np.ndarray:
+        """The classes' chances for each unit's words; the plain form of what ``scan`` works out."""
+        return _softmax((_bags(units, self.features) @ self.weights + self.offsets) / self.temperature)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -87,174 +96,153 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def train(background: list[str]) -> Model:
-    """The model for these lines of the corpus as examples that name no licence (those that seem to are left out)."""
-    lines = [_words(x) for x in background if not re.search("licen[cs]|copyright|rights reserved|spdx", x.lower())]
-    noise = sorted({w for line in lines for w in line})
-    classes = [*sorted(TEMPLATES), NONE]
-    rows = [(family, v) for family in classes[:-1] for text in TEMPLATES[family] for v in _variants(text, noise)]
-    rows += [(NONE, v) for text in UNKNOWN for v in _variants(text, noise)[:4]] + [(NONE, line) for line in lines]
-    known = {g for texts in [*TEMPLATES.values(), UNKNOWN] for text in texts for g in _grams(_words(text) + ["licence"])}
-    known |= {g.replace("license", "licence") for g in known}
-    features = sorted(known)
-    place = {f: k for k, f in enumerate(features)}
-    x, y = np.zeros((len(rows), len(features)), np.float32), np.array([classes.index(c) for c, _ in rows])
-    for k, (_, words) in enumerate(rows):
-        x[k, [place[g] for g in _grams(words) if g in place]] = 1
-    held = np.arange(len(rows)) % 5 == 3
+def _bags(units: list[list[str]], features: list[str]) -> np.ndarray:
+    known, x = set(features), np.zeros((len(units), 1 << BITS), np.float32)
+    for k, words in enumerate(units):
+        grams = [_cell(g) for g in _grams(words) if g in known]
+        np.add.at(x[k], grams, 1)
+    return x
+
+
+def _rows() -> list[tuple[str, list[str], int]]:
+    """(class, words, number of the variant) to learn from and to calibrate with."""
+    rows = [(family, _variant(t, k), k) for family, texts in TEXTS.items() for t in texts for k in range(_COPIES)]
+    rows += [(NONE, _variant(t, k), k) for t in OTHERS for k in range(_COPIES)]
+    return rows + [(NONE, _shuffled(t, k), k) for texts in TEXTS.values() for t in texts if len(_words(t)) >= SHORT for k in range(4)]
+
+
+@functools.lru_cache(maxsize=1)
+def train() -> Model:
+    """The model, the same on every run: a fifth of the variants is held out for the temperature and the least chance."""
+    for t in [t for texts in TEXTS.values() for t in texts]:
+        if not set(TRIGGERS) & set(_words(t)):
+            raise ValueError(f"a licence text without a trigger word: {t}")
+    rows = _rows()
+    classes = [*sorted(TEXTS), NONE]
+    spoken = [g for texts in [*TEXTS.values(), OTHERS] for t in texts for g in _grams(_words(t))]
+    features = sorted({*spoken, *(g.replace("license", "licence") for g in spoken)})
+    x = _bags([words for _, words, _ in rows], features)
+    used = np.flatnonzero(x.any(0))
+    x, y = x[:, used], np.array([classes.index(c) for c, _, _ in rows])
+    held = np.array([k % 5 == 3 for _, _, k in rows])
     goal = np.eye(len(classes), dtype=np.float32)[y]
+    # Classes weigh the same.
     weigh = (1 / np.bincount(y[~held], minlength=len(classes)).clip(1))[y[~held]][:, None].astype(np.float32)
-    w, b = np.zeros((len(features), len(classes)), np.float32), np.zeros(len(classes), np.float32)
+    w, b = np.zeros((len(used), len(classes)), np.float32), np.zeros(len(classes), np.float32)
+    learnt, goal = x[~held], goal[~held]
     for _ in range(_ROUNDS):
-        slope = (goal[~held] - _softmax(x[~held] @ w + b)) * weigh
-        w += _RATE * (x[~held].T @ slope - _DECAY * w)
+        slope = (goal - _softmax(learnt @ w + b)) * weigh
+        w += _RATE * (learnt.T @ slope - _DECAY * w)
         b += _RATE * slope.sum(0) * 0.1
-    logits = x[held] @ w + b
-    loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(logits)), y[held]] + 1e-12).mean()
-    temperature = min((0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0), key=loss)
-    return Model(classes, features, w.astype(float), b.astype(float), float(temperature), triggers())
-
-
-def triggers() -> list[str]:
-    """Words of the templates, whatever the corpus holds, of which everything that can be confirmed has one."""
-    plain = {w for text in UNKNOWN for w in _words(text)} - {"license", "licensed", "rights"}
-    found = {w for texts in TEMPLATES.values() for text in texts for w in _words(text) if not w.isdigit() and len(w) > 1} - plain - COMMON | {"license", "licence", "licensed", "licenced"}
-    for text in [t for texts in TEMPLATES.values() for t in texts]:
-        pairs = _grams_of_pairs(text)
-        if sum(found.isdisjoint(p.split(" ")) for p in pairs) >= CONFIRM * len(pairs):
-            raise ValueError(f"could be confirmed without a trigger word: {text}")
-    return sorted(found)
-
-
-def background(docs: DataFrame, text: str = "text", lines: int = BACKGROUND_LINES) -> list[str]:
-    """About ``lines`` lines of the corpus, chosen by a hash of the line's text, each once."""
-    n = docs.agg(F.coalesce(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1), F.lit(0))).first()[0]
-    every = docs.select(F.explode(F.split(text, "\n")).alias("line")).where("length(trim(line)) > 0")
-    chosen = every.where(F.pmod(F.xxhash64("line", F.lit(31)), F.lit(1 << 20)) < min(1.0, lines / max(1, n)) * (1 << 20))
-    return sorted({r.line for r in chosen.select("line").distinct().toLocalIterator()})
-
-
-def _strings(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    logits, own = x[held] @ w + b, y[held]
+    loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(own)), own] + 1e-12).mean()
+    temperature = min((0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0), key=loss)
+    chance = _softmax(logits / temperature)
+    right, known = chance[np.arange(len(own)), own], own < len(classes) - 1
+    false = np.sort(np.where(known, 0, chance[:, :-1].max(1)))[::-1]
+    # The least chance at which at most one in a hundred held-out units of the unknown class would count, but that halves of
+    # a mixed paragraph still reach.
+    least = float(np.clip(false[max(1, (~known).sum() // 100)], 0.1, 0.4))
+    whole = np.zeros((1 << BITS, len(classes)))
+    whole[used] = w
+    model = Model(classes, features, np.round(whole, 4), np.round(b.astype(float), 4), float(temperature), round(least, 4))
+    model.recall, model.false_alarms = float((right[known] >= least).mean()), float((chance[~known, :-1].max(1) >= least).mean())
+    return model
+
+
+def _literal(value, kind: str) -> Column:
+    """A constant of any size as one literal, once the optimiser has folded it."""
+    return F.from_json(F.lit(json.dumps({"v": value})), f"v {kind}")["v"]
 
 
 def _tokens(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(line, "[^a-z0-9]+"), lambda w: w != "")
 
 
 def _pairs(words: Column) -> Column:
-    return F.when(F.size(words) > 1, F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(_strings([]))
+    none = F.array().cast("array<string>")
+    return F.when(F.size(words) > 1, F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(none)
 
 
-_WINDOW = "struct<first:int,last:int,words:array<string>>"
-
-
-def _windows(lines: Column, reach: int) -> Column:
-    """All runs of two or more lines that a template of ``reach`` words may fill, if one of them holds a trigger word.
-
-    A line without words ends a run. Of the outer lines only the ``reach`` words next to the others are kept.
-    """
-    none = F.array().cast(f"array<{_WINDOW}>")
-
-    def grown(run: Column, line: Column) -> Column:
-        spoken, words = run["spoken"] | line["spoken"], F.concat(run["words"], F.slice(line["words"], 1, reach))
-        window = F.struct(run["first"].alias("first"), line["paragraph"].alias("last"), words.alias("words"))
-        middle = run["middle"] + F.size(line["words"])
-        longer = F.struct(
-            run["first"].alias("first"),
-            ((F.size(line["words"]) > 0) & (middle + 2 <= reach)).alias("open"),
-            spoken.alias("spoken"),
-            middle.alias("middle"),
-            words.alias("words"),
-            F.when((F.size(line["words"]) > 0) & spoken, F.concat(run["found"], F.array(window))).otherwise(run["found"]).alias("found"),
-        )
-        return F.when(run["open"], longer).otherwise(run)
-
-    def from_line(line: Column, k: Column) -> Column:
-        near = F.slice(lines, k + 1, reach + 1)
-        tail = F.slice(line["words"], F.greatest(F.lit(1), F.size(line["words"]) - reach + 1), F.lit(reach))
-        run = F.struct(line["paragraph"].alias("first"), F.lit(True).alias("open"), line["spoken"].alias("spoken"), F.lit(0).alias("middle"), tail.alias("words"), none.alias("found"))
-        grow = (F.size(line["words"]) > 0) & F.exists(near, lambda x: x["spoken"])
-        return F.when(grow, F.aggregate(F.slice(near, 2, reach), run, grown, lambda run: run["found"])).otherwise(none)
-
-    return F.flatten(F.transform(lines, from_line))
+_UNIT = "struct<paragraph:int,line:int,words:array<string>>"
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", confirm: float = CONFIRM) -> DataFrame:
-    """All columns with ``licenses`` (families of confirmed paragraphs, sorted, each once), ``paragraphs`` and ``unknown``.
-
-    paragraphs: (paragraph, family, chance, overlap, confirmed) for each line that holds a trigger word and that the model
-    gives to a family, and for each confirmed window of lines; paragraph is the number of its (first) line, from 0, overlap is
-    the greatest share of a family template's word pairs that it holds. Of lines and windows that meet on the same word pairs
-    or family, only the one of greatest overlap, then of fewest lines, is confirmed. unknown: lines with a trigger word that
-    lie in nothing confirmed. A null or empty text has none. Rows are judged alone, so repeated rows are equal; the new
-    columns replace those of their names.
+    """All columns with ``licenses`` (confirmed families, sorted, each once), ``paragraphs`` and ``unknown``.
+
+    paragraphs: (paragraph, line, family, chance, overlap, confirmed) for each unit with a trigger word and each family of
+    at least the model's least chance there. paragraph counts from 0; line is the line within it, or -1 for a window across lines;
+    overlap is the greatest share of word pairs of one of the family's texts that the unit holds. A short text must be held
+    whole where lines are taken together, so that pieces of two licences don't make a third; of two families that a paragraph would
+    confirm on mostly the same pairs, the one whose text it holds more of is. unknown: paragraphs with a trigger word
+    in which nothing is confirmed. A null or empty text has none. Each row is judged by its own text, so repeated rows are
+    equal; the new columns replace those of their names.
     """
     docs = docs.drop("licenses", "paragraphs", "unknown")
-    triggers = _strings(model.triggers)
-    spoken = F.arrays_overlap(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), triggers)
-    lines = F.transform(F.split(text, "\n"), lambda line, k: F.struct(k.alias("paragraph"), _tokens(line).alias("words")))
-    lines = F.transform(lines, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["words"].alias("words"), F.arrays_overlap(p["words"], triggers).alias("spoken")))
-    lines = F.when(spoken, lines)
-    # Templates and weights as literals: the optimiser folds them once.
-    weights = F.map_from_arrays(_strings(model.features), F.array(*[F.array(*map(F.lit, row)) for row in np.round(model.weights, 6).tolist()]))
-    templates = [(k, _grams_of_pairs(t)) for k, family in enumerate(model.classes[:-1]) for t in TEMPLATES[family]]
-    of_family = F.array(*[_strings(sorted({g for n, t in templates if n == k for g in t})) for k in range(len(model.classes))])
-    reach = int(REACH * max(len(_words(t)) for texts in TEMPLATES.values() for t in texts))
-    start = F.array(*map(F.lit, np.round(model.offsets, 6).tolist()))
-
-    def paired(p: Column) -> Column:
-        return F.struct(p["first"].alias("first"), p["last"].alias("last"), p["words"].alias("words"), _pairs(p["words"]).alias("pairs"))
-
-    def holds_enough(p: Column) -> Column:
-        return F.exists(F.array(*[F.struct(_strings(t).alias("t")) for _, t in templates]), lambda t: F.size(F.array_intersect(p["pairs"], t["t"])) >= confirm * F.size(t["t"]))
-
-    def judged(p: Column) -> Column:
-        grams = F.array_union(F.array_distinct(p["words"]), p["pairs"])
-        known = F.filter(grams, lambda g: F.array_contains(_strings(model.features), g))
-        logits = F.aggregate(known, start, lambda total, g: F.zip_with(total, F.element_at(weights, g), lambda a, b: a + b))
-        return F.struct(p["first"].alias("first"), p["last"].alias("last"), p["pairs"].alias("pairs"), F.transform(logits, lambda x: x / model.temperature).alias("logits"))
+    triggers = _literal(TRIGGERS, "array<string>")
+    features = _literal(model.features, "array<string>")
+    used = np.flatnonzero(model.weights.any(1))
+    place = np.zeros(1 << BITS, int)
+    place[used] = np.arange(1, len(used) + 1)
+    rows = _literal([[0.0] * len(model.classes), *model.weights[used].tolist()], "array<array<double>>")
+    place = _literal(place.tolist(), "array<int>")
+    texts = _literal([[{"t": _pairs_of(_words(t)), "short": len(_words(t)) < SHORT} for t in TEXTS[c]] for c in model.classes[:-1]], "array<array<struct<t:array<string>,short:boolean>>>")
+    names = _literal(model.classes, "array<string>")
+    offsets = _literal(model.offsets.tolist(), "array<double>")
+    reach = max(len(_words(t)) for family in TEXTS.values() for t in family)
+    low = F.lower(F.col(f"`{text}`"))
+    spoken = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in sorted(TRIGGERS) if not any(o in t and o != t for o in TRIGGERS)])
+
+    def units(paragraph: Column, k: Column) -> Column:
+        lines = F.transform(F.split(paragraph, "\n"), lambda line, i: F.struct(k.alias("paragraph"), i.alias("line"), _tokens(line).alias("words")))
+        words = _tokens(paragraph)
+
+        def windows(size: int) -> Column:
+            starts = F.when(F.size(words) > size, F.sequence(F.lit(1), F.size(words), F.lit(size // 2))).otherwise(F.array(F.lit(1)))
+            return F.transform(starts, lambda a: F.struct(k.alias("paragraph"), F.lit(-1).alias("line"), F.slice(words, a, F.lit(size)).alias("words")))
+
+        small = F.when(F.size(words) > WINDOW, windows(WINDOW)).otherwise(F.array().cast(f"array<{_UNIT}>"))
+        every = F.when(F.size(lines) > 1, F.concat(lines, windows(2 * reach), small)).otherwise(F.concat(lines, small))
+        return F.filter(every, lambda u: F.arrays_overlap(u["words"], triggers))
+
+    def paired(u: Column) -> Column:
+        return F.struct(u["paragraph"].alias("paragraph"), u["line"].alias("line"), u["words"].alias("words"), _pairs(u["words"]).alias("pairs"))
+
+    def scored(u: Column) -> Column:
+        known = F.array_intersect(F.array_union(F.array_distinct(u["words"]), u["pairs"]), features)
+        cells = F.transform(known, lambda g: F.get(place, F.crc32(g.cast("binary")).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")))
+        logits = F.aggregate(cells, offsets, lambda total, c: F.zip_with(total, F.get(rows, c), lambda a, b: a + b))
+        return F.struct(u["paragraph"].alias("paragraph"), u["line"].alias("line"), u["pairs"].alias("pairs"), F.transform(logits, lambda x: x / model.temperature).alias("logits"))
+
+    def chanced(u: Column) -> Column:
+        top = F.array_max(u["logits"])
+        parts = F.transform(u["logits"], lambda x: F.exp(x - top))
+        return F.struct(u["paragraph"].alias("paragraph"), u["line"].alias("line"), u["pairs"].alias("pairs"), F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda s, y: s + y)).alias("chances"))
+
+    def families(u: Column) -> Column:
+        def judged(k: Column) -> Column:
+            held = F.transform(F.get(texts, k), lambda t: F.struct((F.size(F.array_intersect(u["pairs"], t["t"])) / F.size(t["t"])).alias("share"), F.array_intersect(u["pairs"], t["t"]).alias("pairs"), t["short"].alias("short")))
+            enough = F.exists(held, lambda h: h["share"] >= F.when(h["short"] & (u["line"] < 0), 1.0).otherwise(confirm))
+            best = F.array_max(held)
+            return F.struct(u["paragraph"].alias("paragraph"), u["line"].alias("line"), F.get(names, k).alias("family"), F.round(F.get(u["chances"], k), 6).alias("chance"), F.round(best["share"], 6).alias("overlap"), enough.alias("confirmed"), best["pairs"].alias("pairs"))
+
+        counted = F.filter(F.sequence(F.lit(0), F.lit(len(model.classes) - 2)), lambda k: F.get(u["chances"], k) >= model.least)
+        return F.transform(counted, judged)
 
     def decided(p: Column) -> Column:
-        top = F.array_max(p["logits"])
-        best = F.array_position(p["logits"], top).cast("int") - 1
-        chance = 1 / F.aggregate(p["logits"], F.lit(0.0), lambda total, x: total + F.exp(x - top))
-        overlap = F.array_max(F.array(*[F.when(best == k, F.size(F.array_intersect(p["pairs"], _strings(t))) / F.lit(len(t))).otherwise(F.lit(0.0)) for k, t in templates]))
-        family = F.element_at(_strings(model.classes), best + 1)
-        hits = F.array_intersect(p["pairs"], F.element_at(of_family, best + 1))
-        # The order of the fields is the order of preference.
-        return F.struct((-overlap).alias("_less"), (p["last"] - p["first"]).alias("_span"), p["first"].alias("first"), p["last"].alias("last"), family.alias("family"), F.round(chance, 6).alias("chance"), F.round(overlap, 6).alias("overlap"), (overlap >= confirm).alias("confirmed"), hits.alias("hits"))
-
-    def meets(a: Column, b: Column) -> Column:
-        return (a["first"] <= b["last"]) & (b["first"] <= a["last"])
-
-    def taken(kept: Column, p: Column) -> Column:
-        same = F.exists(kept, lambda a: meets(a, p) & ((a["family"] == p["family"]) | (2 * F.size(F.array_intersect(a["hits"], p["hits"])) > F.size(p["hits"]))))
-        return F.when(same, kept).otherwise(F.concat(kept, F.array(p)))
-
-    def shown(p: Column, confirmed: Column) -> Column:
-        return F.struct(p["first"].alias("paragraph"), *[p[c].alias(c) for c in ("family", "chance", "overlap")], confirmed.alias("confirmed"))
+        """Of two families that a paragraph confirms on mostly the same pairs, the one whose text it holds more of."""
+        beaten = F.exists("_found", lambda q: q["confirmed"] & (q["paragraph"] == p["paragraph"]) & (q["overlap"] > p["overlap"]) & (2 * F.size(F.array_intersect(p["pairs"], q["pairs"])) > F.size(p["pairs"])))
+        return F.struct(*[p[c].alias(c) for c in ("paragraph", "line", "family", "chance", "overlap")], (p["confirmed"] & ~beaten).alias("confirmed"))
 
     # Each step is a column of its own, so that a step's result isn't worked out once for every use.
-    empty = F.array().cast("array<struct<paragraph:int,words:array<string>,spoken:boolean>>")
-    out = docs.withColumn("_all", F.coalesce(lines, empty)).withColumn("_windows", _windows(F.col("_all"), reach))
-    alone = F.transform(F.filter("_all", lambda p: p["spoken"]), lambda p: F.struct(p["paragraph"].alias("first"), p["paragraph"].alias("last"), p["words"].alias("words")))
-    out = out.withColumn("_lines", alone).drop("_all")
-    out = out.withColumn("_windows", F.transform("_windows", paired)).withColumn("_windows", F.filter("_windows", holds_enough))
-    out = out.withColumn("_lines", F.concat(F.transform("_lines", paired), "_windows")).drop("_windows")
-    out = out.withColumn("_lines", F.transform("_lines", judged)).withColumn("_lines", F.transform("_lines", decided))
-    sure = F.array_sort(F.filter("_lines", lambda p: p["confirmed"]))
-    out = out.withColumn("_sure", sure)
-    out = out.withColumn("_sure", F.aggregate("_sure", F.slice("_sure", 1, 0), taken))
-    in_sure = lambda p: F.exists("_sure", lambda a: (a["first"] == p["first"]) & (a["last"] == p["last"]))
-    rest = F.filter("_lines", lambda p: (p["_span"] == 0) & (p["family"] != NONE) & ~in_sure(p))
-    both = F.concat(F.transform("_sure", lambda p: shown(p, F.lit(True))), F.transform(rest, lambda p: shown(p, F.lit(False))))
-    out = out.withColumn("paragraphs", F.array_sort(both))
-    out = out.withColumn("licenses", F.array_sort(F.array_distinct(F.transform("_sure", lambda p: p["family"]))))
-    left = F.filter("_lines", lambda p: (p["_span"] == 0) & ~F.exists("_sure", lambda a: meets(a, p)))
-    return out.withColumn("unknown", F.size(left).cast("long")).drop("_lines", "_sure")
-
-
-def _grams_of_pairs(template: str) -> list[str]:
-    words = _words(template)
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+    none = F.array().cast(f"array<{_UNIT}>")
+    cut = F.split(low, "\n(?:[^a-z0-9\n]*\n)+")
+    out = docs.withColumn("_units", F.coalesce(F.when(spoken, F.flatten(F.transform(cut, units))), none))
+    out = out.withColumn("_units", F.transform("_units", paired)).withColumn("_units", F.transform("_units", scored)).withColumn("_units", F.transform("_units", chanced))
+    out = out.withColumn("_in", F.array_distinct(F.transform("_units", lambda u: u["paragraph"])))
+    out = out.withColumn("_found", F.flatten(F.transform("_units", families))).drop("_units")
+    out = out.withColumn("paragraphs", F.transform("_found", decided)).drop("_found")
+    sure = F.filter("paragraphs", lambda p: p["confirmed"])
+    out = out.withColumn("licenses", F.array_sort(F.array_distinct(F.transform(sure, lambda p: p["family"]))))
+    left = F.array_except("_in", F.transform(F.filter("paragraphs", lambda p: p["confirmed"]), lambda p: p["paragraph"]))
+    return out.withColumn("unknown", F.size(left).cast("long")).drop("_in")

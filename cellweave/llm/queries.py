@@ -94,7 +94,7 @@ def op9_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    found = licenses.scan(docs, licenses.train(licenses.background(docs)))
+    found = licenses.scan(documents(spark, sf_dir), licenses.train())
     sure = F.filter("paragraphs", lambda p: p["confirmed"])
-    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size(sure).cast("long").alias("n_confirmed"), F.col("unknown").alias("n_unknown"), F.coalesce(F.array_max(F.transform(sure, lambda p: p["chance"])), F.lit(0.0)).alias("best_chance"))
+    best = F.coalesce(F.array_max(F.transform(sure, lambda p: p["chance"])), F.lit(0.0))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size(sure).cast("long").alias("n_confirmed"), F.col("unknown").alias("n_unknown"), best.alias("best_chance"))

@@ -1,48 +1,89 @@
+import random
 import re
 
+import numpy as np
+
 from cellweave.llm import licenses, queries
+from cellweave.llm.license_texts import OTHERS, TEXTS
 
 FOLDER = "/root/testdata/sf0.01"
 LINES = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "Proprietary"}
 
 
+def plain(text, model):
+    """The scan in plain Python: (families, number of paragraphs with a trigger word and nothing confirmed)."""
+    found, unknown = set(), 0
+    for paragraph in re.split("\n(?:[^a-z0-9\n]*\n)+", (text or "").lower()):
+        lines = [(licenses._words(x), True) for x in paragraph.split("\n")]
+        words, reach = licenses._words(paragraph), max(len(licenses._words(t)) for ts in TEXTS.values() for t in ts)
+        windows = lambda n: [(words[a : a + n], False) for a in (range(0, len(words), n // 2) if len(words) > n else [0])]
+        lines += (windows(2 * reach) if len(lines) > 1 else []) + (windows(licenses.WINDOW) if len(words) > licenses.WINDOW else [])
+        lines = [x for x in lines if set(x[0]) & set(licenses.TRIGGERS)]
+        sure = []
+        for (unit, alone), chances in zip(lines, model.chances([x for x, _ in lines]) if lines else []):
+            pairs = set(licenses._pairs_of(unit))
+            for family, chance in zip(model.classes[:-1], chances):
+                held = [(len(pairs & set(own)) / len(own), pairs & set(own), n) for own, n in ((licenses._pairs_of(licenses._words(t)), len(licenses._words(t))) for t in TEXTS[family])]
+                if chance >= model.least and any(s >= (1 if n < licenses.SHORT and not alone else licenses.CONFIRM) for s, _, n in held):
+                    sure.append((family, *max(held, key=lambda h: h[0])[:2]))
+        mine = {f for f, share, own in sure if not any(s > share and 2 * len(own & o) > len(own) for _, s, o in sure)}
+        found |= mine
+        unknown += bool(lines) and not mine
+    return sorted(found), unknown
+
+
+def scanned(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(df, licenses.train()).collect()}
+    return [rows[k] for k in range(len(texts))]
+
+
 def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     found = {r.doc_id: r for r in queries.QUERIES["op10_license_scan"](spark, FOLDER).collect()}
     want = {i: ",".join(sorted({LINES[x] for x in t.split("\n") if x in LINES})) for i, t in texts.items()}
     assert {i: r.licenses for i, r in found.items()} == want
     assert sum(map(bool, want.values())) > 10
+    some = [i for i, t in texts.items() if any(w in t.lower() for w in licenses.TRIGGERS)][:60]
+    assert [(found[i].licenses, found[i].n_unknown) for i in some] == [(",".join(f), u) for f, u in (plain(texts[i], licenses.train()) for i in some)]
 
 
 def test_plan_is_native(spark):
     plan = queries.QUERIES["op10_license_scan"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+    assert not re.search("Python|Pandas|Arrow|Exchange|Join", plan)
+
+
+def test_recall_and_false_alarms():
+    """Of held-out variants; and the model is the same on every run."""
+    model = licenses.train()
+    assert model.recall > 0.97 and model.false_alarms < 0.02
+    again = licenses.train.__wrapped__()
+    assert np.allclose(model.weights, again.weights, atol=1e-3) and model.least == again.least
 
 
 def test_edges(spark):
-    model = licenses.train(["Some thre words of ther ing.", "Another line of erand."])
     rows = [
         (1, "MIT stands here.\nReleased under the MIT Licence, see below."),
         (2, None),
         (3, ""),
-        (4, "A driving license is required.\nSee the LICENSE file for details."),
+        (4, "A driving license is required.\n\nSee the LICENSE file for details."),
         (5, "x " * 20000 + "Licensed under the Apache License, Version 2.0."),
         (5, "x " * 20000 + "Licensed under the Apache License, Version 2.0."),
         (None, "This work is licensed under the GNU General Public License, version 2.\n\nThis work is licensed under the GNU General Public License, version 3."),
         (7, "Licensed under CC BY 4.0.\nLicensed under CC BY-SA 4.0."),
     ]
-    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, unknown int")
-    found = licenses.scan(df, model).collect()
+    df = spark.createDataFrame([(*r, 9, "k") for r in rows], "doc_id long, text string, unknown int, _other string")
+    found = licenses.scan(df, licenses.train()).collect()
     assert [r.licenses for r in found] == [["MIT"], [], [], [], ["Apache-2.0"], ["Apache-2.0"], ["GPL-2.0", "GPL-3.0"], ["CC-BY-4.0", "CC-BY-SA-4.0"]]
-    assert found[3].unknown == 2 and found[1].unknown == 0 and found[0].paragraphs[-1].paragraph == 1
-    assert licenses.scan(df.limit(0), model).count() == 0 and licenses.background(df.limit(0)) == []
+    assert found[3].unknown == 2 and found[1].unknown == 0 and (found[0].paragraphs[0].paragraph, found[0].paragraphs[0].line) == (0, 1)
+    assert licenses.scan(df.limit(0), licenses.train()).count() == 0
 
 
-def test_each_template_is_its_own_family(spark):
-    model = licenses.train([])
-    rows = [(k, t, family) for k, (family, t) in enumerate((f, t) for f, texts in licenses.TEMPLATES.items() for t in texts)]
-    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, family string"), model).collect()
-    assert [(r.family, r.licenses) for r in found if r.licenses != [r.family]] == []
+def test_each_text_is_its_own_family(spark):
+    wrap = lambda t: "\n".join(" ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
+    texts = [(family, x) for family, ts in TEXTS.items() for t in ts for x in (t, wrap(t), "# " + wrap(t).replace("\n", "\n# "))]
+    found = scanned(spark, [t for _, t in texts])
+    assert [(f, t[:60], r.licenses) for (f, t), r in zip(texts, found) if r.licenses != [f]] == []
 
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction."
@@ -51,11 +92,10 @@ GPL = "This program is free software: you can redistribute it and/or modify\nit
 
 
 def test_wrapped_notices(spark):
-    model = licenses.train(["Some thre words of ther ing.", "Another line of erand."])
     star = lambda text: "\n".join(" * " + x for x in text.split("\n"))
     narrow = lambda text: "\n".join(text.split())
     rows = [
-        ("MIT License\n\n" + MIT, ["MIT"]),
+        ("MIT License\n\nCopyright (c) 2011 Some One\n\n" + MIT, ["MIT"]),
         (BSD, ["BSD-3-Clause"]),
         (GPL, ["GPL-3.0"]),
         (star(GPL) + "\n *\n" + star(MIT), ["GPL-3.0", "MIT"]),
@@ -66,21 +106,29 @@ def test_wrapped_notices(spark):
         ("This work is licensed under the GNU General Public License,\nversion 3.", ["GPL-3.0"]),
         ("This work is licensed under the GNU General Public License,\nversion 2.", ["GPL-2.0"]),
         ("Licensed under CC BY-NC 4.0.\nSome thre words.\nReleased under the MIT License.", ["CC-BY-NC-4.0", "MIT"]),
+        # Pieces of two licences make no third one.
+        ("Licensed under CC BY-SA 4.0.\nLicensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0", "CC-BY-SA-4.0"]),
         # A blank line ends a paragraph.
         ("Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions are met", []),
     ]
-    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
-    found = {r.doc_id: r for r in licenses.scan(df, model).collect()}
-    assert [found[k].licenses for k in range(len(rows))] == [want for _, want in rows]
-    assert [found[k].unknown for k in (1, 4)] == [0, 1] and [(p.paragraph, p.confirmed) for p in found[1].paragraphs if p.confirmed] == [(0, True)]
-
-
-def test_sampled_lines_take_no_trigger_away(spark):
-    """Ordinary lines that hold a template's words, late in long lines too, don't hide the template."""
-    lines = ["We were all glad that seats had been reserved.", "Her rights were respected by all.", "Mozilla and Apache tribes."]
-    model = licenses.train([*lines, "x " * 100 + "unrestrictedly"])
-    assert model.triggers == licenses.train([]).triggers
-    df = spark.createDataFrame([(1, "All rights reserved."), (2, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
-    assert [r.licenses for r in licenses.scan(df, model).collect()] == [["Proprietary"], ["Apache-2.0"]]
-    long = spark.createDataFrame([(1, "y " * 2000 + "end")], "doc_id long, text string")
-    assert licenses.background(long) == ["y " * 2000 + "end"]
+    found = scanned(spark, [t for t, _ in rows])
+    assert [r.licenses for r in found] == [want for _, want in rows]
+    assert [(r.licenses, r.unknown) for r in found] == [plain(t, licenses.train()) for t, _ in rows]
+
+
+def test_texts_that_are_no_templates(spark):
+    """Reworded notices are found; sentences with the same words that name no licence aren't."""
+    named = [
+        ("This project is released under the terms of the MIT license.", None),
+        ("Unless otherwise noted, all code here is licensed under the Apache License, Version 2.0, as found in the top folder.", "Apache-2.0"),
+        ("All our figures are licensed under a Creative Commons Attribution 4.0 International License unless the caption says otherwise.", "CC-BY-4.0"),
+        ("(c) 2019 The Company. All rights reserved worldwide.", "Proprietary"),
+        ("In addition this library is free software; you can redistribute it and modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.", "LGPL-2.1"),
+    ]
+    found = scanned(spark, [t for t, _ in named])
+    assert [r.licenses for r, (_, f) in zip(found, named) if f] == [[f] for _, f in named if f]
+    rnd = random.Random(4)
+    words = [w for ts in [*TEXTS.values(), OTHERS] for t in ts for w in licenses._words(t)]
+    none = [" ".join(rnd.choice(words) for _ in range(rnd.randint(5, 40))) + " license" for _ in range(200)] + OTHERS
+    none = [t for t in none if not re.search("(?i)\\b(mit|isc|zlib) license", t)]  # these are titles
+    assert [(t, r.licenses) for t, r in zip(none, scanned(spark, none)) if r.licenses] == []
