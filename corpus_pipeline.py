@@ -11,27 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import byte_bpe, decontaminate, jaccard_join, langid, substring_dedup
-from cellweave.llm.durable import saved
+from cellweave.llm.durable import discard, saved, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Ids of at most so many near copies are broadcast (8 bytes each).
-BROADCAST_IDS = 2_000_000
+#: Near copies are documents that share so much of their five-word shingles.
+SHINGLE, PERCENT = 5, 80
+#: Keys of at most so many rows that go are broadcast (16 bytes each).
+BROADCAST_KEYS = 2_000_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language that can be told: null texts and those without a letter."""
+    """Drops documents whose language can't be told (null texts, those without a letter, and those that two languages'
+    codewords fit about as well); the others' ``lang`` becomes the predicted one."""
     found = langid.identify(docs.select(*COLUMNS), langid.train(docs))
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+    told = found.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous"))
+    return told.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies; rows without an id stay."""
-    found = jaccard_join.components(docs.select("doc_id", "text"))
-    later = saved(found.where("doc_id != component_id").select("doc_id"))
-    # Ids alone are sent to every task while they are few; beyond that, both sides are shuffled.
-    later = F.broadcast(later) if later.count() <= BROADCAST_IDS else later
-    return docs.select(*COLUMNS).join(later, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near copies: of smallest id (rows without an id come last), then least hash of the text.
+
+    Rows are told apart by id and text, so of rows that share an id only the copies go; of rows that are equal in both, one
+    stays. Texts without a word are no copies of each other: all stay.
+    """
+    row = F.struct(F.col("id").isNull().alias("nameless"), "id", "tie")
+    found = jaccard_join.detailed_components(docs.select("doc_id", "text"), SHINGLE, PERCENT).where("component is not null").select("id", "tie", "component")
+    found = saved(found.groupBy("component", "id", "tie").agg(F.count("*").alias("n")))
+    first = found.groupBy("component").agg(F.min(row).alias("first"))
+    gone = saved(found.join(first, "component").where(row != F.col("first")).select("id", "tie"))
+    again = saved(found.where("n > 1").join(gone, [found.id.eqNullSafe(gone.id), found.tie == gone.tie], "left_anti").select("id", "tie"))
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("tie"))
+
+    def match(keys: DataFrame, how: str) -> DataFrame:
+        # Keys alone are sent to every task while they are few; beyond that, both sides are shuffled.
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        return keyed.join(keys.withColumnsRenamed({"id": "key", "tie": "key_tie"}), F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("tie") == F.col("key_tie")), how)
+
+    if again.isEmpty():
+        return match(gone, "left_anti").select(*COLUMNS)
+    once = match(again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return match(gone.union(again), "left_anti").union(once).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,9 +88,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = saved(docs)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        # What a stage wrote on its way, and the table that it read, aren't needed once its result is written.
+        with scratch(spark) as keep:
+            docs = keep(saved(stage(spark, docs, sf_dir)))
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
