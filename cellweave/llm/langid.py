@@ -76,7 +76,7 @@ class Model:
         w, b = np.zeros((x.shape[1], codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
         w_speed, b_speed = np.zeros_like(w), np.zeros_like(b)
         for _ in range(steps):
-            error = (1 / (1 + np.exp(-(x @ w + b))) - goal) * weight
+            error = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - goal) * weight
             w_speed = 0.9 * w_speed - rate * (x.T @ error + decay * w)
             b_speed = 0.9 * b_speed - rate * error.sum(0) / 10
             w, b = w + w_speed, b + b_speed

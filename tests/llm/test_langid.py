@@ -22,6 +22,48 @@ def test_held_out(spark):
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in found if r.held_out]) > 0.97
 
 
+def plain(text, model):
+    """Grams counted one by one, a bit's loss at a time; (language, share, ambiguous)."""
+    data = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()]
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0, False
+    half = langid.DIMENSIONS // 2
+    x, shift = np.zeros(langid.DIMENSIONS), 32 - (half.bit_length() - 1)
+    for size, factor, at in ((2, 0x9E3779B1, 0), (3, 0x85EBCA77, half)):
+        grams = [int.from_bytes(bytes(data[k : k + size])) for k in range(len(data) - size + 1)]
+        for g in grams:
+            x[at + ((g * factor & 0xFFFFFFFF) >> shift)] += 1 / len(grams)
+    sides = np.sqrt(x) @ model.weights + model.offsets
+    loss = [sum(t * np.logaddexp(0, -c * s) for c, s, t in zip(code, sides, model.trust)) for code in model.codes]
+    chance = np.exp(min(loss) - np.array(loss))
+    second = sorted(chance)[-2] if len(chance) > 1 else 0.0
+    return model.languages[int(np.argmin(loss))], 1 / chance.sum(), 1 / (1 + second) < langid.AMBIGUOUS_BELOW
+
+
+def test_against_plain_version(spark):
+    """The query's own columns, and a text of two languages that is flagged."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("held_out", queries.crc_is(4, 2))
+    model = langid.train(docs.where("not held_out"))
+    found = {r.doc_id: r for r in queries.QUERIES["op8_language_id"](spark, folder).collect()}
+    for r in docs.collect():
+        lang, share, ambiguous = plain(r.text, model)
+        assert (found[r.doc_id].lang_pred, found[r.doc_id].ambiguous) == (lang, ambiguous) and abs(found[r.doc_id].score - share) < 1e-4
+
+
+def test_the_bound_holds_for_copies(spark):
+    """A text that makes up most rows can't exceed the bound on training rows."""
+    seen = []
+    fit = langid.Model.fit.__func__
+    langid.Model.fit, kept = classmethod(lambda cls, rows: seen.append(rows) or fit(cls, rows)), langid.Model.fit
+    try:
+        df = spark.createDataFrame([(k, "the very same text", "en") for k in range(400)] + [(1000 + k, f"ein text {k}", "de") for k in range(9)], "doc_id long, text string, lang string")
+        langid.train(df, per_language=20)
+    finally:
+        langid.Model.fit = kept
+    assert sorted(x for x, _ in seen[0]) == ["de"] * 9 + ["en"] * 20
+
+
 def test_edges(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", None), (5, "12 34 --- ☃", "en"), (None, "é", None), (7, "the dog " * 5000, "en"), (7, "the dog " * 5000, "en")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, score int")
