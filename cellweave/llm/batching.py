@@ -23,8 +23,8 @@ from cellweave.llm.textblock import slices
 
 #: Text in a batch and in a bucket at ``BASE_BYTES`` of input, and the most of each.
 BASE_BYTES = 512 << 20
-BATCH_BYTES, MOST_BATCH_BYTES = 4 << 20, 192 << 20
-BUCKET_BYTES, MOST_BUCKET_BYTES = 16 << 20, 768 << 20
+BATCH_BYTES, MOST_BATCH_BYTES = 3 << 20, 192 << 20
+BUCKET_BYTES, MOST_BUCKET_BYTES = 12 << 20, 768 << 20
 KEY = "batch"
 #: Stands for a null id, which comes before all others.
 NULL_ID = np.iinfo(np.int64).min
@@ -58,6 +58,7 @@ def dealt(docs: DataFrame, batches: int, id: str = "doc_id", text: str = "text")
 
 def in_order(table: pa.Table) -> pa.Table:
     """A batch in the order of ids, null first; rows of one id by the hash of their texts, then by text."""
+    pa.default_memory_pool().release_unused()  # what the task's last batch left
     return table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("tie", "ascending"), ("text", "ascending")], null_placement="at_start")).combine_chunks()
 
 

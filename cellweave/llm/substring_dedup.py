@@ -72,11 +72,15 @@ class Batch:
     def own_repeats(self, length: int, first_too: bool) -> np.ndarray:
         """Windows that the batch itself repeats; without the first of each unless ``first_too``."""
         places = self.places(length)
-        _, at, which, n = np.unique(self.hashes(length, places), return_index=True, return_inverse=True, return_counts=True)
+        h = self.hashes(length, places)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        same = h[1:] == h[:-1]
+        again = np.append(False, same)
+        if first_too:
+            again[:-1] |= same
         mask = np.zeros(self.block.words, bool)
-        mask[places] = n[which] > 1
-        if not first_too:
-            mask[places[at]] = False
+        mask[places[order[again[: len(order)]]]] = True
         return mask
 
     def repeated(self, steps: list[int], level: int, buckets: int, answers: dict[int, list]) -> np.ndarray:

@@ -153,25 +153,26 @@ class Windows:
     """Hashes of word windows by doubling: a window of 2k is made of two of k. ``step``: another gives other hashes."""
 
     def __init__(self, words: np.ndarray, step: int = int(_STEP)):
-        self.known, self.step = {1: words}, step
+        self.words, self.step = words, step
 
     def of(self, length: int) -> np.ndarray:
-        """Unmixed hash of the window that starts at each word (those beyond the end run into zeros)."""
-        if length not in self.known:
-            half = length // 2
-            left, right = self.of(length - half), self.of(half)
-            moved = np.zeros_like(right)
-            moved[: max(0, len(right) - (length - half))] = right[length - half :]
-            factor = np.uint64(pow(self.step, length - half, 1 << 64))
-            self.known[length] = left + moved * factor
-        return self.known[length]
+        """Unmixed hash of the window that starts at each word (those beyond the end run into zeros). Nothing is remembered."""
+        if length == 1:
+            return self.words
+        half = length // 2
+        left = self.of(length - half)
+        right = left if half == length - half else self.of(half)
+        out = left.copy()
+        out[: max(0, len(right) - (length - half))] += right[length - half :] * np.uint64(pow(self.step, length - half, 1 << 64))
+        return out
 
 
 def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     """True for positions that a window of this length, beginning at one of ``starts``, covers."""
-    step = np.bincount(starts, minlength=size + 1)
-    step -= np.bincount(np.minimum(starts + length, size), minlength=size + 1)
-    return np.cumsum(step[:size]) > 0
+    step = np.zeros(size + 1, np.int32)
+    np.add.at(step, starts, 1)
+    np.subtract.at(step, np.minimum(starts + length, size), 1)
+    return np.cumsum(step[:size], dtype=np.int32) > 0
 
 
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
