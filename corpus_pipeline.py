@@ -35,12 +35,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by id and text, so of rows that share an id only the copies go; of rows that are equal in both, one
     stays. Texts without a word are no copies of each other: all stay.
     """
-    row = F.struct(F.col("id").isNull().alias("nameless"), "id", "tie")
-    found = jaccard_join.detailed_components(docs.select("doc_id", "text"), SHINGLE, PERCENT).where("component is not null").select("id", "tie", "component")
-    found = saved(found.groupBy("component", "id", "tie").agg(F.count("*").alias("n")))
-    first = found.groupBy("component").agg(F.min(row).alias("first"))
-    gone = saved(found.join(first, "component").where(row != F.col("first")).select("id", "tie"))
-    again = saved(found.where("n > 1").join(gone, [found.id.eqNullSafe(gone.id), found.tie == gone.tie], "left_anti").select("id", "tie"))
+    found = jaccard_join.detailed_components(docs.select("doc_id", "text"), SHINGLE, PERCENT).where("component is not null")
+    found = saved(found.groupBy("component", "least", "id", "tie").agg(F.count("*").alias("n")))
+    # Most rows go by their own id alone; only rows of the smallest one are compared by their texts' hashes.
+    may_stay = F.col("least").eqNullSafe(F.col("id"))
+    first = found.where(may_stay).groupBy("component").agg(F.min("tie").alias("first"))
+    later = found.where(may_stay).join(first, "component").where("tie <> first")
+    gone = saved(found.where(~may_stay).select("id", "tie").union(later.select("id", "tie")))
+    again = saved(found.where(may_stay & (F.col("n") > 1)).join(gone, [found.id.eqNullSafe(gone.id), found.tie == gone.tie], "left_anti").select("id", "tie"))
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("tie"))
 
     def match(keys: DataFrame, how: str) -> DataFrame:
