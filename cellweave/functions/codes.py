@@ -109,14 +109,20 @@ def quantize(value, low: float, high: float, bits: int = 8, strict: bool = True)
 # --- levels and heights -------------------------------------------------------------------------------------------
 
 
+def _level(level) -> Column:
+    """A level as a number; one outside [0, 32] raises, null stays null."""
+    k = _col(level).cast("double")
+    return F.when(k.between(0, MAX_LEVEL), k).when(k.isNotNull(), F.raise_error(F.lit("a level is out of range")))
+
+
 def cell_deg(level) -> Column:
     """Span of a cell in degrees: whole degrees to level 9, then minutes, seconds, and 1/2048 of a second."""
-    k = _col(level).cast("double")
+    k = _level(level)
     return F.when(k <= 9, F.pow(F.lit(2.0), 9 - k)).when(k <= 15, F.pow(F.lit(2.0), 15 - k) / 60.0).when(k <= 21, F.pow(F.lit(2.0), 21 - k) / 3600.0).otherwise(F.pow(F.lit(2.0), 32 - k) / 2048.0 / 3600.0)
 
 
 def cells_per_deg(level) -> Column:
-    k = _col(level).cast("double")
+    k = _level(level)
     return F.when(k <= 15, F.pow(F.lit(2.0), k - 9)).otherwise(3600.0 * F.pow(F.lit(2.0), k - 21))
 
 

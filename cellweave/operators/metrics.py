@@ -26,11 +26,12 @@ def pairs_within_distance(vectors: DataFrame, threshold: int, dims: int = 2, gro
     return found.withColumn("l2", codes.l2_squared("values", "right_values")).where(F.col("l2") <= width * width if threshold else F.col("l2") == 0).select(F.col("vec_id").alias("left_id"), "right_id", "l2")
 
 
-def group_distances(vectors: DataFrame, group: str, threshold: int) -> DataFrame:
-    """(left_id, right_id, l2, near) of all pairs within each group: the answer itself has a row for each pair."""
-    right = vectors.select(group, F.col("vec_id").alias("right_id"), F.col("values").alias("right_values"))
-    found = vectors.join(right, group).where("vec_id < right_id").withColumn("l2", codes.l2_squared("values", "right_values"))
-    return found.select(F.col("vec_id").alias("left_id"), "right_id", "l2", (F.col("l2") <= threshold * threshold).alias("near"))
+def pair_distances(pairs: DataFrame, vectors: DataFrame, threshold: int) -> DataFrame:
+    """(left_id, right_id, l2, near) of listed pairs: two equality joins on the vectors' ids."""
+    left = vectors.select(F.col("vec_id").alias("left_id"), "values")
+    right = vectors.select(F.col("vec_id").alias("right_id"), F.col("values").alias("right_values"))
+    found = pairs.join(left, "left_id").join(right, "right_id").withColumn("l2", codes.l2_squared("values", "right_values"))
+    return found.select("left_id", "right_id", "l2", codes.distance_le("values", "right_values", threshold).alias("near"))
 
 
 def weighted_sum_long(values: DataFrame, weights: DataFrame, scale: int = 1) -> DataFrame:
@@ -39,14 +40,6 @@ def weighted_sum_long(values: DataFrame, weights: DataFrame, scale: int = 1) ->
     return joined.select("vec_id", codes.floor_div(F.col("total"), scale).alias("score"))
 
 
-def l2_squared_long(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id, l2) for wide vectors in long form: rows (vec_id, dim, value), paired by an equal ``pair``."""
-    a = left.select("pair", F.col("vec_id").alias("left_id"), "dim", "value")
-    b = right.select("pair", F.col("vec_id").alias("right_id"), "dim", F.col("value").alias("other"))
-    d = F.col("value") - F.col("other")
-    return a.join(b, ["pair", "dim"]).groupBy("left_id", "right_id").agg(F.sum(d * d).alias("l2"))
-
-
 def vector_guards(vectors: DataFrame) -> DataFrame:
     """Rows with ``valid``: no element missing and a positive scale."""
     return vectors.withColumn("valid", codes.vector_is_valid("values", "scale"))

@@ -32,8 +32,9 @@ ALIASES = {
 }
 # Levels of sensitivity, the least sensitive first.
 LEVELS = ["public", "internal", "sensitive", "secret"]
+# Names that carry a scope, and the parameters that carry a time, in the order in which they are tried.
 SCOPE = "^(?:route|path|traj|track|flight|zone|area|region)_([A-Za-z0-9]+)$"
-FIELDS = ["subject", "predicate", "object", "time", "spatial_scope", "sensitivity", "confidence", "meta"]
+TIMES = ["time", "time_scope", "temporal_scope", "window"]
 
 
 def relations_from_pairs(pairs: DataFrame, predicate: str, subject: str = "left_id", object: str = "right_id", sensitivity: str = "internal", meta: dict[str, str] | None = None) -> DataFrame:
@@ -66,7 +67,7 @@ def spatial_scope(names) -> Column:
 
 def temporal_scope(params) -> Column:
     m = F.col(params) if isinstance(params, str) else params
-    return F.coalesce(*[F.element_at(m, k) for k in ("time", "time_scope", "temporal_scope", "window")])
+    return F.coalesce(*[F.element_at(m, k) for k in TIMES])
 
 
 def scope_text(spatial, temporal) -> Column:
@@ -132,12 +133,13 @@ def suggest_ops(words: DataFrame, word: str = "word") -> DataFrame:
     return words.withColumn("ops", F.array_distinct(F.transform(hits, lambda p: p["op"])))
 
 
+# Types of entities that are geometric, with or without cells.
+GEOMETRIC = ["EntitySet", "CellSet", "Point", "Vector"]
+
+
 def entity_table(entities: DataFrame) -> DataFrame:
-    """Entity rows with n_codes, is_geometric, scope (an override wins) and all_valid (every code decodes to fitting parts)."""
-    geometric = F.size("cell_codes") > 0
-    # Any 64 bits decode; a code is valid if it is there and its level exists.
-    valid = F.forall("cell_codes", lambda c: c.isNotNull() & (codes.part_of(c, "level") <= codes.MAX_LEVEL))
-    return entities.withColumn("n_codes", F.size("cell_codes")).withColumn("is_geometric", geometric & F.col("entity_type").isin("EntitySet", "CellSet", "Point")).withColumn("scope", F.coalesce("new_scope", "spatial_scope")).withColumn("all_valid", valid)
+    """Entity rows with n_codes, is_geometric (by type alone), scope (an override wins) and all_valid (no code is missing)."""
+    return entities.withColumn("n_codes", F.size("cell_codes")).withColumn("is_geometric", F.col("entity_type").isin(GEOMETRIC)).withColumn("scope", F.coalesce("new_scope", "spatial_scope")).withColumn("all_valid", F.forall("cell_codes", lambda c: c.isNotNull()))
 
 
 def party_binding(inputs: DataFrame, most: int = 2) -> DataFrame:

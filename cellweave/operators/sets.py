@@ -6,12 +6,22 @@ splits; pairs are counted before they are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import codes
 
 
+def prepare_cells(cells: DataFrame) -> DataFrame:
+    """(set_id, grid_code, rank, input_count, unique_count, duplicate_count): each set's distinct codes ranked in unsigned
+    order, with its counts."""
+    by_code = cells.groupBy("set_id", "grid_code").agg(F.count("*").alias("n"))
+    counts = by_code.groupBy("set_id").agg(F.sum("n").alias("input_count"), F.count("*").alias("unique_count"))
+    rank = F.row_number().over(Window.partitionBy("set_id").orderBy(*codes.unsigned_order("grid_code")))
+    ranked = by_code.withColumn("rank", rank).join(counts, "set_id")
+    return ranked.select("set_id", "grid_code", "rank", "input_count", "unique_count", (F.col("input_count") - F.col("unique_count")).alias("duplicate_count"))
+
+
 def prepared(cells: DataFrame) -> DataFrame:
     """Distinct (set_id, grid_code)."""
     return cells.select("set_id", "grid_code").distinct()
@@ -24,14 +34,24 @@ def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "grid_code")
 
 
+def intersects_row(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row, intersects: whether two cell sets (one pair) have a code in common. The search ends at the first one."""
+    common = left.select("grid_code").join(right.select("grid_code"), "grid_code", "left_semi")
+    return common.limit(1).agg((F.count("*") > 0).alias("intersects"))
+
+
+def contains_row(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """One row, contains: whether outer holds all of inner; the empty set is in every set."""
+    lone = inner.select("grid_code").join(outer.select("grid_code"), "grid_code", "left_anti")
+    return lone.limit(1).agg((F.count("*") == 0).alias("contains"))
+
+
 def intersects(left: DataFrame, right: DataFrame) -> bool:
-    """Whether two cell sets (one pair) have a code in common."""
-    return not left.select("grid_code").join(right.select("grid_code"), "grid_code", "left_semi").isEmpty()
+    return intersects_row(left, right).first()[0]
 
 
 def contains(outer: DataFrame, inner: DataFrame) -> bool:
-    """Whether outer holds all of inner; the empty set is in every set."""
-    return inner.select("grid_code").join(outer.select("grid_code"), "grid_code", "left_anti").isEmpty()
+    return contains_row(outer, inner).first()[0]
 
 
 def intersecting_pairs(left: DataFrame, right: DataFrame, ordered: bool = False) -> DataFrame:
@@ -64,11 +84,17 @@ def cardinality(cells: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 def containing_pairs(outer: DataFrame, inner: DataFrame, outer_ids: DataFrame | None = None, inner_ids: DataFrame | None = None) -> DataFrame:
     """(outer_id, inner_id) of each inner set whose codes are all in the outer one.
 
-    A pair qualifies if it shares as many codes as the inner set has. Empty inner sets, known by ``inner_ids`` only, are in
+    Only outer sets that hold an inner set's rarest code are candidates; a pair qualifies if it shares as many codes as the
+    inner set has. Empty inner sets, known by ``inner_ids`` only, are in
     every outer set; pairing them is the result itself.
     """
     sizes = cardinality(inner).select(F.col("set_id").alias("right_id"), "n_codes")
-    found = intersecting_pairs(outer, inner).join(sizes, "right_id").where("overlap = n_codes").select(F.col("left_id").alias("outer_id"), F.col("right_id").alias("inner_id"))
+    whole, part = prepared(outer).select(F.col("set_id").alias("left_id"), "grid_code"), prepared(inner).select(F.col("set_id").alias("right_id"), "grid_code")
+    spread = whole.groupBy("grid_code").agg(F.count("*").alias("held_by"))
+    rarest = part.join(spread, "grid_code", "left").groupBy("right_id").agg(F.min_by("grid_code", F.struct(F.coalesce("held_by", F.lit(0)), "grid_code")).alias("grid_code"))
+    candidates = rarest.join(whole, "grid_code").select("left_id", "right_id")
+    shared = candidates.join(part, "right_id").join(whole, ["left_id", "grid_code"]).groupBy("left_id", "right_id").agg(F.count("*").alias("overlap"))
+    found = shared.join(sizes, "right_id").where("overlap = n_codes").select(F.col("left_id").alias("outer_id"), F.col("right_id").alias("inner_id"))
     if inner_ids is None:
         return found
     empty = inner_ids.select("set_id").distinct().join(inner.select("set_id"), "set_id", "left_anti").select(F.col("set_id").alias("inner_id"))
@@ -86,7 +112,10 @@ def chain_intersect(first: DataFrame, second: DataFrame, third: DataFrame) -> Da
 def intersection_count(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, n) for listed pairs; 0 for those without a common code."""
     wanted = pairs.select("left_id", "right_id").distinct()
-    n = intersecting_pairs(left, right).withColumnRenamed("overlap", "n")
+    # From the listed pairs to their left codes, then to the right ones: no other pair is ever made.
+    a = prepared(left).select(F.col("set_id").alias("left_id"), "grid_code")
+    b = prepared(right).select(F.col("set_id").alias("right_id"), "grid_code")
+    n = wanted.join(a, "left_id").join(b, ["right_id", "grid_code"]).groupBy("left_id", "right_id").agg(F.count("*").alias("n"))
     return wanted.join(n, ["left_id", "right_id"], "left").select("left_id", "right_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -102,11 +131,17 @@ def weights_missing(left: DataFrame, weights: DataFrame) -> DataFrame:
 def intersection_sum(left: DataFrame, right: DataFrame, weights: DataFrame, check: bool = True) -> DataFrame:
     """(left_id, right_id, n, total): common codes and the sum of the left codes' weights.
 
-    Every left code needs a weight; with ``check``, a missing one fails before the job. A sum beyond BIGINT fails the job.
+    Every left code needs a weight; with ``check``, a missing or negative one fails the job. Of several weights of a code the
+    greatest counts. A sum beyond BIGINT fails the job.
     """
-    if check and not weights_missing(left, weights).isEmpty():
-        raise ValueError("some codes have no valid weight")
-    valued = _shared(left, right).join(weights.select("grid_code", F.col("value").cast("bigint").alias("value")), "grid_code")
+    held = weights.groupBy("grid_code").agg(F.max("value").cast("bigint").alias("value"))
+    if check:
+        ok = F.coalesce(F.col("value") >= 0, F.lit(False))
+        # Every left code meets its weight, so a bad one fails the job itself, also where no right set holds it.
+        valued_left = prepared(left).join(held, "grid_code", "left").withColumn("value", codes.checked(F.col("value"), ok, "some codes have no valid weight", True))
+    else:
+        valued_left = prepared(left).join(held, "grid_code")
+    valued = valued_left.select(F.col("set_id").alias("left_id"), "grid_code", "value").join(prepared(right).select(F.col("set_id").alias("right_id"), "grid_code"), "grid_code", "left").where("value is not null and right_id is not null")
     return valued.groupBy("left_id", "right_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 

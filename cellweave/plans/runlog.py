@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 COMMON = ["family", "protocol", "operation", "world_size", "field", "input_size", "unique_size", "result_size", "compute_time", "communication_bytes", "total_time", "memory_bytes", "status"]
 FAMILIES = ["PSI", "PSI-CA", "PI-SUM", "MPC"]
 SET_OPERATION = "CellSetIntersect"
+COMPARABLE = ["compute_time", "total_time", "communication_bytes", "memory_bytes", "input_size", "result_size"]
 WARN_RATIO = 1.5
 # Metrics that a family's records never hold, and the raw columns that would hold them.
 MISSING_METRICS = {
@@ -76,13 +77,25 @@ def unify_records(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(unify, tables))
 
 
+def record_family(raw: DataFrame) -> Column:
+    """The family that a record's own filled columns show; null for none."""
+    filled = lambda c: F.col(c).isNotNull() if c in raw.columns else F.lit(False)
+    return F.when(filled("psi_ca_execute_ms"), "PSI-CA").when(filled("pi_sum_execute_ms"), "PI-SUM").when(filled("op") & filled("k"), "MPC").when(filled("psi_execute_ms"), "PSI")
+
+
 def load_records(spark, path: str, family: str | None = None) -> DataFrame:
-    """A CSV or JSON file of records in the common columns; the family is inferred from the file's columns."""
+    """A CSV or JSON file of records in the common columns; the family is inferred from the file's columns.
+
+    A record whose own columns show another family fails the job: a file holds one family.
+    """
     raw = spark.read.option("header", True).csv(path) if path.lower().endswith(".csv") else spark.read.option("multiLine", True).json(path)
     found = infer_family(raw)
     if family and found != family:
         raise ValueError(f"{path} holds {found} records, not {family}")
-    return unify(raw, found)
+    own = record_family(raw)
+    same = F.coalesce(own == found, F.lit(True))
+    out = unify(raw.withColumn("_family", F.when(same, found).otherwise(F.raise_error(F.concat(F.lit(f"a {found} file holds a record of "), own)))), found)
+    return out.withColumn("family", F.element_at("metadata", "_family")).withColumn("metadata", F.map_filter("metadata", lambda k, v: k != "_family"))
 
 
 def status_counts(records: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -94,19 +107,28 @@ def status_counts(records: DataFrame, by: list[str] | None = None) -> DataFrame:
     return n.withColumn("place", F.row_number().over(w)).orderBy(*(by or []), "place")
 
 
+def _label(records: DataFrame, label: str) -> Column:
+    """A record's case, if its metadata name one; else the label's column."""
+    return F.coalesce(F.nullif(F.element_at("metadata", F.lit("case")), F.lit("")), F.col(label)) if "metadata" in records.columns else F.col(label)
+
+
 def compare_groups(records: DataFrame, metric: str = "total_time", label: str = "protocol") -> tuple[DataFrame, DataFrame]:
     """((label, value, samples, spread) by ascending median of the ok rows; (label, reason) of the rows left out).
 
-    Records of several families, operations or sizes aren't comparable and raise.
+    Records of several families, operations or sizes aren't comparable and raise, as does a metric that isn't comparable. The
+    label of a record that names its case is the case.
     """
+    if metric not in COMPARABLE:
+        raise ValueError(f"{metric} isn't comparable: {COMPARABLE}")
+    records = records.withColumn("label", _label(records, label))
     kinds = records.agg(*[F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("")))for c in ("family", "operation", "input_size")]).first()
     if any(n > 1 for n in kinds):
         raise ValueError("narrow the records to one family, operation and size first")
     used = records.where((F.col("status") == "ok") & F.col(metric).isNotNull())
     v = F.col(metric).cast("double")
-    rows = used.groupBy(F.col(label).alias("label")).agg(F.median(v).alias("value"), F.count("*").alias("samples"), F.when(F.count("*") > 1, F.max(v) - F.min(v)).alias("spread")).orderBy("value")
+    rows = used.groupBy("label").agg(F.median(v).alias("value"), F.count("*").alias("samples"), F.when(F.count("*") > 1, F.max(v) - F.min(v)).alias("spread")).orderBy("value")
     reason = F.when(F.col("status") != "ok", F.concat(F.lit("status="), "status")).otherwise(f"no {metric}")
-    return rows, records.where((F.col("status") != "ok") | F.col(metric).isNull()).select(F.col(label).alias("label"), reason.alias("reason"))
+    return rows, records.where((F.col("status") != "ok") | F.col(metric).isNull()).select("label", reason.alias("reason"))
 
 
 def compare_each_group(records: DataFrame, metric: str = "total_time", label: str = "protocol") -> tuple[DataFrame, DataFrame]:
@@ -134,8 +156,10 @@ def baseline_compare(current: DataFrame, baseline: DataFrame, warn_ratio: float
 
 
 def unexpected_records(records: DataFrame, expected: str = "expected") -> DataFrame:
-    """Rows whose status isn't the expected one; without an expectation, whose status is neither ok nor unavailable."""
-    wanted = F.when(F.col(expected).isNotNull(), F.col("status") == F.col(expected)).otherwise(F.col("status").isin("ok", "unavailable"))
+    """Rows that aren't as expected. An expected deviation may be ok, error or mixed; any other expectation must be met; without
+    one (null or empty) a row must be unavailable, or ok and in agreement with the reference."""
+    met = F.when(F.col(expected) == "deviation", F.col("status").isin("ok", "error", "mixed")).when(F.coalesce(F.col(expected), F.lit("")) != "", F.col("status") == F.col(expected))
+    wanted = met.otherwise((F.col("status") == "unavailable") | ((F.col("status") == "ok") & F.coalesce(F.col("agreement"), F.lit(False))))
     return records.where(~F.coalesce(wanted, F.lit(False)))
 
 

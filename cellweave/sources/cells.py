@@ -28,12 +28,17 @@ def read_cells_csv(spark: SparkSession, paths, key: str = "grid_code") -> DataFr
 
 
 def read_cells_json(spark: SparkSession, paths) -> DataFrame:
-    """(source, label, party_id, layout, text, grid_code): codes of JSON files, each an array or an object with codes."""
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.trim("value").alias("value"))
+    """(source, label, party_id, layout, text, grid_code): codes of JSON files, each an array or an object with codes.
+
+    A byte order mark is passed over. A file that is malformed or has no array of codes fails the job with its name. A file is
+    one row while it is parsed, as JSON of this form can't be split; many small files are read in parallel.
+    """
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("value"))
     bare = F.from_json(F.when(F.col("value").startswith("["), F.col("value")), "array<string>")
     record = F.from_json(F.when(F.col("value").startswith("{"), F.col("value")), JSON_SCHEMA)
     rows = raw.select("source", bare.alias("bare"), record.alias("r"))
-    text = F.explode(F.coalesce("bare", "r.grid_codes", "r.codes"))
+    found = F.coalesce("bare", "r.grid_codes", "r.codes")
+    text = F.explode(F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no array of codes in "), "source")).cast("array<string>")))
     rows = rows.select("source", "r.label", "r.party_id", F.coalesce("r.layout", "r.manifest").alias("layout"), text.alias("text"))
     return rows.where(~_blank(F.col("text"))).withColumn("grid_code", codes.cell_from_text("text"))
 
@@ -71,10 +76,6 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("grid_code").agg(F.max_by("value", "line").alias("value"))
 
 
-def layout_manifest(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(codes.LAYOUT,)], "layout map<string,string>")
-
-
 def layout_agreement(left, right) -> Column:
     """struct(agreement, mismatches) of two manifests (maps): null if either is missing; keys that both lack are passed over."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (left, right))

@@ -25,6 +25,11 @@ def zone_hits(stream: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def windowed_overlap(stream: DataFrame, zones: DataFrame, moment: str = "ts", late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
-    """(window, set_id, zone_id, overlap): distinct common cells in each window; rows later than ``late`` are dropped by the watermark."""
-    hits = zone_hits(stream.withWatermark(moment, late), zones).dropDuplicatesWithinWatermark(["set_id", "zone_id", "grid_code"])
-    return hits.groupBy(F.window(moment, window).alias("window"), "set_id", "zone_id").agg(F.count("*").alias("overlap"))
+    """(window, set_id, zone_id, overlap): distinct common cells in each window; rows later than ``late`` are dropped by the watermark.
+
+    The window is in the key of what counts once, so a cell counts anew in each window. State: a row for each window, pair
+    and cell until the watermark has passed the window.
+    """
+    hits = zone_hits(stream.withWatermark(moment, late), zones).withColumn("window", F.window(moment, window))
+    hits = hits.dropDuplicates(["window", "set_id", "zone_id", "grid_code"])
+    return hits.groupBy("window", "set_id", "zone_id").agg(F.count("*").alias("overlap"))

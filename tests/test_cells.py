@@ -103,8 +103,10 @@ def test_sets(spark):
     assert {(r.outer_id, r.inner_id) for r in sets.containing_pairs(c, name("route"), inner_ids=ids).collect()} == {("route", "route"), ("route", "none"), ("nofly", "none"), ("sensitive", "none")}
     weights = spark.createDataFrame(source.SAMPLE_WEIGHTS, "grid_code long, value long")
     assert tuple(sets.intersection_sum(name("route"), name("nofly"), weights).first())[2:] == (2, 13)
-    with pytest.raises(ValueError):
-        sets.intersection_sum(name("nofly"), name("route"), weights)
+    with pytest.raises(Exception, match="weight"):
+        sets.intersection_sum(name("nofly"), name("route"), weights).collect()
+    counted = sets.prepare_cells(c.union(c.limit(1))).where("set_id = 'route'").orderBy("rank").collect()
+    assert [(r.grid_code, r.rank, r.input_count, r.unique_count, r.duplicate_count) for r in counted] == [(x, k + 1, 4, 3, 1) for k, x in enumerate(sorted(source.SAMPLE["route"]))]
     high = spark.createDataFrame([(1, x) for x in (-1, 0, 5, -(2**63), 255)], "set_id int, grid_code long")
     assert [r.grid_code for r in sets.sort_cells(high).collect()] == [0, 5, 255, -(2**63), -1]
     assert release.bodies_agree(sets.expand_prefix_groups(sets.prefix_groups(high)), high)
@@ -146,6 +148,40 @@ def test_files(spark, tmp_path):
     assert [r.text for r in back.collect()] == ["3", str(2**63), str(2**64 - 1)]
 
 
+def test_bad_files_fail(spark, tmp_path):
+    (tmp_path / "bom.json").write_text("\ufeff[7]", encoding="utf-8")
+    assert [r.grid_code for r in source.read_cells_json(spark, str(tmp_path / "bom.json")).collect()] == [7]
+    for name, text in (("broken.json", "[1, "), ("none.json", '{"label": "x"}'), ("empty.json", "nothing")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match=name):
+            source.read_cells_json(spark, str(tmp_path / name)).collect()
+    (tmp_path / "mixed.json").write_text(json.dumps([{"protocol": "P", "psi_execute_ms": 1.0, "n_left": 3}, {"protocol": "P", "psi_ca_execute_ms": 1.0}]))
+    with pytest.raises(Exception, match="holds a record of"):
+        runlog.load_records(spark, str(tmp_path / "mixed.json")).collect()
+    with pytest.raises(ValueError, match="comparable"):
+        runlog.compare_groups(spark.range(1), "encode_time")
+
+
+def test_levels_out_of_range(spark):
+    for f in (codes.cell_deg, codes.cells_per_deg, codes.equator_scale, codes.height_cell, codes.max_supported_height, lambda n: codes.height_index(F.lit(1.0), n)):
+        for bad in (-1, 33, 40):
+            with pytest.raises(Exception, match="level"):
+                one(spark, f(F.lit(bad)))
+        assert one(spark, f(F.lit(32))).c0 is not None
+
+
+def test_agreement_in_the_policys_shape(spark):
+    cells = spark.createDataFrame([(1, 2, 5), (1, 2, 6), (3, 4, 5)], "left_id int, right_id int, grid_code long")
+    counts = release.release("CellSetIntersect", cells, "count")
+    other = cells.union(cells.limit(1)).where("left_id = 1")
+    found = {(r.left_id, r.agrees) for r in release.agreement_under("CellSetIntersect", "count", counts, other).collect()}
+    assert found == {(1, True), (3, None)}
+    yes = spark.createDataFrame([(1, 2, True)], "left_id int, right_id int, boolean boolean")
+    assert {r.agrees for r in release.agreement_under("CellSetIntersect", "count", counts, yes).collect()} == {None}
+    assert {r.agrees for r in release.agreement_under("CellSetIntersect", None, cells, cells).collect()} == {True}
+    assert {r.agrees for r in release.agreement_under("Intersects", None, yes, yes.withColumn("boolean", F.lit(False))).collect()} == {False}
+
+
 def test_relations_and_release(spark):
     names = lambda *x: relations.split_subject_object(F.array(*map(F.lit, x)) if x else F.array().cast("array<string>"))
     r = one(spark, names("no_fly_a", "route_b"), names("a", "b"), names("a"), names(), relations.spatial_scope(F.array(F.lit("x"), F.lit("route_A"))), relations.max_sensitivity(F.array(F.lit("public"), F.lit("odd"))), relations.max_sensitivity(F.array().cast("array<string>")))
@@ -180,15 +216,17 @@ def test_sql_functions(spark):
 def test_streams(spark, tmp_path):
     from cellweave.streaming import cells as streaming
 
-    rows = spark.sql("SELECT 1 AS set_id, 21861 AS x, 27702 AS y, 0.0D AS height_min, 20000.0D AS height_max, 15 AS level, 0 AS toff, 0 AS lt, timestamp'2024-01-01 00:00:00' AS ts")
+    rows = spark.sql("SELECT 1 AS set_id, 21861 AS x, 27702 AS y, 0.0D AS height_min, 20000.0D AS height_max, 15 AS level, 0 AS toff, 0 AS lt, explode(array(timestamp'2024-01-01 00:01:00', timestamp'2024-01-01 00:02:00', timestamp'2024-01-01 00:06:00')) AS ts")
     rows.write.parquet(str(tmp_path / "in"))
-    zones = bands.height_band(rows.withColumn("height_min", F.lit(5000.0)).withColumn("height_max", F.lit(9000.0))).select("set_id", "grid_code")
+    zones = bands.height_band(rows.limit(1).withColumn("height_min", F.lit(5000.0)).withColumn("height_max", F.lit(9000.0))).select("set_id", "grid_code")
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     for name, frame, mode in (("hits", streaming.zone_hits(streaming.band_cells(stream), zones), "append"), ("windows", streaming.windowed_overlap(streaming.band_cells(stream), zones), "update")):
         q = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
         q.stop()
-    assert spark.table("hits").count() == 3 and spark.table("windows").first().overlap == 3
+    # Cells that come twice in a window count once there, and anew in the next window.
+    assert spark.table("hits").count() == 9
+    assert sorted((r.window.start.minute, r.overlap) for r in spark.table("windows").collect()) == [(0, 3), (5, 3)]
 
 
 def test_plans(spark):
@@ -196,22 +234,26 @@ def test_plans(spark):
         plan = f(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "Python" not in plan, name
     scan = catalogue.QUERIES["s4_cells_table_scan"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(l_suppkey), LessThan(l_suppkey,50)]" in scan and "l_comment" not in scan
+    assert "l_comment" not in scan
+    one = source.lineitem_cells(spark.read.parquet(f"{FOLDER}/lineitem.parquet")).where("set_id < 50")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_suppkey), LessThan(l_suppkey,50)]" in one
 
 
 def test_whole_tables(spark):
     """Nothing is left out by id, case or size."""
     items = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
     run = lambda name: catalogue.QUERIES[name](spark, FOLDER)
-    assert run("s4_cells_table_scan_whole").agg(F.sum("n")).first()[0] == items.count()
-    assert run("j3_cellset_intersect_whole").where("left_id % 2 = right_id % 2").count() > 0
-    sizes = run("j7_cardinality_whole").where("not is_empty")
+    assert run("s4_cells_table_scan").agg(F.sum("n")).first()[0] == items.count()
+    assert run("j3_cellset_intersect").where("left_id % 2 = right_id % 2").count() > 0
+    sizes = run("j7_cardinality").where("not is_empty")
     assert {r.set_id for r in sizes.collect()} == {r.l_suppkey for r in items.select("l_suppkey").distinct().collect()}
     events = spark.read.parquet(f"{FOLDER}/events.parquet")
-    groups = run("b4_compare_groups_whole")
+    groups = run("b4_compare_groups")
     assert groups.select("operation", "input_size").distinct().count() == events.selectExpr("event_type", "event_id % 4").distinct().count()
     assert groups.agg(F.sum("samples")).first()[0] == events.where("event_id % 17 <> 0 and event_id % 23 <> 0 and value is not null").count()
-    assert {r.third_id for r in run("j6_chain_intersect_whole").select("third_id").distinct().collect()} == {r.l_linenumber for r in items.select("l_linenumber").distinct().collect()}
+    pairs = run("j5_containing_pairs")
+    assert pairs.count() == sets.intersecting_pairs(*[source.lineitem_cells(items, False, c) for c in ("l_suppkey", "l_orderkey")]).join(sets.cardinality(source.lineitem_cells(items, False, "l_orderkey")).withColumnRenamed("set_id", "right_id"), "right_id").where("overlap = n_codes").count()
+    assert {r.third_id for r in run("j6_chain_intersect").select("third_id").distinct().collect()} == {r.l_linenumber for r in items.select("l_linenumber").distinct().collect()}
 
 
 def test_compare_each_group(spark):
