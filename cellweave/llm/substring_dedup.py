@@ -155,7 +155,7 @@ def _first_bucket(table: pa.Table) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     rows = []
     for key, part in zip(table.column(KEY).to_pylist(), parts):
-        found = np.isin(part, shared)
+        found = _among(part, shared)
         if found.any():
             rows.append((key, bucket, np.packbits(found).tobytes()))
     return table_of(rows, _ANSWER)
@@ -168,6 +168,15 @@ def _shared(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(whole[1:][whole[1:] == whole[:-1]])
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the ascending ``known``: a search each, so that a batch's share of a bucket doesn't cost all of it."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
+
+
 def _sender(steps: list[int], level: int, buckets: int, last: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -208,7 +217,7 @@ def _middle_bucket(table: pa.Table) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     rows = []
     for key, part, places in zip(table.column(KEY).to_pylist(), parts, blobs(table.column("places"))):
-        found = np.isin(part, shared)
+        found = _among(part, shared)
         if found.any():
             rows.append((key, bucket, packed(np.sort(np.frombuffer(places, np.uint32)[found]))))
     return table_of(rows, _ANSWER)
