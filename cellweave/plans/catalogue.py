@@ -473,6 +473,20 @@ def b1_unify_records(spark, d):
     return runlog.unify_records([mpc, psi]).select("family", "protocol", "operation", "input_size", r6("compute_time", "compute_time"), "communication_bytes", "status")
 
 
+_MPC = ["SEMI2K", "ABY3", " cheetah", "unknown"]
+_PSI = ["PROTOCOL_ECDH_3PC", "ecdh", "KKRT", "unknown"]
+
+
+@query(f"SELECT 'MPC' AS family, protocol, CASE protocol WHEN 'ABY3' THEN 3 WHEN 'unknown' THEN NULL ELSE 2 END::BIGINT AS world_size, NULL::VARCHAR AS field, count(*) AS n FROM (SELECT ({_MPC})[pos % 4 + 1] AS protocol FROM ({fx.RUNS})) GROUP BY 2 UNION ALL SELECT 'PSI', protocol, CASE protocol WHEN 'PROTOCOL_ECDH_3PC' THEN 3 WHEN 'unknown' THEN NULL ELSE 2 END::BIGINT, CASE WHEN contains(upper(protocol), 'ECDH') THEN 'c' END, count(*) FROM (SELECT ({_PSI})[pos % 4 + 1] AS protocol FROM ({fx.RUNS})) GROUP BY 2")
+def b1_world_size(spark, d):
+    r = fx.run_log(spark, d)
+    named = lambda names: F.get(F.array(*map(F.lit, names)), F.col("pos") % 4).alias("protocol")
+    mpc = r.select(named(_MPC), F.col("case").alias("op"), "k", "wall_ms", "status")
+    psi = r.select(named(_PSI), F.col("wall_ms").alias("psi_execute_ms"), F.col("k").alias("n_left"), F.lit("c").alias("curve"), "status")
+    found = runlog.unify_records([mpc, psi]).groupBy("family", "protocol", "world_size", "field").agg(F.count("*").alias("n"))
+    return found.withColumn("world_size", F.col("world_size").cast(L))
+
+
 @query(f"SELECT status, count(*) AS n, CASE status WHEN 'ok' THEN 1 WHEN 'unavailable' THEN 2 ELSE 3 END::BIGINT AS place FROM ({fx.RUNS}) GROUP BY 1")
 def b3_status_counts(spark, d):
     return runlog.status_counts(fx.run_log(spark, d)).withColumn("place", F.col("place").cast(L))
@@ -498,6 +512,18 @@ def b8_summarize_repeats(spark, d):
     return found.select("case", "repeat", "status", r6("wall_ms", "wall_ms"), r6("comm_total_bytes", "comm"), r6("max_abs_error", "max_abs_error"), r6("deviation_rate", "deviation_rate"), "nearest_pos")
 
 
+_REPEATS = f"SELECT * REPLACE (variant || '-' || pos % 89 AS \"case\"), pos % 50 AS comm_send_bytes, CASE WHEN pos % 7 = 0 THEN 'failed at ' || pos WHEN pos % 5 = 0 THEN '' END AS error FROM ({fx.RUNS})"
+
+
+@query(f"SELECT \"case\", round(min(wall_ms), 6) AS wall_min, round(quantile_cont(wall_ms, 0.25), 6) AS wall_p25, round(quantile_cont(wall_ms, 0.75), 6) AS wall_p75, round(max(wall_ms), 6) AS wall_max, round(quantile_cont(comm_total_bytes::DOUBLE, 0.25), 6) AS comm_p25, max(comm_total_bytes)::DOUBLE AS comm_max, round(median(comm_send_bytes)::DOUBLE, 6) AS comm_send_bytes, NULL::DOUBLE AS comm_recv_bytes, coalesce(arg_min(error, pos) FILTER (error <> ''), '') AS error FROM ({_REPEATS}) GROUP BY 1")
+def b8_repeat_statistics(spark, d):
+    n = F.col("pos")
+    r = fx.run_log(spark, d).withColumn("case", F.concat_ws("-", "variant", n % 89)).withColumn("comm_send_bytes", n % 50)
+    r = r.withColumn("error", F.when(n % 7 == 0, F.concat(F.lit("failed at "), n)).when(n % 5 == 0, ""))
+    wall = [r6(f"wall_ms_stats.{c}", f"wall_{c}") for c in ("min", "p25", "p75", "max")]
+    return runlog.summarize_repeats(r).select("case", *wall, r6("comm_total_bytes_stats.p25", "comm_p25"), F.col("comm_total_bytes_stats.max").alias("comm_max"), r6("comm_send_bytes", "comm_send_bytes"), "comm_recv_bytes", "error")
+
+
 _OK = f"SELECT \"case\" AS op, k, variant, cost FROM ({fx.RUNS}) WHERE status = 'ok'"
 
 

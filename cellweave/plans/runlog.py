@@ -31,6 +31,25 @@ METRIC_COLUMNS = {
     "total_bytes": ["total_bytes", "comm_total_bytes"],
 }
 
+# The parties that a protocol needs, and the protocols that need a curve.
+PARTIES = {
+    "PSI": {"PROTOCOL_ECDH": 2, "PROTOCOL_KKRT": 2, "PROTOCOL_RR22": 2, "PROTOCOL_ECDH_3PC": 3, "PROTOCOL_ECDH_NPC": 2, "PROTOCOL_KKRT_NPC": 2, "PROTOCOL_DP": 2},
+    "MPC": {"REF2K": 2, "SEMI2K": 2, "ABY3": 3, "CHEETAH": 2, "SECURENN": 3},
+}
+CURVED = ["PROTOCOL_ECDH", "PROTOCOL_ECDH_3PC", "PROTOCOL_ECDH_NPC"]
+
+
+def _full_name(protocol: Column, family: str) -> Column:
+    """A protocol's official name, however it is written."""
+    name = F.upper(F.trim(protocol))
+    return F.when(name.startswith("PROTOCOL_") | F.lit(family != "PSI"), name).otherwise(F.concat(F.lit("PROTOCOL_"), name))
+
+
+def parties(protocol: Column, family: str) -> Column:
+    """How many parties a protocol of the family needs; null for an unknown one."""
+    known = F.create_map(*[F.lit(x) for pair in PARTIES[family].items() for x in pair])
+    return F.try_element_at(known, _full_name(protocol, family))
+
 
 def _get(raw: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).try_cast(kind) if name in raw.columns else F.lit(None).cast(kind)
@@ -46,14 +65,18 @@ def infer_family(raw: DataFrame) -> str:
 
 
 def unify(raw: DataFrame, family: str | None = None, world_size: int | None = None) -> DataFrame:
-    """A family's records in the common columns; what isn't there stays null, and the raw columns go into metadata."""
+    """A family's records in the common columns; what isn't there stays null, and the raw columns go into metadata.
+
+    The world's size is what the protocol needs, or the record's own in the two families whose protocols aren't listed;
+    ``world_size`` stands in where neither is known.
+    """
     family = family or infer_family(raw)
     get = lambda name, kind="double": _get(raw, name, kind)
     mpc = family == "MPC"
     time = {"PSI": get("psi_execute_ms"), "PSI-CA": get("psi_ca_execute_ms"), "PI-SUM": get("pi_sum_execute_ms"), "MPC": get("wall_ms") - F.coalesce(get("setup_ms"), F.lit(0.0))}[family]
-    # An elliptic curve matters to one protocol of the first family only.
-    field = get("field", "string") if mpc else F.when(get("protocol", "string") == "PROTOCOL_ECDH", get("curve", "string")) if family == "PSI" else F.lit(None).cast("string")
-    world = get("world_size", "int")
+    # An elliptic curve matters to some protocols of the first family only.
+    field = get("field", "string") if mpc else F.when(_full_name(get("protocol", "string"), family).isin(CURVED), get("curve", "string")) if family == "PSI" else F.lit(None).cast("string")
+    world = parties(get("protocol", "string"), family) if family in PARTIES else get("world_size", "int")
     out = raw.select(
         F.lit(family).alias("family"),
         F.coalesce(get("protocol", "string"), F.lit("")).alias("protocol"),
@@ -171,18 +194,32 @@ def sample_stats(records: DataFrame, key: str = "case", value: str = "wall_ms")
     return found.select(key, "n", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "max")
 
 
+def _spread(v: Column) -> Column:
+    """(min, p25, median, p75, max) of the numbers in a group, linearly interpolated; null without any."""
+    q = {name: F.percentile(v, F.lit(share)).alias(name) for name, share in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))}
+    return F.when(F.count(v) > 0, F.struct(F.min(v).alias("min"), *q.values(), F.max(v).alias("max")))
+
+
 def summarize_repeats(records: DataFrame, order: str = "pos") -> DataFrame:
-    """One row a case: runs, status (mixed if they differ), medians, the run nearest the median, errors, deviation rate.
+    """One row a case: runs, status (mixed if they differ), medians and spreads, the run nearest the median, errors, deviation rate.
 
-    Rows: case, pos, status, wall_ms, comm_total_bytes, max_abs_error. Of runs equally near, the first counts.
+    Rows: case, pos, status, wall_ms, comm_total_bytes, max_abs_error; comm_send_bytes, comm_recv_bytes and error may be missing.
+    Of runs equally near, the first counts; ``error`` is the first text of one. Medians of sent and received bytes need a total.
     """
     per_status = records.groupBy("case", "status").agg(F.count("*").alias("n"))
     states = per_status.groupBy("case").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_counts"), F.when(F.count("*") == 1, F.max("status")).otherwise("mixed").alias("status"))
     error = F.col("max_abs_error").cast("double")
+    wall, total = F.col("wall_ms").cast("double"), F.col("comm_total_bytes").cast("double")
+    message = _get(records, "error", "string")
+    sent = [F.when(F.count(total) > 0, F.median(_get(records, c, "double"))).alias(c) for c in ("comm_send_bytes", "comm_recv_bytes")]
     sums = records.groupBy("case").agg(
         F.count("*").alias("repeat"),
-        F.median(F.col("wall_ms").cast("double")).alias("wall_ms"),
-        F.median(F.col("comm_total_bytes").cast("double")).alias("comm_total_bytes"),
+        F.median(wall).alias("wall_ms"),
+        _spread(wall).alias("wall_ms_stats"),
+        F.median(total).alias("comm_total_bytes"),
+        _spread(total).alias("comm_total_bytes_stats"),
+        *sent,
+        F.coalesce(F.min_by(message, F.when(message != "", F.col(order))), F.lit("")).alias("error"),
         F.count(error).alias("value_runs"),
         F.max(error).alias("max_abs_error"),
         (F.sum(F.when(error > 0, 1).otherwise(0)) / F.nullif(F.count(error), F.lit(0))).alias("deviation_rate"),
@@ -190,7 +227,7 @@ def summarize_repeats(records: DataFrame, order: str = "pos") -> DataFrame:
     )
     near = records.where("comm_total_bytes is not null").join(sums.select("case", F.col("comm_total_bytes").alias("middle")), "case")
     near = near.groupBy("case").agg(F.min_by(order, F.struct(F.abs(F.col("comm_total_bytes") - F.col("middle")), F.col(order))).alias("nearest_pos"))
-    return sums.join(states, "case").join(near, "case", "left").select("case", "repeat", "status", "status_counts", "wall_ms", "comm_total_bytes", "nearest_pos", "value_runs", "max_abs_error", "deviation_rate", "agreement")
+    return sums.join(states, "case").join(near, "case", "left").select("case", "repeat", "status", "status_counts", "wall_ms", "comm_total_bytes", "nearest_pos", "value_runs", "max_abs_error", "deviation_rate", "agreement", "wall_ms_stats", "comm_total_bytes_stats", "comm_send_bytes", "comm_recv_bytes", "error")
 
 
 def best_common_scale(records: DataFrame) -> DataFrame:
