@@ -8,7 +8,8 @@ last length, each window learns whether its words also start earlier.
 Documents are dealt into batches. At each level a batch sends its distinct candidate hashes to hash buckets, packed, and
 gets back which of them are repeated (at the last level: which start earlier elsewhere). All levels and the last pass use
 the same shuffle of the texts. Levels before the last prune by 32 hash bits within a bucket, so a chance match there
-costs a candidate and no more; the last level decides by 128 bits.
+costs a candidate and no more; the last level decides by 128 bits, two hashes of independent word hashes, within a batch
+as between batches.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from cellweave.llm.textblock import SPACED, TextBlock, Windows, covered, mix, pe
 WINDOW = 20
 _SENT = f"bucket int, {KEY} int, hashes binary, others binary, places binary, ids binary, ties binary, counts binary"
 _ANSWER = f"{KEY} int, bucket int, found binary"
-_OTHER = 0x9FB21C651E98DF25
+#: Seed of the second word hash.
+_OTHER = 0x1E98DF25
 
 
 def levels(window: int, start: int) -> list[int]:
@@ -42,8 +44,7 @@ class Batch:
     def __init__(self, table: pa.Table):
         self.table = in_order(table)
         self.block = TextBlock(self.table.column("text"), SPACED)
-        words = self.block.word_hashes()
-        self.windows, self.others = Windows(words), Windows(words, _OTHER)
+        self.windows = Windows(self.block.word_hashes())
         self.room = self.block.room()
 
     def places(self, length: int) -> np.ndarray:
@@ -52,6 +53,9 @@ class Batch:
     def hashes(self, length: int, places: np.ndarray) -> np.ndarray:
         return mix(self.windows.of(length)[places])
 
+    def other_hashes(self, length: int, places: np.ndarray) -> np.ndarray:
+        return mix(Windows(self.block.word_hashes(_OTHER)).of(length)[places])
+
     def cells(self, length: int, places: np.ndarray, buckets: int) -> np.ndarray:
         """(bucket << 32 | 32 hash bits) of windows, for the levels before the last."""
         h = self.hashes(length, places)
@@ -76,6 +80,16 @@ class Batch:
         order = np.argsort(h, kind="stable")
         h = h[order]
         same = h[1:] == h[:-1]
+        if same.any():
+            # Those alike by one hash are compared by both.
+            alike = np.append(False, same)
+            alike[:-1] |= same
+            few = order[alike]
+            both = self.other_hashes(length, places[few])
+            ranked = np.lexsort((few, both, h[alike]))
+            order[alike], h, other = few[ranked], h, np.zeros(len(h), np.uint64)
+            other[alike] = both[ranked]
+            same &= other[1:] == other[:-1]
         again = np.append(False, same)
         if first_too:
             again[:-1] |= same
@@ -188,15 +202,19 @@ def _sender(steps: list[int], level: int, buckets: int, last: bool):
             return table_of([], _SENT)
         candidates = batch.places(length)
         candidates = candidates[repeated[candidates] & repeated[candidates + length - shorter]]
-        h, at = np.unique(batch.hashes(length, candidates), return_index=True)
+        h = batch.hashes(length, candidates)
         if not last:
+            h, at = np.unique(h, return_index=True)
             # Each distinct window keeps its place, also where its cell is another's too.
             cells = batch.cells(length, candidates[at], buckets)
             order = np.argsort(cells, kind="stable")
             return table_of(_of_cells(cells[order], buckets, key, candidates[at[order]]), _SENT)
-        order = np.argsort(at)
-        h, at = h[order], candidates[at[order]]
-        other = mix(batch.others.of(length)[at])
+        other = batch.other_hashes(length, candidates)
+        order = np.lexsort((other, h))  # stable: of equal windows, the first place comes first
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (other[order][1:] != other[order][:-1])
+        at = np.sort(order[new])
+        h, other, at = h[at], other[at], candidates[at]
         text = np.searchsorted(batch.block.first, at, side="right") - 1
         ids, ties = ids_of(batch.table)[text], batch.table.column("tie").to_numpy()[text]
         rows = []

@@ -6,6 +6,8 @@ made for a word. Word separators are ASCII in every rule used here, so bytes and
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,33 +19,12 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_ODD = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_LENGTH, _BLOCK, _ORDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+#: Spans of more bytes are hashed by BLAKE2, a call each; shorter ones by blocks of eight bytes, all spans at once.
+_LONG = 512
 _CHUNK = 1 << 20
-
-
-def _inverse(p: int) -> int:
-    return pow(int(p), -1, 1 << 64)
-
-
-class _Powers:
-    """p**0, p**1, ... modulo 2**64, kept as far as they were needed."""
-
-    def __init__(self, p: int):
-        self.p, self.have = np.uint64(p), np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.have) < n:
-            base = np.full(n, self.p, dtype=np.uint64)
-            base[0] = 1
-            self.have = np.multiply.accumulate(base)
-        return self.have[:n]
-
-
-_UP, _DOWN = _Powers(int(_ODD)), _Powers(_inverse(int(_ODD)))
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[0x41:0x5B] = _BYTE[0x61:0x7B]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,6 +37,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _hashed(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of spans of a buffer that is eight bytes longer than its text."""
+    blocks = np.ndarray((len(buffer) - 7,), "<u8", buffer, 0, (1,))  # the eight bytes from each position on
+    size = ends - starts
+    found = mix(size.astype(np.uint64) * _LENGTH + np.uint64(seed))
+    for k in np.flatnonzero(size > _LONG):
+        digest = hashlib.blake2b(buffer[starts[k] : ends[k]], digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        found[k] = int.from_bytes(digest, "little")
+    places = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = starts[places], size[places]
+    while len(places):
+        block = blocks[at]
+        short = left < 8
+        block[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+        found[places] = mix((found[places] ^ block) * _BLOCK)
+        more = left > 8
+        places, at, left = places[more], at[more] + 8, left[more] - 8
+    return found
+
+
 def slices(batches, column: str, limit: int = 4 << 20):
     """Arrow record batches cut where their texts pass ``limit`` bytes, so that a task's memory follows neither rows nor text length."""
     for batch in batches:
@@ -112,26 +113,26 @@ class TextBlock:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.counts)
 
-    def word_hashes(self) -> np.ndarray:
+    def word_hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes (lower-cased A-Z if ``lower``)."""
-        return self.span_hashes(self.starts, self.ends)
+        return self.span_hashes(self.starts, self.ends, seed)
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each span's bytes; other seeds give independent ones. Spans are in order and don't overlap.
 
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each span's bytes, found through prefix sums of a polynomial; spans are in order and don't overlap."""
-        table = _BYTE_LOWER if self.lower else _BYTE
+        A span's blocks of eight bytes are mixed in one after the other, each by a bijection that isn't linear, so that no
+        arrangement of words or letters collides by construction, as it does in a polynomial modulo 2^64.
+        """
         out = np.empty(len(starts), np.uint64)
         a = 0
         while a < len(starts):
-            low = starts[a]
-            b = max(a + 1, int(np.searchsorted(starts, low + _CHUNK)))
-            high = ends[b - 1]
-            sums = np.empty(high - low + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(table[self.data[low:high]] * _UP.upto(high - low), out=sums[1:])
-            s, e = starts[a:b] - low, ends[a:b] - low
-            out[a:b] = (sums[e] - sums[s]) * _DOWN.upto(high - low + 1)[s] + (e - s).astype(np.uint64) * _STEP
+            b = max(a + 1, int(np.searchsorted(starts, starts[a] + _CHUNK)))
+            low, high = int(starts[a]), int(ends[b - 1])
+            buffer = np.zeros(high - low + 8, np.uint8)
+            buffer[:-8] = _LOWER[self.data[low:high]] if self.lower else self.data[low:high]
+            out[a:b] = _hashed(buffer, starts[a:b] - low, ends[a:b] - low, seed)
             a = b
-        return mix(out)
+        return out
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, n+1 line offsets) of the \\n-split lines that hold a word."""
@@ -150,21 +151,21 @@ class TextBlock:
 
 
 class Windows:
-    """Hashes of word windows by doubling: a window of 2k is made of two of k. ``step``: another gives other hashes."""
+    """Hashes of word windows by doubling: a window of 2k is made of two of k. Other word hashes give independent ones."""
 
-    def __init__(self, words: np.ndarray, step: int = int(_STEP)):
-        self.words, self.step = words, step
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
     def of(self, length: int) -> np.ndarray:
-        """Unmixed hash of the window that starts at each word (those beyond the end run into zeros). Nothing is remembered."""
+        """Hash of the window that starts at each word (meaningless where it runs beyond the end). Nothing is remembered."""
         if length == 1:
             return self.words
         half = length // 2
         left = self.of(length - half)
         right = left if half == length - half else self.of(half)
-        out = left.copy()
-        out[: max(0, len(right) - (length - half))] += right[length - half :] * np.uint64(pow(self.step, length - half, 1 << 64))
-        return out
+        out = left * _ORDER
+        out[: max(0, len(right) - (length - half))] += right[length - half :]
+        return mix(out)
 
 
 def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
