@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import byte_bpe, decontaminate, hmm_lm, jaccard_join, langid, licenses, oracles, quality_crf, quality_rules, substring_dedup, token_counts
+from cellweave.llm import byte_bpe, decontaminate, hmm_lm, jaccard_join, langid, licenses, line_dedup, oracles, quality_crf, quality_rules, substring_dedup, token_counts
 
 QUERIES = {}
-ORACLE_SQL = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_jaccard_join": oracles.JACCARD_JOIN, "op5_decontaminate": oracles.DECONTAMINATE}
+ORACLE_SQL = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_jaccard_join": oracles.JACCARD_JOIN, "op5_decontaminate": oracles.DECONTAMINATE, "op11_line_dedup": oracles.LINE_DEDUP}
 TOKEN_LIMIT = 4096
 
 
@@ -98,3 +98,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = F.filter("paragraphs", lambda p: p["confirmed"])
     best = F.coalesce(F.array_max(F.transform(sure, lambda p: p["chance"])), F.lit(0.0))
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size(sure).cast("long").alias("n_confirmed"), F.col("unknown").alias("n_unknown"), best.alias("best_chance"))
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", hex_sha256("kept_text").alias("kept_sha256"))
