@@ -47,3 +47,42 @@ m AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY ke
 g AS (SELECT k.doc_id, k.i, k.line, m.last IS NOT NULL AND m.last <> k.doc_id AS gone FROM k LEFT JOIN m USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY doc_id
 """
+
+
+def _longer(path: str, cost: str, letter: str, line: str) -> str:
+    """A path (nine digits of cost, edits, chr(1), lines that each follow a newline) with one more edit."""
+    return f"lpad(CAST(CAST(left({path}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || split_part(substr({path}, 10), chr(1), 1) || '{letter}' || chr(1) || split_part({path}, chr(1), 2) || {line}"
+
+
+def _inserted(paths: str) -> str:
+    """The best paths in each state (s0 to s3) after the rows of ``paths``, with inserts."""
+    user = ", ".join(_longer(s, "5", "I", "chr(10) || 'user:'") for s in ("s0", "s1", "s3"))
+    added = _longer("t2", "5", "I", "chr(10) || 'assistant:'")
+    return f"(SELECT * EXCLUDE (t2), t2 AS a2, least(a3, {added}) AS b3 FROM (SELECT *, s0 AS a0, s1 AS a1, s3 AS a3, least(s2, {user}) AS t2 FROM {paths}))"
+
+
+def _row_edits() -> str:
+    kept, more = "chr(10) || role || ':' || text", "CASE fault WHEN 1 THEN 5 ELSE 0 END"
+    step = lambda s, letter, initial, role: f"CASE WHEN fault < 2 AND r {'=' if letter == 'K' else '<>'} '{initial}' THEN {_longer(s, more if letter == 'K' else '1 + ' + more, letter, kept if letter == 'K' else f'chr(10) || {chr(39)}{role}:{chr(39)} || text')} END"
+    drop = lambda s: _longer(s, "2", "D", "''")
+    user = [step(s, x, "u", "user") for s in ("a0", "a1", "b3") for x in "KR"]
+    return f"{drop('a0')} AS s0, least({drop('a1')}, {step('a0', 'K', 's', '')}) AS s1, least({drop('a2')}, {', '.join(user)}) AS s2, least({drop('b3')}, {step('a2', 'K', 'a', 'assistant')}, {step('a2', 'R', 'a', 'assistant')}) AS s3"
+
+
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE bytes(v, b, step) AS (SELECT CAST(i AS BIGINT), i, 0 FROM range(256) AS r(i) UNION ALL SELECT CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, b, step + 1 FROM bytes WHERE step < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM bytes WHERE step = 8),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, crc),
+hurt AS (SELECT conv_id, turn, kind, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN replace(replace(replace(text, '.', ''), '!', ''), '?', '') ELSE text END AS text FROM kinds WHERE kind <> 0),
+twice AS (SELECT * FROM hurt UNION ALL SELECT * FROM hurt WHERE kind = 3),
+placed AS (SELECT *, left(role, 1) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM twice),
+judged AS (SELECT *, CASE WHEN trim(text, {_WHITE}) = '' THEN 2 WHEN nth > 1 THEN 3 WHEN right(rtrim(text, {_WHITE}), 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM placed),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id),
+paths(conv_id, i, s0, s1, s2, s3) AS (SELECT conv_id, CAST(0 AS BIGINT), '000000000' || chr(1), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM sums UNION ALL SELECT conv_id, j, {_row_edits()} FROM (SELECT p.*, q.i AS j, q.role, q.text, q.r, q.fault FROM {_inserted('paths')} AS p JOIN judged AS q ON p.conv_id IS NOT DISTINCT FROM q.conv_id AND q.i = p.i + 1)),
+ends AS (SELECT e.conv_id, least(e.a0, e.b3) AS best FROM {_inserted('paths')} AS e JOIN sums AS s ON e.conv_id IS NOT DISTINCT FROM s.conv_id AND e.i = s.n)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(best, 9) AS BIGINT), 0) AS cost, coalesce(split_part(substr(best, 10), chr(1), 1), '') AS audit, sha256(coalesce(substr(split_part(best, chr(1), 2), 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN sums ON c.conv_id IS NOT DISTINCT FROM sums.conv_id LEFT JOIN ends ON c.conv_id IS NOT DISTINCT FROM ends.conv_id
+"""

@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import byte_bpe, decontaminate, hmm_lm, jaccard_join, langid, licenses, line_dedup, oracles, quality_crf, quality_rules, substring_dedup, token_counts
+from cellweave.llm import byte_bpe, conversation_repair, decontaminate, hmm_lm, jaccard_join, langid, licenses, line_dedup, oracles, quality_crf, quality_rules, substring_dedup, token_alignment, token_counts
 
 QUERIES = {}
-ORACLE_SQL = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_jaccard_join": oracles.JACCARD_JOIN, "op5_decontaminate": oracles.DECONTAMINATE, "op11_line_dedup": oracles.LINE_DEDUP}
+ORACLE_SQL = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_jaccard_join": oracles.JACCARD_JOIN, "op5_decontaminate": oracles.DECONTAMINATE, "op11_line_dedup": oracles.LINE_DEDUP, "op12_conversation_repair": oracles.CONVERSATION_REPAIR}
 TOKEN_LIMIT = 4096
 
 
@@ -103,3 +103,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", hex_sha256("kept_text").alias("kept_sha256"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The rows of ``conversations`` as operator 12's contract damages them."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
+    marked = turns.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    hurt = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    again = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again")
+    return marked.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), hurt.alias("text"), again).drop("again")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.repair(damaged(turns), ids=turns)
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
