@@ -4,8 +4,8 @@ A token covers bytes, so each tokenizer gives a matrix of tokens by bytes. Row p
 transpose (Gustavson) give the pairs of tokens that overlap; where neither token goes on, both end, and a group ends with
 them. Matrices of tokens by groups, multiplied the same way, give the pairs that share a group: the links.
 
-A text is cut at spaces after other than white space, where both tokenizers cut whatever follows. Each distinct division is
-encoded and aligned once (a cache bounded in entries and their length); a text's result is put together from its divisions'.
+A text is cut at spaces after other than white space, where both tokenizers cut whatever follows. Each distinct division of a
+slice of texts is encoded and aligned once; a text's result is put together from its divisions'.
 
 How many documents hold a pair of ids linked is counted over the corpus: batches of documents send hash buckets of first ids
 their distinct pairs, packed, with the number of their documents, and get back the corpus's counts and which are the highest
@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 from itertools import chain
 
 import numpy as np
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.llm.batching import blobs, by_bucket, from_planes, packed, planes, sizes, table_of, unpacked
-from cellweave.llm.byte_bpe import CACHE_ENTRIES, CACHE_LENGTH, byte_characters, divisions
+from cellweave.llm.byte_bpe import byte_characters, divisions
 from cellweave.llm.durable import saved
 from cellweave.llm.textblock import mix, running, slices
 
 #: Entries of a product that are made at a time, about.
-PRODUCT_ENTRIES = 4 << 20
+PRODUCT_ENTRIES = 1 << 20
+#: Divisions encoded at a time, as the libraries' results are large.
+ENCODED_AT_ONCE = 20_000
 #: The most text of a batch, whatever the input's size: its pairs are held as numbers, several times the text.
 MOST_BATCH_BYTES = 48 << 20
 _SENT = "bucket int, batch long, pairs binary, documents binary"
@@ -93,10 +96,20 @@ def links(of_a: np.ndarray, of_b: np.ndarray):
         yield a, b
 
 
+class Divisions:
+    """The aligned divisions of a slice of texts, by columns: ``counts`` (n_a, n_b, n_groups, n_links), ``bad`` where the tokens' bytes
+    aren't the division's, ``shown`` (the groups' text, each group ended by a semicolon), and distinct pairs ``keys`` with their
+    links ``times``, from ``at`` to the next."""
+
+    def __init__(self, counts: np.ndarray, bad: np.ndarray, shown: list[str], keys: np.ndarray, times: np.ndarray, at: np.ndarray):
+        self.counts, self.bad, self.shown, self.keys, self.times, self.at = counts, bad, shown, keys, times, at
+
+
 class Aligner:
-    """Two tokenizers, and the alignments of divisions that they have met."""
+    """Two tokenizers, and what their tokens stand for."""
 
     def __init__(self, first: str, second: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -106,97 +119,105 @@ class Aligner:
         byte_of = {c: k for k, c in enumerate(byte_characters())}
         with open(first, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        self.a_bytes = {k: bytes(map(byte_of.__getitem__, token)) for token, k in vocabulary.items() if all(c in byte_of for c in token)}
+        a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, k in vocabulary.items():
+            if all(c in byte_of for c in token):
+                a_bytes[k] = bytes(map(byte_of.__getitem__, token))
+        self.a_bytes = a_bytes
         self.b_bytes = [bytes([int(p.id_to_piece(k)[3:-1], 16)]) if p.is_byte(k) else p.id_to_piece(k).replace("▁", " ").encode() for k in range(p.get_piece_size())]
-        self.b_total = len(self.b_bytes)
-        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
-        self.a_size[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
-        self.b_size = np.array(list(map(len, self.b_bytes)))
-        self.lone = len(p.encode("a"))
-        if len(self.a_size) * self.b_total >= 1 << 32:
+        self.a_total, self.b_total = len(self.a_bytes), len(self.b_bytes)
+        if self.a_total * self.b_total >= 1 << 32:
             raise ValueError("a pair of ids of these vocabularies doesn't fit 32 bits")
-        self.known: dict[str, tuple] = {}
-
-    def learn(self, new: list[str]) -> dict[str, tuple]:
-        """For each division: (n_a, n_b, n_groups, n_links, text of its groups, distinct pairs, their links); None where the
-        tokens' bytes aren't the division's."""
-        a_ids = [x.ids for x in self.first.encode_batch_fast(new, add_special_tokens=False)]
-        # The space that a division begins with is the one that the model puts before a text; spaces alone follow a letter here.
-        bare = [x[1:] if x.strip(" ") else "a" + x for x in new]
-        b_ids = [found if x.strip(" ") else found[self.lone :] for x, found in zip(new, self.second.encode(bare, num_threads=1))]
-        raw = [x.encode() for x in new]
-        fits = [b"".join(map(self.a_bytes.__getitem__, a)) == t == b"".join(map(self.b_bytes.__getitem__, b)) for a, b, t in zip(a_ids, b_ids, raw)]
-        out = {x: None for x, ok in zip(new, fits) if not ok}
-        new, a_ids, b_ids = ([y for y, ok in zip(values, fits) if ok] for values in (new, a_ids, b_ids))
-        if not new:
-            return out
-        n_a, n_b = np.array(list(map(len, a_ids))), np.array(list(map(len, b_ids)))
-        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a_ids, b_ids))
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.lone = len(p.encode("a"))
+        # Each id's text within a group, and at the end of its side of one.
+        self.text = np.array([f"{k}{end}" for n, ends in ((self.a_total, ",|"), (self.b_total, ",;")) for end in ends for k in range(n)], object)
+
+    def encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first ids, their number in each division, second ids, their number), some divisions at a time."""
+        a, b, n_a, n_b = [], [], [], []
+        for k in range(0, len(parts), ENCODED_AT_ONCE):
+            some = parts[k : k + ENCODED_AT_ONCE]
+            a_ids = [x.ids for x in self.first.encode_batch_fast(some, add_special_tokens=False)]
+            # The space that a division begins with is the one that the model puts before a text; spaces alone follow a letter here.
+            blank = [not x.strip(" ") for x in some]
+            b_ids = self.second.encode(["a" + x if alone else x[1:] for x, alone in zip(some, blank)], num_threads=1)
+            b_ids = [ids[self.lone :] if alone else ids for ids, alone in zip(b_ids, blank)] if any(blank) else b_ids
+            for out, n, ids in ((a, n_a, a_ids), (b, n_b, b_ids)):
+                size = np.fromiter(map(len, ids), np.int64, len(ids))
+                out.append(np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum())))
+                n.append(size)
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, n_a, b, n_b))
+
+    def divisions(self, parts: list[str]) -> Divisions:
+        """Alignments of distinct divisions, none of them empty."""
+        a, n_a, b, n_b = self.encoded(parts)
+        raw = [x.encode() for x in parts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        sums = lambda ids, n, sizes: np.diff(running(sizes[ids])[running(n)])
+        bad = (sums(a, n_a, self.a_size) != size) | (sums(b, n_b, self.b_size) != size)
+        whole = b"".join(raw)
+        if bad.any() or any(b"".join(map(table.__getitem__, ids.tolist())) != whole for table, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+            for k, (i, j, u, v, text) in enumerate(zip(running(n_a), running(n_a)[1:], running(n_b), running(n_b)[1:], raw)):
+                bad[k] = not b"".join(map(self.a_bytes.__getitem__, a[i:j].tolist())) == text == b"".join(map(self.b_bytes.__getitem__, b[u:v].tolist()))
+            a, b = a[np.repeat(~bad, n_a)], b[np.repeat(~bad, n_b)]
+            n_a, n_b = np.where(bad, 0, n_a), np.where(bad, 0, n_b)
         of_a, of_b = groups_of(self.a_size[a], self.b_size[b])
+        # Divisions end where tokens of both sides do, so no group crosses two.
         a_at, b_at = running(n_a), running(n_b)
-        g_at = np.append(of_a[a_at[:-1]], of_a[-1] + 1)  # divisions end where tokens of both sides do, so no group crosses two
-        a_cut, b_cut = (np.searchsorted(of, np.arange(g_at[-1] + 1)).tolist() for of in (of_a, of_b))
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        shown = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip(a_cut, a_cut[1:], b_cut, b_cut[1:])]
-        keys, times, owner = [], [], []
-        division = np.repeat(np.arange(len(new), dtype=np.uint64), n_a)
+        groups = int(of_a[-1]) + 1 if len(of_a) else 0
+        g_at = np.append(of_a, groups)[a_at]
+        a_end, b_end = np.append(of_a[1:] != of_a[:-1], True)[: len(a)], np.append(of_b[1:] != of_b[:-1], True)[: len(b)]
+        # The texts of all tokens, a group's first ones before its second ones.
+        place = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+        pieces = self.text[np.concatenate([a + self.a_total * a_end, b + 2 * self.a_total + self.b_total * b_end])[place]].tolist()
+        ends = (a_at + b_at).tolist()
+        shown = ["".join(pieces[i:j]) for i, j in zip(ends, ends[1:])]
+        division = np.repeat(np.arange(len(parts), dtype=np.uint64), n_a)
+        keys, times, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x, y in links(of_a, of_b):
             found, n = np.unique(division[x] << np.uint64(32) | (a[x] * self.b_total + b[y]).astype(np.uint64), return_counts=True)
             owner.append((found >> np.uint64(32)).astype(np.int64))
-            keys.append((found & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            times.append(n.astype(np.int64))
-        # A block ends with a row, so a division's pairs may stand in two; they are added up with the text's.
+            keys.append(found & np.uint64(0xFFFFFFFF))
+            times.append(n)
+        # A block of links ends with a row, so a pair of a division may stand in two; they are added up with the text's.
         keys, times, owner = np.concatenate(keys), np.concatenate(times), np.concatenate(owner)
-        at = np.searchsorted(owner, np.arange(len(new) + 1))
-        total = running(times)[at]
-        ends = g_at.tolist()
-        for k, x in enumerate(new):
-            out[x] = (int(n_a[k]), int(n_b[k]), ends[k + 1] - ends[k], int(total[k + 1] - total[k]), ";".join(shown[ends[k] : ends[k + 1]]), keys[at[k] : at[k + 1]].copy(), times[at[k] : at[k + 1]].copy())
-        return out
+        at = np.searchsorted(owner, np.arange(len(parts) + 1))
+        counts = np.stack([n_a, n_b, np.diff(g_at), np.diff(running(times)[at])], axis=1)
+        return Divisions(counts, bad, shown, keys, times, at)
 
     def align(self, texts: list) -> tuple[np.ndarray, list, list, list]:
         """(texts x n_a, n_b, n_groups, n_links; pieces of each text's groups, or None without tokens; each text's distinct
         pairs, ascending; their links)."""
         rows = [divisions(" " + x) if x else [] for x in texts]
-        needed = dict.fromkeys(chain.from_iterable(rows))
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {x: self.known[x] for x in needed if x in self.known}
-        new = [x for x in needed if x not in self.known]
-        self.known.update(self.learn(new))
-        place = {x: k for k, x in enumerate(needed)}
-        held = list(map(self.known.__getitem__, needed))
-        for x in new:
-            if len(x) > CACHE_LENGTH:
-                del self.known[x]
-        flat = np.fromiter(map(place.__getitem__, chain.from_iterable(rows)), np.int64)
-        first = running(np.array([len(r) for r in rows], np.int64))
-        bad = np.array([h is None for h in held], bool)
-        lost = running(bad[flat])
+        place: dict[str, int] = {}
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter((place.setdefault(x, len(place)) for x in chain.from_iterable(rows)), np.int64, int(size.sum()))
+        del rows
+        held, first = self.divisions(list(place)), running(size)
+        lost = running(held.bad[flat])
         lost = lost[first[1:]] > lost[first[:-1]]
-        numbers = np.array([(0, 0, 0, 0) if h is None else h[:4] for h in held], np.int64).reshape(-1, 4)
         sums = np.zeros((len(flat) + 1, 4), np.int64)
-        np.cumsum(numbers[flat], axis=0, out=sums[1:])
+        np.cumsum(held.counts[flat], axis=0, out=sums[1:])
         counts = sums[first[1:]] - sums[first[:-1]]
         counts[lost] = 0
-        shown = [None if h is None else h[4] for h in held]
+        shown = held.shown
         pieces = [None if gone or a == b else [shown[k] for k in flat[a:b].tolist()] for gone, a, b in zip(lost, first[:-1], first[1:])]
-        owner = np.repeat(np.arange(len(rows)), np.diff(first))
+        owner = np.repeat(np.arange(len(texts)), size)
         use = ~lost[owner]
-        cell, times = np.unique(owner[use] * max(1, len(held)) + flat[use], return_counts=True)
-        which, owner = cell % max(1, len(held)), cell // max(1, len(held))
-        size = np.array([0 if h is None else len(h[5]) for h in held], np.int64)
-        keys = np.concatenate([np.zeros(0, np.uint32), *(h[5] for h in held if h is not None)])
-        own = np.concatenate([np.zeros(0, np.int64), *(h[6] for h in held if h is not None)])
-        at, take = running(size), size[which]
-        inner = np.repeat(at[:-1][which] - running(take)[:-1], take) + np.arange(int(take.sum()))
-        pair = np.repeat(owner.astype(np.uint64), take) << np.uint64(32) | keys[inner]
-        weight = own[inner] * np.repeat(times, take)
+        kinds = max(1, len(shown))
+        cell, times = np.unique(owner[use] * kinds + flat[use], return_counts=True)
+        which, owner = cell % kinds, cell // kinds
+        take = np.diff(held.at)[which]
+        inner = np.repeat(held.at[:-1][which] - running(take)[:-1], take) + np.arange(int(take.sum()))
+        pair = np.repeat(owner.astype(np.uint64), take) << np.uint64(32) | held.keys[inner]
+        weight = held.times[inner] * np.repeat(times, take)
         order = np.argsort(pair, kind="stable")
         pair = pair[order]
         new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
         weight = np.add.reduceat(weight[order], new) if len(new) else weight[:0]
         pair = pair[new]
-        edges = np.searchsorted(pair >> np.uint64(32), np.arange(len(rows) + 1, dtype=np.uint64))
+        edges = np.searchsorted(pair >> np.uint64(32), np.arange(len(texts) + 1, dtype=np.uint64))
         pair = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         return counts, pieces, [pair[a:b] for a, b in zip(edges, edges[1:])], [weight[a:b] for a, b in zip(edges, edges[1:])]
 
@@ -212,8 +233,9 @@ def _digest(pieces: list | None) -> str:
     if pieces is None:
         return ""
     found = hashlib.sha256()
-    for k in range(0, len(pieces), 4096):
-        found.update(((";" if k else "") + ";".join(pieces[k : k + 4096])).encode())
+    for k in range(0, len(pieces) - 1, 4096):
+        found.update("".join(pieces[k : min(k + 4096, len(pieces) - 1)]).encode())
+    found.update(pieces[-1][:-1].encode())
     return found.hexdigest()
 
 
@@ -266,7 +288,7 @@ def _aligned(first: str, second: str, limit: int, groups: bool, names: list[str]
             counts, pieces, pairs, times = tool.align(column.to_pylist())
             new = [pa.array(np.full(batch.num_rows, number)), *(pa.array(counts[:, k]) for k in range(4)), pa.array(map(_digest, pieces), pa.string())]
             if groups:
-                new.append(pa.array(("" if x is None else ";".join(x) for x in pieces), pa.string()))
+                new.append(pa.array(("" if x is None else "".join(x)[:-1] for x in pieces), pa.string()))
             new += [pa.array(map(packed, pairs), pa.binary()), pa.array(map(planes, times), pa.binary()), pa.nulls(batch.num_rows, pa.binary()), pa.nulls(batch.num_rows, pa.binary())]
             out = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), *new], names=names)
             kinds = out.schema.types

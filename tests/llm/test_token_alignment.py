@@ -85,15 +85,13 @@ def test_against_brute_force(spark, seed, limit, buckets):
     assert [(r.batch, r.pairs) for r in found] == [("b", k % 3) for k in range(len(texts))]
 
 
-def test_caches_and_blocks_change_nothing(monkeypatch):
+def test_slices_and_blocks_change_nothing(monkeypatch):
     texts = EDGES + made(60, 5)
-    plain = token_alignment.Aligner(FIRST, SECOND)
-    counts, pieces, pairs, times = plain.align(texts)
-    monkeypatch.setattr(token_alignment, "CACHE_ENTRIES", 5)
-    monkeypatch.setattr(token_alignment, "CACHE_LENGTH", 3)
+    tool = token_alignment.Aligner(FIRST, SECOND)
+    counts, pieces, pairs, times = tool.align(texts)
+    monkeypatch.setattr(token_alignment, "ENCODED_AT_ONCE", 3)
     monkeypatch.setattr(token_alignment, "product", lambda left, right, limit=7, f=token_alignment.product: f(left, right, limit))
-    small = token_alignment.Aligner(FIRST, SECOND)
-    again = [small.align([t]) for t in texts]
+    again = [tool.align([t]) for t in texts]
     assert np.concatenate([x[0] for x in again]).tolist() == counts.tolist() and [x[1][0] for x in again] == pieces
     assert [x[2][0].tolist() for x in again] == [p.tolist() for p in pairs] and [x[3][0].tolist() for x in again] == [t.tolist() for t in times]
 
