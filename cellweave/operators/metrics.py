@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import codes
+from cellweave.operators.guards import guarded
 
 
 def pairs_within_distance(vectors: DataFrame, threshold: int, dims: int = 2, group: str | None = None) -> DataFrame:
@@ -34,10 +35,32 @@ def pair_distances(pairs: DataFrame, vectors: DataFrame, threshold: int) -> Data
     return found.select("left_id", "right_id", "l2", codes.distance_le("values", "right_values", threshold).alias("near"))
 
 
-def weighted_sum_long(values: DataFrame, weights: DataFrame, scale: int = 1) -> DataFrame:
-    """(vec_id, score) for rows (vec_id, dim, value) and weights (dim, weight); a dimension without a weight is left out."""
-    joined = values.join(weights, "dim").groupBy("vec_id").agg(F.sum(F.col("value") * F.col("weight")).alias("total"))
-    return joined.select("vec_id", codes.floor_div(F.col("total"), scale).alias("score"))
+def pair_distances_long(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(left_id, right_id, l2) of listed pairs of wide vectors, given as rows (vec_id, dim, value), one for each dimension.
+
+    The squares are added up by pair as DECIMAL(38,0), so a sum beyond BIGINT is exact (beyond 38 digits it fails the job). No row
+    holds a vector. A dimension that one side of a pair lacks, or holds no value in, fails the job. A pair whose ids are both
+    unknown has no row.
+    """
+    wide = F.col("value").cast("decimal(20,0)")
+    side = lambda s: pairs.select("left_id", "right_id").distinct().join(values.select(F.col("vec_id").alias(f"{s}_id"), "dim", wide.alias(s)), f"{s}_id")
+    both = side("left").join(side("right"), ["left_id", "right_id", "dim"], "full")
+    gap = F.col("left") - F.col("right")
+    found = both.groupBy("left_id", "right_id").agg(F.sum((gap * gap).cast("decimal(38,0)")).alias("l2"))
+    return guarded(found, both.agg(F.count_if(gap.isNull()).alias("bad")), "vectors differ in their dimensions")
+
+
+def weighted_sum_long(values: DataFrame, weights: DataFrame, scale: int = 1, exact: bool = False) -> DataFrame:
+    """(vec_id, score) for rows (vec_id, dim, value) and weights (dim, weight); a dimension without a weight is left out.
+
+    ``exact``: totals and scores are DECIMAL(38,0), for sums beyond BIGINT (scores of at most 32 digits); else such a sum fails the job.
+    """
+    number = (lambda c: F.col(c).cast("decimal(19,0)")) if exact else F.col
+    joined = values.join(weights, "dim").groupBy("vec_id").agg(F.sum(number("value") * number("weight")).alias("total"))
+    if not exact:
+        return joined.select("vec_id", codes.floor_div(F.col("total"), scale).alias("score"))
+    total, by = F.col("total").cast("decimal(38,0)"), F.lit(scale).cast("decimal(19,0)")
+    return joined.select("vec_id", ((total - F.pmod(total, by)) / by).cast("decimal(38,0)").alias("score"))
 
 
 def vector_guards(vectors: DataFrame) -> DataFrame:

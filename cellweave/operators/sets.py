@@ -6,20 +6,27 @@ splits; pairs are counted before they are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping
+from functools import wraps
+from itertools import combinations
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import codes
+from cellweave.operators.guards import guarded
+from cellweave.operators.ranges import WHOLE, ranked
+from cellweave.sources.cells import layout_mismatches
 
 
-def prepare_cells(cells: DataFrame) -> DataFrame:
+def prepare_cells(cells: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(set_id, grid_code, rank, input_count, unique_count, duplicate_count): each set's distinct codes ranked in unsigned
-    order, with its counts."""
+    order, with its counts. A set of more than ``whole`` codes is ranked in range partitions."""
     by_code = cells.groupBy("set_id", "grid_code").agg(F.count("*").alias("n"))
     counts = by_code.groupBy("set_id").agg(F.sum("n").alias("input_count"), F.count("*").alias("unique_count"))
-    rank = F.row_number().over(Window.partitionBy("set_id").orderBy(*codes.unsigned_order("grid_code")))
-    ranked = by_code.withColumn("rank", rank).join(counts, "set_id")
-    return ranked.select("set_id", "grid_code", "rank", "input_count", "unique_count", (F.col("input_count") - F.col("unique_count")).alias("duplicate_count"))
+    counts = counts.withColumnRenamed("set_id", "counted_id")
+    placed = ranked(by_code, "set_id", codes.unsigned_order("grid_code"), whole=whole)
+    return placed.join(counts, F.col("set_id").eqNullSafe(F.col("counted_id"))).select("set_id", "grid_code", "rank", "input_count", "unique_count", (F.col("input_count") - F.col("unique_count")).alias("duplicate_count"))
 
 
 def prepared(cells: DataFrame) -> DataFrame:
@@ -27,6 +34,21 @@ def prepared(cells: DataFrame) -> DataFrame:
     return cells.select("set_id", "grid_code").distinct()
 
 
+def gated(f):
+    """Adds ``layouts`` to a set operator: the manifests that its tables declare (None: not declared), in their order. Manifests
+    that differ are refused before any job: codes of two layouts may meet and yet mean different cells."""
+
+    @wraps(f)
+    def run(*args, layouts: tuple[Mapping | None, ...] = (), **more):
+        for a, b in combinations(layouts, 2):
+            differ = layout_mismatches(a, b)
+            if differ:
+                raise ValueError(f"the tables' layouts differ in {', '.join(differ)}")
+        return f(*args, **more)
+
+    return run
+
+
 def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row for each pair of sets and code that both hold."""
     a = prepared(left).select(F.col("set_id").alias("left_id"), "grid_code")
@@ -34,26 +56,31 @@ def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "grid_code")
 
 
+@gated
 def intersects_row(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row, intersects: whether two cell sets (one pair) have a code in common. The search ends at the first one."""
     common = left.select("grid_code").join(right.select("grid_code"), "grid_code", "left_semi")
     return common.limit(1).agg((F.count("*") > 0).alias("intersects"))
 
 
+@gated
 def contains_row(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """One row, contains: whether outer holds all of inner; the empty set is in every set."""
     lone = inner.select("grid_code").join(outer.select("grid_code"), "grid_code", "left_anti")
     return lone.limit(1).agg((F.count("*") == 0).alias("contains"))
 
 
+@gated
 def intersects(left: DataFrame, right: DataFrame) -> bool:
     return intersects_row(left, right).first()[0]
 
 
+@gated
 def contains(outer: DataFrame, inner: DataFrame) -> bool:
     return contains_row(outer, inner).first()[0]
 
 
+@gated
 def intersecting_pairs(left: DataFrame, right: DataFrame, ordered: bool = False) -> DataFrame:
     """(left_id, right_id, overlap) for each pair with a common code; ``ordered``: a table with itself, each pair once."""
     found = _shared(left, right)
@@ -62,11 +89,13 @@ def intersecting_pairs(left: DataFrame, right: DataFrame, ordered: bool = False)
     return found.groupBy("left_id", "right_id").agg(F.count("*").alias("overlap"))
 
 
+@gated
 def cellset_intersect(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, grid_code): the common codes of each pair."""
     return _shared(left, right).select("left_id", "right_id", "grid_code")
 
 
+@gated
 def intersect_bodies(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row a pair, with its common codes in unsigned order; a row holds one pair's intersection."""
     key = lambda c: F.struct(*(k.alias(f"k{i}") for i, k in enumerate(codes.unsigned_order(c))), c.alias("code"))
@@ -81,6 +110,7 @@ def cardinality(cells: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return n.withColumn("is_empty", F.col("n_codes") == 0)
 
 
+@gated
 def containing_pairs(outer: DataFrame, inner: DataFrame, outer_ids: DataFrame | None = None, inner_ids: DataFrame | None = None) -> DataFrame:
     """(outer_id, inner_id) of each inner set whose codes are all in the outer one.
 
@@ -102,6 +132,16 @@ def containing_pairs(outer: DataFrame, inner: DataFrame, outer_ids: DataFrame |
     return found.union(outers.join(empty, F.lit(True)).select("outer_id", "inner_id"))
 
 
+@gated
+def containing_pairs_compact(outer: DataFrame, inner: DataFrame, inner_ids: DataFrame) -> DataFrame:
+    """(outer_id, inner_id, every_outer): ``containing_pairs``, with one row for an empty inner set instead of one for each outer
+    set: its outer_id is null and every_outer is true."""
+    some = containing_pairs(outer, inner).select("outer_id", "inner_id", F.lit(False).alias("every_outer"))
+    empty = inner_ids.select("set_id").distinct().join(inner.select("set_id"), "set_id", "left_anti")
+    return some.union(empty.select(F.lit(None).cast(some.schema["outer_id"].dataType).alias("outer_id"), F.col("set_id").alias("inner_id"), F.lit(True).alias("every_outer")))
+
+
+@gated
 def chain_intersect(first: DataFrame, second: DataFrame, third: DataFrame) -> DataFrame:
     """(left_id, right_id, third_id, overlap): pairs' intersections tested against a third table of sets."""
     middle = cellset_intersect(first, second)
@@ -109,6 +149,7 @@ def chain_intersect(first: DataFrame, second: DataFrame, third: DataFrame) -> Da
     return middle.join(last, "grid_code").groupBy("left_id", "right_id", "third_id").agg(F.count("*").alias("overlap"))
 
 
+@gated
 def intersection_count(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, n) for listed pairs; 0 for those without a common code."""
     wanted = pairs.select("left_id", "right_id").distinct()
@@ -128,21 +169,23 @@ def weights_missing(left: DataFrame, weights: DataFrame) -> DataFrame:
     return found.withColumn("reason", reason).where("reason is not null").select("grid_code", "reason")
 
 
+@gated
 def intersection_sum(left: DataFrame, right: DataFrame, weights: DataFrame, check: bool = True) -> DataFrame:
     """(left_id, right_id, n, total): common codes and the sum of the left codes' weights.
 
-    Every left code needs a weight; with ``check``, a missing or negative one fails the job. Of several weights of a code the
-    greatest counts. A sum beyond BIGINT fails the job.
+    Every left code needs a weight; with ``check``, a missing or negative one fails the job, whatever the right sets are and
+    whichever rows and columns of the result are used. Of several weights of a code the greatest counts. A sum beyond BIGINT
+    fails the job.
     """
     held = weights.groupBy("grid_code").agg(F.max("value").cast("bigint").alias("value"))
-    if check:
-        ok = F.coalesce(F.col("value") >= 0, F.lit(False))
-        # Every left code meets its weight, so a bad one fails the job itself, also where no right set holds it.
-        valued_left = prepared(left).join(held, "grid_code", "left").withColumn("value", codes.checked(F.col("value"), ok, "some codes have no valid weight", True))
-    else:
-        valued_left = prepared(left).join(held, "grid_code")
-    valued = valued_left.select(F.col("set_id").alias("left_id"), "grid_code", "value").join(prepared(right).select(F.col("set_id").alias("right_id"), "grid_code"), "grid_code", "left").where("value is not null and right_id is not null")
-    return valued.groupBy("left_id", "right_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    valued_left = prepared(left).join(held, "grid_code", "left")
+    rights = prepared(right).select(F.col("set_id").alias("right_id"), "grid_code")
+    valued = valued_left.where("value is not null").select(F.col("set_id").alias("left_id"), "grid_code", "value").join(rights, "grid_code")
+    sums = valued.groupBy("left_id", "right_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    if not check:
+        return sums
+    bad = valued_left.agg(F.count_if(~F.coalesce(F.col("value") >= 0, F.lit(False))).alias("bad"))
+    return guarded(sums, bad, "some codes have no valid weight")
 
 
 # --- preparation ----------------------------------------------------------------------------------------------------
@@ -153,10 +196,11 @@ def sort_cells(cells: DataFrame) -> DataFrame:
     return cells.orderBy(*codes.unsigned_order("grid_code"))
 
 
-def dedup_first_seen(cells: DataFrame, position: str = "pos") -> DataFrame:
-    """(set_id, grid_code, pos, rank): each code at its first position, ranked by it (then by code) within its set."""
+def dedup_first_seen(cells: DataFrame, position: str = "pos", whole: int = WHOLE) -> DataFrame:
+    """(set_id, grid_code, pos, rank): each code at its first position, ranked by it (then by code) within its set. A set of
+    more than ``whole`` codes is ranked in range partitions."""
     first = cells.groupBy("set_id", "grid_code").agg(F.min(position).alias("pos"))
-    return first.withColumn("rank", F.expr("row_number() over (partition by set_id order by pos, grid_code)"))
+    return ranked(first, "set_id", [F.col("pos"), F.col("grid_code")], whole=whole)
 
 
 def duplicate_stats(cells: DataFrame) -> DataFrame:
@@ -171,6 +215,22 @@ def set_fingerprint(cells: DataFrame) -> DataFrame:
     return cells.groupBy("set_id").agg(F.substring(F.sha2(F.unhex(text), 256), 1, 16).alias("fingerprint"))
 
 
+def set_fingerprint_tree(cells: DataFrame) -> DataFrame:
+    """(set_id, fingerprint): SHA-256 of a hash tree over a set's distinct codes, for sets of any size.
+
+    A leaf is the hash of the codes that share their upper 48 bits: their lower 16 bits in order, big-endian. A node above is
+    the hash of its children in order, each its own 16 bits and its hash; four levels lead to the set. A row holds at most
+    65,536 children. The result doesn't depend on partitions; it isn't ``set_fingerprint``'s.
+    """
+    node = prepared(cells).select("set_id", F.shiftrightunsigned("grid_code", 16).alias("up"), F.lpad(F.hex(F.col("grid_code").bitwiseAND(F.lit(65535))), 4, "0").alias("entry"))
+    for _ in range(4):
+        joined = F.sha2(F.unhex(F.array_join(F.array_sort(F.collect_list("entry")), "")), 256)
+        node = node.groupBy("set_id", "up").agg(joined.alias("hash"))
+        part = F.lpad(F.hex(F.col("up").bitwiseAND(F.lit(65535))), 4, "0")
+        node = node.select("set_id", F.shiftrightunsigned("up", 16).alias("up"), F.concat(part, F.upper("hash")).alias("entry"), "hash")
+    return node.select("set_id", F.col("hash").alias("fingerprint"))
+
+
 def prefix_groups(cells: DataFrame) -> DataFrame:
     """(set_id, top, shared_bytes, prefix, n, suffixes): codes of one top byte, their common leading bytes cut off."""
     key = lambda c: F.struct(*(k.alias(f"k{i}") for i, k in enumerate(codes.unsigned_order(c))), c.alias("code"))

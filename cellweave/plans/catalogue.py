@@ -704,4 +704,145 @@ def b5_baseline_compare(spark, d):
     r = fx.run_log(spark, d)
     now = r.withColumn("case", F.concat_ws("-", "variant", F.col("pos") % 97))
     old = r.withColumn("case", F.concat_ws("-", "variant", F.col("pos") % 101)).withColumn("pos", -F.col("pos"))
-    return runlog.baseline_compare(now, old).select("case", "ratio", "flagged", "reason")
\ No newline at end of file
+    return runlog.baseline_compare(now, old).select("case", "ratio", "flagged", "reason")
+
+# --- groups that no task holds, wide vectors, empty sets, refused rows ---------------------------------------------------
+
+#: So few rows of a group go to one task here that the whole tables, as one group each, are laid out in range partitions.
+_FEW = 1000
+
+
+@query(f"SELECT set_id, grid_code, pos, row_number() OVER (ORDER BY pos, grid_code) AS rank FROM (SELECT set_id, grid_code, min(pos) AS pos FROM ({fx.ONE_SET}) GROUP BY 1, 2)")
+def d2_dedup_one_set(spark, d):
+    return sets.dedup_first_seen(fx.one_set(spark, d), whole=_FEW)
+
+
+@query(f"SELECT set_id, grid_code, row_number() OVER (ORDER BY CASE WHEN grid_code < 0 THEN 1 ELSE 0 END, grid_code) AS rank, sum(n) OVER ()::BIGINT AS input_count, count(*) OVER () AS unique_count, (sum(n) OVER () - count(*) OVER ())::BIGINT AS duplicate_count FROM (SELECT set_id, grid_code, count(*) AS n FROM ({fx.ONE_SET}) GROUP BY 1, 2)")
+def d3_prepare_one_set(spark, d):
+    return sets.prepare_cells(fx.one_set(spark, d), whole=_FEW)
+
+
+def _tree_sql(cells: str) -> str:
+    node = f"SELECT set_id, up, upper(printf('%04x', low)) AS entry FROM (SELECT DISTINCT set_id, (grid_code >> 16) & 281474976710655 AS up, grid_code & 65535 AS low FROM ({cells}))"
+    for _ in range(3):
+        node = f"SELECT set_id, up >> 16 AS up, upper(printf('%04x', up & 65535)) || upper(sha256(unhex(string_agg(entry, '' ORDER BY entry)))) AS entry FROM ({node}) GROUP BY set_id, up"
+    return f"SELECT set_id, sha256(unhex(string_agg(entry, '' ORDER BY entry))) AS fingerprint FROM ({node}) GROUP BY set_id"
+
+
+@query(f"{_tree_sql(fx.CELLS)} UNION ALL SELECT -1, fingerprint FROM ({_tree_sql(fx.ONE_SET)})")
+def d4_set_fingerprint_tree(spark, d):
+    both = fx.lineitem_cells(spark, d).union(fx.one_set(spark, d).select(F.lit(-1).cast(L), "grid_code"))
+    return sets.set_fingerprint_tree(both)
+
+
+@query(_nodes_sql(_MERGED.replace(fx.NODES, f"SELECT event_id, 0::BIGINT AS interval_id, toff, lt FROM ({fx.NODES})")))
+def t4_normalize_one_interval(spark, d):
+    nodes = fx.event_nodes(spark, d).withColumn("interval_id", F.lit(0).cast(L))
+    return intervals.normalize_intervals(nodes, whole=_FEW // 10).select("interval_id", "toff", F.col("lt").cast(L).alias("lt"))
+
+
+@query(f"SELECT 'all' AS \"case\", count(*) AS n, min(wall_ms) AS min, round(quantile_cont(wall_ms, 0.25), 9) AS p25, round(quantile_cont(wall_ms, 0.5), 9) AS median, round(quantile_cont(wall_ms, 0.75), 9) AS p75, max(wall_ms) AS max FROM ({fx.RUNS})")
+def b7_sample_stats_one_group(spark, d):
+    found = runlog.sample_stats(fx.run_log(spark, d).withColumn("case", F.lit("all")), whole=_FEW // 10)
+    return found.select("case", "n", "min", *[F.round(c, 9).alias(c) for c in ("p25", "median", "p75")], "max")
+
+
+@query(f"WITH r AS ({fx.RUNS}), m AS (SELECT median(comm_total_bytes) AS middle FROM r) SELECT 'all' AS \"case\", count(*) AS repeat, 'mixed' AS status, round(median(wall_ms), 6) AS wall_ms, round(quantile_cont(wall_ms, 0.25), 6) AS wall_p25, round(max(wall_ms), 6) AS wall_max, round(median(comm_total_bytes), 6) AS comm, round(quantile_cont(comm_total_bytes::DOUBLE, 0.75), 6) AS comm_p75, arg_min(pos, abs(comm_total_bytes - middle) * 1000000 + pos) AS nearest_pos FROM r, m")
+def b8_summarize_one_case(spark, d):
+    found = runlog.summarize_repeats(fx.run_log(spark, d).withColumn("case", F.lit("all")), whole=_FEW // 10)
+    return found.select("case", "repeat", "status", r6("wall_ms", "wall_ms"), r6("wall_ms_stats.p25", "wall_p25"), r6("wall_ms_stats.max", "wall_max"), r6("comm_total_bytes", "comm"), r6("comm_total_bytes_stats.p75", "comm_p75"), "nearest_pos")
+
+
+@query(f"SELECT 'any' AS op, 0::BIGINT AS k, 'v' AS variant, round(median(cost), 9) AS cost, count(*) AS samples FROM ({fx.RUNS}) WHERE status = 'ok'")
+def b9_best_scale_one_variant(spark, d):
+    r = fx.run_log(spark, d).select(F.lit("any").alias("op"), F.lit(0).cast(L).alias("k"), F.lit("v").alias("variant"), "cost", "status")
+    return runlog.best_common_scale(r, whole=_FEW // 10).withColumn("cost", F.round("cost", 9))
+
+
+_WIDE = f'SELECT vec_id, unnest(range(0, len("values"))) AS dim, unnest("values") * 1000000000 AS value FROM ({fx.VECTORS})'
+
+
+@query(f"SELECT a.vec_id AS left_id, b.vec_id AS right_id, CAST(sum((a.value - b.value)::HUGEINT * (a.value - b.value)) AS VARCHAR) AS l2 FROM ({_WIDE}) a JOIN ({_WIDE}) b ON a.dim = b.dim AND b.vec_id IN (a.vec_id + 1, a.vec_id + 7) GROUP BY 1, 2")
+def m1_l2_long(spark, d):
+    v = fx.bin_vectors(spark, d)
+    pairs = v.select(F.col("vec_id").alias("left_id"), F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") + 7)).alias("right_id")).join(v.select(F.col("vec_id").alias("right_id")), "right_id", "left_semi")
+    wide = v.select("vec_id", F.posexplode("values").alias("dim", "bin")).select("vec_id", "dim", (F.col("bin") * 1000000000).alias("value"))
+    return metrics.pair_distances_long(pairs, wide).withColumn("l2", F.col("l2").cast("string"))
+
+
+@query("SELECT o_custkey AS vec_id, CAST((total - ((total % 3 + 3) % 3)) // 3 AS VARCHAR) AS score FROM (SELECT o_custkey, sum(CAST(floor(o_totalprice) AS HUGEINT) * 90000000000000 * (o_orderkey % 5 - 2)) AS total FROM orders GROUP BY 1)")
+def m4_weighted_sum_exact(spark, d):
+    values = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("vec_id"), (F.col("o_orderkey") % 5).alias("dim"), (F.floor("o_totalprice").cast(L) * 10000000).alias("value"))
+    weights = spark.range(5).select(F.col("id").alias("dim"), ((F.col("id") - 2) * 9000000).alias("weight"))
+    return metrics.weighted_sum_long(values, weights, 3, exact=True).withColumn("score", F.col("score").cast("string"))
+
+
+@query(f"SELECT o.set_id AS outer_id, i.set_id AS inner_id, false AS every_outer FROM {_O} o JOIN {_I} i USING (grid_code) JOIN (SELECT set_id, count(*) AS n FROM {_I} GROUP BY 1) s ON s.set_id = i.set_id GROUP BY 1, 2, s.n HAVING count(*) = s.n UNION ALL SELECT NULL, o_orderkey, true FROM (SELECT o_orderkey FROM orders UNION SELECT -c_custkey FROM customer) WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def j5_containing_pairs_compact(spark, d):
+    # Orders' sets, and a set without a code for each customer; suppliers' sets may lack codes too, and then contain none but the empty ones.
+    ids = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("set_id")).union(fx.table(spark, d, "customer").select(-F.col("c_custkey")))
+    return sets.containing_pairs_compact(fx.parts_of(spark, d), fx.parts_of(spark, d, "l_orderkey"), ids)
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 6 WHEN 0 THEN 'boolean' WHEN 1 THEN 'out of range' WHEN 2 THEN 'out of range' WHEN 3 THEN 'not a number' WHEN 4 THEN 'not a number' END AS reason FROM lineitem WHERE l_linenumber % 6 <> 5")
+def s6_reject_for_every_reason(spark, d):
+    n, part = F.col("l_linenumber") % 6, (F.col("l_partkey") + 1).cast("string")
+    text = F.when(n == 0, F.when(F.col("l_partkey") % 2 == 0, " TRUE").otherwise("false")).when(n == 1, F.concat(F.lit("-"), part)).when(n == 2, F.concat(F.lit("18446744073709551616"), part)).when(n == 3, F.concat(part, F.lit("x"))).when(n == 4, F.concat(part, F.lit(".5"))).otherwise(part)
+    _, bad = source.reject_bad_codes(fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text")))
+    return bad.select("l_orderkey", "l_linenumber", "reason")
+
+
+@query(f"SELECT grid_code, value FROM ({fx.WEIGHTS})")
+def s5_read_weights_csv(spark, d):
+    path = scratch_path(spark, "weights") + ".csv"
+    fx.cell_weights(spark, d).write.option("header", True).csv(path)
+    return source.read_weights(spark, path).select("grid_code", "value")
+
+
+@query("SELECT c_custkey, coalesce(p <> '' AND p = q, false) AS same FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'p' || c_custkey % 2 END AS p, CASE c_custkey % 7 WHEN 0 THEN '' ELSE 'p' || c_nationkey % 2 END AS q FROM customer)")
+def s9_same_party(spark, d):
+    k = F.col("c_custkey")
+    left = F.when(k % 5 == 0, "").when(k % 5 == 1, None).otherwise(F.concat(F.lit("p"), k % 2))
+    right = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("p"), F.col("c_nationkey") % 2))
+    return fx.table(spark, d, "customer").select("c_custkey", relations.same_party(left, right).alias("same"))
+
+
+@query(f"SELECT party_id, CAST(row_number() OVER (ORDER BY first) - 1 AS BIGINT) AS rank, n, sha256(inputs) AS inputs FROM (SELECT party_id, min(c_custkey) AS first, count(*) AS n, string_agg(left_name, ',' ORDER BY c_custkey, left_name) AS inputs FROM ({fx.CUSTOMER_NAMES}) GROUP BY 1)")
+def s9_party_binding_customers(spark, d):
+    rows = fx.customer_inputs(spark, d).select(F.col("c_custkey").alias("position"), F.col("left_name").alias("input_name"), "party_id")
+    found = relations.party_binding(rows)
+    return found.select("party_id", F.col("rank").cast(L).alias("rank"), F.size("inputs").cast(L).alias("n"), F.sha2(F.array_join("inputs", ","), 256).alias("inputs"))
+
+
+@query(f"SELECT c_custkey, left_name AS subject, right_name AS object, regexp_extract(left_name, '^(?:route|path|traj|track|flight|zone|area|region)_([A-Za-z0-9]+)$', 1) || CASE c_custkey % 4 WHEN 0 THEN ' @ t' WHEN 2 THEN ' @ w' ELSE '' END AS scope, {_RANK} >= 2 AS protected FROM ({fx.CUSTOMER_NAMES})")
+def r3_r9_customers(spark, d):
+    n = F.col("c_custkey") % 4
+    params = F.when(n == 0, F.create_map(F.lit("time"), F.lit("t"), F.lit("window"), F.lit("w"))).when(n == 2, F.create_map(F.lit("window"), F.lit("w")))
+    s = relations.split_subject_object(F.array("right_name", "left_name"))
+    scope = relations.scope_text(F.coalesce(relations.spatial_scope(F.array("left_name")), F.lit("")), relations.temporal_scope(params))
+    return fx.customer_inputs(spark, d).select("c_custkey", s["subject"].alias("subject"), s["object"].alias("object"), scope.alias("scope"), relations.needs_protection("sensitivity").alias("protected"))
+
+
+@query(f"SELECT c_nationkey, c_mktsegment, (['public','internal','sensitive','secret'])[max(CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END) + 1] AS sensitivity FROM customer GROUP BY 1, 2")
+def r8_max_sensitivity_customers(spark, d):
+    level = F.get(F.array(*map(F.lit, ["public", "internal", "sensitive", "secret"])), (F.col("c_custkey") % 5).cast("int"))
+    rows = fx.table(spark, d, "customer").select(F.struct("c_nationkey", "c_mktsegment").alias("key"), level.alias("sensitivity"))
+    return relations.max_sensitivity_by(rows, "key").select("key.c_nationkey", "key.c_mktsegment", "sensitivity")
+
+
+@query(f"SELECT c_custkey, c.op, predicate, family, \"symmetric\" FROM (SELECT c_custkey, {_CALL.replace('n_nationkey', 'c_custkey')} AS op FROM customer) c LEFT JOIN {_PREDICATES} ON t.op = c.op")
+def r7_predicate_info_customers(spark, d):
+    ops = F.array(*map(F.lit, [p[0] for p in relations.PREDICATES] + ["Other"]))
+    return relations.predicate_info(fx.table(spark, d, "customer").select("c_custkey", F.get(ops, F.col("c_custkey") % 7).alias("op")))
+
+
+_ITEM_PAIRS = "SELECT l_suppkey AS pair_id, CASE WHEN l_linenumber % 2 = 0 THEN 'left' ELSE 'right' END AS side, (l_partkey % 65536) << 47 AS grid_code FROM lineitem"
+
+
+@query(f"SELECT pair_id, n_left_unique, n_right_unique, n_overlap, n_left_duplicates, n_right_duplicates, coalesce(n_left_unique = n AND n_right_unique = n AND n_overlap = n AND n_left_duplicates = 0 AND n_right_duplicates = 0, false) AS agrees FROM (SELECT pair_id, count(*) FILTER (l > 0) AS n_left_unique, count(*) FILTER (r > 0) AS n_right_unique, count(*) FILTER (l > 0 AND r > 0) AS n_overlap, sum(greatest(l - 1, 0))::BIGINT AS n_left_duplicates, sum(greatest(r - 1, 0))::BIGINT AS n_right_duplicates FROM (SELECT pair_id, grid_code, count(*) FILTER (side = 'left') AS l, count(*) FILTER (side = 'right') AS r FROM ({_ITEM_PAIRS}) GROUP BY 1, 2) GROUP BY 1) LEFT JOIN (SELECT ps.l_suppkey AS pair_id, count(DISTINCT l_partkey % 65536) AS n FROM lineitem ps GROUP BY 1) USING (pair_id)")
+def d7_recheck_items(spark, d):
+    side = F.when(F.col("l_linenumber") % 2 == 0, "left").otherwise("right")
+    rows = fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("pair_id"), side.alias("side"), codes.encode_cell(F.col("l_partkey") % 65536, 0, 0, 0, 0, 0).alias("grid_code"))
+    n = F.count_distinct("grid_code")
+    declared = rows.groupBy("pair_id").agg(n.alias("n"), n.alias("intersection_count"), F.lit(0).cast(L).alias("duplicate_count"))
+    return sets.recheck_pair_stats(rows, declared)

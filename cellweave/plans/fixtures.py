@@ -63,6 +63,17 @@ def named_inputs(spark, d) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", "n_regionkey", left.alias("left_name"), right.alias("right_name"), F.concat(F.lit("p"), F.pmod("n_regionkey", F.lit(2))).alias("party_id"), level.alias("sensitivity"))
 
 
+def customer_inputs(spark, d) -> DataFrame:
+    """``named_inputs`` for each customer: names by nation, the number by customer."""
+    return table(spark, d, "customer").join(named_inputs(spark, d), F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+def one_set(spark, d) -> DataFrame:
+    """All items as one set, with their positions."""
+    items = table(spark, d, "lineitem")
+    return items.select(F.lit(0).cast("bigint").alias("set_id"), codes.encode_cell(F.col("l_orderkey") % 131072, 0, F.col("l_quantity").cast("bigint"), 0, 0, 0).alias("grid_code"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+
+
 # --- the same for DuckDB --------------------------------------------------------------------------------------------
 
 CELLS = "SELECT l_suppkey AS set_id, ((l_partkey % 65536) << 47) | (CAST(l_quantity AS BIGINT) << 23) | (15::BIGINT << 18) AS grid_code FROM lineitem"
@@ -73,6 +84,7 @@ NODES = "SELECT event_id, interval_id, (t >> lt) << lt AS toff, lt FROM (SELECT
 WINDOWS = 'SELECT o_orderkey AS interval_id, o_orderkey * 7 % 10000 AS "start", o_orderkey * 7 % 10000 + o_custkey % 500 + 1 AS "end" FROM orders'
 VECTORS = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor((x::DOUBLE + 1.0) / 2.0 * 255.0 + 0.5) AS BIGINT)) AS \"values\" FROM embeddings"
 RUNS = "SELECT event_type AS \"case\", 'v' || (user_id % 5) AS variant, event_id % 4 AS k, value AS wall_ms, CASE WHEN event_id % 17 = 0 THEN 'error' WHEN event_id % 23 = 0 THEN 'unavailable' ELSE 'ok' END AS status, event_id AS pos, value AS cost, event_id % 100 * 8 AS comm_total_bytes, CASE WHEN event_id % 11 = 0 THEN value / 100 ELSE 0.0 END AS max_abs_error FROM events"
+ONE_SET = "SELECT 0::BIGINT AS set_id, ((l_orderkey % 131072) << 47) | (CAST(l_quantity AS BIGINT) << 23) AS grid_code, l_orderkey * 10 + l_linenumber AS pos FROM lineitem"
 NAMES = "SELECT n_nationkey, n_regionkey, (['route','path','track','flight'])[n_nationkey % 4 + 1] || '_' || replace(n_name, '_', '') AS left_name, (['zone','area','region','buffer'])[n_regionkey % 4 + 1] || '_' || replace(n_name, '_', '') AS right_name, 'p' || (n_regionkey % 2) AS party_id, (['public','internal','sensitive','secret'])[n_nationkey % 5 + 1] AS sensitivity FROM nation"
 
 
@@ -86,3 +98,6 @@ def height_index(height: str, level: str) -> str:
 
 def layer_lower(layer: str, level: str) -> str:
     return f"({codes.EARTH_RADIUS} * (pow(1.0 + pi() / 180, ({layer}) * {cell_deg(level)}) - 1.0))"
+
+
+CUSTOMER_NAMES = f"SELECT * FROM customer JOIN ({NAMES}) ON c_nationkey = n_nationkey"

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators.guards import guarded
+from cellweave.operators.ranges import WHOLE, quantiles, split_by_size
+
 # The common columns, the four families and the columns that they come from.
 COMMON = ["family", "protocol", "operation", "world_size", "field", "input_size", "unique_size", "result_size", "compute_time", "communication_bytes", "total_time", "memory_bytes", "status"]
 FAMILIES = ["PSI", "PSI-CA", "PI-SUM", "MPC"]
@@ -103,22 +106,28 @@ def unify_records(tables: list[DataFrame]) -> DataFrame:
 def record_family(raw: DataFrame) -> Column:
     """The family that a record's own filled columns show; null for none."""
     filled = lambda c: F.col(c).isNotNull() if c in raw.columns else F.lit(False)
-    return F.when(filled("psi_ca_execute_ms"), "PSI-CA").when(filled("pi_sum_execute_ms"), "PI-SUM").when(filled("op") & filled("k"), "MPC").when(filled("psi_execute_ms"), "PSI")
+    return F.when(filled("psi_ca_execute_ms"), "PSI-CA").when(filled("pi_sum_execute_ms"), "PI-SUM").when(filled("op") & filled("k"), "MPC").when(filled("psi_execute_ms") | filled("n_left"), "PSI")
 
 
-def load_records(spark, path: str, family: str | None = None) -> DataFrame:
-    """A CSV or JSON file of records in the common columns; the family is inferred from the file's columns.
+def load_records(spark, path: str, family: str | None = None, file: str | None = None) -> DataFrame:
+    """A CSV or JSON file of records in the common columns; the family is inferred from the file's columns. ``file`` names a
+    column for its path.
 
-    A record whose own columns show another family fails the job: a file holds one family.
+    A record whose own columns show another family, or none, fails the job whichever columns are read: a file holds one
+    family. A file without a record fails too, as does JSON that isn't a list of records.
     """
-    raw = spark.read.option("header", True).csv(path) if path.lower().endswith(".csv") else spark.read.option("multiLine", True).json(path)
+    csv = path.lower().endswith(".csv")
+    raw = spark.read.option("header", True).csv(path) if csv else spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
     found = infer_family(raw)
     if family and found != family:
         raise ValueError(f"{path} holds {found} records, not {family}")
     own = record_family(raw)
-    same = F.coalesce(own == found, F.lit(True))
-    out = unify(raw.withColumn("_family", F.when(same, found).otherwise(F.raise_error(F.concat(F.lit(f"a {found} file holds a record of "), own)))), found)
-    return out.withColumn("family", F.element_at("metadata", "_family")).withColumn("metadata", F.map_filter("metadata", lambda k, v: k != "_family"))
+    # A CSV's columns are all records' columns, also where they are empty; a JSON record's are those that it fills.
+    other = F.coalesce(own != found, F.lit(not csv))
+    check = raw.agg(F.count_if(other).alias("n"), F.count("*").alias("records"), F.min(F.when(other, F.coalesce(own, F.lit("no known family")))).alias("what"))
+    check = check.select((F.col("n") + F.when(F.col("records") == 0, 1).otherwise(0)).alias("bad"), F.coalesce("what", F.lit("no family at all")).alias("what"))
+    records = unify(raw, found)
+    return guarded(records.withColumn(file, F.lit(path)) if file else records, check, f"{path}: a {found} file holds a record of ")
 
 
 def status_counts(records: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -155,12 +164,15 @@ def compare_groups(records: DataFrame, metric: str = "total_time", label: str =
 
 
 def compare_each_group(records: DataFrame, metric: str = "total_time", label: str = "protocol") -> tuple[DataFrame, DataFrame]:
-    """``compare_groups`` for each (family, operation, input_size) by itself: its columns after those three."""
+    """``compare_groups`` for each (family, operation, input_size) by itself: its columns after those three, by its rules."""
+    if metric not in COMPARABLE:
+        raise ValueError(f"{metric} isn't comparable: {COMPARABLE}")
+    records = records.withColumn("label", _label(records, label))
     kind = ["family", "operation", "input_size"]
     ok, v = F.coalesce(F.col("status") == "ok", F.lit(False)) & F.col(metric).isNotNull(), F.col(metric).cast("double")
-    rows = records.where(ok).groupBy(*kind, F.col(label).alias("label")).agg(F.median(v).alias("value"), F.count("*").alias("samples"), F.when(F.count("*") > 1, F.max(v) - F.min(v)).alias("spread"))
+    rows = records.where(ok).groupBy(*kind, "label").agg(F.median(v).alias("value"), F.count("*").alias("samples"), F.when(F.count("*") > 1, F.max(v) - F.min(v)).alias("spread"))
     reason = F.when(F.col("status") == "ok", f"no {metric}").otherwise(F.concat(F.lit("status="), F.coalesce("status", F.lit(""))))
-    return rows, records.where(~ok).select(*kind, F.col(label).alias("label"), reason.alias("reason"))
+    return rows, records.where(~ok).select(*kind, "label", reason.alias("reason"))
 
 
 def _last(records: DataFrame, order: str) -> DataFrame:
@@ -186,11 +198,16 @@ def unexpected_records(records: DataFrame, expected: str = "expected") -> DataFr
     return records.where(~F.coalesce(wanted, F.lit(False)))
 
 
-def sample_stats(records: DataFrame, key: str = "case", value: str = "wall_ms") -> DataFrame:
-    """(key, n, min, p25, median, p75, max) with linear interpolation; rows without a number are left out."""
-    v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = records.where(v.isNotNull() & ~F.isnan(v)).groupBy(key).agg(F.count("*").alias("n"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
+QUARTERS = [0.25, 0.5, 0.75]
+
+
+def sample_stats(records: DataFrame, key: str = "case", value: str = "wall_ms", whole: int = WHOLE) -> DataFrame:
+    """(key, n, min, p25, median, p75, max) with linear interpolation; rows without a number are left out.
+
+    A key of more than ``whole`` numbers is counted by ranges of value, not held in one buffer; the percentiles are the same.
+    """
+    ends = [F.count("*").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max")]
+    found = quantiles(records, [key], value, QUARTERS, whole, ends)
     return found.select(key, "n", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "max")
 
 
@@ -200,42 +217,66 @@ def _spread(v: Column) -> Column:
     return F.when(F.count(v) > 0, F.struct(F.min(v).alias("min"), *q.values(), F.max(v).alias("max")))
 
 
-def summarize_repeats(records: DataFrame, order: str = "pos") -> DataFrame:
+def summarize_repeats(records: DataFrame, order: str = "pos", whole: int = WHOLE) -> DataFrame:
     """One row a case: runs, status (mixed if they differ), medians and spreads, the run nearest the median, errors, deviation rate.
 
     Rows: case, pos, status, wall_ms, comm_total_bytes, max_abs_error; comm_send_bytes, comm_recv_bytes and error may be missing.
     Of runs equally near, the first counts; ``error`` is the first text of one. Medians of sent and received bytes need a total.
+    A case of more than ``whole`` runs isn't held in one buffer.
     """
+    few, many = split_by_size(records, "case", whole)
+    out = _summarized(few, order)
+    if many is None:
+        return out
+    numbers = {c: _get(many, c, "double") for c in ("wall_ms", "comm_total_bytes", "comm_send_bytes", "comm_recv_bytes")}
+    items = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), v.alias("v")) for c, v in numbers.items()])).alias("item")
+    found = quantiles(many.select("case", items).select("case", "item.*"), ["case", "metric"], "v", QUARTERS, whole)
+    wide = found.groupBy("case").agg(*[F.max(F.when(F.col("metric") == c, F.col("q"))).alias(c) for c in numbers]).withColumnRenamed("case", "quantile_case")
+    return out.unionByName(_summarized(many, order, wide).select(*out.columns))
+
+
+def _summarized(records: DataFrame, order: str, wide: DataFrame | None = None) -> DataFrame:
+    """``summarize_repeats``; wide: the quarters of the four numbers by case, else they are taken from the groups' buffers."""
     per_status = records.groupBy("case", "status").agg(F.count("*").alias("n"))
     states = per_status.groupBy("case").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_counts"), F.when(F.count("*") == 1, F.max("status")).otherwise("mixed").alias("status"))
     error = F.col("max_abs_error").cast("double")
     wall, total = F.col("wall_ms").cast("double"), F.col("comm_total_bytes").cast("double")
     message = _get(records, "error", "string")
-    sent = [F.when(F.count(total) > 0, F.median(_get(records, c, "double"))).alias(c) for c in ("comm_send_bytes", "comm_recv_bytes")]
+    if wide is None:
+        middles = [F.median(wall).alias("wall_ms"), _spread(wall).alias("wall_ms_stats"), F.median(total).alias("comm_total_bytes"), _spread(total).alias("comm_total_bytes_stats")]
+        middles += [F.when(F.count(total) > 0, F.median(_get(records, c, "double"))).alias(c) for c in ("comm_send_bytes", "comm_recv_bytes")]
+    else:
+        middles = [f(v).alias(f"{f.__name__}_{c}") for c, v in (("wall", wall), ("total", total)) for f in (F.min, F.max)]
     sums = records.groupBy("case").agg(
         F.count("*").alias("repeat"),
-        F.median(wall).alias("wall_ms"),
-        _spread(wall).alias("wall_ms_stats"),
-        F.median(total).alias("comm_total_bytes"),
-        _spread(total).alias("comm_total_bytes_stats"),
-        *sent,
+        *middles,
         F.coalesce(F.min_by(message, F.when(message != "", F.col(order))), F.lit("")).alias("error"),
         F.count(error).alias("value_runs"),
         F.max(error).alias("max_abs_error"),
         (F.sum(F.when(error > 0, 1).otherwise(0)) / F.nullif(F.count(error), F.lit(0))).alias("deviation_rate"),
         F.when(F.min((F.col("status") == "ok").cast("int")) == 1, True).alias("agreement"),
     )
+    if wide is not None:
+        joined = sums.join(wide, F.col("case").eqNullSafe(F.col("quantile_case")), "left")
+        quarter = lambda c, k: F.col(c)[k]
+        spread = lambda c, name: F.when(F.col(c).isNotNull(), F.struct(F.col(f"min_{name}").alias("min"), quarter(c, 0).alias("p25"), quarter(c, 1).alias("median"), quarter(c, 2).alias("p75"), F.col(f"max_{name}").alias("max")))
+        sent = [F.when(F.col("comm_total_bytes").isNotNull(), quarter(c, 1)).alias(c) for c in ("comm_send_bytes", "comm_recv_bytes")]
+        sums = joined.select("case", "repeat", spread("wall_ms", "wall").alias("wall_ms_stats"), spread("comm_total_bytes", "total").alias("comm_total_bytes_stats"), *sent, "error", "value_runs", "max_abs_error", "deviation_rate", "agreement", quarter("wall_ms", 1).alias("wall_ms"), quarter("comm_total_bytes", 1).alias("comm_total_bytes"))
     near = records.where("comm_total_bytes is not null").join(sums.select("case", F.col("comm_total_bytes").alias("middle")), "case")
     near = near.groupBy("case").agg(F.min_by(order, F.struct(F.abs(F.col("comm_total_bytes") - F.col("middle")), F.col(order))).alias("nearest_pos"))
     return sums.join(states, "case").join(near, "case", "left").select("case", "repeat", "status", "status_counts", "wall_ms", "comm_total_bytes", "nearest_pos", "value_runs", "max_abs_error", "deviation_rate", "agreement", "wall_ms_stats", "comm_total_bytes_stats", "comm_send_bytes", "comm_recv_bytes", "error")
 
 
-def best_common_scale(records: DataFrame) -> DataFrame:
-    """(op, k, variant, cost, samples): at the size that most variants of an operator were measured at (ties: the smaller)."""
+def best_common_scale(records: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """(op, k, variant, cost, samples): at the size that most variants of an operator were measured at (ties: the smaller).
+
+    Costs that are NaN are left out. A variant of more than ``whole`` samples isn't held in one buffer.
+    """
     usable = records.where("status = 'ok' and variant is not null and k is not null and cost is not null")
     cover = usable.groupBy("op", "k").agg(F.count_distinct("variant").alias("variants"))
     best = cover.groupBy("op").agg(F.min_by("k", F.struct(-F.col("variants"), F.col("k"))).alias("k"))
-    return usable.join(best, ["op", "k"]).groupBy("op", "k", "variant").agg(F.median(F.col("cost").cast("double")).alias("cost"), F.count("*").alias("samples"))
+    found = quantiles(usable.join(best, ["op", "k"]), ["op", "k", "variant"], "cost", [0.5], whole, [F.count("*").alias("samples")])
+    return found.select("op", "k", "variant", F.col("q")[0].alias("cost"), "samples")
 
 
 def rank_variants(candidates: DataFrame) -> DataFrame:
@@ -258,11 +299,22 @@ def metric_gaps(raw: DataFrame, family: str | None = None) -> DataFrame:
     return counts.selectExpr(f"stack({len(held)}, {items}) as (metric, n)").withColumn("declared", F.col("metric").isin(MISSING_METRICS[family]))
 
 
-def unify_job(spark, paths: list[str], out: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(all files' records in the common columns with their file, status counts a file); written as JSON if ``out`` is given."""
+def unify_job(spark, paths: list[str], out: str | None = None, csv: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(all files' records in the common columns with their file, status counts a file). Written as JSON to ``out`` and as CSV of
+    the common columns alone to ``csv``, where given. A file that holds records of several families fails the job."""
     from cellweave.sources.cells import write_records
 
-    records = reduce(DataFrame.unionByName, [load_records(spark, p).withColumn("file", F.lit(p)) for p in paths])
+    records = reduce(DataFrame.unionByName, [load_records(spark, p, file="file") for p in paths])
     if out:
         write_records(records, out)
+    if csv:
+        write_records(records, csv, "csv", COMMON)
     return records, status_counts(records, ["file"])
+
+
+def compare_job(records: DataFrame, metric: str, operation: str | None = None, input_size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``compare_groups`` of the unified records of one operation and size, where they are named."""
+    for column, wanted in (("operation", operation), ("input_size", input_size)):
+        if wanted is not None:
+            records = records.where(F.col(column) == wanted)
+    return compare_groups(records, metric)

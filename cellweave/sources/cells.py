@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import codes
+from cellweave.operators.guards import guarded
 
 JSON_SCHEMA = "grid_codes array<string>, codes array<string>, layout map<string,string>, manifest map<string,string>, label string, party_id string"
 LAYOUT_KEYS = list(codes.LAYOUT)
@@ -27,20 +30,77 @@ def read_cells_csv(spark: SparkSession, paths, key: str = "grid_code") -> DataFr
     return raw.where(~_blank(text)).select(F.col("_metadata.file_path").alias("source"), F.trim(text).alias("text"), codes.cell_from_text(text).alias("grid_code"))
 
 
+# A piece of a JSON array between two commas: a string without escapes, a number or another plain value.
+_SPACE = r"[\x20\t\r\n]*"
+_PLAIN = rf'^{_SPACE}(?:"([^"\\]*)"|(-?[0-9][0-9.eE+-]*|true|false|null)){_SPACE}$'
+_NUMBER = r'(?:0[xX][0-9a-fA-F]+|[+-]?[0-9]+)'
+_PAIR = rf'^{_SPACE}(\{{?){_SPACE}"{_SPACE}({_NUMBER}){_SPACE}"{_SPACE}:{_SPACE}("?){_SPACE}([+-]?[0-9]+){_SPACE}\3{_SPACE}(\}}?){_SPACE}$'
+#: Frames of one row a file are sent to every task up to so many files; beyond, files are many and small.
+BROADCAST_FILES = 100_000
+
+
+def _pieces(spark: SparkSession, paths, separator: str) -> DataFrame:
+    """(source, at, text): what lies between separators in text files, read in splits, with its place: the split's offset in the
+    file and a number that grows within the split. A byte order mark is left out."""
+    raw = spark.read.option("lineSep", separator).text(paths)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return raw.select(F.col("_metadata.file_path").alias("source"), at.alias("at"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+
+
+def _bad_files(judged: DataFrame, listed: list[str] = ()) -> DataFrame:
+    """One row (bad, what): how many files aren't ok, and the first of them. judged: (source, ok). Of the listed files those that
+    aren't judged hold not a byte, which Spark passes over, and aren't ok."""
+    every = judged.select("source", F.coalesce("ok", F.lit(False)).alias("ok"))
+    if listed:
+        short = lambda path: F.regexp_replace(path, "^([a-zA-Z0-9]+):/+", "$1:/")
+        names = judged.sparkSession.createDataFrame([(f,) for f in listed], "name string")
+        void = names.join(judged, short("name") == short("source"), "left_anti")
+        every = every.union(void.select("name", F.lit(False)))
+    return every.agg(F.count_if(~F.col("ok")).alias("bad"), F.min(F.when(~F.col("ok"), F.col("source"))).alias("what"))
+
+
 def read_cells_json(spark: SparkSession, paths) -> DataFrame:
     """(source, label, party_id, layout, text, grid_code): codes of JSON files, each an array or an object with codes.
 
-    A byte order mark is passed over. A file that is malformed or has no array of codes fails the job with its name. A file is
-    one row while it is parsed, as JSON of this form can't be split; many small files are read in parallel.
+    The array may be of any size: files are read in splits, cut at commas; only what stands around the array of codes is put
+    together again, a row a file. A byte order mark is passed over. A file that is malformed, has anything after its end, no
+    array of codes, or an element that isn't a plain value (strings with a comma or an escape are none) fails the job with its
+    name, whichever columns are read. Null and blank codes are skipped.
     """
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("value"))
-    bare = F.from_json(F.when(F.col("value").startswith("["), F.col("value")), "array<string>")
-    record = F.from_json(F.when(F.col("value").startswith("{"), F.col("value")), JSON_SCHEMA)
-    rows = raw.select("source", bare.alias("bare"), record.alias("r"))
-    found = F.coalesce("bare", "r.grid_codes", "r.codes")
-    text = F.explode(F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no array of codes in "), "source")).cast("array<string>")))
-    rows = rows.select("source", "r.label", "r.party_id", F.coalesce("r.layout", "r.manifest").alias("layout"), text.alias("text"))
-    return rows.where(~_blank(F.col("text"))).withColumn("grid_code", codes.cell_from_text("text"))
+    pieces = _pieces(spark, paths, ",")
+    listed = pieces.inputFiles()
+    few = F.broadcast if len(listed) <= BROADCAST_FILES else (lambda df: df)
+    key = lambda name: rf'(?s)^(.*(?<!\\)"{name}"{_SPACE}:{_SPACE}\[)(.*)$'
+    bare = rf"(?s)^({_SPACE}\[)(.*)$"
+    first_of = lambda pattern: F.min(F.when(F.col("text").rlike(pattern), F.col("at")))
+    heads = pieces.groupBy("source").agg(F.min("at").alias("first"), F.min_by("text", "at").alias("head"), first_of(key("grid_codes")).alias("named"), first_of(key("codes")).alias("short"))
+    pattern = F.when(F.col("head").rlike(bare), bare).when(F.col("named").isNotNull(), key("grid_codes")).otherwise(key("codes"))
+    heads = heads.select("source", F.when(F.col("head").rlike(bare), F.col("first")).otherwise(F.coalesce("named", "short")).alias("open"), pattern.alias("pattern"))
+    placed = pieces.join(few(heads), "source")
+    cut = lambda k: F.call_function("regexp_extract", F.col("text"), F.col("pattern"), F.lit(k))
+    opens = F.col("at") == F.col("open")
+    tail = F.when(opens, cut(2)).otherwise(F.col("text"))
+    placed = placed.select("source", "at", "text", "open", F.when(opens, cut(1)).alias("before"), tail.alias("tail"))
+    ends = placed.where((F.col("at") >= F.col("open")) & F.contains("tail", F.lit("]"))).groupBy("source").agg(F.min("at").alias("close"))
+    placed = placed.join(few(ends.withColumnRenamed("source", "own")), F.col("source") == F.col("own"), "left")
+    opens, closes = F.col("at") == F.col("open"), F.coalesce(F.col("at") == F.col("close"), F.lit(False))
+    inside = (F.col("at") >= F.col("open")) & (F.col("at") <= F.col("close"))
+    element = F.when(closes, F.substring_index("tail", "]", 1)).otherwise(F.col("tail"))
+    after = F.when(closes, F.substr("tail", F.locate("]", F.col("tail"))))
+    placed = placed.select("source", "at", F.coalesce(inside, F.lit(False)).alias("inside"), element.alias("element"), (opens & closes & (F.trim(element, F.lit(" \t\r\n")) == "")).alias("none"), F.when(inside, F.concat(F.coalesce("before", F.lit("")), F.coalesce(after, F.lit("")))).otherwise(F.col("text")).alias("around"), (opens | closes | ~F.coalesce(inside, F.lit(False))).alias("outer"))
+    # The file without its elements: what stands before the array, an empty array, and what stands after it.
+    frame = F.sort_array(F.collect_list(F.when(F.col("outer"), F.struct("at", "around"))))
+    text = F.replace(F.array_join(F.transform(frame, lambda s: s["around"]), ","), F.lit("[,]"), F.lit("[]"))
+    files = placed.groupBy("source").agg(text.alias("frame"), F.count_if(F.col("inside")).alias("n"), F.count_if(F.col("inside") & ~F.col("none") & ~F.col("element").rlike(_PLAIN)).alias("wrong"))
+    record = F.from_json(F.concat(F.lit("["), F.col("frame"), F.lit("]")), f"array<struct<{JSON_SCHEMA.replace(' ', ':').replace(',:', ', ')}>>")
+    lone = F.regexp_replace("frame", _SPACE, "") == "[]"
+    files = files.select("source", F.when(~lone & (F.size(record) == 1), record[0]).alias("r"), ((F.col("n") > 0) & (F.col("wrong") == 0) & (lone | (F.coalesce(F.size(record), F.lit(0)) == 1))).alias("ok"))
+    known = files.select(F.col("source").alias("own"), "r.label", "r.party_id", F.coalesce("r.layout", "r.manifest").alias("layout"))
+    rows = placed.where("inside and not none").select("source", F.regexp_extract("element", _PLAIN, 1).alias("quoted"), F.regexp_extract("element", _PLAIN, 2).alias("plain"))
+    rows = rows.select("source", F.when(F.col("plain") != "", F.col("plain")).otherwise(F.col("quoted")).alias("text")).where(~_blank(F.col("text")))
+    rows = rows.join(few(known), F.col("source") == F.col("own"))
+    rows = rows.select("source", "label", "party_id", "layout", "text", codes.cell_from_text("text").alias("grid_code"))
+    return guarded(rows, _bad_files(files, listed), "no array of codes in ")
 
 
 def cells_from_rows(spark: SparkSession, inputs: dict[str, list]) -> DataFrame:
@@ -57,23 +117,53 @@ def reject_bad_codes(rows: DataFrame, text: str = "text") -> tuple[DataFrame, Da
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
-def read_weights(spark: SparkSession, path: str) -> DataFrame:
-    """(grid_code, value) from a CSV of two whole-number columns (a header may come first) or a JSON object; a later line wins.
+def read_weights(spark: SparkSession, path) -> DataFrame:
+    """(grid_code, value) from CSV files of two whole-number columns (a header may be a file's first line) or files that hold one
+    JSON object of codes and whole numbers.
 
-    A line that isn't two whole numbers fails the job.
+    Files are read in splits. Of several values of a code the later one counts: that of the later file by path, and within a file
+    of the later line. A line that isn't two whole numbers, a JSON value that isn't one, a malformed file, a code beyond 64 bits and a
+    value beyond BIGINT fail the job with the file's name, whichever columns are read. A JSON value may be quoted.
     """
-    if path.lower().endswith(".json"):
-        pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,bigint>")))
-        return pairs.select(codes.cell_from_text("key").alias("grid_code"), "value")
-    # One value a file, so that line numbers are known; such files are small by nature.
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")).where("trim(text) <> ''")
-    parts = F.transform(F.split("text", ","), lambda x: F.trim(x))
-    integer = lambda c: F.coalesce(c.rlike("^[+-]?[0-9]+$"), F.lit(False))
-    rows = lines.withColumn("parts", parts).where(~((F.col("line") == 0) & ~integer(F.col("parts")[0])))
-    ok = (F.size("parts") == 2) & integer(F.get("parts", F.lit(0))) & integer(F.get("parts", F.lit(1)))
-    rows = rows.select("line", codes.cell_from_text(codes.checked(F.get("parts", F.lit(0)), ok, "a line isn't a pair of whole numbers", True)).alias("grid_code"), F.get("parts", F.lit(1)).cast("bigint").alias("value"))
-    return rows.groupBy("grid_code").agg(F.max_by("value", "line").alias("value"))
+    paths = [path] if isinstance(path, str) else list(path)
+    as_json = {p.lower().endswith(".json") for p in paths}
+    if len(as_json) != 1:
+        raise ValueError("name CSV files or JSON files, not both")
+    if path_is_json(paths):
+        parts = _pieces(spark, paths, ",")
+        get = lambda k: F.regexp_extract("text", _PAIR, k)
+        lone = F.col("text").rlike(rf"^{_SPACE}\{{{_SPACE}\}}{_SPACE}$")
+        rows = parts.select("source", "at", lone.alias("lone"), F.when(F.col("text").rlike(_PAIR), F.struct(get(2).alias("code"), get(4).alias("value"))).alias("pair"), (get(1) == "{").alias("opens"), (get(5) == "}").alias("closes"))
+        first, last = (f(F.col("opens" if f is F.min_by else "closes"), F.col("at")) for f in (F.min_by, F.max_by))
+        whole = first & last & (F.count_if(F.col("opens")) == 1) & (F.count_if(F.col("closes")) == 1) & (F.count_if(F.col("pair").isNull()) == 0)
+        judged = whole | ((F.count("*") == 1) & F.bool_and("lone"))
+    else:
+        parts = _pieces(spark, paths, "\n").withColumn("text", F.trim(F.col("text"), F.lit(" \t\r")))
+        cut = F.transform(F.split("text", ","), lambda x: F.trim(x, F.lit(" \t")))
+        integer = lambda k: F.coalesce(F.get(cut, F.lit(k)).rlike("^[+-]?[0-9]+$"), F.lit(False))
+        pair = F.when((F.size(cut) == 2) & integer(0) & integer(1), F.struct(F.get(cut, F.lit(0)).alias("code"), F.get(cut, F.lit(1)).alias("value")))
+        rows = parts.select("source", "at", (F.col("text") == "").alias("blank"), (~integer(0)).alias("header"), pair.alias("pair"))
+        wrong = F.col("pair").isNull() & ~F.col("blank")
+        judged = F.count_if(wrong) == F.min_by((wrong & F.col("header")).cast("int"), "at")  # none, or a header alone
+    rows = rows.withColumn("grid_code", codes.cell_from_text("pair.code")).withColumn("value", F.col("pair.value").try_cast("bigint"))
+    beyond = F.col("pair").isNotNull() & (F.col("grid_code").isNull() | F.col("value").isNull())
+    files = rows.groupBy("source").agg((judged & (F.count_if(beyond) == 0)).alias("ok"))
+    found = rows.where("pair is not null").groupBy("grid_code").agg(F.max_by("value", F.struct("source", "at")).alias("value"))
+    # A CSV file without a byte holds no line and is fine.
+    bad = _bad_files(files, parts.inputFiles() if path_is_json(paths) else ())
+    return guarded(found, bad, "a line or value isn't a pair of whole numbers in ")
+
+
+def path_is_json(paths: list[str]) -> bool:
+    return paths[0].lower().endswith(".json")
+
+
+def layout_mismatches(left: Mapping | None, right: Mapping | None) -> list[str]:
+    """The layout keys by which two declared manifests differ; none if either isn't declared. Keys that both lack are passed over."""
+    if left is None or right is None:
+        return []
+    text = lambda m, k: None if m.get(k) is None else str(m[k])
+    return [k for k in LAYOUT_KEYS if text(left, k) != text(right, k)]
 
 
 def layout_agreement(left, right) -> Column:
