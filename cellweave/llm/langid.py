@@ -18,6 +18,8 @@ from cellweave.llm.textblock import slices, string_buffer
 
 #: Texts of each language to train on at most: those whose ids' hashes are the least.
 TRAIN_PER_LANGUAGE = 600
+#: Languages that a model tells apart at most, as the driver fits it.
+MOST_LANGUAGES = 500
 DIMENSIONS = 1 << 12
 UNDETERMINED = "und"
 #: Two codewords are close if the better one's share of the two likelihoods is below this.
@@ -94,16 +96,20 @@ class Model:
         return self.languages[best], float(share), bool(1 / (1 + second) < AMBIGUOUS_BELOW)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, id: str = "doc_id") -> Model | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, id: str = "doc_id", most: int = MOST_LANGUAGES) -> Model | None:
     """A model of the languages that ``lang`` names, or None without any row that has a language and a text with a letter.
 
-    At most ``per_language`` texts of each language are used, all of a rarer one. Only their features reach the driver.
+    At most ``per_language`` texts of each language are used, all of a rarer one; rows whose text is null or has no letter
+    count for nothing. Only the features of the texts used reach the driver; more than ``most`` languages raise ValueError.
     Repeated rows count as often as they are there, so a text may hold no larger part of the sample than of its language.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id).alias("id"))
-    sizes = {r.lang: r.n for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    # The sample is sized by the rows that it is drawn from.
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()}
     if not sizes:
         return None
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages")
     # By the hash first, to about twice the limit; the rank is taken after texts have become features.
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, (2 * per_language + 100) / n))])[F.col("lang")]
     order = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20))

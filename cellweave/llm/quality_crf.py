@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.llm.durable import saved
 from cellweave.llm.sampling import bounded
 from cellweave.llm.textblock import SPACED, TextBlock, Windows, by_owner, covered, running, slices
 
 #: Labelled documents of each label to train on at most: those whose ids' hashes are the least.
 TRAIN_PER_LABEL = 1500
+#: Bytes of text of a training document at most, as the lines' features of all are put together on the driver.
+TRAIN_BYTES = 1 << 18
 THRESHOLD = 0.3
 
 _TABLES = {
@@ -172,15 +175,18 @@ def fit(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = 200, rate:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", per_label: int = TRAIN_PER_LABEL) -> Field | None:
     """A field from at most ``per_label`` labelled documents of each label, or None unless both labels have one.
 
-    Labels other than 0 and 1 are passed over; of several rows of one id the greatest label counts. The labelled documents'
-    ids and labels select the rows; only the lines' features of those chosen reach the driver.
+    The sample is drawn from documents that are there, with a word, and of at most ``TRAIN_BYTES`` of text: labels of others count for
+    nothing. Labels other than 0 and 1 are passed over; of several rows of one id the greatest label counts. Only the lines'
+    features of the documents chosen reach the driver.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(id).agg(F.max(label).cast("int").alias("label"))
-    chosen = bounded(known, F.xxhash64(F.col(id), F.lit(17)), "label", per_label)
+    usable = docs.where(F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]") & (F.octet_length(text) <= TRAIN_BYTES), F.lit(False)))
+    present = known.join(usable.select(id), id, "left_semi")
+    chosen = saved(bounded(present, F.xxhash64(F.col(id), F.lit(17)), "label", per_label))
     if chosen.select("label").distinct().count() < 2:
         return None
     # At most 2 per_label ids: small enough to be sent to every task.
-    rows = docs.select(id, F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), id).select("label", "text")
+    rows = usable.select(id, F.col(text).alias("text")).join(F.broadcast(chosen), id).select("label", "text")
 
     def run(batches):
         for batch in slices(batches, "text"):

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from cellweave.llm import langid, queries
 
@@ -76,3 +77,17 @@ def test_edges(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
     one = langid.train(docs.where("lang = 'en'"))
     assert {r.lang_pred for r in langid.identify(docs, one).collect()} == {"en", "und"}
+
+
+def test_a_language_of_many_null_texts_is_learnt(spark):
+    """The sample is sized by the rows it is drawn from: null and letterless texts of a language don't thin it out."""
+    german = ["der hund und die katze gehen nicht über die straße " * 3 + str(k) for k in range(40)]
+    english = ["the dog and the cat would not walk along this street " * 3 + str(k) for k in range(300)]
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([(t, "de") for t in german] + [(t, "en") for t in english])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    void = spark.range(1000, 301_000).selectExpr("id as doc_id", "if(id % 2 = 0, null, '12 -- 3') as text", "'de' as lang")
+    model = langid.train(docs.union(void))
+    assert model.languages == ["de", "en"]
+    assert {(r.lang, r.lang_pred) for r in langid.identify(docs, model).collect()} == {("de", "de"), ("en", "en")}
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs, most=1)

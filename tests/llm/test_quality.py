@@ -195,3 +195,13 @@ def test_rules_edges(spark):
     labels = spark.createDataFrame([(1, 1), (7, 0)], "doc_id long, quality int")
     assert [(r.n_words, r.base_failed, r.kept) for r in quality_rules.judge(docs, labels).orderBy("n_words").collect()] == [(0, True, False), (2, True, False), (2, True, False)]
     assert quality_rules.judge(docs.limit(0), labels).count() == 0
+
+
+def test_labels_of_absent_documents_change_nothing(spark):
+    """Labels of documents that are missing, null or without a word use up none of the sample."""
+    rows = [(k, f"good words stand here {k}\nand more of them" if k % 2 else f"!!! ### {k}\n$$$ click") for k in range(60)] + [(900, None), (901, " \n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(900, 1), (901, 0)], "doc_id long, quality int")
+    absent = spark.range(1000, 200_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    few, many = (quality_crf.train(docs, x, per_label=30) for x in (labels, labels.union(absent)))
+    assert np.array_equal(few.weights, many.weights) and few.offset == many.offset
