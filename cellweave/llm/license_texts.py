@@ -154,6 +154,37 @@ TEXTS = {
     ],
 }
 
+# Short names under which notices and expressions speak of a licence.
+NAMES = {
+    "AGPL-3.0": ["AGPL-3.0", "AGPLv3", "AGPL-3.0-only", "AGPL-3.0-or-later", "GNU AGPL version 3"],
+    "Apache-2.0": ["Apache-2.0", "Apache License 2.0", "Apache 2.0"],
+    "Artistic-2.0": ["Artistic-2.0", "Artistic License 2.0"],
+    "BSD-2-Clause": ["BSD-2-Clause", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD-3-Clause", "3-Clause BSD License", "New BSD License"],
+    "BSL-1.0": ["BSL-1.0", "Boost Software License 1.0"],
+    "CC0-1.0": ["CC0-1.0"],
+    "CDDL-1.0": ["CDDL-1.0"],
+    "EPL-2.0": ["EPL-2.0", "Eclipse Public License 2.0"],
+    "GPL-2.0": ["GPL-2.0", "GPLv2", "GPL-2.0-only", "GPL-2.0-or-later", "GPL version 2"],
+    "GPL-3.0": ["GPL-3.0", "GPLv3", "GPL-3.0-only", "GPL-3.0-or-later", "GPL version 3"],
+    "ISC": ["ISC"],
+    "LGPL-2.1": ["LGPL-2.1", "LGPLv2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"],
+    "LGPL-3.0": ["LGPL-3.0", "LGPLv3", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "MIT": ["MIT", "MIT License"],
+    "MPL-2.0": ["MPL-2.0", "Mozilla Public License 2.0"],
+    "OFL-1.1": ["OFL-1.1"],
+    "PostgreSQL": ["PostgreSQL License"],
+    "Unlicense": ["Unlicense"],
+    "WTFPL": ["WTFPL"],
+    "Zlib": ["Zlib", "zlib License"],
+}
+
+# What of a family's texts another family's licence holds word for word: (family, how a shared text begins, the
+# other family, how texts begin that the other has all of, how a text begins that only the first has).
+SHARED = [
+    ("BSD-3-Clause", ["Redistribution and use in source", "Redistributions of source code", "Redistributions in binary form", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT"], "BSD-2-Clause", ["Redistributions of source code", "Redistributions in binary form"], ["Neither the name"]),
+]
+
 # Sentences that speak of licences, rights and the like, and name no licence.
 OTHERS = [
     "See the LICENSE file for details.",

@@ -7,6 +7,10 @@ known licence. The model is trained on variants of the licences' texts and of se
 calibrated by a temperature, and the chance from which a family counts is chosen, both on variants held out. Below it, a
 unit is of the unknown class. A family counts only if the unit also holds enough of one of its texts.
 
+A line that names several licences (``MIT OR Apache-2.0``) is also a unit for each of them, with the words before the first. A
+name that the line denies ("is not licensed under") counts for nothing. What two licences share word for word is evidence for both:
+the paragraphs around decide. "All rights reserved." of a copyright line counts only where no licence follows.
+
 All work on documents is one projection: no shuffle, no join, no Python on executors, and nothing that depends on other
 rows. Weights and texts are literals that the optimiser folds once; their number doesn't follow the corpus.
 """
@@ -22,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.license_texts import OTHERS, TEXTS
+from cellweave.llm.license_texts import NAMES, OTHERS, SHARED, TEXTS
 
 # Words of which every licence text has one, and without which nothing is scored.
 TRIGGERS = ["license", "licence", "licensed", "licenced", "unlicense", "copyright", "permission", "warranty", "warranties", "redistribution", "redistributions", "reserved", "domain", "commons", "spdx", "wtfpl"]
@@ -35,6 +39,12 @@ SHORT = 16
 WINDOW = 48
 #: Features are told apart by so many bits of their CRC-32.
 BITS = 14
+#: Paragraphs before and after that decide between licences which share a text, and in which a licence follows a copyright line.
+NEAR = 12
+# Word pairs that deny what follows, the words before licences in an expression, and what stands between these.
+DENIALS = ["not licensed", "not licenced", "not released", "not covered", "not distributed", "not available", "not under", "never licensed", "never released", "longer licensed", "longer released", "longer under", "t licensed", "t released", "t under"]
+BEFORE_NAMES = r"^(.*?\b(?:license-identifier:?|licen[sc]ed under(?: the| either| either the)?|released under(?: the| either)?|distributed under(?: the| either)?|available under(?: the| either)?|under the terms of(?: the| either)?))\s+(.*)$"
+BETWEEN_NAMES = r"(?:\s+(?:or|and|with)\s+(?:the\s+)?|[()/,])+"
 _ROUNDS, _RATE, _DECAY, _COPIES = 400, 1.0, 1e-3, 14
 
 
@@ -104,9 +114,25 @@ def _bags(units: list[list[str]], features: list[str]) -> np.ndarray:
     return x
 
 
+@functools.lru_cache(maxsize=1)
+def all_texts() -> dict[str, list[str]]:
+    """Each family's texts: those that are printed, and its names as notices and expressions hold them."""
+    made = lambda n: [f"Licensed under {n}.", f"Licensed under the {n}.", f"SPDX-License-Identifier: {n}", *([f"The {n} applies."] if n.endswith("License") else [])]
+    out = {}
+    for family, texts in TEXTS.items():
+        named = [x for n in NAMES.get(family, []) for x in made(n)]
+        known, more = {tuple(_words(t)) for t in texts}, []
+        for x in named:
+            if tuple(_words(x)) not in known:
+                known.add(tuple(_words(x)))
+                more.append(x)
+        out[family] = [*texts, *more]
+    return out
+
+
 def _rows() -> list[tuple[str, list[str], int]]:
     """(class, words, number of the variant) to learn from and to calibrate with."""
-    rows = [(family, _variant(t, k), k) for family, texts in TEXTS.items() for t in texts for k in range(_COPIES)]
+    rows = [(family, _variant(t, k), k) for family, texts in all_texts().items() for t in texts for k in range(_COPIES)]
     rows += [(NONE, _variant(t, k), k) for t in OTHERS for k in range(_COPIES)]
     return rows + [(NONE, _shuffled(t, k), k) for texts in TEXTS.values() for t in texts if len(_words(t)) >= SHORT for k in range(4)]
 
@@ -114,12 +140,12 @@ def _rows() -> list[tuple[str, list[str], int]]:
 @functools.lru_cache(maxsize=1)
 def train() -> Model:
     """The model, the same on every run: a fifth of the variants is held out for the temperature and the least chance."""
-    for t in [t for texts in TEXTS.values() for t in texts]:
+    for t in [t for texts in all_texts().values() for t in texts]:
         if not set(TRIGGERS) & set(_words(t)):
             raise ValueError(f"a licence text without a trigger word: {t}")
     rows = _rows()
     classes = [*sorted(TEXTS), NONE]
-    spoken = [g for texts in [*TEXTS.values(), OTHERS] for t in texts for g in _grams(_words(t))]
+    spoken = [g for texts in [*all_texts().values(), OTHERS] for t in texts for g in _grams(_words(t))]
     features = sorted({*spoken, *(g.replace("license", "licence") for g in spoken)})
     x = _bags([words for _, words, _ in rows], features)
     used = np.flatnonzero(x.any(0))
@@ -174,7 +200,9 @@ def scan(docs: DataFrame, model: Model, text: str = "text", confirm: float = CON
     at least the model's least chance there. paragraph counts from 0; line is the line within it, or -1 for a window across lines;
     overlap is the greatest share of word pairs of one of the family's texts that the unit holds. A short text must be held
     whole where lines are taken together, so that pieces of two licences don't make a third; of two families that a paragraph would
-    confirm on mostly the same pairs, the one whose text it holds more of is. unknown: paragraphs with a trigger word
+    confirm on mostly the same pairs, the one whose text it holds more of is. A denied name is confirmed by no short text. A
+    family whose texts are all ones that another shares is that other where the ``NEAR`` paragraphs around hold all of the
+    other's and none of its own. unknown: paragraphs with a trigger word
     in which nothing is confirmed. A null or empty text has none. Each row is judged by its own text, so repeated rows are
     equal; the new columns replace those of their names.
     """
@@ -186,15 +214,23 @@ def scan(docs: DataFrame, model: Model, text: str = "text", confirm: float = CON
     place[used] = np.arange(1, len(used) + 1)
     rows = _literal([[0.0] * len(model.classes), *model.weights[used].tolist()], "array<array<double>>")
     place = _literal(place.tolist(), "array<int>")
-    texts = _literal([[{"t": _pairs_of(_words(t)), "short": len(_words(t)) < SHORT} for t in TEXTS[c]] for c in model.classes[:-1]], "array<array<struct<t:array<string>,short:boolean>>>")
+    held_by = all_texts()
+    texts = _literal([[{"n": n, "t": _pairs_of(_words(t)), "short": len(_words(t)) < SHORT} for n, t in enumerate(held_by[c])] for c in model.classes[:-1]], "array<array<struct<n:int,t:array<string>,short:boolean>>>")
+    # Of a copyright line: "copyright c", "copyright 2019", "c 2019" and the like.
+    copyrights = _literal(["copyright c", *(f"{w} {y}" for w in ("copyright", "c") for y in range(1970, 2100))], "array<string>")
+    denials = _literal(DENIALS, "array<string>")
     names = _literal(model.classes, "array<string>")
     offsets = _literal(model.offsets.tolist(), "array<double>")
-    reach = max(len(_words(t)) for family in TEXTS.values() for t in family)
+    reach = max(len(_words(t)) for family in held_by.values() for t in family)
     low = F.lower(F.col(f"`{text}`"))
     spoken = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in sorted(TRIGGERS) if not any(o in t and o != t for o in TRIGGERS)])
 
     def units(paragraph: Column, k: Column) -> Column:
         lines = F.transform(F.split(paragraph, "\n"), lambda line, i: F.struct(k.alias("paragraph"), i.alias("line"), _tokens(line).alias("words")))
+        # Of an expression, each licence with the words before the first.
+        parts = F.transform(F.split(paragraph, "\n"), lambda line, i: F.struct(i.alias("line"), F.regexp_extract(line, BEFORE_NAMES, 1).alias("before"), F.split(F.regexp_extract(line, BEFORE_NAMES, 2), BETWEEN_NAMES).alias("names")))
+        parts = F.filter(parts, lambda p: F.size(p["names"]) > 1)
+        named = F.flatten(F.transform(parts, lambda p: F.transform(p["names"], lambda n: F.struct(k.alias("paragraph"), p["line"].alias("line"), F.concat(_tokens(p["before"]), _tokens(n)).alias("words")))))
         words = _tokens(paragraph)
 
         def windows(size: int) -> Column:
@@ -202,7 +238,7 @@ def scan(docs: DataFrame, model: Model, text: str = "text", confirm: float = CON
             return F.transform(starts, lambda a: F.struct(k.alias("paragraph"), F.lit(-1).alias("line"), F.slice(words, a, F.lit(size)).alias("words")))
 
         small = F.when(F.size(words) > WINDOW, windows(WINDOW)).otherwise(F.array().cast(f"array<{_UNIT}>"))
-        every = F.when(F.size(lines) > 1, F.concat(lines, windows(2 * reach), small)).otherwise(F.concat(lines, small))
+        every = F.when(F.size(lines) > 1, F.concat(lines, named, windows(2 * reach), small)).otherwise(F.concat(lines, named, small))
         return F.filter(every, lambda u: F.arrays_overlap(u["words"], triggers))
 
     def paired(u: Column) -> Column:
@@ -221,28 +257,59 @@ def scan(docs: DataFrame, model: Model, text: str = "text", confirm: float = CON
 
     def families(u: Column) -> Column:
         def judged(k: Column) -> Column:
-            held = F.transform(F.get(texts, k), lambda t: F.struct((F.size(F.array_intersect(u["pairs"], t["t"])) / F.size(t["t"])).alias("share"), F.array_intersect(u["pairs"], t["t"]).alias("pairs"), t["short"].alias("short")))
-            enough = F.exists(held, lambda h: h["share"] >= F.when(h["short"] & (u["line"] < 0), 1.0).otherwise(confirm))
+            held = F.transform(F.get(texts, k), lambda t: F.struct((F.size(F.array_intersect(u["pairs"], t["t"])) / F.size(t["t"])).alias("share"), F.array_intersect(u["pairs"], t["t"]).alias("pairs"), t["short"].alias("short"), t["n"].alias("n")))
+            denied = F.arrays_overlap(u["pairs"], denials)
+            sure = F.filter(held, lambda h: (h["share"] >= F.when(h["short"] & (u["line"] < 0), 1.0).otherwise(confirm)) & ~(h["short"] & denied))
+            enough = F.size(sure) > 0
             best = F.array_max(held)
-            return F.struct(u["paragraph"].alias("paragraph"), u["line"].alias("line"), F.get(names, k).alias("family"), F.round(F.get(u["chances"], k), 6).alias("chance"), F.round(best["share"], 6).alias("overlap"), enough.alias("confirmed"), best["pairs"].alias("pairs"))
+            return F.struct(u["paragraph"].alias("paragraph"), u["line"].alias("line"), F.get(names, k).alias("family"), F.round(F.get(u["chances"], k), 6).alias("chance"), F.round(best["share"], 6).alias("overlap"), enough.alias("confirmed"), best["pairs"].alias("pairs"), F.transform(sure, lambda h: h["n"]).alias("texts"))
 
         counted = F.filter(F.sequence(F.lit(0), F.lit(len(model.classes) - 2)), lambda k: F.get(u["chances"], k) >= model.least)
         return F.transform(counted, judged)
 
-    def decided(p: Column) -> Column:
+    def decided(paragraph: Column) -> Column:
         """Of two families that a paragraph confirms on mostly the same pairs, the one whose text it holds more of."""
-        beaten = F.exists("_found", lambda q: q["confirmed"] & (q["paragraph"] == p["paragraph"]) & (q["overlap"] > p["overlap"]) & (2 * F.size(F.array_intersect(p["pairs"], q["pairs"])) > F.size(p["pairs"])))
-        return F.struct(*[p[c].alias(c) for c in ("paragraph", "line", "family", "chance", "overlap")], (p["confirmed"] & ~beaten).alias("confirmed"))
-
-    # Each step is a column of its own, so that a step's result isn't worked out once for every use.
-    none = F.array().cast(f"array<{_UNIT}>")
+        found = paragraph["found"]
+        sure = F.filter(found, lambda q: q["confirmed"])
+        beaten = lambda p: F.exists(sure, lambda q: (q["overlap"] > p["overlap"]) & (2 * F.size(F.array_intersect(p["pairs"], q["pairs"])) > F.size(p["pairs"])))
+        return F.transform(found, lambda p: F.struct(*[p[c].alias(c) for c in ("paragraph", "line", "family", "chance", "overlap")], (p["confirmed"] & ~beaten(p)).alias("confirmed"), p["texts"].alias("texts"), paragraph["signed"].alias("signed")))
+
+    def settled(p: Column) -> Column:
+        """By the paragraphs around: shared texts go to the licence that these complete, and a copyright line's reservation yields to a licence."""
+        near = lambda places: F.exists(places, lambda k: F.abs(k - p["paragraph"]) <= NEAR)
+        family, confirmed = p["family"], p["confirmed"]
+        for i, (own, shared, other, _, _) in enumerate(SHARED):
+            alone = F.size(F.array_except(p["texts"], _literal(_starting(own, shared), "array<int>"))) == 0
+            whole = functools.reduce(lambda a, b: a & b, [near(F.col(f"_needs{i}")[j]) for j in range(len(SHARED[i][3]))])
+            family = F.when((p["family"] == own) & alone & whole & ~near(F.col(f"_bars{i}")), other).otherwise(family)
+        reserved = (p["family"] == "Proprietary") & p["signed"] & (F.size(F.array_except(p["texts"], _literal(_starting("Proprietary", ["All rights reserved."]), "array<int>"))) == 0)
+        follows = F.exists("_licensed", lambda k: (k >= p["paragraph"]) & (k - p["paragraph"] <= NEAR))
+        return F.struct(p["paragraph"].alias("paragraph"), p["line"].alias("line"), family.alias("family"), p["chance"].alias("chance"), p["overlap"].alias("overlap"), (confirmed & ~(reserved & follows)).alias("confirmed"))
+
+    def places(test) -> Column:
+        """The paragraphs of confirmed findings that pass a test."""
+        return F.array_distinct(F.transform(F.filter("_found", lambda p: p["confirmed"] & test(p)), lambda p: p["paragraph"]))
+
+    # Each step is a column of its own, so that a step's result isn't worked out once for every use. Units stay with their paragraph.
+    none = F.array().cast(f"array<array<{_UNIT}>>")
+    each = lambda f: F.transform("_units", lambda us: F.transform(us, f))
     cut = F.split(low, "\n(?:[^a-z0-9\n]*\n)+")
-    out = docs.withColumn("_units", F.coalesce(F.when(spoken, F.flatten(F.transform(cut, units))), none))
-    out = out.withColumn("_units", F.transform("_units", paired)).withColumn("_units", F.transform("_units", scored)).withColumn("_units", F.transform("_units", chanced))
-    out = out.withColumn("_in", F.array_distinct(F.transform("_units", lambda u: u["paragraph"])))
-    out = out.withColumn("_found", F.flatten(F.transform("_units", families))).drop("_units")
-    out = out.withColumn("paragraphs", F.transform("_found", decided)).drop("_found")
+    out = docs.withColumn("_units", F.coalesce(F.when(spoken, F.filter(F.transform(cut, units), lambda us: F.size(us) > 0)), none))
+    out = out.withColumn("_units", each(paired)).withColumn("_units", each(scored)).withColumn("_units", each(chanced))
+    out = out.withColumn("_in", F.transform("_units", lambda us: us[0]["paragraph"]))
+    out = out.withColumn("_found", F.transform("_units", lambda us: F.struct(F.exists(us, lambda u: F.arrays_overlap(u["pairs"], copyrights)).alias("signed"), F.flatten(F.transform(us, families)).alias("found")))).drop("_units")
+    out = out.withColumn("_found", F.flatten(F.transform("_found", decided)))
+    for i, (own, _, _, needs, bars) in enumerate(SHARED):
+        holds = lambda p, start: (p["family"] == own) & F.arrays_overlap(p["texts"], _literal(_starting(own, start), "array<int>"))  # noqa: B023, E731
+        out = out.withColumn(f"_needs{i}", F.array(*[places(lambda p, n=n: holds(p, [n])) for n in needs])).withColumn(f"_bars{i}", places(lambda p: holds(p, bars)))  # noqa: B023
+    out = out.withColumn("_licensed", places(lambda p: p["family"] != "Proprietary"))
+    out = out.withColumn("paragraphs", F.transform("_found", settled)).drop("_found", "_licensed", *[f"_{c}{i}" for i in range(len(SHARED)) for c in ("needs", "bars")])
     sure = F.filter("paragraphs", lambda p: p["confirmed"])
     out = out.withColumn("licenses", F.array_sort(F.array_distinct(F.transform(sure, lambda p: p["family"]))))
     left = F.array_except("_in", F.transform(F.filter("paragraphs", lambda p: p["confirmed"]), lambda p: p["paragraph"]))
     return out.withColumn("unknown", F.size(left).cast("long")).drop("_in")
+
+
+def _starting(family: str, starts: list[str]) -> list[int]:
+    """The numbers of a family's texts that begin so."""
+    return [n for n, t in enumerate(all_texts()[family]) if any(t.startswith(s) for s in starts)]
