@@ -23,6 +23,8 @@ from cellweave.llm.textblock import SPACED, TextBlock, Windows, by_owner, covere
 TRAIN_PER_LABEL = 1500
 #: Bytes of text of a training document at most, as the lines' features of all are put together on the driver.
 TRAIN_BYTES = 1 << 18
+#: Lines of a block. Longer texts are cut into blocks that are worked on side by side.
+BLOCK_LINES = 512
 THRESHOLD = 0.3
 
 _TABLES = {
@@ -103,27 +105,77 @@ class Field:
         return np.round(np.clip(part / np.maximum(whole, 1), 0, 1), 9), good, first
 
 
-def chain_marginals(unary: np.ndarray, transition: np.ndarray, first: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """Forward-backward for all texts at once, a line of each text at a step.
+def _blocks(first: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, place in their text) of the blocks that texts are cut into; a text without lines has none."""
+    n = np.diff(first)
+    per = -(-n // block)
+    place = np.arange(per.sum()) - np.repeat(running(per)[:-1], per)
+    starts = np.repeat(first[:-1], per) + block * place
+    return starts, np.minimum(starts + block, np.repeat(first[1:], per)), place
+
+
+def _ends_of_blocks(local: np.ndarray, factor: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each block the forward values of the line before it and the backward values of its last line, up to a factor.
+
+    A block's lines are one 2 x 2 matrix, their product; all blocks' products are taken at once, and the blocks of a text one after
+    the other, so a text takes about as many turns as a block has lines and a text has blocks.
+    """
+    size = ends - starts
+    order = np.argsort(-size, kind="stable")
+    begin, longest = starts[order], size[order]
+    # The products, and for a text's first block the forward values, as no transition leads into its first line.
+    whole, values = np.broadcast_to(np.eye(2), (len(starts), 2, 2)).copy(), np.ones((len(starts), 2))
+    for t in range(int(longest[0])):
+        k = int(np.searchsorted(-longest, -t, side="left"))
+        now = local[begin[:k] + t]
+        line = whole[:k] @ (factor * now[:, None, :])
+        whole[:k] = line / line.sum((1, 2), keepdims=True)
+        values[:k] = (values[:k] @ factor if t else 1) * now
+        values[:k] /= values[:k].sum(1, keepdims=True)
+    product, plain = np.empty_like(whole), np.empty_like(values)
+    product[order], plain[order] = whole, values
+    before, after = np.ones((len(starts), 2)), np.ones((len(starts), 2))
+    end = np.empty((len(starts), 2))
+    head = np.flatnonzero(place == 0)
+    end[head] = plain[head] / plain[head].sum(1, keepdims=True)
+    for j in range(1, int(place.max()) + 1):
+        at = np.flatnonzero(place == j)
+        before[at] = end[at - 1]
+        now = (end[at - 1][:, None, :] @ product[at])[:, 0]
+        end[at] = now / now.sum(1, keepdims=True)
+    for j in range(int(place.max()), 0, -1):
+        at = np.flatnonzero(place == j)
+        now = (product[at] @ after[at][:, :, None])[:, :, 0]
+        after[at - 1] = now / now.sum(1, keepdims=True)
+    return before, after
+
+
+def chain_marginals(unary: np.ndarray, transition: np.ndarray, first: np.ndarray, weight: np.ndarray | None = None, block: int = BLOCK_LINES) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward-backward for all texts at once, a line of each block of ``block`` lines at a step.
 
     Returns the lines' probabilities of label 1, the expected counts of each transition (those into a line weighted by
     ``weight``), and the sum of log partitions.
     """
-    n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    begin, n = first[:-1][order], n[order]
+    starts, ends, place = _blocks(first, block)
     factor = np.exp(transition - transition.max())
     top = np.maximum(unary, 0)
     local = np.stack([np.exp(-top), np.exp(unary - top)], axis=1)
     forward, backward = np.empty_like(local), np.ones_like(local)
+    order = np.argsort(-(ends - starts), kind="stable")
+    begin, n = starts[order], (ends - starts)[order]
+    entry = None
+    if (place > 0).any():
+        before, after = _ends_of_blocks(local, factor, starts, ends, place)
+        backward[ends - 1] = after
+        entry, later = before[order] @ factor, (place > 0)[order]
     logz, steps = top.sum(), int(n[0]) if len(n) else 0
     active = [int(np.searchsorted(-n, -t, side="left")) for t in range(steps)]
     for t in range(steps):
         at = begin[: active[t]] + t
-        a = local[at] if t == 0 else (forward[at - 1] @ factor) * local[at]
+        a = (forward[at - 1] @ factor) * local[at] if t else local[at] if entry is None else np.where(later[:, None], entry, 1) * local[at]
         norm = a.sum(1, keepdims=True)
         forward[at] = a / norm
-        logz += np.log(norm).sum() + (transition.max() * len(at) if t else 0)
+        logz += np.log(norm).sum() + transition.max() * (len(at) if t else 0 if entry is None else later.sum())
     for t in range(steps - 2, -1, -1):
         at = begin[: active[t + 1]] + t
         b = (backward[at + 1] * local[at + 1]) @ factor.T

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -205,3 +206,23 @@ def test_labels_of_absent_documents_change_nothing(spark):
     absent = spark.range(1000, 200_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
     few, many = (quality_crf.train(docs, x, per_label=30) for x in (labels, labels.union(absent)))
     assert np.array_equal(few.weights, many.weights) and few.offset == many.offset
+
+
+def test_blocks_change_nothing():
+    """Texts cut into blocks have the marginals, transitions and partition of the whole chain."""
+    rng = np.random.default_rng(6)
+    for sizes in ([1], [7, 0, 1, 30, 12], [5] * 9, [100, 3], [0, 0, 8]):
+        first = np.append(0, np.cumsum(sizes))
+        unary, weight, transition = rng.normal(0, 3, first[-1]), rng.random(first[-1]), rng.normal(0, 2, (2, 2))
+        whole = quality_crf.chain_marginals(unary, transition, first, weight, 1000)
+        for block in (1, 2, 4, 7):
+            found = quality_crf.chain_marginals(unary, transition, first, weight, block)
+            assert np.allclose(found[0], whole[0], atol=1e-12) and np.allclose(found[1], whole[1], atol=1e-10) and math.isclose(found[2], whole[2], rel_tol=1e-10)
+
+
+def test_a_text_of_many_lines():
+    """Half a million lines take seconds, not a turn each."""
+    rng = np.random.default_rng(7)
+    began = time.time()
+    good, _, _ = quality_crf.chain_marginals(rng.normal(0, 3, 500_000), np.array([[1.0, -1.0], [-1.0, 1.0]]), np.array([0, 500_000]))
+    assert np.isfinite(good).all() and time.time() - began < 20
