@@ -103,7 +103,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
     count for nothing. Only the features of the texts used reach the driver; more than ``most`` languages raise ValueError.
     Repeated rows count as often as they are there, so a text may hold no larger part of the sample than of its language.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id).alias("id"))
+    # Most texts show a letter at once; only the others are searched to their end.
+    letter = F.substring(text, 1, 64).rlike(r"\p{L}") | F.col(text).rlike(r"\p{L}")
+    rows = docs.where(F.col(lang).isNotNull() & F.coalesce(letter, F.lit(False))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id).alias("id"))
     # The sample is sized by the rows that it is drawn from.
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()}
     if not sizes:
