@@ -248,15 +248,44 @@ def vector_is_valid(values, scale=1) -> Column:
 
 
 def register_sql(spark) -> None:
-    """The scalar functions as temporary SQL functions of the session."""
-    x = lambda c: f"shiftrightunsigned(c, {SHIFTS[c]}) & {(1 << WIDTHS[c]) - 1}"
-    named = ", ".join(f"'{n}', {x(n)}" for n in WIDTHS)
+    """The scalar functions as temporary SQL functions of the session, by the names that they have here.
+
+    They check as the strict forms do: what is out of range raises.
+    """
+    part = lambda n: f"CAST(shiftrightunsigned(c, {SHIFTS[n]}) & {(1 << WIDTHS[n]) - 1} AS INT)"
+    fits = " AND ".join(f"{n} BETWEEN 0 AND {(1 << bits) - 1}" for n, bits in WIDTHS.items())
     code = " | ".join(f"shiftleft({n}, {SHIFTS[n]})" for n in WIDTHS)
+    refused = lambda what, kind: f"CAST(raise_error('{what}') AS {kind})"
+    number = "CASE WHEN lower(trim(t)) RLIKE '^0x[0-9a-f]{1,16}$' THEN try_cast(conv(substring(trim(t), 3, 40), 16, 10) AS DECIMAL(38,0)) WHEN trim(t) RLIKE '^[+-]?[0-9]+$' THEN try_cast(trim(t) AS DECIMAL(38,0)) END"
+    level, most = f"CASE WHEN level BETWEEN 0 AND {MAX_LEVEL} THEN CAST(level AS DOUBLE) WHEN level IS NOT NULL THEN {refused('a level is out of range', 'DOUBLE')} END", (1 << WIDTHS["z"]) - 1
     for sql in (
-        f"cell_encode({', '.join(f'{n} BIGINT' for n in WIDTHS)}) RETURNS BIGINT RETURN {code}",
-        f"cell_decode(c BIGINT) RETURNS STRUCT<{', '.join(f'{n}: BIGINT' for n in WIDTHS)}> RETURN named_struct({named})",
+        f"cell_encode({', '.join(f'{n} BIGINT' for n in WIDTHS)}) RETURNS BIGINT RETURN CASE WHEN {fits} THEN {code} ELSE {refused('a part of the grid code is out of range', 'BIGINT')} END",
+        f"cell_decode(c BIGINT) RETURNS STRUCT<{', '.join(f'{n}: INT' for n in WIDTHS)}> RETURN named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, {part(n)}' for n in WIDTHS)})",
         "cell_hex(c BIGINT) RETURNS STRING RETURN concat('0x', lpad(hex(c), 16, '0'))",
+        "cell_unsigned(c BIGINT) RETURNS DECIMAL(20,0) RETURN CAST(CASE WHEN c < 0 THEN CAST(c AS DECIMAL(21,0)) + 18446744073709551616BD ELSE c END AS DECIMAL(20,0))",
+        f"number_from_text(t STRING) RETURNS DECIMAL(38,0) RETURN {number}",
+        "cell_is_valid(t STRING) RETURNS BOOLEAN RETURN coalesce(number_from_text(t) BETWEEN 0 AND 18446744073709551615BD, false)",
+        "cell_from_text(t STRING) RETURNS BIGINT RETURN CASE WHEN cell_is_valid(t) THEN CAST(CASE WHEN number_from_text(t) > 9223372036854775807BD THEN number_from_text(t) - 18446744073709551616BD ELSE number_from_text(t) END AS BIGINT) END",
+        f"quantize(v DOUBLE, low DOUBLE, high DOUBLE, bits INT) RETURNS BIGINT RETURN CASE WHEN v BETWEEN low AND high THEN CAST(floor((v - low) / (high - low) * CAST(shiftleft(1L, bits) - 1 AS DOUBLE) + 0.5D) AS BIGINT) ELSE {refused('a value to quantise is out of range', 'BIGINT')} END",
+        f"level_of(level INT) RETURNS DOUBLE RETURN {level}",
+        "cell_deg(level INT) RETURNS DOUBLE RETURN CASE WHEN level_of(level) <= 9 THEN pow(2D, 9 - level) WHEN level <= 15 THEN pow(2D, 15 - level) / 60D WHEN level <= 21 THEN pow(2D, 21 - level) / 3600D ELSE pow(2D, 32 - level) / 2048D / 3600D END",
+        "cells_per_deg(level INT) RETURNS DOUBLE RETURN CASE WHEN level_of(level) <= 15 THEN pow(2D, level - 9) ELSE 3600D * pow(2D, level - 21) END",
+        f"equator_scale(level INT) RETURNS DOUBLE RETURN {EARTH_RADIUS * DEGREE!r}D * cell_deg(level)",
+        f"height_layer_lower(layer BIGINT, level INT) RETURNS DOUBLE RETURN {EARTH_RADIUS!r}D * (pow({1.0 + DEGREE!r}D, CAST(layer AS DOUBLE) * cell_deg(level)) - 1D)",
+        "height_cell(level INT) RETURNS DOUBLE RETURN height_layer_lower(1L, level)",
+        "height_layer_bounds(layer BIGINT, level INT) RETURNS STRUCT<lower: DOUBLE, upper: DOUBLE> RETURN named_struct('lower', height_layer_lower(layer, level), 'upper', height_layer_lower(layer + 1, level))",
+        f"height_index(h DOUBLE, level INT) RETURNS BIGINT RETURN CASE WHEN h > {-EARTH_RADIUS!r}D THEN CAST(floor(log1p(h / {EARTH_RADIUS!r}D) / {math.log1p(DEGREE)!r}D / cell_deg(level)) AS BIGINT) ELSE {refused('a height lies below the earth', 'BIGINT')} END",
+        "height_layer_count(a DOUBLE, b DOUBLE, level INT) RETURNS BIGINT RETURN height_index(greatest(a, b), level) - height_index(least(a, b), level) + 1",
+        "height_layer_bits(level INT, highest DOUBLE) RETURNS INT RETURN length(bin(greatest(0L, height_index(greatest(0D, highest), level))))",
+        f"height_layer_fits(level INT, highest DOUBLE) RETURNS BOOLEAN RETURN height_layer_bits(level, highest) <= {WIDTHS['z']}",
+        f"height_layer_valid(layer BIGINT) RETURNS BOOLEAN RETURN layer BETWEEN 0 AND {most}",
+        f"max_supported_height(level INT) RETURNS DOUBLE RETURN height_layer_lower({most}L, level)",
+        "encode_cell_at_height(x BIGINT, y BIGINT, level INT, height DOUBLE) RETURNS BIGINT RETURN cell_encode(x, y, height_index(height, level), CAST(level AS BIGINT), 0L, 0L)",
+        "cell_height_interval(c BIGINT) RETURNS STRUCT<layer: INT, level: INT, lower: DOUBLE, upper: DOUBLE> RETURN named_struct('layer', cell_decode(c).z, 'level', cell_decode(c).level, 'lower', height_layer_lower(CAST(cell_decode(c).z AS BIGINT), cell_decode(c).level), 'upper', height_layer_lower(CAST(cell_decode(c).z AS BIGINT) + 1, cell_decode(c).level))",
+        "toff_lenient(moment TIMESTAMP, origin TIMESTAMP) RETURNS BIGINT RETURN (unix_micros(moment) - unix_micros(origin) - pmod(unix_micros(moment) - unix_micros(origin), 60000000L)) div 60000000L",
+        f"toff_strict(moment TIMESTAMP, origin TIMESTAMP) RETURNS BIGINT RETURN CASE WHEN moment >= origin THEN toff_lenient(moment, origin) ELSE {refused('a moment lies before the origin', 'BIGINT')} END",
         "node_is_aligned(toff BIGINT, lt INT) RETURNS BOOLEAN RETURN toff >= 0 AND lt >= 0 AND pmod(toff, shiftleft(1L, lt)) = 0",
         "node_end(toff BIGINT, lt INT) RETURNS BIGINT RETURN toff + shiftleft(1L, lt)",
+        "node_span(toff BIGINT, lt INT) RETURNS STRUCT<start: BIGINT, end: BIGINT> RETURN named_struct('start', toff, 'end', node_end(toff, lt))",
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {sql}")

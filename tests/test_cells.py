@@ -213,6 +213,28 @@ def test_sql_functions(spark):
     assert tuple(r) == ("0x2AB29B0D87A48704", 5, False)
 
 
+def test_sql_functions_agree_with_the_columns(spark):
+    codes.register_sql(spark)
+    rows = spark.range(34).selectExpr("id", "cast(least(id, 32) as int) as level", "id * 731.25D - 900D as h", "id % 128 as layer", "shiftleft(id * 7919L, 40) - id as c", "concat(if(id % 3 = 0, '0x', ' '), id, if(id % 5 = 0, 'g', '')) as t", "timestamp'2024-01-01 00:00:30' + make_interval(0, 0, 0, 0, 0, cast(id as int)) as ts")
+    rows.createOrReplaceTempView("scalars")
+    origin = "2024-01-01 00:00:00+00:00"
+    pairs = {
+        "cell_unsigned(c)": codes.to_unsigned("c"), "cell_hex(c)": codes.cell_to_hex("c"), "cell_decode(c)": codes.decode_cell("c"), "cell_from_text(t)": codes.cell_from_text("t"), "cell_is_valid(t)": codes.cell_is_valid("t"),
+        "quantize(h, -900D, 30000D, 8)": codes.quantize("h", -900.0, 30000.0), "cell_deg(level)": codes.cell_deg("level"), "cells_per_deg(level)": codes.cells_per_deg("level"), "equator_scale(level)": codes.equator_scale("level"),
+        "height_cell(level)": codes.height_cell("level"), "height_layer_lower(layer, level)": codes.height_layer_lower("layer", "level"), "height_layer_bounds(layer, level)": codes.height_layer_bounds("layer", "level"), "height_index(h, level)": codes.height_index("h", "level"),
+        "height_layer_count(h, 50D, level)": codes.height_layer_count("h", F.lit(50.0), "level"), "height_layer_bits(level, h)": codes.height_layer_bits("level", "h"), "height_layer_fits(level, h)": codes.height_layer_fits("level", "h"), "height_layer_valid(layer - 3)": codes.height_layer_valid(F.col("layer") - 3),
+        "max_supported_height(level)": codes.max_supported_height("level"), "cell_height_interval(cell_encode(1L, 2L, layer, cast(level as bigint) % 32, 0L, 0L))": codes.cell_height_interval(codes.encode_cell(1, 2, "layer", F.col("level") % 32, 0, 0)), "toff_lenient(ts, timestamp'2024-01-01 00:00:00')": codes.toff_lenient("ts", origin),
+        "node_span(id, 3)": codes.node_span("id", F.lit(3)), "encode_cell_at_height(3L, 4L, 5, abs(h))": codes.encode_cell_at_height(3, 4, F.lit(5), F.abs("h")),
+    }
+    sql = spark.sql(f"SELECT {', '.join(f'{x} AS f{k}' for k, x in enumerate(pairs))} FROM scalars ORDER BY id").collect()
+    columns = rows.orderBy("id").select(*[c.alias(f"f{k}") for k, c in enumerate(pairs.values())]).collect()
+    for k, name in enumerate(pairs):
+        assert [str(r[k]) for r in sql] == [str(r[k]) for r in columns], name
+    for bad in ("cell_deg(33)", "cell_encode(1L, 2L, 128L, 1L, 0L, 0L)", "quantize(2D, 0D, 1D, 8)", "toff_strict(timestamp'2023-01-01', timestamp'2024-01-01')"):
+        with pytest.raises(Exception, match="range|before"):
+            spark.sql(f"SELECT {bad} FROM scalars").collect()
+
+
 def test_streams(spark, tmp_path):
     from cellweave.streaming import cells as streaming
 
