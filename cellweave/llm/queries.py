@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cellweave.llm import byte_bpe, conversation_repair, decontaminate, hmm_lm, jaccard_join, langid, licenses, line_dedup, oracles, quality_crf, quality_rules, substring_dedup, token_alignment, token_counts
 
 QUERIES = {}
-ORACLE_SQL = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_jaccard_join": oracles.JACCARD_JOIN, "op5_decontaminate": oracles.DECONTAMINATE, "op11_line_dedup": oracles.LINE_DEDUP, "op12_conversation_repair": oracles.CONVERSATION_REPAIR}
+ORACLE_SQL = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_jaccard_join": oracles.JACCARD_JOIN, "op5_decontaminate": oracles.DECONTAMINATE, "op11_line_dedup": oracles.LINE_DEDUP, "op12_conversation_repair": oracles.CONVERSATION_REPAIR, "quality_rule_counts": oracles.RULE_COUNTS}
 TOKEN_LIMIT = 4096
 
 
@@ -125,3 +125,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 4 counts, which SQL can express; its verdict can't be."""
+    counted = quality_rules.statistics(documents(spark, sf_dir))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"))

@@ -189,6 +189,9 @@ def test_base_columns_against_sql(spark):
     len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)""").fetchall()
     own = queries.QUERIES["op4_quality_rules"](spark, FOLDER).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
     assert sorted(found) == sorted(map(tuple, own))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    counts = queries.QUERIES["quality_rule_counts"](spark, FOLDER).collect()
+    assert sorted(duckdb.sql(queries.ORACLE_SQL["quality_rule_counts"]).fetchall()) == sorted(map(tuple, counts)) == sorted(found)
 
 
 def test_rules_edges(spark):
