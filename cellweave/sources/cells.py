@@ -67,6 +67,12 @@ def read_cells_json(spark: SparkSession, paths) -> DataFrame:
     array of codes, or an element that isn't a plain value (strings with a comma or an escape are none) fails the job with its
     name, whichever columns are read. Null and blank codes are skipped.
     """
+    rows, files, listed = _code_files(spark, paths)
+    return guarded(rows, _bad_files(files, listed), "no array of codes in ")
+
+
+def _code_files(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(the codes of all files, (source, ok) of each file that holds a byte, all files listed)."""
     pieces = _pieces(spark, paths, ",")
     listed = pieces.inputFiles()
     few = F.broadcast if len(listed) <= BROADCAST_FILES else (lambda df: df)
@@ -100,7 +106,7 @@ def read_cells_json(spark: SparkSession, paths) -> DataFrame:
     rows = rows.select("source", F.when(F.col("plain") != "", F.col("plain")).otherwise(F.col("quoted")).alias("text")).where(~_blank(F.col("text")))
     rows = rows.join(few(known), F.col("source") == F.col("own"))
     rows = rows.select("source", "label", "party_id", "layout", "text", codes.cell_from_text("text").alias("grid_code"))
-    return guarded(rows, _bad_files(files, listed), "no array of codes in ")
+    return rows, files, listed
 
 
 def cells_from_rows(spark: SparkSession, inputs: dict[str, list]) -> DataFrame:
@@ -125,6 +131,11 @@ def read_weights(spark: SparkSession, path) -> DataFrame:
     of the later line. A line that isn't two whole numbers, a JSON value that isn't one, a malformed file, a code beyond 64 bits and a
     value beyond BIGINT fail the job with the file's name, whichever columns are read. A JSON value may be quoted.
     """
+    return guarded(*_weight_files(spark, path), "a line or value isn't a pair of whole numbers in ")
+
+
+def _weight_files(spark: SparkSession, path, each: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the weights of all files, one row (bad, what) about them, or (source, ok) of ``each``)."""
     paths = [path] if isinstance(path, str) else list(path)
     as_json = {p.lower().endswith(".json") for p in paths}
     if len(as_json) != 1:
@@ -150,8 +161,7 @@ def read_weights(spark: SparkSession, path) -> DataFrame:
     files = rows.groupBy("source").agg((judged & (F.count_if(beyond) == 0)).alias("ok"))
     found = rows.where("pair is not null").groupBy("grid_code").agg(F.max_by("value", F.struct("source", "at")).alias("value"))
     # A CSV file without a byte holds no line and is fine.
-    bad = _bad_files(files, parts.inputFiles() if path_is_json(paths) else ())
-    return guarded(found, bad, "a line or value isn't a pair of whole numbers in ")
+    return found, files if each else _bad_files(files, parts.inputFiles() if path_is_json(paths) else ())
 
 
 def path_is_json(paths: list[str]) -> bool:

@@ -44,8 +44,10 @@ def test_weights_are_refused_whatever_the_right_side_is(spark, aqe, tmp_path):
         weights = lambda rows: spark.createDataFrame(rows, "grid_code long, value long")
         for k, rows in enumerate(([(5, 1)], [(5, 1), (6, -3)], [(5, 1), (6, None)])):
             for n, other in enumerate(rights.values()):
+                if aqe == "false" and n % 3 != k:
+                    continue
                 # Every kind of use for one of the three, and one for the others.
-                uses = list(USES) if k == n % 3 else ["all"]
+                uses = ["all"] if k != n % 3 else list(USES) if aqe == "true" else ["count", "last column", "no such row"]
                 refuses(lambda: sets.intersection_sum(left, other, weights(rows)), "no valid weight", uses)  # noqa: B023
         good = weights([(5, 1), (6, 4)])
         assert [tuple(r) for r in sets.intersection_sum(left, right, good).collect()] == [(1, 9, 2, 5)]
@@ -141,10 +143,15 @@ def test_weights_in_splits(spark, tmp_path, split_size):
     assert read("none.json", " { } ").collect() == [] and read("none.csv", "").collect() == []
     bad = {"x1.csv": "1,5\n2;6\n", "x2.csv": "a,b\nc,d\n", "x3.csv": "1,5\nh,v\n", "x4.csv": "1,99999999999999999999\n", "x5.csv": "-1,5\n", "x6.csv": "1,5,6\n", "x7.csv": "1,x\n2,3\n", "x8.csv": "\nh,v\n1,2\n"}
     bad |= {"x1.json": '{"1": 5', "x2.json": '{"1": 5} x', "x3.json": '{"1": 5.5}', "x4.json": '{"1": true}', "x5.json": '[1, 2]', "x6.json": '{"a": 1}', "x7.json": '{"1": 5}, {"2": 6}', "x8.json": "", "x9.json": '{"1": 5,}', "x10.json": '{"1": null}', "x11.json": '{"1": 99999999999999999999}', "x12.json": '{"18446744073709551616": 1}', "x13.json": '{"1": "5}', "x14.json": '"1": 5}', "x15.json": '{"1": 5, "2": "six"}'}
-    for name, text in (bad if split_size > 100 else {"x2.json": bad["x2.json"], "x3.csv": bad["x3.csv"]}).items():
+    for kind in ("csv", "json"):
+        few = {name: text for name, text in bad.items() if name.endswith(kind)}
+        for name, text in few.items():
+            (tmp_path / name).write_text(text)
+        files = source._weight_files(spark, [str(tmp_path / n) for n in [*few, f"a.{kind}", f"b.{kind}"]], each=True)[1].collect()
+        assert {r.source.rsplit("/", 1)[1] for r in files if r.ok} == {f"a.{kind}", f"b.{kind}"} and len(files) >= len(few) + 1
+    for name in ("x8.json", "x3.csv"):
         with pytest.raises(Exception, match=name):
-            read(name, text).select("value").count()
-            pytest.fail(name)
+            read(name, bad[name]).count()
     refuses(lambda: read("x2.json", bad["x2.json"]), "x2.json", ["one column", "last column", "no such row"])
 
 
@@ -165,10 +172,12 @@ def test_cells_in_splits(spark, tmp_path, split_size):
     assert read("e.json", "[ ]").collect() == [] and read("f.json", '{"codes": [\n], "label": "x"}').collect() == []
     assert {(r.text, r.grid_code) for r in read("n.json", '[1, null, "", "oops", true, 2.5]').collect()} == {("1", 1), ("oops", None), ("true", None), ("2.5", None)}
     bad = {"x1.json": '["1","2"] junk', "x2.json": "[1, ", "x3.json": '{"label": "x"}', "x4.json": "nothing", "x5.json": '{"codes": [1, 2]} {"codes": [3]}', "x6.json": '{"codes": [1, 2]}, {"codes": [3]}', "x7.json": "[1, [2]]", "x8.json": "[1 2]", "x9.json": '[1, {"a": 2}]', "x10.json": "[1,, 2]", "x11.json": "", "x12.json": "[1, 2,]", "x13.json": '{"codes": [1, 2], "label": }', "x14.json": '{"codes": [1, 2]', "x15.json": '["a, b"]', "x16.json": "[1]]"}
-    for name, text in (bad if split_size > 100 else {k: bad[k] for k in ("x1.json", "x5.json", "x14.json")}).items():
-        with pytest.raises(Exception, match=name):
-            read(name, text).select("label").count()
-            pytest.fail(name)
+    for name, text in bad.items():
+        (tmp_path / name).write_text(text)
+    files = source._code_files(spark, [str(tmp_path / n) for n in [*bad, "a.json", "r0.json"]])[1].collect()
+    assert {r.source.rsplit("/", 1)[1] for r in files if r.ok} == {"a.json", "r0.json"} and len(files) == len(bad) + 1
+    with pytest.raises(Exception, match="x11.json"):
+        read("x11.json", "").count()
     refuses(lambda: read("x1.json", bad["x1.json"]), "x1.json", ["one column", "last column", "no such row"])
 
 
