@@ -97,6 +97,21 @@ def from_planes(blob) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
+def numbers(values: np.ndarray) -> bytes:
+    """Whole numbers below 2^63, a row of columns each, in as few byte planes as the largest needs."""
+    flat = np.ascontiguousarray(values.T, np.int64).ravel()
+    width = max(1, -(-int(flat.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_numbers(blob, columns: int) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8)
+    width = int(raw[0])
+    out = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    out[:, :width] = raw[1:].reshape(width, -1).T
+    return out.view(np.int64).reshape(columns, -1).T
+
+
 def blobs(column) -> list:
     """Buffers of a binary Arrow column."""
     return [x.as_buffer() for x in column]

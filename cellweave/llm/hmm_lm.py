@@ -9,9 +9,14 @@ The texts are coded once: a batch's words, and each text as numbers of these. Ea
 all training texts in coded form, until the likelihood of a token gains less than a tolerance. The start values come from
 all training texts too: their word endings' main directions of variance part them into as many kinds as there are states.
 
-Counts of a word by state travel as bytes: the square roots of the states' shares in 255ths. The buckets take the totals of
-the states from the very shares that they send, so the model's probabilities sum to one. A text's score is the scaled
+A token's expected counts by state are rounded to whole 255ths that add up to one token, by an offset that its place in its
+text gives, so that rounding favours no state. Batches send sums of these whole numbers, which are the same however the
+corpus is cut into batches. Buckets answer with bytes: the square roots of the states' shares in 255ths. They take the totals
+of the states from the very shares that they send, so the model's probabilities sum to one. A text's score is the scaled
 forward recursion's exact log-likelihood under that model.
+
+A text of more than ``PIECE`` tokens is cut into pieces that are worked on side by side: products of the steps' matrices tell
+what enters each piece from either side, and the recursions then run within the pieces, with the same result.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.batching import KEY, Sizes, blobs, by_bucket, from_planes, gathered, packed, planes, rows_of, sizes, table_of, unpacked
+from cellweave.llm.batching import KEY, Sizes, blobs, by_bucket, from_numbers, from_planes, gathered, numbers, packed, planes, rows_of, sizes, table_of, unpacked
 from cellweave.llm.durable import discard, saved
 from cellweave.llm.textblock import SPACED, TextBlock, mix, slices
 
@@ -36,12 +41,18 @@ DISCOUNT = 0.6
 ENDINGS = 64
 #: Tokens whose forward and backward values a task holds at once.
 CHUNK_TOKENS = 1 << 18
+#: Tokens that a recursion takes one after the other.
+PIECE = 2048
+#: Parts that a token's count is dealt to the states in.
+UNIT = 255
+#: Steps of the offsets of rounding (the golden section: any run of places meets all offsets alike).
+OFFSET = 0.6180339887498949
 END = np.uint64(0xFFFFFFFFFFFFFFFE)
 #: Batches whose sums one task adds up.
 _FAN_IN = 64
-_SENT = f"bucket int, {KEY} long, words binary, counts binary, shares binary"
-_MADE = f"bucket int, {KEY} long, shares binary, sums array<double>"
-_COUNTED = f"bucket int, {KEY} long, counts binary, shares binary, links binary, own binary, sums array<double>"
+_SENT = f"bucket int, {KEY} long, words binary, found binary"
+_MADE = f"bucket int, {KEY} long, found binary, sums array<double>"
+_COUNTED = f"bucket int, {KEY} long, counts binary, shares binary, links binary, sums array<double>"
 
 
 def tokens(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +64,13 @@ def tokens(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
 
 
 def endings(block: TextBlock) -> np.ndarray:
-    """For each text the square roots of its words' shares by kind of ending (the last two bytes)."""
+    """For each text the square roots of its words' shares by kind of ending (the last two bytes), in whole 1024ths, whose
+    sums and products are exact in any order."""
     last = block.data[block.ends - 1].astype(np.uint64) if block.words else np.zeros(0, np.uint64)
     before = np.where(block.ends - block.starts > 1, block.data[np.maximum(block.ends - 2, 0)], 0).astype(np.uint64) if block.words else last
     kind = (mix(last << np.uint64(8) | before) % np.uint64(ENDINGS)).astype(np.int64)
     found = np.bincount(block.doc_of_word() * ENDINGS + kind, minlength=block.n * ENDINGS).reshape(block.n, ENDINGS)
-    return np.sqrt(found / np.maximum(block.counts, 1)[:, None])
+    return np.rint(1024 * np.sqrt(found / np.maximum(block.counts, 1)[:, None])) / 1024
 
 
 class Kinds:
@@ -73,7 +85,7 @@ class Kinds:
         self.axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
 
     def of(self, block: TextBlock) -> np.ndarray:
-        side = (endings(block) - self.mean) @ self.axes > 0
+        side = np.round((endings(block) - self.mean) @ self.axes, 9) > 0
         return (side @ (1 << np.arange(side.shape[1]))) % self.states
 
 
@@ -151,7 +163,8 @@ def from_bytes(blob, states: int) -> np.ndarray:
 
 
 class Steps:
-    """Sequences side by side: their tokens in order of the step, and at each step the longer sequences first."""
+    """Sequences side by side: their tokens in order of the step, and at each step the longer sequences first.
+    ``sequence`` and ``place`` tell which sequence and which token each is."""
 
     def __init__(self, first: np.ndarray):
         n = np.diff(first)
@@ -160,54 +173,124 @@ class Steps:
         self.active = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
         self.at = np.append(0, np.cumsum(self.active))
         row = np.arange(self.at[-1]) - np.repeat(self.at[:-1], self.active)
-        self.place = first[:-1][self.order][row] + np.repeat(np.arange(len(self.active)), self.active)
+        self.sequence = self.order[row]
+        self.place = first[:-1][self.sequence] + np.repeat(np.arange(len(self.active)), self.active)
+        some = self.active[0] if len(self.active) else 0
+        #: Where the last token of each sequence that has one stands.
+        self.last = self.at[n[:some] - 1] + np.arange(some)
 
 
-def forward(start: np.ndarray, step: np.ndarray, local: np.ndarray, s: Steps) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward values of all tokens, and the scales (their product is a sequence's probability)."""
+def forward(enter: np.ndarray, step: np.ndarray, local: np.ndarray, s: Steps) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward values of all tokens, and the scales (their product is a sequence's probability). ``enter`` holds, for
+    each sequence, the states' probabilities at its first token."""
     values, scales = np.empty_like(local), np.empty(len(local), local.dtype)
     before = None
     for t, k in enumerate(s.active):
         a = s.at[t]
-        now = local[a : a + k] * (start if before is None else before[:k] @ step)
+        now = local[a : a + k] * (enter[s.order[:k]] if before is None else before[:k] @ step)
         norm = now.sum(1)
         now /= norm[:, None]
         values[a : a + k], scales[a : a + k], before = now, norm, now
     return values, scales
 
 
+def transfers(start: np.ndarray, step: np.ndarray, local: np.ndarray, s: Steps, opening: np.ndarray) -> np.ndarray:
+    """For each sequence the product of its tokens' matrices (step, then emission), up to a factor. An opening sequence
+    starts anew: its first matrix leads from any state to the starts."""
+    k = len(start)
+    out, before = np.zeros((len(s.order), k, k)), None
+    for t, n in enumerate(s.active):
+        e = local[s.at[t] : s.at[t] + n, None, :]
+        now = e * (np.where(opening[s.order[:n], None, None], start, step) if before is None else (before[:n].reshape(-1, k) @ step).reshape(n, k, k))
+        now /= now.sum((1, 2))[:, None, None]
+        ended = s.active[t + 1] if t + 1 < len(s.active) else 0
+        out[s.order[ended:n]] = now[ended:]
+        before = now
+    return out
+
+
+class Pieces:
+    """Texts in pieces of at most ``PIECE`` tokens. For each piece: its text, whether it opens it, the states' probabilities
+    at the token before (``before``) and at its first token (``enter``), and, up to a factor, those of all that follows
+    the piece by its last token's state (``leave``)."""
+
+    def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray, tokens: np.ndarray, first: np.ndarray):
+        parts = np.maximum(1, -(-np.diff(first) // PIECE))
+        self.text = np.repeat(np.arange(len(parts)), parts)
+        number = np.arange(len(self.text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.first = np.append(first[:-1][self.text] + number * PIECE, first[-1])
+        self.opening = number == 0
+        self.enter, self.before, self.leave = np.tile(start, (len(self.text), 1)), np.zeros((len(self.text), len(start))), np.ones((len(self.text), len(start)))
+        cut = np.flatnonzero(parts[self.text] > 1)
+        size = np.diff(self.first)[cut]
+        made = []
+        for a, b in _chunks(np.append(0, np.cumsum(size))):
+            s = Steps(np.append(0, np.cumsum(size[a:b])))
+            at = s.place + (self.first[cut[a:b]] - np.append(0, np.cumsum(size[a:b]))[:-1])[s.sequence]
+            made.append(transfers(start, step, emit[tokens[at]], s, self.opening[cut[a:b]]))
+        made = np.concatenate(made) if made else []
+        now = start
+        for k, matrix in zip(cut, made):
+            if not self.opening[k]:
+                self.before[k], self.enter[k] = now, now @ step
+            now = now @ matrix
+            now = now / now.sum()
+        after = None
+        for k, matrix in zip(cut[::-1], made[::-1]):
+            if after is not None:
+                self.leave[k] = after
+            after = matrix @ self.leave[k]
+            after = None if self.opening[k] else after / after.sum()
+
+    def chunks(self):
+        """(first piece, piece after the last, their tokens, their steps)"""
+        for a, b in _chunks(self.first):
+            s = Steps(self.first[a : b + 1] - self.first[a])
+            if len(s.place):
+                yield a, b, s.place + self.first[a], s
+
+
 def log_likelihood(start: np.ndarray, step: np.ndarray, emit: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """log10 of the probability of each sequence of word numbers."""
-    s = Steps(first)
     out = np.zeros(len(first) - 1)
-    if len(s.place):
-        _, scales = forward(start, step, emit[tokens[s.place]], s)
-        row = np.arange(len(s.place)) - np.repeat(s.at[:-1], s.active)
-        out[s.order] = np.bincount(row, np.log10(scales), len(out))
+    p = Pieces(start, step, emit, tokens, first)
+    for a, b, at, s in p.chunks():
+        _, scales = forward(p.enter[a:b], step, emit[tokens[at]], s)
+        np.add.at(out, p.text[a:b], np.bincount(s.sequence, np.log10(scales), b - a))
     return out
 
 
-def expected(start: np.ndarray, step: np.ndarray, emit: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Forward-backward: (expected counts of each word by state, of starts, of steps, and the sequences' log10 likelihood)."""
-    s = Steps(first)
+def expected(start: np.ndarray, step: np.ndarray, emit: np.ndarray, tokens: np.ndarray, first: np.ndarray, unit: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Forward-backward: (expected counts of each word by state, of starts, of steps, and the sequences' log10 likelihood).
+    With a ``unit`` the counts of words are in whole parts of it: each token's add up to ``unit``."""
     k = len(start)
-    if not len(s.place):
-        return np.zeros((len(emit), k)), np.zeros(k), np.zeros((k, k)), 0.0
-    words = tokens[s.place]
-    local = emit[words]
-    values, scales = forward(start, step, local, s)
-    total = float(np.log10(scales.astype(np.float64)).sum())
-    local /= scales[:, None]
-    back = np.ones_like(local)
-    for t in range(len(s.active) - 2, -1, -1):
-        n, a, b = s.active[t + 1], s.at[t], s.at[t + 1]
-        back[a : a + n] = (back[b : b + n] * local[b : b + n]) @ step.T
-    after = np.arange(s.at[1], s.at[-1])
-    before = after - np.repeat(s.active[:-1], s.active[1:])
-    steps = (values[before].T @ (local[after] * back[after])).astype(np.float64) * step
-    values *= back
-    found = np.stack([np.bincount(words, values[:, z], len(emit)) for z in range(k)], axis=1)
-    return found, values[: s.at[1]].sum(0, dtype=np.float64), steps, total
+    found, starts, steps, total = np.zeros((len(emit), k)), np.zeros(k), np.zeros((k, k)), 0.0
+    p = Pieces(start, step, emit, tokens, first)
+    for a, b, at, s in p.chunks():
+        words = tokens[at]
+        local = emit[words]
+        values, scales = forward(p.enter[a:b], step, local, s)
+        total += float(np.log10(scales).sum())
+        local /= scales[:, None]
+        back = np.empty_like(local)
+        some = s.order[: len(s.last)]
+        back[s.last] = p.leave[a:b][some]
+        back[s.last] /= (values[s.last] * back[s.last]).sum(1)[:, None]
+        for t in range(len(s.active) - 2, -1, -1):
+            n, x, y = s.active[t + 1], s.at[t], s.at[t + 1]
+            back[x : x + n] = (back[y : y + n] * local[y : y + n]) @ step.T
+        local *= back
+        after = np.arange(s.at[1], s.at[-1])
+        before = after - np.repeat(s.active[:-1], s.active[1:])
+        steps += (values[before].T @ local[after] + p.before[a:b][some].T @ local[: len(some)]) * step
+        values *= back
+        starts += values[: len(some)][p.opening[a:b][some]].sum(0)
+        if unit:
+            offset = (at - first[p.text[a:b][s.sequence]] + 1) * OFFSET % 1.0
+            edges = np.minimum(np.floor(np.cumsum(values[:, :-1], axis=1) * unit + offset[:, None]), unit)
+            values[:, 0], values[:, 1:-1], values[:, -1] = edges[:, 0], np.diff(edges, axis=1), unit - edges[:, -1]
+        found += np.stack([np.bincount(words, values[:, z], len(emit)) for z in range(k)], axis=1)
+    return found, starts, steps, total
 
 
 # --- a batch in coded form --------------------------------------------------------------------------------------------
@@ -256,8 +339,7 @@ def _coder(first_kinds: Kinds, buckets: int, batch_bytes: int, schema: pa.Schema
             nothing = pa.nulls(table.num_rows)
             docs = [table.column("row").combine_chunks(), pa.array(np.full(table.num_rows, key)), pa.array(np.arange(table.num_rows, dtype=np.int32)), pa.array([blob] + [None] * (table.num_rows - 1), pa.binary())]
             yield pa.RecordBatch.from_arrays([*docs, *[nothing.cast(f.type) for f in schema][4:]], schema=schema)
-            total = counts.sum(1)
-            rows = [(b, key, words[at].tobytes(), planes(total[at]), to_bytes(counts[at] / np.maximum(total[at], 1)[:, None]).tobytes()) for b, at in sent]
+            rows = [(b, key, words[at].tobytes(), numbers(counts[at])) for b, at in sent]
             found = table_of(rows, _SENT)
             columns = {**{f.name: pa.nulls(len(rows), f.type) for f in schema}, **{c: found.column(c).combine_chunks() for c in found.column_names}}
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
@@ -265,18 +347,19 @@ def _coder(first_kinds: Kinds, buckets: int, batch_bytes: int, schema: pa.Schema
     return run
 
 
-def _bucket_rows(bucket: int, keys: list, ids: list[np.ndarray], own: list[np.ndarray], shares: list[np.ndarray], n: int, states: int) -> tuple[list[tuple], np.ndarray]:
+def _bucket_rows(bucket: int, keys: list, ids: list[np.ndarray], found: list[np.ndarray], n: int, unit: int, states: int) -> tuple[list[tuple], np.ndarray]:
     """A bucket's sums over batches: an answer for each batch, and the bucket's own part of the model's sums."""
-    counts, sums = np.zeros(n, np.int64), np.zeros((n, states))
-    for at, c, x in zip(ids, own, shares):
-        counts[at] += c
-        sums[at] += x * c[:, None]
-    sent = to_bytes(sums / np.maximum(sums.sum(1, keepdims=True), 1e-300))
+    sums = np.zeros((n, states), np.int64)
+    for at, x in zip(ids, found):
+        sums[at] += x
+    total = sums.sum(1)
+    counts = total // unit
+    sent = to_bytes(sums / np.maximum(total, 1)[:, None])
     vector = Sums.none(states)
     vector.vector[2:4] = (counts > 0).sum(), counts.sum()
-    found = from_bytes(sent.tobytes(), states)
-    vector.of_state[:], vector.words_of[:] = counts @ found, (counts > 0) @ found
-    return [(bucket, key, planes(counts[at]), np.ascontiguousarray(sent[:, at]).tobytes()) for key, at in zip(keys, ids)], vector.vector
+    shares = from_bytes(sent.tobytes(), states)
+    vector.of_state[:], vector.words_of[:] = counts @ shares, (counts > 0) @ shares
+    return [(bucket, key, numbers(counts[at, None]), np.ascontiguousarray(sent[:, at]).tobytes()) for key, at in zip(keys, ids)], vector.vector
 
 
 def _first_bucket(states: int):
@@ -284,12 +367,11 @@ def _first_bucket(states: int):
         parts = [np.frombuffer(x, np.uint64) for x in blobs(table.column("words"))]
         known, which = np.unique(np.concatenate(parts), return_inverse=True)
         ids = np.split(which, np.cumsum([len(p) for p in parts])[:-1])
-        own = [from_planes(x) for x in blobs(table.column("counts"))]
-        shares = [from_bytes(x, states) for x in blobs(table.column("shares"))]
+        found = [from_numbers(x, states) for x in blobs(table.column("found"))]
         bucket = table.column("bucket")[0].as_py()
-        rows, vector = _bucket_rows(bucket, table.column(KEY).to_pylist(), ids, own, shares, len(known), states)
-        rows = [(*r, packed(at), planes(c), None) for r, at, c in zip(rows, ids, own)]
-        return table_of([*rows, (bucket, None, None, None, None, None, vector.tolist())], _COUNTED)
+        rows, vector = _bucket_rows(bucket, table.column(KEY).to_pylist(), ids, found, len(known), 1, states)
+        rows = [(*r, packed(at), None) for r, at in zip(rows, ids)]
+        return table_of([*rows, (bucket, None, None, None, None, vector.tolist())], _COUNTED)
 
     return run
 
@@ -302,15 +384,14 @@ def _next_bucket(states: int):
             return table_of([], _COUNTED)
         bucket = made.column("bucket")[0].as_py()
         if bucket < 0:
-            return table_of([(bucket, None, None, None, None, None, np.sum(made.column("sums").to_pylist(), axis=0).tolist())], _COUNTED)
+            return table_of([(bucket, None, None, None, None, np.sum(made.column("sums").to_pylist(), axis=0).tolist())], _COUNTED)
         place = {key: k for k, key in enumerate(links.column(KEY).to_pylist())}
         order = [place[key] for key in made.column(KEY).to_pylist()]
         ids = [unpacked(x) for x in blobs(links.column("links").take(pa.array(order)))]
-        own = [from_planes(x) for x in blobs(links.column("own").take(pa.array(order)))]
-        shares = [from_bytes(x, states) for x in blobs(made.column("shares"))]
+        found = [from_numbers(x, states) for x in blobs(made.column("found"))]
         n = 1 + max((int(x[-1]) for x in ids if len(x)), default=-1)
-        rows, vector = _bucket_rows(bucket, made.column(KEY).to_pylist(), ids, own, shares, n, states)
-        return table_of([*((*r, None, None, None) for r in rows), (bucket, None, None, None, None, None, vector.tolist())], _COUNTED)
+        rows, vector = _bucket_rows(bucket, made.column(KEY).to_pylist(), ids, found, n, UNIT, states)
+        return table_of([*((*r, None, None) for r in rows), (bucket, None, None, None, None, vector.tolist())], _COUNTED)
 
     return run
 
@@ -318,7 +399,7 @@ def _next_bucket(states: int):
 def _answers(table: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """(counts and shares of a batch's words as they were sent, [(bucket, number of words)])."""
     table = table.sort_by("bucket").combine_chunks()
-    counts = [from_planes(x) for x in blobs(table.column("counts"))]
+    counts = [from_numbers(x, 1)[:, 0] for x in blobs(table.column("counts"))]
     shares = [from_bytes(x, states) for x in blobs(table.column("shares"))]
     return np.concatenate(counts), np.concatenate(shares), [(b, len(c)) for b, c in zip(table.column("bucket").to_pylist(), counts)]
 
@@ -342,18 +423,11 @@ def _learner(model: Model, states: int, lanes: int):
         learnt = np.repeat(used, np.diff(first))
         words, first = words[learnt], np.append(0, np.cumsum(np.diff(first)[used]))
         counts, shares, sent = _answers(answers, states)
-        emit = model.emissions(counts, shares).astype(np.float32)
-        start, step = model.start.astype(np.float32), model.step.astype(np.float32)
-        found, sums = np.zeros((len(emit), states)), Sums.none(states)
-        for a, b in _chunks(first):
-            of_words, starts, steps, log10 = expected(start, step, emit, words[first[a] : first[b]], first[a : b + 1] - first[a])
-            found += of_words
-            sums.starts += starts
-            sums.steps += steps
-            sums.vector[:2] += log10, first[b] - first[a]
-        found /= np.maximum(found.sum(1, keepdims=True), 1e-300)
+        sums = Sums.none(states)
+        found, sums.starts[:], sums.steps[:], sums.vector[0] = expected(model.start, model.step, model.emissions(counts, shares), words, first, UNIT)
+        sums.vector[1] = len(words)
         edges = np.append(0, np.cumsum([n for _, n in sent]))
-        rows = [(b, key, to_bytes(found[x:y]).tobytes(), None) for (b, _), x, y in zip(sent, edges[:-1], edges[1:])]
+        rows = [(b, key, numbers(found[x:y]), None) for (b, _), x, y in zip(sent, edges[:-1], edges[1:])]
         return table_of([*rows, (-1 - hash(key) % lanes, key, None, sums.vector.tolist())], _MADE)
 
     return run
@@ -377,7 +451,7 @@ def score(docs: DataFrame, train: str, text: str = "text", states: int = STATES,
     log10((c+1)/(N+V+1)). score: log10 of the hidden Markov model's probability of the text. A null or empty text is one
     end token. Rows of one id or text count once each; without training rows all scores are 0. Columns of the new names are
     replaced. Words are known by 64-bit hashes. Batches are cut from the partitions as they are read, so texts aren't
-    shuffled; how they are cut changes the score by the rounding of shares to bytes only.
+    shuffled; how they are cut doesn't change the scores, but for the order in which floating-point numbers are added.
     """
     docs = docs.drop(*[f.name for f in ADDED]).withColumn(train, F.coalesce(train, F.lit(False)))
     size = size or sizes(docs, text)
@@ -389,9 +463,9 @@ def score(docs: DataFrame, train: str, text: str = "text", states: int = STATES,
 
     made = saved(rows.mapInArrow(_coder(first_kinds, size.buckets, size.batch_bytes, to_arrow_schema(schema)), schema))
     texts, batches = made.where("place is not null").select("row", KEY, "place", "blob"), made.where("blob is not null").select(KEY, "blob")
-    sent = made.where("bucket is not null").select("bucket", KEY, "words", "counts", "shares")
+    sent = made.where("bucket is not null").select("bucket", KEY, "words", "found")
     counted = saved(sent.groupBy("bucket").applyInArrow(_first_bucket(states), _COUNTED))
-    links = counted.where(f"{KEY} is not null").select("bucket", KEY, "links", "own")
+    links = counted.where(f"{KEY} is not null").select("bucket", KEY, "links")
     sums, now, before = _sums(counted, states), counted, None
     starts = np.eye(states) * 0.85 + 0.15 / states
     sums.steps[:], sums.starts[:] = starts * sums.of_state[:, None], sums.of_state / max(1.0, sums.of_state.sum())
@@ -423,7 +497,7 @@ def _scorer(model: Model, states: int, train_tokens: int):
         owner = np.repeat(np.arange(n), np.diff(first))
         each = np.log10((counts + 1.0) / model.total)[words]
         emit = model.emissions(counts, shares)
-        whole = np.concatenate([log_likelihood(model.start, model.step, emit, words[first[a] : first[b]], first[a : b + 1] - first[a]) for a, b in _chunks(first)])
+        whole = log_likelihood(model.start, model.step, emit, words, first)
         new = [pa.array(np.diff(first)), pa.array(np.bincount(owner, counts[words] > 0, n).astype(np.int64)), pa.array(np.full(n, train_tokens, np.int64)), pa.array(np.bincount(owner, each, n)), pa.array(whole)]
         return pa.table([texts.column("row"), *new], names=["row", *(f.name for f in ADDED)])
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from cellweave.llm import hmm_lm, queries
+from cellweave.llm.batching import from_numbers, numbers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLDER = "/root/testdata/sf0.001"
@@ -49,6 +50,48 @@ def test_recursions_against_enumeration():
     assert np.allclose(of_words, want[0]) and np.allclose(starts, want[1]) and np.allclose(steps, want[2]) and np.isclose(log10, logs.sum())
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """The recursions within pieces give what they give over whole texts, in chunks of any size."""
+    rng = np.random.default_rng(7)
+    k, c = 4, 30
+    start, step, emit = rng.dirichlet(np.ones(k) * 0.3), rng.dirichlet(np.ones(k) * 0.2, k), rng.dirichlet(np.ones(c) * 0.1, k).T + 1e-9
+    sequences = [rng.integers(0, c, n) for n in (5, 700, 0, 1, 64, 65, 129)]
+    first, words = np.append(0, np.cumsum([len(s) for s in sequences])), np.concatenate(sequences)
+    want = hmm_lm.expected(start, step, emit, words, first), hmm_lm.log_likelihood(start, step, emit, words, first)
+    for piece, chunk in ((64, 1 << 18), (3, 50), (1, 1)):
+        monkeypatch.setattr(hmm_lm, "PIECE", piece)
+        monkeypatch.setattr(hmm_lm._chunks, "__defaults__", (chunk,))
+        found = hmm_lm.expected(start, step, emit, words, first), hmm_lm.log_likelihood(start, step, emit, words, first)
+        assert all(np.allclose(x, y, rtol=1e-9) for x, y in zip(found[0], want[0])) and np.allclose(found[1], want[1], rtol=1e-12)
+
+
+def test_counts_are_whole_parts():
+    """Each token's parts add up to the unit, and a state's parts over many tokens come close to what is expected."""
+    rng = np.random.default_rng(8)
+    start, step, emit = np.ones(3) / 3, np.eye(3) * 0.7 + 0.1, rng.dirichlet(np.ones(20), 3).T
+    words, first = rng.integers(0, 20, 6000), np.array([0, 4000, 4001, 6000])
+    exact = hmm_lm.expected(start, step, emit, words, first)[0]
+    parts = hmm_lm.expected(start, step, emit, words, first, 255)[0]
+    assert (parts == np.rint(parts)).all() and (parts.sum(1) == 255 * np.bincount(words, minlength=20)).all()
+    assert np.abs(parts / 255 - exact).max() < 0.15  # of some 300 tokens a word
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("doc_id", "text", "doc_id % 7 != 2 as train")
+    want = None
+    for parts in (1, 4, 7):
+        found = {r.doc_id: (r.n_known, r.train_tokens, r.base_score, r.score) for r in hmm_lm.score(docs.repartition(parts), "train").collect()}
+        want = want or found
+        assert len(found) == len(want) and all(np.allclose(found[i], x, rtol=1e-9, atol=0) for i, x in want.items())
+
+
+def test_numbers_of_any_width():
+    for top in (0, 255, 256, 1 << 33, 1 << 62):
+        values = np.array([[0, top], [top, 1], [7, 0]])
+        assert (from_numbers(numbers(values), 2) == values).all()
+    assert from_numbers(numbers(np.zeros((0, 2), np.int64)), 2).shape == (0, 2)
+
+
 def plain(rows, states, passes):
     """The operator in plain Python: dictionaries of words, one text after the other, nothing packed or rounded."""
     from cellweave.llm.textblock import SPACED, TextBlock
