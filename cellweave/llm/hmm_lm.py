@@ -222,41 +222,41 @@ class Pieces:
         self.opening = number == 0
         self.enter, self.before, self.leave = np.tile(start, (len(self.text), 1)), np.zeros((len(self.text), len(start))), np.ones((len(self.text), len(start)))
         cut = np.flatnonzero(parts[self.text] > 1)
-        size = np.diff(self.first)[cut]
-        made = []
-        for a, b in _chunks(np.append(0, np.cumsum(size))):
-            s = Steps(np.append(0, np.cumsum(size[a:b])))
-            at = s.place + (self.first[cut[a:b]] - np.append(0, np.cumsum(size[a:b]))[:-1])[s.sequence]
-            made.append(transfers(start, step, emit[tokens[at]], s, self.opening[cut[a:b]]))
-        made = np.concatenate(made) if made else []
+        made = np.zeros((len(self.text) if len(cut) else 0, len(start), len(start)))
+        for some, at, s in self.chunks(cut):
+            made[some] = transfers(start, step, emit[tokens[at]], s, self.opening[some])
         now = start
-        for k, matrix in zip(cut, made):
+        for k in cut:
             if not self.opening[k]:
                 self.before[k], self.enter[k] = now, now @ step
-            now = now @ matrix
+            now = now @ made[k]
             now = now / now.sum()
         after = None
-        for k, matrix in zip(cut[::-1], made[::-1]):
+        for k in cut[::-1]:
             if after is not None:
                 self.leave[k] = after
-            after = matrix @ self.leave[k]
+            after = made[k] @ self.leave[k]
             after = None if self.opening[k] else after / after.sum()
 
-    def chunks(self):
-        """(first piece, piece after the last, their tokens, their steps)"""
-        for a, b in _chunks(self.first):
-            s = Steps(self.first[a : b + 1] - self.first[a])
+    def chunks(self, which: np.ndarray | None = None):
+        """(numbers of pieces, their tokens, their steps), pieces of like length together."""
+        size = np.diff(self.first)
+        which = np.arange(len(size)) if which is None else which
+        which = which[np.argsort(-size[which], kind="stable")]
+        within = np.append(0, np.cumsum(size[which]))
+        for a, b in _chunks(within):
+            s = Steps(within[a : b + 1] - within[a])
             if len(s.place):
-                yield a, b, s.place + self.first[a], s
+                yield which[a:b], s.place + (self.first[which[a:b]] - within[a:b] + within[a])[s.sequence], s
 
 
 def log_likelihood(start: np.ndarray, step: np.ndarray, emit: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """log10 of the probability of each sequence of word numbers."""
     out = np.zeros(len(first) - 1)
     p = Pieces(start, step, emit, tokens, first)
-    for a, b, at, s in p.chunks():
-        _, scales = forward(p.enter[a:b], step, emit[tokens[at]], s)
-        np.add.at(out, p.text[a:b], np.bincount(s.sequence, np.log10(scales), b - a))
+    for some, at, s in p.chunks():
+        _, scales = forward(p.enter[some], step, emit[tokens[at]], s)
+        out += np.bincount(p.text[some[s.sequence]], np.log10(scales), len(out))
     return out
 
 
@@ -264,17 +264,17 @@ def expected(start: np.ndarray, step: np.ndarray, emit: np.ndarray, tokens: np.n
     """Forward-backward: (expected counts of each word by state, of starts, of steps, and the sequences' log10 likelihood).
     With a ``unit`` the counts of words are in whole parts of it: each token's add up to ``unit``."""
     k = len(start)
-    found, starts, steps, total = np.zeros((len(emit), k)), np.zeros(k), np.zeros((k, k)), 0.0
+    starts, steps, total = np.zeros(k), np.zeros((k, k)), 0.0
+    of_token = np.zeros((k, len(tokens)), np.min_scalar_type(unit) if unit else np.float64)
     p = Pieces(start, step, emit, tokens, first)
-    for a, b, at, s in p.chunks():
-        words = tokens[at]
-        local = emit[words]
-        values, scales = forward(p.enter[a:b], step, local, s)
+    for these, at, s in p.chunks():
+        local = emit[tokens[at]]
+        values, scales = forward(p.enter[these], step, local, s)
         total += float(np.log10(scales).sum())
         local /= scales[:, None]
         back = np.empty_like(local)
-        some = s.order[: len(s.last)]
-        back[s.last] = p.leave[a:b][some]
+        some = these[s.order[: len(s.last)]]
+        back[s.last] = p.leave[some]
         back[s.last] /= (values[s.last] * back[s.last]).sum(1)[:, None]
         for t in range(len(s.active) - 2, -1, -1):
             n, x, y = s.active[t + 1], s.at[t], s.at[t + 1]
@@ -282,14 +282,15 @@ def expected(start: np.ndarray, step: np.ndarray, emit: np.ndarray, tokens: np.n
         local *= back
         after = np.arange(s.at[1], s.at[-1])
         before = after - np.repeat(s.active[:-1], s.active[1:])
-        steps += (values[before].T @ local[after] + p.before[a:b][some].T @ local[: len(some)]) * step
+        steps += (values[before].T @ local[after] + p.before[some].T @ local[: len(some)]) * step
         values *= back
-        starts += values[: len(some)][p.opening[a:b][some]].sum(0)
+        starts += values[: len(some)][p.opening[some]].sum(0)
         if unit:
-            offset = (at - first[p.text[a:b][s.sequence]] + 1) * OFFSET % 1.0
+            offset = (at - first[p.text[these]][s.sequence] + 1) * OFFSET % 1.0
             edges = np.minimum(np.floor(np.cumsum(values[:, :-1], axis=1) * unit + offset[:, None]), unit)
-            values[:, 0], values[:, 1:-1], values[:, -1] = edges[:, 0], np.diff(edges, axis=1), unit - edges[:, -1]
-        found += np.stack([np.bincount(words, values[:, z], len(emit)) for z in range(k)], axis=1)
+            values = np.diff(edges, axis=1, prepend=0, append=unit)
+        of_token[:, at] = values.T
+    found = np.stack([np.bincount(tokens, x, len(emit)) for x in of_token], axis=1)
     return found, starts, steps, total
 
 
