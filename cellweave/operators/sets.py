@@ -351,7 +351,8 @@ def prefix_buckets(cells: DataFrame, buckets: int = 16) -> DataFrame:
 
 def recheck_pair_stats(pairs: DataFrame, declared: DataFrame) -> DataFrame:
     """Counts of a generated pair table (pair_id, side, grid_code) against the declared ones."""
-    by_side = pairs.groupBy("pair_id", "grid_code").agg(F.count(F.when(F.col("side") == "left", 1)).alias("l"), F.count(F.when(F.col("side") == "right", 1)).alias("r"))
+    # As many tasks as the rows need, before any is counted: a small table can generate many rows in one task.
+    by_side = dealt(pairs, pairs.count(), "pair_id", "grid_code").groupBy("pair_id", "grid_code").agg(F.count(F.when(F.col("side") == "left", 1)).alias("l"), F.count(F.when(F.col("side") == "right", 1)).alias("r"))
     found = by_side.groupBy("pair_id").agg(
         F.count(F.when(F.col("l") > 0, 1)).alias("n_left_unique"),
         F.count(F.when(F.col("r") > 0, 1)).alias("n_right_unique"),

@@ -73,6 +73,15 @@ def test_overlaps_in_cells(spark, monkeypatch, aligned):
     assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in expected if a is not None and b is not None and a < b}
 
 
+def test_generated_pairs_are_dealt_before_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(tasks, "TASK_ROWS", 100)
+    plan = catalogue.QUERIES["d7_recheck_pair_stats"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    n = 26 * spark.read.parquet(f"{FOLDER}/customer.parquet").count()
+    dealt = [line for line in plan.split("\n") if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 1 and f", {-(-n // 100)})" in dealt[0]
+    assert "Aggregate" not in plan.split("REPARTITION_BY_NUM")[1].split("Exchange")[0]
+
+
 def test_more_work_gets_more_tasks(spark):
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert tasks.dealt(spark.range(1), 0, "id").rdd.getNumPartitions() == least
