@@ -33,10 +33,13 @@ def read_cells_csv(spark: SparkSession, paths, key: str = "grid_code") -> DataFr
 # A piece of a JSON array between two commas: a string without escapes, a number or another plain value.
 _SPACE = r"[\x20\t\r\n]*"
 _PLAIN = rf'^{_SPACE}(?:"([^"\\]*)"|(-?[0-9][0-9.eE+-]*|true|false|null)){_SPACE}$'
+_PLAIN_NEXT = rf'\G{_SPACE}(?:"[^"\\,]*"|-?[0-9][0-9.eE+-]*|true|false|null){_SPACE}(?:,|\z)'
 _NUMBER = r'(?:0[xX][0-9a-fA-F]+|[+-]?[0-9]+)'
 _PAIR = rf'^{_SPACE}(\{{?){_SPACE}"{_SPACE}({_NUMBER}){_SPACE}"{_SPACE}:{_SPACE}("?){_SPACE}([+-]?[0-9]+){_SPACE}\3{_SPACE}(\}}?){_SPACE}$'
 #: Frames of one row a file are sent to every task up to so many files; beyond, files are many and small.
 BROADCAST_FILES = 100_000
+#: Codes that a JSON record on a line should hold at most.
+RECORD_CODES = 100_000
 
 
 def _pieces(spark: SparkSession, paths, separator: str) -> DataFrame:
@@ -59,18 +62,59 @@ def _bad_files(judged: DataFrame, listed: list[str] = ()) -> DataFrame:
     return every.agg(F.count_if(~F.col("ok")).alias("bad"), F.min(F.when(~F.col("ok"), F.col("source"))).alias("what"))
 
 
-def read_cells_json(spark: SparkSession, paths) -> DataFrame:
+def read_cells_json(spark: SparkSession, paths, lines: bool = False) -> DataFrame:
     """(source, label, party_id, layout, text, grid_code): codes of JSON files, each an array or an object with codes.
 
     The array may be of any size: files are read in splits, cut at commas; only what stands around the array of codes is put
     together again, a row a file. A byte order mark is passed over. A file that is malformed, has anything after its end, no
     array of codes, or an element that isn't a plain value (strings with a comma or an escape are none) fails the job with its
     name, whichever columns are read. Null and blank codes are skipped.
+
+    ``lines``: each line of the files is such an array or object (JSON Lines), so that many sets share a file. A line is held in a
+    row; blank lines are skipped, and a file without any holds no set.
     """
+    if lines:
+        texts = spark.read.text(paths).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+        records = _records(texts.where(F.trim(F.col("text"), F.lit(" \t\r\n")) != ""))
+        rows = records.where("not none").select(*_known(), F.explode(F.split("elements", ",")).alias("element"))
+        return guarded(_codes(rows), _bad_files(records), "no array of codes in ")
     rows, files, listed = _code_files(spark, paths)
     return guarded(rows, _bad_files(files, listed), "no array of codes in ")
 
 
+def _known(source: str = "source") -> list[Column]:
+    return [F.col("source").alias(source), F.col("r.label"), F.col("r.party_id"), F.coalesce("r.layout", "r.manifest").alias("layout")]
+
+
+def _frame_record() -> tuple[Column, Column]:
+    """(the record, whether it is one) of a ``frame``: a JSON text whose array of codes was emptied."""
+    record = F.from_json(F.concat(F.lit("["), F.col("frame"), F.lit("]")), f"array<struct<{JSON_SCHEMA.replace(' ', ':').replace(',:', ', ')}>>")
+    lone = F.regexp_replace("frame", _SPACE, "") == "[]"
+    return F.when(~lone & (F.size(record) == 1), record[0]), lone | (F.coalesce(F.size(record), F.lit(0)) == 1)
+
+
+def _records(texts: DataFrame) -> DataFrame:
+    """(source, r, elements, none, ok) of rows (source, text), each an array or an object with codes."""
+    bare = rf"(?s)^({_SPACE}\[)([^\]]*)(\].*)$"
+    key = lambda name: rf'(?s)^(.*?(?<!\\)"{name}"{_SPACE}:{_SPACE}\[)([^\]]*)(\].*)$'
+    patterns = [(bare, F.lit(True)), *[(key(name), F.contains("text", F.lit(f'"{name}"'))) for name in ("grid_codes", "codes")]]
+    cut = lambda k: F.coalesce(*[F.when(likely & F.col("text").rlike(p), F.regexp_extract("text", p, k)) for p, likely in patterns])
+    found = texts.select("source", cut(2).alias("elements"), F.concat(cut(1), cut(3)).alias("frame"))
+    r, one = _frame_record()
+    none = F.trim(F.col("elements"), F.lit(" \t\r\n")) == ""
+    # Plain values up to the end, found one after the other; a comma at the end is followed by none.
+    plain = none | (F.regexp_replace("elements", _PLAIN_NEXT, "") == "") & ~F.endswith(F.trim(F.col("elements"), F.lit(" \t\r\n")), F.lit(","))
+    return found.select("source", r.alias("r"), "elements", none.alias("none"), F.coalesce(plain & one, F.lit(False)).alias("ok"))
+
+
+def _codes(rows: DataFrame) -> DataFrame:
+    """The codes of rows with a plain ``element``; null and blank ones are skipped."""
+    value = F.trim(F.col("element"), F.lit(" \t\r\n"))
+    text = F.when(F.startswith(value, F.lit('"')), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    found = rows.select("source", "label", "party_id", "layout", text.alias("text")).where(~_blank(F.col("text")))
+    return found.select("*", codes.cell_from_text("text").alias("grid_code"))
+
+
 def _code_files(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame, list[str]]:
     """(the codes of all files, (source, ok) of each file that holds a byte, all files listed)."""
     pieces = _pieces(spark, paths, ",")
@@ -98,10 +142,9 @@ def _code_files(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame, list[
     frame = F.sort_array(F.collect_list(F.when(F.col("outer"), F.struct("at", "around"))))
     text = F.replace(F.array_join(F.transform(frame, lambda s: s["around"]), ","), F.lit("[,]"), F.lit("[]"))
     files = placed.groupBy("source").agg(text.alias("frame"), F.count_if(F.col("inside")).alias("n"), F.count_if(F.col("inside") & ~F.col("none") & ~F.col("element").rlike(_PLAIN)).alias("wrong"))
-    record = F.from_json(F.concat(F.lit("["), F.col("frame"), F.lit("]")), f"array<struct<{JSON_SCHEMA.replace(' ', ':').replace(',:', ', ')}>>")
-    lone = F.regexp_replace("frame", _SPACE, "") == "[]"
-    files = files.select("source", F.when(~lone & (F.size(record) == 1), record[0]).alias("r"), ((F.col("n") > 0) & (F.col("wrong") == 0) & (lone | (F.coalesce(F.size(record), F.lit(0)) == 1))).alias("ok"))
-    known = files.select(F.col("source").alias("own"), "r.label", "r.party_id", F.coalesce("r.layout", "r.manifest").alias("layout"))
+    r, one = _frame_record()
+    files = files.select("source", r.alias("r"), ((F.col("n") > 0) & (F.col("wrong") == 0) & one).alias("ok"))
+    known = files.select(*_known("own"))
     rows = placed.where("inside and not none").select("source", F.regexp_extract("element", _PLAIN, 1).alias("quoted"), F.regexp_extract("element", _PLAIN, 2).alias("plain"))
     rows = rows.select("source", F.when(F.col("plain") != "", F.col("plain")).otherwise(F.col("quoted")).alias("text")).where(~_blank(F.col("text")))
     rows = rows.join(few(known), F.col("source") == F.col("own"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import codes
 from cellweave.operators import metrics, sets
 from cellweave.operators.guards import guarded
-from cellweave.plans import runlog
+from cellweave.plans import catalogue, runlog
 from cellweave.sources import cells as source
 
 CELLS = "set_id int, grid_code long"
@@ -181,6 +181,38 @@ def test_cells_in_splits(spark, tmp_path, split_size):
     refuses(lambda: read("x1.json", bad["x1.json"]), "x1.json", ["one column", "last column", "no such row"])
 
 
+def test_cells_in_lines(spark, tmp_path):
+    """Lines are read as files of the same text are."""
+    def read(name, text):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+        return source.read_cells_json(spark, str(tmp_path / name), lines=True)
+
+    many = list(range(3000))
+    record = {"label": "a, \"b\" [1, 2] {x}", "layout": {"bits": 64, "layout_id": "l"}, "grid_codes": list(map(str, many)), "party_id": "p", "other": [1, 2, {"codes": [7]}]}
+    found = read("a.json", "\ufeff" + json.dumps(many) + "\r\n\n \t\n" + json.dumps(record) + "\n" + json.dumps({**record, "label": "z", "party_id": None, "grid_codes": ["0xFF"]}) + "\n").collect()
+    rows = {label: sorted(r.grid_code for r in found if r.label == label) for label in (None, record["label"], "z")}
+    assert rows == {None: many, record["label"]: many, "z": [255]} and len(found) == 6001
+    assert {(r.label, r.party_id, r.layout and r.layout["bits"]) for r in found} == {(None, None, None), (record["label"], "p", "64"), ("z", None, "64")}
+    assert {(r.text, r.grid_code) for r in read("n.json", '[1, null, "", "oops", true, 2.5]\n[ ]\n{"codes": [ ], "label": "x"}\n["18446744073709551615", " 7 ", "-1"]').collect()} == {("1", 1), ("oops", None), ("true", None), ("2.5", None), ("18446744073709551615", -1), (" 7 ", 7), ("-1", None)}
+    assert read("v.json", "").collect() == [] and read("w.json", "\n \n").collect() == []
+    bad = ['["1","2"] junk', "[1, ", '{"label": "x"}', "nothing", '{"codes": [1, 2]} {"codes": [3]}', '{"codes": [1, 2]}, {"codes": [3]}', "[1, [2]]", "[1 2]", '[1, {"a": 2}]', "[1,, 2]", "[1, 2,]", '{"codes": [1, 2], "label": }', '{"codes": [1, 2]', '["a, b"]', "[1]]", "[,1]", '["1""2"]']
+    for k, text in enumerate(bad):
+        (tmp_path / f"x{k}.json").write_text("[5]\n" + text + "\n[6]\n")
+    judged = source._records(spark.read.text([str(tmp_path / f"x{k}.json") for k in range(len(bad))]).selectExpr("value AS source", "value AS text")).collect()
+    assert sorted(r.source for r in judged if not r.ok) == sorted(bad) and len(judged) == 3 * len(bad)
+    refuses(lambda: source.read_cells_json(spark, str(tmp_path / "x0.json"), lines=True), "x0.json", ["one column", "last column", "no such row"])
+
+
+def test_sets_share_files(spark, tmp_path, monkeypatch):
+    """The registered query writes no file for each set, and a set of many codes as several records."""
+    monkeypatch.setattr(catalogue, "scratch_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(source, "RECORD_CODES", 100)
+    rows = catalogue.QUERIES["s2_read_cells_json"](spark, "/root/testdata/sf0.01")
+    assert rows.select("label").distinct().count() == 100
+    files = list(tmp_path.rglob("*.txt"))
+    assert 0 < len(files) < 20 and 400 < sum(len(f.read_text().splitlines()) for f in files) < 1200
+
+
 def test_wide_vectors(spark):
     big = 1 << 61
     values = spark.createDataFrame([(1, 0, big), (1, 1, -big), (2, 0, -big), (2, 1, big), (3, 0, 5)], "vec_id int, dim int, value long")
