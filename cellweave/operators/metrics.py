@@ -65,10 +65,10 @@ def pairs_within_distance(vectors: DataFrame, threshold: int, dims: int = 2, gro
     joined_in_place(vectors)
     width = max(1, abs(int(threshold)))
     spots = [f"b{k}" for k in range(dims)]
-    keys = [*spots, "n", *([group] if group else [])]
+    keys = [*spots, "n", *(["group"] if group else [])]
     floor = lambda v: F.call_function("div", v, F.lit(width)) - F.when(F.pmod(v, F.lit(width)) != v % width, 1).otherwise(0)
     whole = vectors.where(F.col("vec_id").isNotNull() & F.forall("values", lambda x: x.isNotNull()))
-    placed = whole.select("vec_id", "values", *([group] if group else []), F.size("values").alias("n"), *[floor(_value(k)).alias(b) for k, b in enumerate(spots)])
+    placed = whole.select("vec_id", "values", *([F.col(group).alias("group")] if group else []), F.size("values").alias("n"), *[floor(_value(k)).alias(b) for k, b in enumerate(spots)])
     # The bucket itself and half of its neighbours: the other half meets it from its own side.
     steps = [s for s in itertools.product((-1, 0, 1), repeat=dims) if s >= (0,) * dims]
     step = F.explode(F.array(*[F.struct(F.lit(not any(s)).alias("own"), *[F.lit(x).cast("bigint").alias(b) for x, b in zip(s, spots)]) for s in steps]))

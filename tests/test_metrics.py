@@ -18,11 +18,11 @@ def test_near_pairs(spark, least, span, length, threshold):
     ids = rnd.sample(range(-1000, 1000), 90)
     rows = [(k, rnd.choice(["a", "b"]), [least + rnd.choice([0, span, rnd.randint(0, span)]) for _ in range(rnd.choice([length, length, length - 1]))]) for k in ids]
     rows += [(1001, "a", []), (1002, "a", []), (1003, "a", [least, None]), (1004, "a", rows[0][2]), (1005, None, rows[0][2]), (1006, "a", None)]
-    df = spark.createDataFrame(rows, "vec_id long, label string, values array<bigint>")
+    df = spark.createDataFrame(rows, "vec_id long, l string, values array<bigint>")
     want = plain([r for r in rows if r[1] and r[2] is not None], threshold)
     assert want
     for cell in (4, metrics.CELL_ROWS):
-        found = metrics.pairs_within_distance(df, threshold, group="label", cell=cell)
+        found = metrics.pairs_within_distance(df, threshold, group="l", cell=cell)
         assert sorted(map(tuple, found.collect())) == want
 
 
