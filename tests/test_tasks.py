@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from cellweave.operators import intervals, sets, tasks
+from cellweave.operators import bits, intervals, sets, tasks
 from cellweave.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -73,6 +73,40 @@ def test_overlaps_in_cells(spark, monkeypatch, aligned):
     assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in expected if a is not None and b is not None and a < b}
 
 
+@pytest.mark.parametrize("often,seats", [(0, 9), (10**6, 2), (10**6, 5)])
+@pytest.mark.parametrize("aligned", [True, False])
+def test_overlaps_by_bits_and_by_pairs(spark, monkeypatch, often, seats, aligned):
+    monkeypatch.setattr(intervals, "OFTEN", often)
+    monkeypatch.setattr(bits, "SEATS", seats)
+    monkeypatch.setattr(intervals, "least_tasks", lambda _: 2)
+    rng = random.Random(seats)
+    rows = [(rng.choice([*range(20), None]), (rng.randrange(60) << k if aligned else rng.randrange(-200, 200)), k) for k in (rng.randrange(4) for _ in range(90))]
+    left, right = (spark.createDataFrame(x, "interval_id bigint, toff bigint, lt int") for x in (rows[:60], rows[30:]))
+    meet = lambda a, b: {(i, j) for i, s, k in a for j, t, m in b if s < t + 2**m and t < s + 2**k}
+    found = [tuple(r) for r in intervals.overlapping_pairs(left, right, aligned=aligned).collect()]
+    assert len(found) == len(set(found)) and set(found) == meet(rows[:60], rows[30:])
+    found = [tuple(r) for r in intervals.overlapping_pairs(left, left, aligned=aligned, ordered=True).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in meet(rows[:60], rows[:60]) if a is not None and b is not None and a < b}
+    found = [tuple(r) for r in intervals.overlapping_pairs(left, right, aligned=aligned, ordered=True).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in meet(rows[:60], rows[30:]) if a is not None and b is not None and a < b}
+
+
+def test_more_ids_than_a_row_of_words_has_bits(spark, monkeypatch):
+    monkeypatch.setattr(bits, "SEATS", 10**6)
+    n = 64 * bits.WORDS + 70
+    nodes = spark.range(n).selectExpr("id AS interval_id", "0L AS toff", "id % 3 AS lt")
+    assert intervals.overlapping_pairs(nodes, nodes, ordered=True).count() == n * (n - 1) // 2
+
+
+@pytest.mark.parametrize("aligned", [True, False])
+def test_ids_that_meet_often_are_copied_to_few_cells(spark, monkeypatch, aligned):
+    """However many pairs there are: each side is copied along the square of slabs, not of pairs."""
+    monkeypatch.setattr(intervals, "TASK_ROWS", 1)
+    nodes = spark.range(400).selectExpr("id AS interval_id", "0L AS toff", "0 AS lt")
+    found = intervals.overlapping_pairs(nodes, nodes, aligned=aligned, ordered=True)
+    assert found.rdd.getNumPartitions() <= 4 and found.count() == 400 * 399 // 2
+
+
 def test_generated_pairs_are_dealt_before_they_are_counted(spark, monkeypatch):
     monkeypatch.setattr(tasks, "TASK_ROWS", 100)
     plan = catalogue.QUERIES["d7_recheck_pair_stats"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
