@@ -91,6 +91,29 @@ def test_overlaps_by_bits_and_by_pairs(spark, monkeypatch, often, seats, aligned
     assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in meet(rows[:60], rows[30:]) if a is not None and b is not None and a < b}
 
 
+@pytest.mark.parametrize("often,seats", [(0, 9), (10**6, 2), (10**6, 5)])
+def test_containment_by_bits_and_by_pairs(spark, monkeypatch, often, seats):
+    monkeypatch.setattr(sets, "TASK_ROWS", 3)
+    monkeypatch.setattr(sets, "HELD_OFTEN", often)
+    monkeypatch.setattr(bits, "SEATS", seats)
+    rng = random.Random(seats)
+    a = [(i, c) for i in [*range(11), None] for c in [*rng.sample(range(9), 7), None]]
+    b = [(i, c) for i in [*range(30), None] for c in rng.sample([*range(10), None], 1 + rng.randrange(6))] + [(40, 8), (40, 8)]
+    left, right = (spark.createDataFrame(x, "set_id bigint, grid_code bigint") for x in (a, b))
+    held, other = _by_set(a), _by_set(b)
+    found = [tuple(r) for r in sets.containing_pairs(left, right).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(i, j) for i in held for j in other if i is not None and j is not None and None not in other[j] and other[j] <= held[i]}
+
+
+def test_containment_of_popular_codes_shuffles_no_pairs(apart, monkeypatch):
+    """Each wanted set passes through rows of bits; candidates are never dealt by pair, nor tables along a cube."""
+    monkeypatch.setattr(sets, "TASK_ROWS", 3)
+    left = apart.range(60).selectExpr("id % 20 AS set_id", "id % 3 AS grid_code").union(apart.range(40).selectExpr("id % 20 AS set_id", "3 + id % 2 AS grid_code"))
+    right = apart.range(90).selectExpr("id % 45 AS set_id", "id % 4 AS grid_code")
+    plan = sets.containing_pairs(left, right)._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in plan and "hashpartitioning(cell" not in plan
+
+
 def test_more_ids_than_a_row_of_words_has_bits(spark, monkeypatch):
     monkeypatch.setattr(bits, "SEATS", 10**6)
     n = 64 * bits.WORDS + 70
