@@ -60,6 +60,25 @@ def test_pairs_of_popular_codes_and_large_sets(spark, monkeypatch, packed, pairs
     assert len(found) == len(set(found)) and set(found) == inside
 
 
+@pytest.mark.parametrize("kind,ids", [("bigint", [-3, 0, 65535, 65536, None]), ("bigint", [-(1 << 24), 5, (1 << 24) + 7]), ("bigint", [-(1 << 63), 0, (1 << 63) - 1]), ("int", [-(1 << 31), -1, None, (1 << 31) - 1]), ("string", ["a", "b", None])])
+def test_arrays_of_ids_of_any_range(spark, kind, ids):
+    left = spark.createDataFrame([(i, c) for i in ids for c in (1, 2, 2)], f"set_id {kind}, grid_code bigint")
+    right = spark.createDataFrame([(7, 1), (7, 2), (8, 2), (None, 1)], "set_id bigint, grid_code bigint")
+    expected = {(i, j): n for i in ids for j, n in ((7, 2), (8, 1), (None, 1))}
+    found = sets.intersecting_pairs(left, right)
+    assert found.schema["left_id"].dataType == left.schema["set_id"].dataType
+    assert {(r.left_id, r.right_id): r.overlap for r in found.collect()} == expected
+    chained = sets.chain_intersect(left, right, left).collect()
+    assert {(r.left_id, r.third_id, r.right_id): r.overlap for r in chained} == {(i, k, j): n for (i, j), n in expected.items() for k in ids} and len(chained) == len(ids) * len(expected)
+
+
+def test_ids_travel_as_few_bytes(apart):
+    left = apart.range(3000).selectExpr("id * 5 AS set_id", "id % 3 AS grid_code")
+    for f in (sets.intersecting_pairs, lambda a, b: sets.chain_intersect(a, b, a)):
+        plan = f(left, left)._jdf.queryExecution().executedPlan().toString()
+        assert "(low, " in plan.split("REPARTITION_BY_NUM")[1]
+
+
 @pytest.mark.parametrize("aligned", [True, False])
 def test_overlaps_in_cells(spark, monkeypatch, aligned):
     monkeypatch.setattr(intervals, "TASK_ROWS", 20)
